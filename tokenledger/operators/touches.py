@@ -1,0 +1,110 @@
+"""Key usage counters.
+
+Exact columns (``requests``, ``last_used_at``) are plain partial+final
+aggregations. The parity column ``touches`` reproduces how often the gateway
+actually bumped the key row: only on a key-cache miss, i.e. at first use and
+then at the first use after the cached entry (set at the last bump, not
+sliding) expired. That is a sequential rule per key, so it runs as a sorted
+scan: rows are hash-partitioned by key and sorted by time within each
+partition, and ``mapInPandas`` walks them batch by batch carrying only the
+current key's last bump (constant memory; a key's rows are never collected).
+For U1 the walk jumps from bump to bump with a binary search, so it costs
+O(bumps * log batch) per batch rather than per row.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+OUT_SCHEMA = "k string, touches long"
+
+
+def _bump_scan(ttl_us: int):
+    def scan(batches):
+        key, last, n = None, None, 0
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            ks = pdf["k"].to_numpy()
+            ts = pdf["t"].to_numpy(dtype=np.int64)
+            starts = np.flatnonzero(np.r_[True, ks[1:] != ks[:-1]])
+            ends = np.r_[starts[1:], len(ks)]
+            done_k, done_n = [], []
+            for s, e in zip(starts, ends):
+                if ks[s] != key:
+                    if key is not None:
+                        done_k.append(key)
+                        done_n.append(n)
+                    key, last, n = ks[s], None, 0
+                t = ts[s:e]
+                if last is None:
+                    last, n = int(t[0]), 1
+                while True:
+                    # expired when t > last + ttl: first such row is the next bump
+                    j = int(np.searchsorted(t, last + ttl_us, side="right"))
+                    if j >= len(t):
+                        break
+                    last, n = int(t[j]), n + 1
+            if done_k:
+                yield pd.DataFrame({"k": done_k, "touches": done_n})
+        if key is not None:
+            yield pd.DataFrame({"k": [key], "touches": [n]})
+    return scan
+
+
+def cache_misses(events: DataFrame, key: str, ts: str, ttl_seconds: int) -> DataFrame:
+    """``(key, touches)``: bumps of a fixed-expiry cache per key."""
+    d = events.select(F.col(key).cast("string").alias("k"), F.unix_micros(F.col(ts)).alias("t"))
+    d = d.repartition("k").sortWithinPartitions("k", "t")
+    out = d.mapInPandas(_bump_scan(ttl_seconds * 1_000_000), OUT_SCHEMA)
+    return out.withColumnRenamed("k", key)
+
+
+def api_key_usage(resolved: DataFrame, ttl_seconds: int = 300) -> DataFrame:
+    """U1 over resolved exchanges (J1 output): every request whose key
+    resolved ``ok`` uses the key, whether or not it was logged afterwards."""
+    used = resolved.where(F.col("api_key_status") == "ok").select("api_key_id", "requested_at")
+    exact = used.groupBy("api_key_id").agg(F.count(F.lit(1)).alias("requests"),
+                                           F.max("requested_at").alias("last_used_at"))
+    return exact.join(cache_misses(used, "api_key_id", "requested_at", ttl_seconds), "api_key_id", "left")
+
+
+def _proxy_scan(ttl_us: int):
+    def scan(batches):
+        key, last, seen, n = None, None, set(), 0
+        for pdf in batches:
+            done_k, done_n = [], []
+            for k, t, p in zip(pdf["k"].to_numpy(), pdf["t"].to_numpy(dtype=np.int64), pdf["p"].to_numpy()):
+                if k != key:
+                    if key is not None:
+                        done_k.append(key)
+                        done_n.append(n)
+                    key, last, seen, n = k, None, set(), 0
+                # hit: provider resolved before and t strictly before expiry
+                if last is not None and p in seen and t < last + ttl_us:
+                    continue
+                last, n = int(t), n + 1
+                seen.add(p)
+            if done_k:
+                yield pd.DataFrame({"k": done_k, "touches": done_n})
+        if key is not None:
+            yield pd.DataFrame({"k": [key], "touches": [n]})
+    return scan
+
+
+def proxy_key_usage(resolved: DataFrame, ttl_seconds: int = 300, provider_col: str = "provider_detected") -> DataFrame:
+    """U2 over resolved exchanges (J2 output, status ok). A cache hit needs
+    the (key, provider) pair resolved before and the key's entry unexpired;
+    a miss on any provider renews the key's expiry. The provider set per key
+    is bounded by the number of providers."""
+    used = resolved.where(F.col("proxy_status") == "ok").select("proxy_key_id", "requested_at", provider_col)
+    exact = used.groupBy("proxy_key_id").agg(F.count(F.lit(1)).alias("requests"),
+                                             F.max("requested_at").alias("last_used_at"))
+    d = used.select(F.col("proxy_key_id").alias("k"), F.unix_micros("requested_at").alias("t"),
+                    F.col(provider_col).alias("p"))
+    d = d.repartition("k").sortWithinPartitions("k", "t")
+    touches = d.mapInPandas(_proxy_scan(ttl_seconds * 1_000_000), OUT_SCHEMA).withColumnRenamed("k", "proxy_key_id")
+    return exact.join(touches, "proxy_key_id", "left")

@@ -297,3 +297,232 @@ def q_reprice_as_of(spark, sf):
     df = pricing.reprice_as_of(df, versions, dims.aliases, "model", "requested_at", cfg)
     cost = pricing.cost_columns(F.col("usage.input"), F.col("usage.output"), F.col("usage.cached"), F.col("price"))
     return df.select(F.col("request_id").alias("id"), "model", cost[2])
+
+
+@register("owned_proxy_keys", """
+SELECT """ + uuid_sql("'pk-' || p.c_custkey") + """ AS proxy_key_id, 'proxy-' || p.c_custkey AS proxy_key_name,
+  """ + uuid_sql("'ak-' || p.c_custkey") + """ AS api_key_id, 'u' || (p.c_custkey // 3) AS user_id,
+  lower(replace(u.c_name, '#', '-')) AS username, p.c_name AS api_key_name, p.c_custkey % 8 NOT IN (4, 5) AS proxy_key_active
+FROM customer p JOIN customer u ON u.c_custkey = p.c_custkey // 3
+WHERE p.c_custkey % 10 <> 6""")
+def q_owned_proxy_keys(spark, sf):
+    """User -> API key -> proxy key ownership chain."""
+    return keys.owned_proxy_keys(FX.users(spark, sf), FX.api_keys(spark, sf), FX.proxy_keys(spark, sf))
+
+
+# --- row transforms over every exchange ------------------------------------
+
+def _prepared(spark, sf):
+    ex, _, cfg = _inputs(spark, sf)
+    return ex, enrich.prepare(ex, cfg), cfg
+
+
+GW_HEADERS_SQL = """array_to_string(list_sort(list_filter([
+  'x-gw-key=gwsk_' || user_id,
+  CASE WHEN event_id % 10 <> 9 THEN 'x-gw-user-id=' || user_id END,
+  'x-gw-feature=' || event_type,
+  'x-gw-step=s' || (k % 4),
+  'x-gw-environment=' || CASE WHEN k % 2 = 0 THEN 'prod' ELSE 'dev' END,
+  CASE WHEN r = 1 THEN 'x-gw-provider-alias=team-' || (user_id % 3) END,
+  CASE WHEN r = 4 THEN 'x-gw-provider=Anthropic-OpenAI' WHEN r = 5 AND event_id % 12 = 11 THEN 'x-gw-provider=Bedrock' END
+], lambda x: x IS NOT NULL)), ';')"""
+META_SQL = """array_to_string(list_sort(list_filter([
+  CASE WHEN event_id % 10 <> 9 THEN 'user-id=' || user_id END,
+  'feature=' || event_type, 'step=s' || (k % 4),
+  'environment=' || CASE WHEN k % 2 = 0 THEN 'prod' ELSE 'dev' END
+], lambda x: x IS NOT NULL)), ';')"""
+
+
+@register("gateway_headers", with_base(
+    f"SELECT request_id, {GW_HEADERS_SQL} AS gw_headers, {META_SQL} AS metadata FROM ev2"))
+def q_gateway_headers(spark, sf):
+    """P1 + P2: gateway headers (lower-cased, others dropped) and custom metadata."""
+    _, d, cfg = _prepared(spark, sf)
+    return d.select("request_id", A.map_text(F.col("gw_headers")).alias("gw_headers"),
+                    A.map_text(H.custom_metadata(F.col("gw_headers"), cfg)).alias("metadata"))
+
+
+BASE_URL_SQL = ("CASE detected WHEN 'openai' THEN 'https://api.openai.com' WHEN 'anthropic' THEN 'https://api.anthropic.com' "
+                "WHEN 'gemini' THEN 'https://generativelanguage.googleapis.com' "
+                "WHEN 'anthropic-openai' THEN 'https://api.anthropic.com' ELSE '' END")
+
+
+@register("detect_provider", with_base(f"SELECT request_id, detected AS provider, {BASE_URL_SQL} AS base_url FROM ev2"))
+def q_detect_provider(spark, sf):
+    """Explicit header first, else path rules, else openai."""
+    _, d, _ = _prepared(spark, sf)
+    return d.select("request_id", F.col("prov.provider").alias("provider"), F.col("prov.base_url").alias("base_url"))
+
+
+@register("extract_model", with_base(
+    "SELECT request_id, CASE WHEN event_id % 89 = 0 THEN 'unknown' ELSE model END AS model FROM ev2"))
+def q_extract_model(spark, sf):
+    """Model of the request body ('unknown' when undecodable or empty)."""
+    ex, _, _ = _inputs(spark, sf)
+    return ex.select("request_id", P.extract_model(F.col("request_body")).alias("model"))
+
+
+def _parser_sql(rs: str, inp: str, cached: str, creation: str) -> str:
+    return with_base(
+        "SELECT request_id, kind <> 'malformed' AS ok, "
+        "CASE WHEN kind = 'normal' AND k % 5 <> 0 THEN model ELSE '' END AS model, "
+        f"CASE WHEN kind = 'normal' THEN {inp} ELSE 0 END AS input, "
+        "CASE WHEN kind = 'normal' THEN tout ELSE 0 END AS output, "
+        f"CASE WHEN kind = 'normal' THEN {cached} ELSE 0 END AS cached, "
+        f"CASE WHEN kind = 'normal' THEN {creation} ELSE 0 END AS creation "
+        f"FROM lg0 WHERE r IN ({rs})")
+
+
+def _parse_query(spark, sf, rs: list[int], fn):
+    ex, _, _ = _inputs(spark, sf)
+    r = F.col("event_id") % 6
+    d = ex.where(F.col("status_code").isNotNull() & r.isin(rs))
+    u = fn(F.col("response_body"))
+    return d.select("request_id", u["ok"].alias("ok"), u["model"].alias("model"), u["input"].alias("input"),
+                    u["output"].alias("output"), u["cached"].alias("cached"), u["creation"].alias("creation"))
+
+
+@register("parse_usage_openai", _parser_sql("0, 1, 5", "tin", "cached", "0"))
+def q_parse_usage_openai(spark, sf):
+    """P5: Chat and Responses usage; Responses fields win when they report tokens."""
+    return _parse_query(spark, sf, [0, 1, 5], P.parse_usage_openai)
+
+
+@register("parse_usage_anthropic", _parser_sql("2, 4", "tin + creation", "cached", "creation"))
+def q_parse_usage_anthropic(spark, sf):
+    """Input normalised to include cache reads and creation."""
+    return _parse_query(spark, sf, [2, 4], P.parse_usage_anthropic)
+
+
+@register("parse_usage_gemini", _parser_sql("3", "tin", "cached", "0"))
+def q_parse_usage_gemini(spark, sf):
+    """usageMetadata counts, model from modelVersion."""
+    return _parse_query(spark, sf, [3], P.parse_usage_gemini)
+
+
+@register("usage_metrics", with_base(
+    "SELECT request_id, parse_ok AS ok, provider, log_model AS model, input_tokens, output_tokens, cached_tokens, "
+    "cache_creation_tokens FROM us_all"))
+def q_usage_metrics(spark, sf):
+    """Parser dispatch, translation of anthropic-openai responses, fallbacks."""
+    _, d, _ = _prepared(spark, sf)
+    d = d.where(F.col("status_code").isNotNull()).withColumn("provider_detected", F.col("prov.provider"))
+    u = usage.usage_metrics(d, provider="provider_detected")
+    return u.select("request_id", F.col("usage.ok").alias("ok"), F.col("usage.provider").alias("provider"),
+                    F.col("usage.model").alias("model"), F.col("usage.input").alias("input_tokens"),
+                    F.col("usage.output").alias("output_tokens"), F.col("usage.cached").alias("cached_tokens"),
+                    F.col("usage.creation").alias("cache_creation_tokens"))
+
+
+@register("translate_requests", """
+SELECT conv_id, TRUE AS ok, '/v1/messages' AS path,
+  COALESCE(arg_max(CASE WHEN role = 'system' THEN text END, CASE WHEN role = 'system' THEN turn END), '') AS system,
+  CAST(COUNT(*) FILTER (WHERE role <> 'system') AS INTEGER) AS n_messages,
+  CASE WHEN conv_id % 2 = 0 THEN 256 + conv_id ELSE 4096 END AS max_tokens
+FROM conversations GROUP BY conv_id""")
+def q_translate_requests(spark, sf):
+    """P9 over chat requests built from every conversation."""
+    from tokenledger.plans.conversations import chat_requests
+    t = usage.translate_requests(chat_requests(spark, sf), "request_body")
+    return t.select("conv_id", F.col("translated.ok").alias("ok"), F.col("translated.path").alias("path"),
+                    F.col("translated.system").alias("system"), F.col("translated.n_messages").alias("n_messages"),
+                    F.col("translated.max_tokens").alias("max_tokens"))
+
+
+@register("translate_responses", f"""
+SELECT conv_id,
+  {"['stop', 'length', 'stop', 'tool_calls', 'stop']"}[conv_id % 5 + 1] AS finish_reason,
+  md5(COALESCE(string_agg(CASE WHEN role = 'assistant' AND turn % 3 <> 0 THEN text END, '' ORDER BY turn), '')) AS content_md5,
+  CAST(COALESCE(SUM(CASE WHEN role <> 'assistant' THEN length(text) END), 0) AS BIGINT) AS prompt_tokens,
+  CAST(COALESCE(SUM(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS completion_tokens,
+  CAST(COALESCE(SUM(length(text)), 0) AS BIGINT) AS total_tokens
+FROM conversations GROUP BY conv_id""")
+def q_translate_responses(spark, sf):
+    """P10 over Anthropic responses built from every conversation."""
+    from tokenledger.plans.conversations import anthropic_responses
+    t = usage.translate_responses(anthropic_responses(spark, sf), "response_body")
+    return t.select("conv_id", F.col("translated.finish_reason").alias("finish_reason"),
+                    F.md5(F.col("translated.content")).alias("content_md5"),
+                    F.col("translated.prompt_tokens").alias("prompt_tokens"),
+                    F.col("translated.completion_tokens").alias("completion_tokens"),
+                    F.col("translated.total_tokens").alias("total_tokens"))
+
+
+@register("error_messages", with_base(
+    "SELECT request_id, " + "CASE WHEN strlen(b) <= 500 THEN b ELSE left(b, len(list_filter(range(1, length(b) + 1), "
+    "lambda i: strlen(left(b, CAST(i AS BIGINT))) <= 500))) END AS error_message FROM "
+    "(SELECT request_id, err_body AS b FROM us_all WHERE status_code >= 400)"))
+def q_error_messages(spark, sf):
+    """First 500 bytes of error bodies, never splitting a character."""
+    ex, _, cfg = _inputs(spark, sf)
+    return ex.where(F.col("status_code") >= 400).select(
+        "request_id", H.error_message(F.col("status_code"), F.col("response_body"), cfg).alias("error_message"))
+
+
+@register("truncate_bodies", with_base(
+    "SELECT request_id, strlen(t) AS body_bytes, md5(t) AS body_md5 FROM (SELECT request_id, "
+    "CASE WHEN strlen(b) <= 300 THEN b ELSE left(b, len(list_filter(range(1, length(b) + 1), "
+    "lambda i: strlen(left(b, CAST(i AS BIGINT))) <= 300))) END AS t "
+    "FROM (SELECT request_id, err_body AS b FROM us_all WHERE status_code >= 400))"))
+def q_truncate_bodies(spark, sf):
+    """Byte-limited body storage (300-byte limit to exercise the cut)."""
+    ex, _, _ = _inputs(spark, sf)
+    t = H.truncate_bytes(F.col("response_body"), 300)
+    return ex.where(F.col("status_code") >= 400).select(
+        "request_id", F.octet_length(t).alias("body_bytes"), F.md5(t).alias("body_md5"))
+
+
+@register("hash_keys", with_base(
+    "SELECT request_id, sha256('gwsk_' || user_id) AS api_key_hash, "
+    "CASE WHEN auth_hdr IS NOT NULL THEN sha256(auth_hdr) END AS provider_api_key_hash FROM ev2"))
+def q_hash_keys(spark, sf):
+    """SHA-256 of the gateway key and of the whole Authorization header."""
+    ex, _, _ = _inputs(spark, sf)
+    return ex.select("request_id", H.hash_key(F.col("api_key")).alias("api_key_hash"),
+                     H.hash_key(F.col("authorization")).alias("provider_api_key_hash"))
+
+
+@register("key_format", with_base(
+    "SELECT request_id, TRUE AS api_key_format_ok, proxy_j IS NOT NULL AS proxy_key_format_ok FROM ev2"))
+def q_key_format(spark, sf):
+    """Prefix and length checks of both key kinds (Bearer stripped)."""
+    ex, _, cfg = _inputs(spark, sf)
+    return ex.select("request_id", H.key_format_ok(F.col("api_key"), cfg.api_key_prefix).alias("api_key_format_ok"),
+                     H.key_format_ok(H.strip_bearer(F.col("authorization")), cfg.proxy_key_prefix)
+                     .alias("proxy_key_format_ok"))
+
+
+@register("body_keys", with_base("SELECT id, body_s3_key FROM req_all"))
+def q_body_keys(spark, sf):
+    """Object key of each logged request's bodies."""
+    return materialized_log(spark, sf).select("id", "body_s3_key")
+
+
+@register("response_times", with_base("SELECT id, response_time_ms FROM req_all"))
+def q_response_times(spark, sf):
+    """Upstream time in whole milliseconds."""
+    return materialized_log(spark, sf).select("id", "response_time_ms")
+
+
+@register("encrypt_roundtrip", """
+SELECT c_custkey, TRUE AS decrypts, FALSE AS decrypts_with_other_key,
+  CAST(12 + length('sk-' || c_custkey) + 16 AS INTEGER) AS stored_bytes FROM customer""")
+def q_encrypt_roundtrip(spark, sf):
+    """AES-256-GCM with random nonces; checked by decryptability and size."""
+    c = FX.table(spark, sf, "customer")
+    enc = S.encrypt_secret(F.concat(F.lit("sk-"), F.col("c_custkey").cast("string")), FX.FIXTURE_SECRET)
+    d = c.select("c_custkey", enc.alias("enc"))
+    return d.select("c_custkey", S.secret_ok(F.col("enc"), FX.FIXTURE_SECRET).alias("decrypts"),
+                    S.secret_ok(F.col("enc"), FX.OTHER_SECRET).alias("decrypts_with_other_key"),
+                    F.octet_length(F.unbase64("enc")).alias("stored_bytes"))
+
+
+@register("secrets_decryptable", f"""
+SELECT {uuid_sql("'pk-' || c_custkey")} AS proxy_key_id, provider,
+  NOT (c_custkey % 8 = 3 AND provider = 'anthropic') AS decryptable
+FROM customer, (SELECT unnest(['openai', 'anthropic', 'anthropic-openai']) AS provider)
+WHERE c_custkey % 8 < 4""")
+def q_secrets_decryptable(spark, sf):
+    """Which stored provider keys decrypt (never the plaintext)."""
+    m = FX.mappings(spark, sf)
+    return m.select("proxy_key_id", "provider", S.secret_ok(F.col("encrypted_key"), FX.FIXTURE_SECRET).alias("decryptable"))

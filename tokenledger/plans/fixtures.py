@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tokenledger.config import DEFAULT, LedgerConfig
 from tokenledger.functions.secrets import encrypt_secret
+from tokenledger.session import spread
 from tokenledger.sources import prices as price_src
 
 # Encryption keys of the fixture (hex of a SHA-256 of a label): the main one,
@@ -88,7 +89,7 @@ def exchanges(spark: SparkSession, sf_dir: str, cfg: LedgerConfig = DEFAULT,
               events: DataFrame | None = None) -> DataFrame:
     """Recorded exchanges, one per event (see FIXTURES.md 2.1)."""
     events = events if events is not None else table(spark, sf_dir, "events")
-    p = exchange_params(events)
+    p = exchange_params(spread(events, "event_id"))
     pre = "X-" + cfg.header_prefix[2:].upper() if cfg.header_prefix.startswith("x-") else cfg.header_prefix
     model_json = "case when k % 5 = 0 then '' else concat(',\"model\":\"', model, '\"') end"
     gem_model_json = "case when k % 5 = 0 then '' else concat(',\"modelVersion\":\"', model, '\"') end"

@@ -71,6 +71,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-spread an input that arrives in fewer partitions than there are
+    cores (e.g. one unsplittable file), so row-wise work runs in parallel.
+
+    Inputs that already have enough partitions (any large table) are left
+    alone: no shuffle is added to the plan.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    try:
+        have = df.rdd.getNumPartitions()
+    except Exception:
+        return df
+    if have >= want:
+        return df
+    return df.repartition(want, *keys) if keys else df.repartition(want)
+
+
 def estimated_bytes(df: DataFrame) -> int | None:
     """Optimizer size estimate of a plan, or None when unavailable."""
     try:
