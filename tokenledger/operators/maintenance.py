@@ -10,7 +10,7 @@ through the size-checked broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenledger.session import dim_side
@@ -26,6 +26,12 @@ def _last_per_key(changes: DataFrame, keys: list[str], seq: str = "seq") -> Data
 
 
 def upsert_mappings(mappings: DataFrame, changes: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """M1 as (new dimension, per-row status); see ``upsert_mappings_annotated``."""
+    new = upsert_mappings_annotated(mappings, changes, now)
+    return new.drop("status", "applied_seq"), new.select("proxy_key_id", "provider", "status", "applied_seq")
+
+
+def upsert_mappings_annotated(mappings: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
     """M1: INSERT ... ON CONFLICT (proxy_key_id, provider) DO UPDATE key, updated_at.
 
     ``changes``: proxy_key_id, provider, encrypted_key, seq, new_id. Existing
@@ -45,7 +51,7 @@ def upsert_mappings(mappings: DataFrame, changes: DataFrame, now: Column) -> tup
         F.when(~hit, F.lit("kept")).when(existed, F.lit("updated")).otherwise(F.lit("inserted")).alias("status"),
         F.col("_seq").alias("applied_seq"),
     )
-    return new.drop("status", "applied_seq"), new.select("proxy_key_id", "provider", "status", "applied_seq")
+    return new
 
 
 def register_metadata_keys(metadata_keys: DataFrame, observed: DataFrame) -> DataFrame:
@@ -123,13 +129,14 @@ def create_keys(keys: DataFrame, new_keys: DataFrame) -> tuple[DataFrame, DataFr
     ``new_keys``: id, key_hash, name, description, seq (+ owner columns).
     New rows are active with request_count 0.
     """
-    w = Window.partitionBy("key_hash").orderBy("seq")
-    ranked = new_keys.withColumn("_rank", F.row_number().over(w))
+    # first seq per hash by aggregation (map-side partial), not a window sort,
+    # so a hash repeated many times never lands in one sorted partition
+    firsts = new_keys.groupBy("key_hash").agg(F.min("seq").alias("_first"))
     existing = keys.select("key_hash", F.lit(True).alias("_exists"))
-    tagged = ranked.join(existing, "key_hash", "left").withColumn(
+    tagged = new_keys.join(firsts, "key_hash", "inner").join(existing, "key_hash", "left").withColumn(
         "status",
         F.when(F.col("_exists"), F.lit("duplicate_existing"))
-        .when(F.col("_rank") > 1, F.lit("duplicate_in_batch"))
+        .when(F.col("seq") != F.col("_first"), F.lit("duplicate_in_batch"))
         .otherwise(F.lit("created")))
     created = tagged.where(F.col("status") == "created")
     cols = keys.columns

@@ -526,3 +526,265 @@ def q_secrets_decryptable(spark, sf):
     """Which stored provider keys decrypt (never the plaintext)."""
     m = FX.mappings(spark, sf)
     return m.select("proxy_key_id", "provider", S.secret_ok(F.col("encrypted_key"), FX.FIXTURE_SECRET).alias("decryptable"))
+
+
+# --- sketches --------------------------------------------------------------
+
+META_ROWS_SQL = """
+meta_rows AS (
+  SELECT api_key_id, responded_at, requested_at, e.key_name AS key_name, e.value AS value FROM (
+    SELECT api_key_id, responded_at, requested_at, unnest(list_filter([
+      {'key_name': 'user-id', 'value': CASE WHEN event_id % 10 <> 9 THEN CAST(event_user AS VARCHAR) END},
+      {'key_name': 'feature', 'value': event_type},
+      {'key_name': 'step', 'value': 's' || (k % 4)},
+      {'key_name': 'environment', 'value': CASE WHEN k % 2 = 0 THEN 'prod' ELSE 'dev' END}
+    ], lambda x: x.value IS NOT NULL)) AS e FROM req))"""
+KEY_STATS_SQL = with_base(
+    "SELECT api_key_id, key_name, COUNT(*) AS request_count, MAX(responded_at) AS last_seen_at, "
+    "CAST(COUNT(DISTINCT value) AS BIGINT) AS approx_cardinality FROM meta_rows GROUP BY api_key_id, key_name",
+    META_ROWS_SQL)
+STAT_COLS = ["api_key_id", "key_name", "request_count", "last_seen_at", "approx_cardinality"]
+
+
+@register("metadata_key_stats", KEY_STATS_SQL)
+def q_metadata_key_stats(spark, sf):
+    """H1: per (API key, metadata key): HLL sketch, count, last seen, estimate."""
+    from tokenledger.operators import metadata
+    return metadata.metadata_key_stats(log_table(spark, sf)).select(*STAT_COLS)
+
+
+@register("merge_key_stats", KEY_STATS_SQL)
+def q_merge_key_stats(spark, sf):
+    """H2: stats of the first half merged with the second half = the whole."""
+    from tokenledger.operators import metadata
+    log = log_table(spark, sf)
+    cut = F.lit("2024-01-15 00:00:00").cast("timestamp")
+    state = metadata.metadata_key_stats(log.where(F.col("requested_at") < cut))
+    delta = metadata.metadata_key_stats(log.where(F.col("requested_at") >= cut))
+    return metadata.merge_key_stats(state, delta).select(*STAT_COLS)
+
+
+@register("key_cardinality", with_base(
+    "SELECT api_key_id, key_name, CAST(COUNT(DISTINCT value) AS BIGINT) AS approx_cardinality "
+    "FROM meta_rows GROUP BY api_key_id, key_name", META_ROWS_SQL))
+def q_key_cardinality(spark, sf):
+    """H3: cardinality read from stored sketch bytes."""
+    from tokenledger.operators import metadata
+    return metadata.key_cardinality(metadata.metadata_key_stats(log_table(spark, sf)))
+
+
+# --- maintenance -----------------------------------------------------------
+
+NOW_SQL = "TIMESTAMP '2024-02-01 00:00:00'"
+MAP_TS = "(TIMESTAMP '1970-01-01 00:00:00' + to_seconds(CAST(1688169600 + c AS BIGINT)))"
+
+
+@register("upsert_mappings", f"""
+WITH m AS (SELECT c_custkey AS c, provider FROM customer,
+             (SELECT unnest(['openai', 'anthropic', 'anthropic-openai']) AS provider) WHERE c_custkey % 8 < 4),
+ch AS (SELECT c_custkey AS c, 'openai' AS provider, CASE WHEN c_custkey % 10 = 0 THEN 2 ELSE 1 END AS seq
+       FROM customer WHERE c_custkey % 5 = 0
+       UNION ALL SELECT c_custkey, 'gemini', 1 FROM customer WHERE c_custkey % 5 = 0),
+j AS (SELECT COALESCE(m.c, ch.c) AS c, COALESCE(m.provider, ch.provider) AS provider, m.c IS NOT NULL AS existed,
+             ch.c IS NOT NULL AS hit, ch.seq FROM m FULL OUTER JOIN ch ON m.c = ch.c AND m.provider = ch.provider)
+SELECT CASE WHEN existed THEN {uuid_sql("'map-' || c || '-' || provider")}
+            ELSE {uuid_sql("'map-new-' || c || '-' || provider")} END AS id,
+  {uuid_sql("'pk-' || c")} AS proxy_key_id, provider,
+  CASE WHEN existed THEN {MAP_TS} ELSE {NOW_SQL} END AS created_at,
+  CASE WHEN hit THEN {NOW_SQL} ELSE {MAP_TS} END AS updated_at,
+  CASE WHEN NOT hit THEN 'kept' WHEN existed THEN 'updated' ELSE 'inserted' END AS status,
+  seq AS applied_seq
+FROM j""")
+def q_upsert_mappings(spark, sf):
+    """M1: ON CONFLICT (proxy_key_id, provider) DO UPDATE."""
+    from tokenledger.operators import maintenance as M
+    now = F.lit(FX.CHANGE_TS).cast("timestamp")
+    new = M.upsert_mappings_annotated(FX.mappings(spark, sf), FX.mapping_changes(spark, sf), now)
+    return new.drop("encrypted_key")
+
+
+@register("register_metadata_keys", with_base(f"""
+SELECT {uuid_sql("'ak-' || c_custkey")} AS api_key_id, key_name,
+  (key_name IN ('feature', 'user-id') AND c_custkey % 2 = 0) OR (key_name = 'step' AND c_custkey % 10 = 1) AS is_active,
+  FALSE AS is_new
+FROM customer, (SELECT unnest(['feature', 'user-id', 'step']) AS key_name)
+UNION ALL
+SELECT DISTINCT api_key_id, 'environment', FALSE, TRUE FROM req"""))
+def q_register_metadata_keys(spark, sf):
+    """M2: keys seen in logged requests are registered (inactive) if new."""
+    from tokenledger.operators import maintenance as M
+    log = log_table(spark, sf)
+    observed = log.select("api_key_id", F.explode(F.map_keys("raw_metadata")).alias("key_name"))
+    out = M.register_metadata_keys(FX.metadata_keys(spark, sf), observed)
+    return out.select("api_key_id", "key_name", "is_active", "is_new")
+
+
+AK_CREATED = "(TIMESTAMP '1970-01-01 00:00:00' + to_seconds(CAST(1672531200 + c_custkey AS BIGINT)))"
+
+
+@register("revoke_keys", f"""
+SELECT {uuid_sql("'ak-' || c_custkey")} AS id,
+  CASE WHEN c_custkey % 4 = 0 AND c_custkey % 10 NOT IN (7, 8) THEN FALSE ELSE c_custkey % 10 NOT IN (7, 8) END AS is_active,
+  CASE WHEN c_custkey % 4 = 0 AND c_custkey % 10 NOT IN (7, 8) THEN {NOW_SQL}
+       WHEN c_custkey % 10 = 7 THEN {AK_CREATED} + INTERVAL 30 DAY END AS revoked_at,
+  CASE WHEN c_custkey % 4 = 0 AND c_custkey % 10 NOT IN (7, 8) THEN 'revoked'
+       WHEN c_custkey % 4 = 0 THEN 'not_found' ELSE 'untouched' END AS status
+FROM customer
+UNION ALL
+SELECT {uuid_sql("'ak-' || (c_custkey + 1000000000)")}, NULL, NULL, 'not_found' FROM customer WHERE c_custkey % 20 = 0""")
+def q_revoke_keys(spark, sf):
+    """M3: revoke only still-active keys; others and unknown ids not found."""
+    from tokenledger.operators import maintenance as M
+    now = F.lit(FX.CHANGE_TS).cast("timestamp")
+    return M.revoke_keys(FX.api_keys(spark, sf), FX.revoke_ids(spark, sf), now) \
+        .select("id", "is_active", "revoked_at", "status")
+
+
+@register("patch_api_keys", f"""
+SELECT {uuid_sql("'ak-' || c_custkey")} AS id,
+  CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS name,
+  CASE WHEN c_custkey % 3 = 0 AND c_custkey % 5 = 0 THEN 'patched-' || c_custkey ELSE c_mktsegment END AS description,
+  CASE WHEN c_custkey % 3 <> 0 THEN 'untouched'
+       WHEN c_custkey % 2 = 0 OR c_custkey % 5 = 0 THEN 'updated' ELSE 'unchanged' END AS status
+FROM customer
+UNION ALL
+SELECT {uuid_sql("'ak-' || (c_custkey + 1000000000)")}, 'x', NULL, 'not_found' FROM customer WHERE c_custkey % 21 = 0""")
+def q_patch_api_keys(spark, sf):
+    """M4: partial updates of name / description."""
+    from tokenledger.operators import maintenance as M
+    return M.patch_api_keys(FX.api_keys(spark, sf), FX.api_key_patches(spark, sf)) \
+        .select("id", "name", "description", "status")
+
+
+@register("delete_mappings", f"""
+WITH m AS (SELECT c_custkey AS c, provider FROM customer,
+             (SELECT unnest(['openai', 'anthropic', 'anthropic-openai']) AS provider) WHERE c_custkey % 8 < 4),
+d AS (SELECT c_custkey AS c, provider FROM customer, (SELECT unnest(['anthropic', 'gemini']) AS provider)
+      WHERE c_custkey % 6 = 0)
+SELECT {uuid_sql("'pk-' || m.c")} AS proxy_key_id, m.provider, 'kept' AS status FROM m
+  WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.c = m.c AND d.provider = m.provider)
+UNION ALL
+SELECT {uuid_sql("'pk-' || d.c")}, d.provider,
+  CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.c = d.c AND m.provider = d.provider) THEN 'deleted' ELSE 'missing' END
+FROM d""")
+def q_delete_mappings(spark, sf):
+    """M5: delete by (proxy key, provider); report missing ones."""
+    from tokenledger.operators import maintenance as M
+    kept, status = M.delete_mappings(FX.mappings(spark, sf), FX.mapping_deletes(spark, sf))
+    return kept.select("proxy_key_id", "provider", F.lit("kept").alias("status")).unionByName(status)
+
+
+@register("create_keys", """
+WITH n AS (SELECT c_custkey AS seq, sha256(CASE WHEN c_custkey % 50 = 0 THEN 'gwsk_' || c_custkey
+                                              ELSE 'gwsk_new_' || (c_custkey // 2) END) AS key_hash,
+                  c_custkey % 50 = 0 AS clashes FROM customer),
+f AS (SELECT key_hash, MIN(seq) AS first FROM n GROUP BY key_hash)
+SELECT """ + uuid_sql("'new-ak-' || n.seq") + """ AS id, n.key_hash, n.seq,
+  CASE WHEN clashes THEN 'duplicate_existing' WHEN n.seq <> f.first THEN 'duplicate_in_batch' ELSE 'created' END AS status
+FROM n JOIN f USING (key_hash)""")
+def q_create_keys(spark, sf):
+    """M6: UNIQUE key_hash: first wins, the rest are refused."""
+    from tokenledger.operators import maintenance as M
+    _, status = M.create_keys(FX.api_keys(spark, sf), FX.new_api_keys(spark, sf))
+    return status
+
+
+@register("drop_proxy_keys_cascade", f"""
+SELECT 'proxy_key' AS kind, {uuid_sql("'pk-' || c_custkey")} AS id, CAST(NULL AS VARCHAR) AS provider
+FROM customer WHERE c_custkey % 10 <> 0
+UNION ALL
+SELECT 'mapping', {uuid_sql("'pk-' || c_custkey")}, provider FROM customer,
+  (SELECT unnest(['openai', 'anthropic', 'anthropic-openai']) AS provider)
+WHERE c_custkey % 8 < 4 AND c_custkey % 10 <> 0""")
+def q_drop_proxy_keys_cascade(spark, sf):
+    """M7: dropping proxy keys drops their mappings."""
+    from tokenledger.operators import maintenance as M
+    kept_keys, kept_maps = M.drop_proxy_keys_cascade(
+        FX.proxy_keys(spark, sf), FX.mappings(spark, sf), FX.dropped_proxy_keys(spark, sf))
+    return kept_keys.select(F.lit("proxy_key").alias("kind"), "id", F.lit(None).cast("string").alias("provider")) \
+        .unionByName(kept_maps.select(F.lit("mapping").alias("kind"), F.col("proxy_key_id").alias("id"), "provider"))
+
+
+# --- key usage counters ----------------------------------------------------
+
+@register("api_key_usage", with_base(
+    "SELECT " + uuid_sql("'ak-' || u.key") + " AS api_key_id, CAST(COUNT(*) AS BIGINT) AS requests, "
+    "MAX(u.t) AS last_used_at, CAST(MAX(c.touches) AS BIGINT) AS touches FROM used u "
+    "JOIN (SELECT key, COUNT(*) AS touches FROM chain GROUP BY key) c USING (key) GROUP BY u.key",
+    """used AS (SELECT user_id AS key, requested_at AS t FROM res WHERE api_key_status = 'ok'),
+chain(key, bump) AS (
+  SELECT key, MIN(t) FROM used GROUP BY key
+  UNION ALL
+  SELECT c.key, MIN(u.t) FROM chain c JOIN used u ON u.key = c.key AND u.t > c.bump + INTERVAL 300 SECOND
+  GROUP BY c.key)""", recursive=True))
+def q_api_key_usage(spark, sf):
+    """Exact request counts plus the gateway's cache-miss bump count."""
+    from tokenledger.operators import touches
+    return touches.api_key_usage(_resolved(spark, sf)).select("api_key_id", "requests", "last_used_at", "touches")
+
+
+@register("proxy_key_usage")
+def q_proxy_key_usage(spark, sf):
+    """As U1 for proxy keys, hits need the (key, provider) pair cached."""
+    from tokenledger.operators import touches
+    return touches.proxy_key_usage(_resolved(spark, sf)).select("proxy_key_id", "requests", "last_used_at", "touches")
+
+
+# --- listings --------------------------------------------------------------
+
+@register("list_api_keys", f"""
+SELECT {uuid_sql("'ak-' || c_custkey")} AS id, c_name AS name,
+  CASE WHEN c_custkey % 10 NOT IN (7, 8) THEN 'active' ELSE 'revoked' END AS status,
+  {AK_CREATED} AS created_at, CAST(0 AS BIGINT) AS request_count
+FROM customer ORDER BY created_at DESC""")
+def q_list_api_keys(spark, sf):
+    """L1."""
+    from tokenledger.operators import listings as L
+    return L.list_api_keys(FX.api_keys(spark, sf))
+
+
+@register("list_api_keys_by_user", f"""
+SELECT {uuid_sql("'ak-' || c_custkey")} AS id, c_name AS name, c_mktsegment AS description,
+  'u' || (c_custkey // 3) AS user_id, c_custkey % 10 NOT IN (7, 8) AS is_active, {AK_CREATED} AS created_at,
+  CASE WHEN c_custkey % 10 = 7 THEN {AK_CREATED} + INTERVAL 30 DAY END AS revoked_at, CAST(0 AS BIGINT) AS request_count
+FROM customer WHERE c_custkey // 3 = {int(USER_FOR_L2[1:])} AND c_custkey % 10 <> 6""")
+def q_list_api_keys_by_user(spark, sf):
+    """L2."""
+    from tokenledger.operators import listings as L
+    return L.list_api_keys_by_user(FX.api_keys(spark, sf), USER_FOR_L2)
+
+
+PK_CREATED = "(TIMESTAMP '1970-01-01 00:00:00' + to_seconds(CAST(1685577600 + c_custkey AS BIGINT)))"
+
+
+@register("list_proxy_keys", f"""
+SELECT {uuid_sql("'pk-' || c_custkey")} AS id, 'proxy-' || c_custkey AS name, CAST(NULL AS VARCHAR) AS description,
+  {uuid_sql("'ak-' || c_custkey")} AS api_key_id, c_custkey % 8 NOT IN (4, 5) AS is_active, {PK_CREATED} AS created_at,
+  CASE WHEN c_custkey % 8 = 4 THEN {PK_CREATED} + INTERVAL 10 DAY END AS revoked_at
+FROM customer WHERE c_custkey = {KEY_FOR_L3}""")
+def q_list_proxy_keys(spark, sf):
+    """L3."""
+    from tokenledger.operators import listings as L
+    return L.list_proxy_keys(FX.proxy_keys(spark, sf), _ak(KEY_FOR_L3))
+
+
+@register("list_mappings", f"""
+SELECT {uuid_sql("'map-' || c_custkey || '-' || provider")} AS id, {uuid_sql("'pk-' || c_custkey")} AS proxy_key_id,
+  provider, {MAP_TS.replace('c AS', 'c_custkey AS')} AS created_at, {MAP_TS.replace('c AS', 'c_custkey AS')} AS updated_at
+FROM customer, (SELECT unnest(['openai', 'anthropic', 'anthropic-openai']) AS provider)
+WHERE c_custkey = {PK_FOR_A8} AND c_custkey % 8 < 4 ORDER BY provider""")
+def q_list_mappings(spark, sf):
+    """L4: no encrypted key in the output."""
+    from tokenledger.operators import listings as L
+    return L.list_mappings(FX.mappings(spark, sf), _pk(PK_FOR_A8))
+
+
+@register("list_users", """
+SELECT 'u' || c_custkey AS id, lower(replace(c_name, '#', '-')) AS username,
+  CASE WHEN c_custkey % 7 <> 6 THEN 'active' ELSE 'inactive' END AS status,
+  (TIMESTAMP '1970-01-01 00:00:00' + to_seconds(CAST(1669852800 + c_custkey AS BIGINT))) AS created_at
+FROM customer ORDER BY created_at DESC""")
+def q_list_users(spark, sf):
+    """No password hash."""
+    from tokenledger.operators import listings as L
+    return L.list_users(FX.users(spark, sf))

@@ -264,3 +264,75 @@ def load_dims(spark: SparkSession, sf_dir: str, cfg: LedgerConfig = DEFAULT) ->
         prices=price_src.load_prices(spark),
         aliases=price_src.load_aliases(spark),
     )
+
+
+# --- change batches for the maintenance operators (all derived from customer)
+
+CHANGE_TS = "2024-02-01 00:00:00"
+UNKNOWN_OFFSET = 1_000_000_000
+
+
+def mapping_changes(spark: SparkSession, sf_dir: str, secret: str = FIXTURE_SECRET) -> DataFrame:
+    """M1 batch: every fifth customer's proxy key sets 'openai' (twice for
+    every tenth, the later one wins) and adds 'gemini'."""
+    c = table(spark, sf_dir, "customer")
+    ch = c.selectExpr("c_custkey", """explode(case when c_custkey % 5 = 0 then array(
+        named_struct('provider', 'openai', 'seq', 1),
+        named_struct('provider', 'openai', 'seq', case when c_custkey % 10 = 0 then 2 else 0 end),
+        named_struct('provider', 'gemini', 'seq', 1)) else array() end) as ch""") \
+        .where("ch.seq > 0").select("c_custkey", "ch.provider", "ch.seq")
+    plain = F.concat(F.lit("sk-new"), F.col("seq").cast("string"), F.lit("-"), F.col("c_custkey").cast("string"))
+    return ch.select(
+        F.expr(PK_ID).alias("proxy_key_id"), "provider", encrypt_secret(plain, secret).alias("encrypted_key"),
+        F.col("seq").cast("int").alias("seq"),
+        F.expr(uuid_of("concat('map-new-', c_custkey, '-', provider)")).alias("new_id"),
+    )
+
+
+def revoke_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3 batch: API keys of every fourth customer, plus unknown ids."""
+    c = table(spark, sf_dir, "customer")
+    known = c.where("c_custkey % 4 = 0").selectExpr(AK_ID + " as id")
+    unknown = c.where("c_custkey % 20 = 0").selectExpr(
+        uuid_of(f"concat('ak-', c_custkey + {UNKNOWN_OFFSET})") + " as id")
+    return known.unionByName(unknown)
+
+
+def api_key_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4 batch: every third customer's key: new name on even ids, new
+    description on multiples of 5 (neither -> nothing to set); plus unknown ids."""
+    c = table(spark, sf_dir, "customer")
+    known = c.where("c_custkey % 3 = 0").selectExpr(
+        AK_ID + " as id", "case when c_custkey % 2 = 0 then upper(c_name) end as name",
+        "case when c_custkey % 5 = 0 then concat('patched-', c_custkey) end as description", "1 as seq")
+    unknown = c.where("c_custkey % 21 = 0").selectExpr(
+        uuid_of(f"concat('ak-', c_custkey + {UNKNOWN_OFFSET})") + " as id", "'x' as name",
+        "cast(null as string) as description", "1 as seq")
+    return known.unionByName(unknown)
+
+
+def mapping_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5 batch: (proxy key, anthropic) and (proxy key, gemini) of every sixth customer."""
+    c = table(spark, sf_dir, "customer")
+    return c.where("c_custkey % 6 = 0").selectExpr(
+        PK_ID + " as proxy_key_id", "explode(array('anthropic', 'gemini')) as provider")
+
+
+def new_api_keys(spark: SparkSession, sf_dir: str, cfg: LedgerConfig = DEFAULT) -> DataFrame:
+    """M6 batch: one new key per customer; neighbours share a secret (in-batch
+    duplicates) and every 50th reuses an existing key's secret."""
+    c = table(spark, sf_dir, "customer")
+    return c.selectExpr(
+        uuid_of("concat('new-ak-', c_custkey)") + " as id",
+        f"""sha2(case when c_custkey % 50 = 0 then concat('{cfg.api_key_prefix}', c_custkey)
+                 else concat('{cfg.api_key_prefix}new_', c_custkey div 2) end, 256) as key_hash""",
+        "concat('new-', c_name) as name", "cast(null as string) as description",
+        "timestamp '2024-02-01 00:00:00' as created_at", "cast(null as string) as user_id",
+        "c_custkey as seq",
+    )
+
+
+def dropped_proxy_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7 batch: proxy keys of every tenth customer."""
+    c = table(spark, sf_dir, "customer")
+    return c.where("c_custkey % 10 = 0").selectExpr(PK_ID + " as id")

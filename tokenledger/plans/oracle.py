@@ -192,8 +192,10 @@ req AS (SELECT * FROM req_all WHERE reject_reason IS NULL)
 """
 
 
-def with_base(select: str) -> str:
-    return "WITH " + BASE.strip() + "\n" + select
+def with_base(select: str, extra: str = "", recursive: bool = False) -> str:
+    """``WITH <base CTEs>[, extra] select``; ``extra`` may add CTEs."""
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return head + BASE.strip() + (",\n" + extra.strip() if extra else "") + "\n" + select
 
 
 LOG_SELECT = """id, user_id, api_key_id, proxy_key_id, provider_api_key_hash, provider_api_key_alias, provider, model,
