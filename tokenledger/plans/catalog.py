@@ -788,3 +788,84 @@ def q_list_users(spark, sf):
     """No password hash."""
     from tokenledger.operators import listings as L
     return L.list_users(FX.users(spark, sf))
+
+
+# --- sources, sinks and streams --------------------------------------------
+
+HEADER_COUNT_SQL = ("3 + CASE WHEN event_id % 10 <> 9 THEN 1 ELSE 0 END + CASE WHEN r = 1 THEN 1 ELSE 0 END "
+                    "+ CASE WHEN r = 4 OR (r = 5 AND event_id % 12 = 11) THEN 1 ELSE 0 END")
+
+
+@register("bodies_roundtrip", with_base(
+    f"SELECT id AS request_id, body_s3_key AS object_key, 'POST' AS method, request_path AS path, status_code, "
+    f"CAST({HEADER_COUNT_SQL} AS INTEGER) AS header_count, "
+    f"CASE WHEN event_id % 89 = 0 THEN 'unknown' ELSE model_src END AS request_model "
+    f"FROM req_all JOIN (SELECT request_id AS rid, model AS model_src FROM ev2) m ON m.rid = req_all.id"))
+def q_bodies_roundtrip(spark, sf):
+    """S6 then S1: envelopes written (gzip JSON Lines, prefix/date
+    partitions) and read back; bodies survive as raw JSON or strings."""
+    from tokenledger.sources import bodies
+    ex, dims, cfg = _inputs(spark, sf)
+    path = scratch_path(spark, "bodies")
+    bodies.write_bodies(enrich.body_envelopes(ex, dims, cfg), path)
+    back = bodies.read_exchanges(spark, path)
+    return back.select("request_id", "object_key", F.col("request.method").alias("method"),
+                       F.col("request.path").alias("path"), F.col("response.status_code").alias("status_code"),
+                       F.size("request.headers").alias("header_count"),
+                       P.extract_model(F.col("request.body")).alias("request_model"))
+
+
+@register("write_request_log", with_base(f"SELECT {LOG_SELECT} FROM req"))
+def q_write_request_log(spark, sf):
+    """The accepted rows as read back from the date-partitioned table."""
+    return A.comparable_log(log_table(spark, sf))
+
+
+def _stream_source(spark, sf) -> str:
+    """Exchanges recorded as JSON Lines files (input of S2/T1/T3)."""
+    from tokenledger.sources import bodies
+    ex, _, _ = _inputs(spark, sf)
+    src = scratch_path(spark, "exchanges")
+    bodies.write_exchanges(ex, src, files=8)
+    return src
+
+
+@register("stream_enrich", with_base(f"SELECT {WIDE_LOG}, reject_reason FROM req_all"))
+def q_stream_enrich(spark, sf):
+    """T1 (and S2): the stream, run to completion with availableNow over
+    several micro-batches, equals the batch J8 result."""
+    from tokenledger.streaming import jobs
+    dims = FX.load_dims(spark, sf)
+    src = _stream_source(spark, sf)
+    out, ckpt = scratch_path(spark, "stream-log"), scratch_path(spark, "stream-ckpt")
+    q = jobs.stream_enrich(spark, src, dims, out, ckpt, trigger="availableNow", max_files=2)
+    q.awaitTermination()
+    return A.comparable_log(spark.read.parquet(out))
+
+
+@register("stream_key_stats", KEY_STATS_SQL)
+def q_stream_key_stats(spark, sf):
+    """Sketches kept current per micro-batch equal the batch H1."""
+    from tokenledger.streaming import jobs
+    log = materialized_log(spark, sf)
+    path = _LOGS[(spark.sparkContext.applicationId, sf)]
+    root, ckpt = scratch_path(spark, "key-stats"), scratch_path(spark, "key-stats-ckpt")
+    q = jobs.stream_key_stats(spark, path, log.schema, root, ckpt, trigger="availableNow", max_files=4)
+    q.awaitTermination()
+    return jobs.latest_snapshot(spark, root).select(*STAT_COLS)
+
+
+@register("stream_price_refresh", with_base(f"SELECT {WIDE_LOG}, reject_reason FROM req_all"))
+def q_stream_price_refresh(spark, sf):
+    """Per-batch enrichment with a refreshing price snapshot (unchanged
+    prices here, so it equals J8; the refresh itself is unit-tested)."""
+    from tokenledger.sources import prices as price_src
+    from tokenledger.streaming import jobs
+    dims = FX.load_dims(spark, sf)
+    src = _stream_source(spark, sf)
+    out, ckpt = scratch_path(spark, "price-stream"), scratch_path(spark, "price-stream-ckpt")
+    snap = jobs.PriceSnapshot(spark, price_src.DEFAULT_PRICES, price_src.DEFAULT_FALLBACK, price_src.DEFAULT_ALIASES,
+                              refresh_seconds=0.0)
+    q = jobs.stream_price_refresh(spark, src, dims, out, ckpt, snap, trigger="availableNow", max_files=2)
+    q.awaitTermination()
+    return A.comparable_log(spark.read.parquet(out).drop("batch_id"))

@@ -38,7 +38,7 @@ def prepare(exchanges: DataFrame, cfg: LedgerConfig = DEFAULT) -> DataFrame:
     gw = H.extract_headers(F.col("headers"), cfg)
     return exchanges.select(
         "request_id", "requested_at", "responded_at", "upstream_us", "method", "path",
-        "authorization", "request_body", "status_code", "response_body",
+        "authorization", "request_body", "status_code", "response_headers", "response_body",
         gw.alias("gw_headers"),
         F.element_at(gw, F.lit(cfg.key_header)).alias("api_key"),
     ).withColumn("prov", detect_provider(F.col("path"), F.col("gw_headers"), cfg))
@@ -54,17 +54,34 @@ def resolve(exchanges: DataFrame, dims: Dims, cfg: LedgerConfig = DEFAULT) -> Da
     return df
 
 
-def enrich_requests(exchanges: DataFrame, dims: Dims, cfg: LedgerConfig = DEFAULT,
-                    with_reason: bool = True) -> DataFrame:
-    """The request log, one row per loggable exchange, ``LOG_COLUMNS``
-    (+ ``reject_reason`` for Q1). Counts are bigint until Q1 narrows them."""
+def logged_exchanges(exchanges: DataFrame, dims: Dims, cfg: LedgerConfig = DEFAULT) -> DataFrame:
+    """F1-gated exchanges with the path the gateway logs: a request of the
+    translating provider that translates is logged under the new path."""
     df = quality.loggable(resolve(exchanges, dims, cfg))
-    df = usage.usage_metrics(df, provider="provider_detected")
     translate = F.col("provider_detected") == usage.TRANSLATING_PROVIDER
     df = usage._strict(df, "request_body", usage.OPENAI_REQUEST, "_treq", guard=translate)
     path = F.when(translate & F.coalesce(F.col("_treq.ok"), F.lit(False)), F.lit(usage.TRANSLATED_PATH)) \
         .otherwise(F.col("path"))
-    df = df.withColumn("request_path", path).drop("_treq")
+    return df.withColumn("request_path", path).drop("_treq")
+
+
+def body_envelopes(exchanges: DataFrame, dims: Dims, cfg: LedgerConfig = DEFAULT) -> DataFrame:
+    """Input of S6 for every logged exchange. The gateway-key header is
+    dropped from the stored headers (it would store the secret in clear)."""
+    df = logged_exchanges(exchanges, dims, cfg)
+    return df.select(
+        "request_id", "api_key_id", "requested_at", "method", F.col("request_path").alias("path"),
+        F.map_filter("gw_headers", lambda k, v: k != cfg.key_header).alias("headers"),
+        "request_body", "status_code", "response_headers", "response_body",
+    )
+
+
+def enrich_requests(exchanges: DataFrame, dims: Dims, cfg: LedgerConfig = DEFAULT,
+                    with_reason: bool = True) -> DataFrame:
+    """The request log, one row per loggable exchange, ``LOG_COLUMNS``
+    (+ ``reject_reason`` for Q1). Counts are bigint until Q1 narrows them."""
+    df = logged_exchanges(exchanges, dims, cfg)
+    df = usage.usage_metrics(df, provider="provider_detected")
     df = pricing.lookup_prices(df.withColumn("model", F.col("usage.model")), dims.prices, dims.aliases, "model", cfg)
     raw_meta = H.custom_metadata(F.col("gw_headers"), cfg)
     store = cfg.body_mode == "table"
