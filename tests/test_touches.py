@@ -1,0 +1,63 @@
+import random
+
+from pyspark.sql import functions as F
+
+from tokenledger.operators import touches
+
+TTL = 300
+
+
+def brute_api(times):
+    last, n = None, 0
+    for t in sorted(times):
+        if last is None or t > last + TTL:
+            last, n = t, n + 1
+    return n
+
+
+def brute_proxy(events):
+    last, seen, n = None, set(), 0
+    for t, p in sorted(events):
+        if last is not None and p in seen and t < last + TTL:
+            continue
+        last, n = t, n + 1
+        seen.add(p)
+    return n
+
+
+def test_api_key_touches_match_brute_force(spark):
+    random.seed(3)
+    rows = []
+    for k in range(12):
+        t = 0
+        for _ in range(random.randint(1, 400)):
+            t += random.choice([1, 30, 120, 299, 300, 301, 900])
+            rows.append((f"k{k}", t))
+    rows.append(("hot", 0))
+    rows += [("hot", i * 7) for i in range(1, 20000)]      # one key much larger than the batch size
+    df = spark.createDataFrame(rows, "api_key_id string, s long") \
+        .withColumn("requested_at", F.timestamp_seconds("s")).withColumn("api_key_status", F.lit("ok"))
+    got = {r["api_key_id"]: (r["requests"], r["touches"]) for r in touches.api_key_usage(df, TTL).collect()}
+    by = {}
+    for k, s in rows:
+        by.setdefault(k, []).append(s)
+    for k, ts in by.items():
+        assert got[k] == (len(ts), brute_api(ts)), k
+
+
+def test_proxy_key_touches_match_brute_force(spark):
+    random.seed(5)
+    rows = []
+    for k in range(6):
+        t = 0
+        for _ in range(random.randint(1, 300)):
+            t += random.choice([1, 60, 200, 299, 300, 301])
+            rows.append((f"p{k}", t, random.choice(["openai", "anthropic"])))
+    df = spark.createDataFrame(rows, "proxy_key_id string, s long, provider_detected string") \
+        .withColumn("requested_at", F.timestamp_seconds("s")).withColumn("proxy_status", F.lit("ok"))
+    got = {r["proxy_key_id"]: r["touches"] for r in touches.proxy_key_usage(df, TTL).collect()}
+    by = {}
+    for k, s, p in rows:
+        by.setdefault(k, []).append((s, p))
+    for k, ev in by.items():
+        assert got[k] == brute_proxy(ev), k

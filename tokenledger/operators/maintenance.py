@@ -59,14 +59,12 @@ def register_metadata_keys(metadata_keys: DataFrame, observed: DataFrame) -> Dat
     not yet registered are added, inactive. Adds ``is_new``."""
     seen = observed.select("api_key_id", "key_name").distinct()
     new = seen.join(metadata_keys.select("api_key_id", "key_name"), ["api_key_id", "key_name"], "left_anti")
-    template = metadata_keys.limit(0)
-    added = new.select(
-        "api_key_id", "key_name",
-        *[F.lit(None).cast(f.dataType).alias(f.name) for f in template.schema.fields
-          if f.name not in ("api_key_id", "key_name")],
-    ).withColumn("is_active", F.lit(False)).withColumn("key_type", F.lit("string")) \
-        .withColumn("is_required", F.lit(False)).withColumn("request_count", F.lit(0).cast("bigint")) \
-        .withColumn("approx_cardinality", F.lit(0))
+    defaults = {"is_active": F.lit(False), "key_type": F.lit("string"), "is_required": F.lit(False),
+                "request_count": F.lit(0), "approx_cardinality": F.lit(0)}
+    added = new.select(*[
+        F.col(f.name) if f.name in ("api_key_id", "key_name")
+        else defaults.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in metadata_keys.schema.fields])
     return metadata_keys.withColumn("is_new", F.lit(False)).unionByName(added.withColumn("is_new", F.lit(True)))
 
 
