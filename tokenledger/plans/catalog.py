@@ -366,10 +366,10 @@ def _parser_sql(rs: str, inp: str, cached: str, creation: str) -> str:
     return with_base(
         "SELECT request_id, kind <> 'malformed' AS ok, "
         "CASE WHEN kind = 'normal' AND k % 5 <> 0 THEN model ELSE '' END AS model, "
-        f"CASE WHEN kind = 'normal' THEN {inp} ELSE 0 END AS input, "
-        "CASE WHEN kind = 'normal' THEN tout ELSE 0 END AS output, "
-        f"CASE WHEN kind = 'normal' THEN {cached} ELSE 0 END AS cached, "
-        f"CASE WHEN kind = 'normal' THEN {creation} ELSE 0 END AS creation "
+        f"CASE WHEN kind = 'normal' THEN {inp} ELSE CAST(0 AS BIGINT) END AS input, "
+        "CASE WHEN kind = 'normal' THEN tout ELSE CAST(0 AS BIGINT) END AS output, "
+        f"CASE WHEN kind = 'normal' THEN {cached} ELSE CAST(0 AS BIGINT) END AS cached, "
+        f"CASE WHEN kind = 'normal' THEN {creation} ELSE CAST(0 AS BIGINT) END AS creation "
         f"FROM lg0 WHERE r IN ({rs})")
 
 
@@ -382,7 +382,7 @@ def _parse_query(spark, sf, rs: list[int], fn):
                     u["output"].alias("output"), u["cached"].alias("cached"), u["creation"].alias("creation"))
 
 
-@register("parse_usage_openai", _parser_sql("0, 1, 5", "tin", "cached", "0"))
+@register("parse_usage_openai", _parser_sql("0, 1, 5", "tin", "cached", "CAST(0 AS BIGINT)"))
 def q_parse_usage_openai(spark, sf):
     """P5: Chat and Responses usage; Responses fields win when they report tokens."""
     return _parse_query(spark, sf, [0, 1, 5], P.parse_usage_openai)
@@ -394,7 +394,7 @@ def q_parse_usage_anthropic(spark, sf):
     return _parse_query(spark, sf, [2, 4], P.parse_usage_anthropic)
 
 
-@register("parse_usage_gemini", _parser_sql("3", "tin", "cached", "0"))
+@register("parse_usage_gemini", _parser_sql("3", "tin", "cached", "CAST(0 AS BIGINT)"))
 def q_parse_usage_gemini(spark, sf):
     """usageMetadata counts, model from modelVersion."""
     return _parse_query(spark, sf, [3], P.parse_usage_gemini)
@@ -460,7 +460,7 @@ def q_error_messages(spark, sf):
 
 
 @register("truncate_bodies", with_base(
-    "SELECT request_id, strlen(t) AS body_bytes, md5(t) AS body_md5 FROM (SELECT request_id, "
+    "SELECT request_id, CAST(strlen(t) AS INTEGER) AS body_bytes, md5(t) AS body_md5 FROM (SELECT request_id, "
     "CASE WHEN strlen(b) <= 300 THEN b ELSE left(b, len(list_filter(range(1, length(b) + 1), "
     "lambda i: strlen(left(b, CAST(i AS BIGINT))) <= 300))) END AS t "
     "FROM (SELECT request_id, err_body AS b FROM us_all WHERE status_code >= 400))"))
