@@ -16,16 +16,20 @@ def extract_headers(headers: Column, cfg: LedgerConfig = DEFAULT) -> Column:
     Recorded maps may hold the same name in two letter cases; entries are
     folded in order so the first one wins instead of a duplicate-key error.
     """
-    entries = F.filter(
-        F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))),
-        lambda e: e["key"].startswith(cfg.header_prefix),
-    )
+    kept = F.map_filter(headers, lambda k, v: F.lower(k).startswith(cfg.header_prefix))
+    lowered = F.transform(F.map_keys(kept), lambda k: F.lower(k))
+    clash = F.size(F.array_distinct(lowered)) < F.size(lowered)
+    fast = F.map_from_arrays(lowered, F.map_values(kept))
+    entries = F.transform(F.map_entries(kept),
+                          lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
     empty = F.create_map().cast("map<string,string>")
-    return F.aggregate(
+    slow = F.aggregate(
         entries, empty,
         lambda acc, e: F.when(F.map_contains_key(acc, e["key"]), acc)
         .otherwise(F.map_concat(acc, F.create_map(e["key"], e["value"]))),
     )
+    # the fold only runs for the rare map holding one name in two letter cases
+    return F.when(F.coalesce(clash, F.lit(False)), slow).otherwise(fast)
 
 
 def custom_metadata(gw_headers: Column, cfg: LedgerConfig = DEFAULT) -> Column:

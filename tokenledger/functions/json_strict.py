@@ -6,10 +6,11 @@ that with built-in expressions only:
 
 * ``from_json`` with a corrupt-record column catches numeric/struct/array
   type errors (``1.5`` or ``"7"`` for an integer, ``[]`` for an object);
-* string fields are parsed as ``variant`` and accepted only when the JSON
-  value is a string or null (``from_json`` would turn ``123`` into ``'123'``);
-* a second parse of ``[`` body ``]`` as ``array<string>`` rejects trailing
-  text and anything that is not exactly one JSON value;
+* string fields are parsed as strings; where the text could come from a
+  number, boolean, object or array (``from_json`` turns ``123`` into
+  ``'123'``), a variant parse checks that the JSON value was a string;
+* a second, content-skipping parse of ``[`` body ``]`` rejects trailing
+  text and anything that is not exactly one JSON object;
 * a bare ``null`` document decodes to all-zero values, as a typed decoder does.
 """
 
@@ -44,28 +45,37 @@ def _has_str(dt: T.DataType) -> bool:
     return False
 
 
-def _parse_type(dt: T.DataType) -> T.DataType:
+def _parse_type(dt: T.DataType, variant: bool = False) -> T.DataType:
     if isinstance(dt, Str):
-        return T.VariantType()
+        return T.VariantType() if variant else T.StringType()
     if isinstance(dt, T.StructType):
-        return T.StructType([T.StructField(f.name, _parse_type(f.dataType)) for f in dt.fields])
+        return T.StructType([T.StructField(f.name, _parse_type(f.dataType, variant)) for f in dt.fields])
     if isinstance(dt, T.ArrayType):
-        return T.ArrayType(_parse_type(dt.elementType))
+        return T.ArrayType(_parse_type(dt.elementType, variant))
     return dt
 
 
-def _value(c: Column, dt: T.DataType) -> Column:
-    if not _has_str(dt):
-        return c
+# A string field parsed as ``string`` holds the JSON string, or the text of a
+# number, true/false, object or array. Only text of those shapes needs the
+# (slower) variant parse to tell which it was.
+_FIRST_CHARS = list("-0123456789{[")
+
+
+def _suspicious(c: Column, dt: T.DataType) -> Column:
     if isinstance(dt, Str):
-        return F.variant_get(c, "$", "string")
+        first = F.substring(c, 1, 1)
+        return F.coalesce(first.isin(*_FIRST_CHARS) | c.isin("true", "false"), F.lit(False))
     if isinstance(dt, T.StructType):
-        return F.when(c.isNull(), F.lit(None)).otherwise(
-            F.struct(*[_value(c[f.name], f.dataType).alias(f.name) for f in dt.fields]))
-    return F.transform(c, lambda x: _value(x, dt.elementType))
+        parts = [_suspicious(c[f.name], f.dataType) for f in dt.fields if _has_str(f.dataType)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out | p
+        return F.coalesce(c.isNotNull() & out, F.lit(False))
+    return F.coalesce(F.exists(c, lambda x: _suspicious(x, dt.elementType)), F.lit(False))
 
 
 def _types_ok(c: Column, dt: T.DataType) -> Column:
+    """Over a variant parse: every string field holds a JSON string or null."""
     if not _has_str(dt):
         return F.lit(True)
     if isinstance(dt, Str):
@@ -79,18 +89,8 @@ def _types_ok(c: Column, dt: T.DataType) -> Column:
     return c.isNull() | F.forall(c, lambda x: _types_ok(x, dt.elementType))
 
 
-def _null_value(dt: T.StructType) -> Column:
-    return F.lit(None).cast(_out_type(dt))
-
-
 def _out_type(dt: T.DataType) -> T.DataType:
-    if isinstance(dt, Str):
-        return T.StringType()
-    if isinstance(dt, T.StructType):
-        return T.StructType([T.StructField(f.name, _out_type(f.dataType)) for f in dt.fields])
-    if isinstance(dt, T.ArrayType):
-        return T.ArrayType(_out_type(dt.elementType))
-    return dt
+    return _parse_type(dt, variant=False)
 
 
 def single_value(body: Column) -> Column:
@@ -99,36 +99,82 @@ def single_value(body: Column) -> Column:
     return F.coalesce(F.size(wrapped) == 1, F.lit(False))
 
 
+def single_object(body: Column) -> Column:
+    """True when ``body`` is exactly one JSON object (or ``null``) and nothing
+    after it. Cheaper than ``single_value``: the element schema has no field
+    the document carries, so the parser skips its content instead of copying
+    it into a string."""
+    wrapped = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<struct<__none:boolean>>", OPTIONS)
+    return F.coalesce(F.size(wrapped) == 1, F.lit(False))
+
+
 def null_document(body: Column) -> Column:
     """A bare ``null`` document: decodes without error to zero values."""
     return F.coalesce(F.trim(body) == F.lit("null"), F.lit(False))
 
 
 def parse_raw(body: Column, schema: T.StructType) -> Column:
-    """The single ``from_json`` of a strict decode (string fields as variant)."""
+    """The ``from_json`` of a strict decode (string fields as strings)."""
     return F.from_json(body, _parse_type(schema).add(BAD, T.StringType()), OPTIONS)
 
 
-def finish(raw: Column, schema: T.StructType, single: Column, null_doc: Column) -> Column:
-    """Turn a ``parse_raw`` result into ``struct<ok boolean, v struct>``.
+def variant_check_input(raw: Column, schema: T.StructType, body: Column) -> Column | None:
+    """The variant parse a strict decode needs, only for rows whose string
+    fields hold text of a non-string shape (else null); None when the schema
+    has no string fields. Materialise it as a column: it then appears once
+    in the plan and subexpression elimination cannot hoist it to every row."""
+    if not _has_str(schema):
+        return None
+    return F.when(_suspicious(raw, schema), F.from_json(body, _parse_type(schema, variant=True), OPTIONS))
+
+
+def decode_ok_from(raw: Column, schema: T.StructType, single: Column, null_doc: Column,
+                   checked: Column | None) -> Column:
+    """``decode_ok`` given the materialised ``variant_check_input`` column."""
+    ok = raw.isNotNull() & raw[BAD].isNull() & single
+    if checked is not None:
+        ok = ok & (~_suspicious(raw, schema) | _types_ok(checked, schema))
+    return F.coalesce(null_doc | ok, F.lit(False))
 
-    ``single`` is ``single_value(body)`` and ``null_doc`` ``null_document(body)``;
-    they are inputs so that one body parsed against several schemas, or one
-    parse read several times, is only tokenised once per purpose. ``v`` is null
-    when ``ok`` is false and for a bare ``null`` document.
+
+def decode_ok(raw: Column, schema: T.StructType, single: Column, null_doc: Column, body: Column) -> Column:
+    """Whether the strict decode of ``body`` succeeds, given its ``parse_raw``.
+
+    ``single`` is ``single_object(body)``, ``null_doc`` ``null_document(body)``.
+    A second, variant-typed parse of ``body`` runs only for rows where a
+    string field holds text that could stem from a non-string value.
+    Hot paths materialise this boolean as its own column so that it is
+    evaluated once per row, not once per field read from the decode.
     """
-    ok = raw.isNotNull() & raw[BAD].isNull() & _types_ok(raw, schema) & single
-    ok = F.coalesce(null_doc | ok, F.lit(False))
-    decoded = F.struct(*[_value(raw[f.name], f.dataType).alias(f.name) for f in schema.fields])
-    value = F.when(ok & ~null_doc, decoded).otherwise(_null_value(schema))
-    return F.struct(ok.alias("ok"), value.alias("v"))
+    ok = raw.isNotNull() & raw[BAD].isNull() & single
+    if _has_str(schema):
+        strict = F.from_json(body, _parse_type(schema, variant=True), OPTIONS)
+        ok = ok & (~_suspicious(raw, schema) | _types_ok(strict, schema))
+    return F.coalesce(null_doc | ok, F.lit(False))
+
+
+def lit_true() -> Column:
+    """``ok`` of a decode whose validity is tracked in a separate column."""
+    return F.lit(True).alias("ok")
+
+
+def decoded_value(raw: Column, schema: T.StructType, ok: Column, null_doc: Column) -> Column:
+    """The decoded struct (``v``): null unless ``ok``, and for a ``null`` document."""
+    decoded = F.struct(*[raw[f.name].alias(f.name) for f in schema.fields])
+    return F.when(ok & ~null_doc, decoded).otherwise(F.lit(None).cast(_out_type(schema)))
+
+
+def finish(raw: Column, schema: T.StructType, single: Column, null_doc: Column, body: Column) -> Column:
+    """``struct<ok boolean, v struct>`` from a ``parse_raw`` result."""
+    ok = decode_ok(raw, schema, single, null_doc, body)
+    return F.struct(ok.alias("ok"), decoded_value(raw, schema, ok, null_doc).alias("v"))
 
 
 def strict_json(body: Column, schema: T.StructType) -> Column:
     """One-expression strict decode; returns ``struct<ok boolean, v struct>``.
 
     Convenient for small inputs; hot paths materialise ``parse_raw`` and
-    ``single_value`` as columns first (see ``operators.usage``) so that the
+    ``single_object`` as columns first (see ``operators.usage``) so that the
     parse is not repeated inside conditional branches.
     """
-    return finish(parse_raw(body, schema), schema, single_value(body), null_document(body))
+    return finish(parse_raw(body, schema), schema, single_object(body), null_document(body), body)

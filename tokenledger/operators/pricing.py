@@ -33,34 +33,50 @@ def price_lookup(prices: DataFrame, aliases: DataFrame) -> DataFrame:
 MAX_LITERAL_PRICES = 50_000
 
 
-def _literal_map(rows, key: str, value) -> Column:
-    pairs = []
-    for r in rows:
-        pairs += [F.lit(r[key]), value(r)]
-    if not pairs:
-        return F.create_map().cast("map<string,struct<input_price:double,output_price:double,cached_price:double>>")
-    return F.create_map(*pairs)
-
-
 def _price_lit(p) -> Column:
     return F.struct(*[F.lit(float(p[c])).cast("double").alias(c) for c in PRICE_STRUCT])
 
 
+def _bounded_rows(df: DataFrame, limit: int):
+    rows = df.limit(limit + 1).collect()
+    return rows if len(rows) <= limit else None
+
+
+def resolved_prices(prices: DataFrame, aliases: DataFrame, limit: int = MAX_LITERAL_PRICES):
+    """``{name: (input, output, cached)}`` for every priceable name, computed
+    on the driver from the two small configuration tables (None when either
+    is beyond ``limit`` rows). Same rule as ``price_lookup``."""
+    p_rows = _bounded_rows(prices.select("model", *PRICE_STRUCT), limit)
+    a_rows = _bounded_rows(aliases.select("alias", "target"), limit)
+    if p_rows is None or a_rows is None:
+        return None
+    exact = {r["model"]: tuple(float(r[c]) for c in PRICE_STRUCT) for r in p_rows}
+    out = dict(exact)
+    for r in a_rows:
+        if r["alias"] not in exact and r["target"] in exact:
+            out[r["alias"]] = exact[r["target"]]
+    return out
+
+
 def lookup_prices(df: DataFrame, prices: DataFrame, aliases: DataFrame, model_col: str = "model",
                   cfg: LedgerConfig = DEFAULT) -> DataFrame:
     """Adds ``price`` (struct or null) and ``model_alias_found``.
 
-    The resolved price list is read once (bounded: checked against
-    ``MAX_LITERAL_PRICES``) and applied as a map lookup inside the fact
-    projection; a larger list is joined instead.
+    The price list is configuration: when it is within ``MAX_LITERAL_PRICES``
+    names it is resolved once and applied as a literal map lookup inside the
+    fact projection (no join, no shuffle); a larger list is joined instead
+    (size-checked broadcast, else a shuffle join).
     """
-    lk = price_lookup(prices, aliases)
-    rows = lk.limit(MAX_LITERAL_PRICES + 1).collect()
-    if len(rows) <= MAX_LITERAL_PRICES:
-        m = _literal_map(rows, "name", lambda r: _price_lit(r["price"]))
+    resolved = resolved_prices(prices, aliases)
+    if resolved is not None:
+        pairs = []
+        for name, vals in resolved.items():
+            pairs += [F.lit(name), F.struct(*[F.lit(v).alias(c) for v, c in zip(vals, PRICE_STRUCT)])]
+        m = F.create_map(*pairs) if pairs else F.create_map().cast(
+            "map<string,struct<input_price:double,output_price:double,cached_price:double>>")
         j = df.withColumn("price", F.element_at(m, F.col(model_col)))
     else:
-        lk = dim_side(lk.withColumnRenamed("name", "_price_name"), cfg.dim_broadcast_bytes)
+        lk = dim_side(price_lookup(prices, aliases).withColumnRenamed("name", "_price_name"), cfg.dim_broadcast_bytes)
         j = df.join(lk, F.col(model_col) == F.col("_price_name"), "left").drop("_price_name")
     return j.withColumn("model_alias_found", F.col("price").isNotNull())
 

@@ -47,18 +47,38 @@ TRANSLATED_PATH = "/v1/messages"
 TRANSLATING_PROVIDER = "anthropic-openai"
 
 
+def with_decode_ok(df: DataFrame, raw: str, schema: T.StructType, single: Column, null_doc: Column,
+                   body: Column, out: str) -> DataFrame:
+    """Add boolean ``out``: the strict decode of ``body`` (parsed into column
+    ``raw``) succeeds. The rare variant re-parse is a column of its own."""
+    chk = J.variant_check_input(F.col(raw), schema, body)
+    if chk is None:
+        return df.withColumn(out, J.decode_ok_from(F.col(raw), schema, single, null_doc, None))
+    df = df.withColumn(out + "__chk", chk)
+    df = df.withColumn(out, J.decode_ok_from(F.col(raw), schema, single, null_doc, F.col(out + "__chk")))
+    return df.drop(out + "__chk")
+
+
 def _strict(df: DataFrame, body: str, schema: T.StructType, out: str, guard: Column | None = None) -> DataFrame:
-    """Add ``out`` = strict decode of ``body``; the parse is its own column."""
+    """Add ``out`` = struct<ok, v> strict decode of ``body``.
+
+    The parse and the ``ok`` flag are columns of their own, so neither is
+    re-evaluated for every field a consumer reads."""
     raw = J.parse_raw(F.col(body), schema)
-    one = J.single_value(F.col(body))
+    one = J.single_object(F.col(body))
     if guard is not None:
         raw, one = F.when(guard, raw), F.when(guard, one)
+    nd = J.null_document(F.col(body))
     df = df.withColumn(f"{out}__raw", raw).withColumn(f"{out}__one", one)
-    done = J.finish(F.col(f"{out}__raw"), schema, F.coalesce(F.col(f"{out}__one"), F.lit(False)),
-                    J.null_document(F.col(body)))
+    df = with_decode_ok(df, f"{out}__raw", schema, F.coalesce(F.col(f"{out}__one"), F.lit(False)), nd,
+                        F.col(body), f"{out}__ok")
+    if guard is not None:
+        df = df.withColumn(f"{out}__ok", F.coalesce(guard, F.lit(False)) & F.col(f"{out}__ok"))
+    done = F.struct(F.col(f"{out}__ok").alias("ok"),
+                    J.decoded_value(F.col(f"{out}__raw"), schema, F.col(f"{out}__ok"), nd).alias("v"))
     if guard is not None:
         done = F.when(guard, done)
-    return df.withColumn(out, done).drop(f"{out}__raw", f"{out}__one")
+    return df.withColumn(out, done).drop(f"{out}__raw", f"{out}__one", f"{out}__ok")
 
 
 def usage_metrics(df: DataFrame, provider: str = "provider", status: str = "status_code",
@@ -71,37 +91,50 @@ def usage_metrics(df: DataFrame, provider: str = "provider", status: str = "stat
       (P10): a translated body always decodes, cached counts are lost;
     * on a failed decode all counts are 0 and the provider is the detected one;
     * an empty or missing model falls back to the request's model (P4).
+
+    Each response body is parsed once with the schema its parser needs (two
+    parses only where a translation fails), plus one content-skipping pass
+    for the single-document check.
     """
     prov = F.col(provider)
     translate = (prov == TRANSLATING_PROVIDER) & F.coalesce(F.col(status) < 400, F.lit(False))
     body = F.col(response_body)
-    df = df.withColumn("_one", J.single_value(body)).withColumn("_nulldoc", J.null_document(body))
+    df = df.withColumn("_one", J.single_object(body)).withColumn("_nd", J.null_document(body))
+    one, nd = F.col("_one"), F.col("_nd")
     df = (
         df.withColumn("_ra", F.when(prov == "anthropic", J.parse_raw(body, P.ANTHROPIC_USAGE)))
         .withColumn("_rg", F.when(prov == "gemini", J.parse_raw(body, P.GEMINI_USAGE)))
         .withColumn("_rt", F.when(translate, J.parse_raw(body, ANTHROPIC_RESPONSE)))
     )
-    one, nd = F.col("_one"), F.col("_nulldoc")
-    tr = F.when(translate, J.finish(F.col("_rt"), ANTHROPIC_RESPONSE, one, nd))
-    df = df.withColumn("_tr", tr)
-    tr_ok = F.coalesce(F.col("_tr.ok"), F.lit(False))
-    use_openai = ~prov.isin(P.OWN_PARSER) & ~tr_ok
+    df = with_decode_ok(df, "_rt", ANTHROPIC_RESPONSE, one, nd, body, "_tok")
+    df = df.withColumn("_tok", F.coalesce(translate, F.lit(False)) & F.col("_tok"))
+    use_openai = ~prov.isin(P.OWN_PARSER) & ~F.col("_tok")
     df = df.withColumn("_ro", F.when(use_openai, J.parse_raw(body, P.OPENAI_USAGE)))
-    tu = F.col("_tr.v.usage")
+    df = with_decode_ok(df, "_ra", P.ANTHROPIC_USAGE, one, nd, body, "_oka")
+    df = with_decode_ok(df, "_rg", P.GEMINI_USAGE, one, nd, body, "_okg")
+    df = with_decode_ok(df, "_ro", P.OPENAI_USAGE, one, nd, body, "_oko")
+    ok = (F.when(prov == "anthropic", F.col("_oka")).when(prov == "gemini", F.col("_okg"))
+          .when(F.col("_tok"), F.lit(True)).otherwise(F.col("_oko")))
+    df = df.withColumn("_ok", ok).drop("_oka", "_okg", "_oko")
+    ok = F.col("_ok")
+
+    def v(raw: str, schema: T.StructType) -> Column:
+        return F.struct(J.lit_true(), J.decoded_value(F.col(raw), schema, ok, nd).alias("v"))
+
+    tu = F.col("_rt.usage")
     translated = F.struct(
-        F.lit(True).alias("ok"), F.coalesce(F.col("_tr.v.model"), F.lit("")).alias("model"),
-        F.coalesce(tu["input_tokens"], F.lit(0).cast("bigint")).alias("input"),
-        F.coalesce(tu["output_tokens"], F.lit(0).cast("bigint")).alias("output"),
+        F.lit(True).alias("ok"), F.coalesce(F.when(~nd, F.col("_rt.model")), F.lit("")).alias("model"),
+        F.coalesce(F.when(~nd, tu["input_tokens"]), F.lit(0).cast("bigint")).alias("input"),
+        F.coalesce(F.when(~nd, tu["output_tokens"]), F.lit(0).cast("bigint")).alias("output"),
         F.lit(0).cast("bigint").alias("cached"), F.lit(0).cast("bigint").alias("creation"),
     )
     parsed = (
-        F.when(prov == "anthropic", P.anthropic_usage(J.finish(F.col("_ra"), P.ANTHROPIC_USAGE, one, nd)))
-        .when(prov == "gemini", P.gemini_usage(J.finish(F.col("_rg"), P.GEMINI_USAGE, one, nd)))
-        .when(tr_ok, translated)
-        .otherwise(P.openai_usage(J.finish(F.col("_ro"), P.OPENAI_USAGE, one, nd)))
+        F.when(prov == "anthropic", P.anthropic_usage(v("_ra", P.ANTHROPIC_USAGE)))
+        .when(prov == "gemini", P.gemini_usage(v("_rg", P.GEMINI_USAGE)))
+        .when(F.col("_tok"), translated)
+        .otherwise(P.openai_usage(v("_ro", P.OPENAI_USAGE)))
     )
-    df = df.withColumn("_u", parsed).drop("_ra", "_rg", "_rt", "_ro", "_one", "_nulldoc", "_tr")
-    ok = F.col("_u.ok")
+    df = df.withColumn("_u", parsed).drop("_ra", "_rg", "_rt", "_ro", "_one", "_nd", "_tok")
     need_model = ~ok | (F.col("_u.model") == "")
     df = _strict(df, request_body, P.MODEL_REQUEST, "_req", guard=need_model)
     req_model = F.coalesce(F.nullif(F.when(F.col("_req.ok"), F.col("_req.v.model")), F.lit("")), F.lit(P.UNKNOWN))
@@ -115,7 +148,7 @@ def usage_metrics(df: DataFrame, provider: str = "provider", status: str = "stat
         F.when(ok, F.col("_u.cached")).otherwise(zero).alias("cached"),
         F.when(ok, F.col("_u.creation")).otherwise(zero).alias("creation"),
     )
-    return df.withColumn(out, result).drop("_u", "_req")
+    return df.withColumn(out, result).drop("_u", "_req", "_ok")
 
 
 def translate_requests(df: DataFrame, body: str = "request_body", out: str = "translated") -> DataFrame:

@@ -202,7 +202,7 @@ def mappings(spark: SparkSession, sf_dir: str, secret: str = FIXTURE_SECRET,
              other_secret: str = OTHER_SECRET) -> DataFrame:
     """Provider mappings of proxy keys with j % 8 in 0-3 (openai, anthropic,
     anthropic-openai); j % 8 = 3 has its anthropic key under another secret."""
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer"), "c_custkey")  # AES per row: use every core
     m = c.selectExpr(
         "c_custkey",
         f"explode(case when c_custkey % 8 < 4 then {_arr(MAPPED_PROVIDERS)} else cast(array() as array<string>) end) as provider",

@@ -55,20 +55,37 @@ def load_prices_fallback(spark: SparkSession, path: str = DEFAULT_FALLBACK) -> D
     )
 
 
+PRICE_SCHEMA = "model string, input_price double, output_price double, cached_price double"
+MAX_PRICE_ROWS = 50_000  # a price list is configuration; refuse anything larger
+
+
+def _snapshot(spark: SparkSession, df: DataFrame, schema: str) -> DataFrame | None:
+    rows = df.limit(MAX_PRICE_ROWS + 1).collect()
+    if not rows:
+        return None
+    if len(rows) > MAX_PRICE_ROWS:
+        raise ValueError(f"price list larger than {MAX_PRICE_ROWS} entries")
+    return spark.createDataFrame([tuple(r) for r in rows], schema)
+
+
 def load_prices(spark: SparkSession, remote: str | None = DEFAULT_PRICES,
                 fallback: str = DEFAULT_FALLBACK) -> DataFrame:
     """Price snapshot chosen at start-up: the remote document, else the fallback.
 
-    The choice is made once on the driver from a row count of a small file.
+    The (bounded) list is read once and held as a small local table, so the
+    snapshot cannot change under a running job and is not re-read per use.
     """
     if remote:
         try:
-            prices = load_prices_remote(spark, remote)
-            if prices.limit(1).count() == 1:
-                return prices
+            snap = _snapshot(spark, load_prices_remote(spark, remote), PRICE_SCHEMA)
+            if snap is not None:
+                return snap
+        except ValueError:
+            raise
         except Exception:  # unreadable or undecodable document
             pass
-    return load_prices_fallback(spark, fallback)
+    snap = _snapshot(spark, load_prices_fallback(spark, fallback), PRICE_SCHEMA)
+    return snap if snap is not None else spark.createDataFrame([], PRICE_SCHEMA)
 
 
 def load_aliases(spark: SparkSession, path: str | None = DEFAULT_ALIASES) -> DataFrame:
@@ -81,7 +98,10 @@ def load_aliases(spark: SparkSession, path: str | None = DEFAULT_ALIASES) -> Dat
         return empty
     try:
         doc = _whole_text(spark, path).select(F.from_json("value", "map<string,string>").alias("m"))
-        return doc.select(F.explode("m").alias("alias", "target"))
+        snap = _snapshot(spark, doc.select(F.explode("m").alias("alias", "target")), "alias string, target string")
+        return snap if snap is not None else empty
+    except ValueError:
+        raise
     except Exception:
         return empty
 
