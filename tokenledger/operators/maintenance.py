@@ -36,22 +36,30 @@ def upsert_mappings_annotated(mappings: DataFrame, changes: DataFrame, now: Colu
 
     ``changes``: proxy_key_id, provider, encrypted_key, seq, new_id. Existing
     rows keep id and created_at; new rows get created_at = updated_at = now.
+
+    The dimension is never shuffled when the batch is small: updates are a
+    left join against the (size-checked) broadcast batch, inserts are the
+    batch minus the keys a semi join found in the dimension.
     """
-    ch = _last_per_key(changes, ["proxy_key_id", "provider"]).select(
-        "proxy_key_id", "provider", F.col("encrypted_key").alias("_new_key"), F.col("new_id").alias("_new_id"),
-        F.col("seq").alias("_seq"))
-    j = mappings.join(ch, ["proxy_key_id", "provider"], "full_outer")
+    keys = ["proxy_key_id", "provider"]
+    ch = _last_per_key(changes, keys).select(
+        *keys, F.col("encrypted_key").alias("_new_key"), F.col("new_id").alias("_new_id"), F.col("seq").alias("_seq"))
+    updated = mappings.join(dim_side(ch), keys, "left")
     hit = F.col("_new_key").isNotNull()
-    existed = F.col("id").isNotNull()
-    new = j.select(
-        F.coalesce("id", "_new_id").alias("id"), "proxy_key_id", "provider",
+    kept_or_updated = updated.select(
+        "id", *keys,
         F.when(hit, F.col("_new_key")).otherwise(F.col("encrypted_key")).alias("encrypted_key"),
-        F.when(existed, F.col("created_at")).otherwise(now).alias("created_at"),
+        "created_at",
         F.when(hit, now).otherwise(F.col("updated_at")).alias("updated_at"),
-        F.when(~hit, F.lit("kept")).when(existed, F.lit("updated")).otherwise(F.lit("inserted")).alias("status"),
+        F.when(hit, F.lit("updated")).otherwise(F.lit("kept")).alias("status"),
         F.col("_seq").alias("applied_seq"),
     )
-    return new
+    present = mappings.select(*keys).join(dim_side(ch.select(*keys)), keys, "left_semi")
+    inserts = ch.join(dim_side(present), keys, "left_anti").select(
+        F.col("_new_id").alias("id"), *keys, F.col("_new_key").alias("encrypted_key"),
+        now.alias("created_at"), now.alias("updated_at"), F.lit("inserted").alias("status"),
+        F.col("_seq").alias("applied_seq"))
+    return kept_or_updated.unionByName(inserts)
 
 
 def register_metadata_keys(metadata_keys: DataFrame, observed: DataFrame) -> DataFrame:
@@ -73,40 +81,50 @@ def revoke_keys(keys: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
 
     Works for API keys and proxy keys alike. Returns the new dimension with
     ``status``: revoked / not_found (unknown id or already inactive) /
-    untouched; unknown ids appear as rows with only id and status.
+    untouched; unknown ids appear as rows with only id and status. The id
+    batch is the broadcast side; the dimension is not shuffled.
     """
-    req = ids.select(F.col("id"), F.lit(True).alias("_asked")).distinct()
-    j = keys.join(req, "id", "full_outer")
+    req = ids.select("id").distinct().withColumn("_asked", F.lit(True))
+    j = keys.join(dim_side(req), "id", "left")
     asked = F.coalesce(F.col("_asked"), F.lit(False))
-    exists = F.col("key_hash").isNotNull()
-    hit = asked & exists & F.coalesce(F.col("is_active"), F.lit(False))
-    out = j.withColumn("status", F.when(hit, F.lit("revoked")).when(asked, F.lit("not_found"))
-                       .otherwise(F.lit("untouched")))
-    out = out.withColumn("revoked_at", F.when(hit, now).otherwise(F.col("revoked_at"))) \
-        .withColumn("is_active", F.when(hit, F.lit(False)).otherwise(F.col("is_active")))
-    return out.drop("_asked")
+    hit = asked & F.coalesce(F.col("is_active"), F.lit(False))
+    out = (j.withColumn("status", F.when(hit, F.lit("revoked")).when(asked, F.lit("not_found"))
+                        .otherwise(F.lit("untouched")))
+           .withColumn("revoked_at", F.when(hit, now).otherwise(F.col("revoked_at")))
+           .withColumn("is_active", F.when(hit, F.lit(False)).otherwise(F.col("is_active")))
+           .drop("_asked"))
+    found = keys.select("id").join(dim_side(req.select("id")), "id", "left_semi")
+    unknown = req.select("id").join(dim_side(found), "id", "left_anti")
+    missing = unknown.select("id", *[F.lit(None).cast(f.dataType).alias(f.name)
+                                     for f in keys.schema.fields if f.name != "id"],
+                             F.lit("not_found").alias("status"))
+    return out.unionByName(missing)
 
 
 def patch_api_keys(api_keys: DataFrame, patches: DataFrame) -> DataFrame:
     """M4: set name and/or description; null leaves a field alone; a patch
     with nothing to set leaves the row unchanged; unknown ids -> not_found.
 
-    ``patches``: id, name, description, seq (last patch per id wins).
+    ``patches``: id, name, description, seq (last patch per id wins). The
+    patch batch is the broadcast side; the dimension is not shuffled.
     """
     p = _last_per_key(patches, ["id"]).select(
         "id", F.col("name").alias("_p_name"), F.col("description").alias("_p_desc"), F.lit(True).alias("_asked"))
-    j = api_keys.join(p, "id", "full_outer")
+    j = api_keys.join(dim_side(p), "id", "left")
     asked = F.coalesce(F.col("_asked"), F.lit(False))
-    exists = F.col("key_hash").isNotNull()
     sets = F.col("_p_name").isNotNull() | F.col("_p_desc").isNotNull()
-    status = (F.when(asked & ~exists, F.lit("not_found")).when(asked & sets, F.lit("updated"))
-              .when(asked, F.lit("unchanged")).otherwise(F.lit("untouched")))
-    return (
-        j.withColumn("name", F.coalesce("_p_name", "name"))
-        .withColumn("description", F.coalesce("_p_desc", "description"))
-        .withColumn("status", status)
-        .drop("_p_name", "_p_desc", "_asked")
-    )
+    status = F.when(asked & sets, F.lit("updated")).when(asked, F.lit("unchanged")).otherwise(F.lit("untouched"))
+    out = (j.withColumn("name", F.coalesce("_p_name", "name"))
+           .withColumn("description", F.coalesce("_p_desc", "description"))
+           .withColumn("status", status)
+           .drop("_p_name", "_p_desc", "_asked"))
+    found = api_keys.select("id").join(dim_side(p.select("id")), "id", "left_semi")
+    unknown = p.join(dim_side(found), "id", "left_anti")
+    missing = unknown.select("id", *[
+        (F.col("_p_name") if f.name == "name" else F.col("_p_desc") if f.name == "description"
+         else F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in api_keys.schema.fields if f.name != "id"], F.lit("not_found").alias("status"))
+    return out.unionByName(missing)
 
 
 def delete_mappings(mappings: DataFrame, deletes: DataFrame) -> tuple[DataFrame, DataFrame]:

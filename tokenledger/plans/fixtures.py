@@ -254,6 +254,13 @@ class Dims:
     aliases: DataFrame
     secret: str = FIXTURE_SECRET
 
+    def persisted(self) -> "Dims":
+        """The same snapshot, kept in executor memory (recomputed from its
+        lineage if an executor is lost): a stream joins it in every
+        micro-batch without rebuilding it."""
+        return Dims(self.api_keys.persist(), self.proxy_keys.persist(), self.mappings.persist(),
+                    self.metadata_keys.persist(), self.prices, self.aliases, self.secret)
+
 
 def load_dims(spark: SparkSession, sf_dir: str, cfg: LedgerConfig = DEFAULT) -> Dims:
     return Dims(

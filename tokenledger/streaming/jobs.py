@@ -46,7 +46,7 @@ def stream_enrich(spark: SparkSession, source: str, dims: Dims, out: str, checkp
     snapshot; rows keep their ``reject_reason`` (Q1) as in the batch ETL.
     """
     ex = bodies.stream_exchanges(spark, source, max_files)
-    logged = enrich.enrich_requests(ex, dims, cfg)
+    logged = enrich.enrich_requests(ex, dims.persisted(), cfg)
     w = (logged.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
          .partitionBy(log_io.PARTITION).outputMode("append"))
     return _trigger(w, trigger).start()
@@ -140,6 +140,7 @@ def stream_price_refresh(spark: SparkSession, source: str, dims: Dims, out: str,
     The output of batch ``n`` is written under ``batch_id=n`` with overwrite
     of that partition only, so a retried batch replaces its own rows."""
     ex = bodies.stream_exchanges(spark, source, max_files)
+    dims = dims.persisted()
 
     def run(batch: DataFrame, batch_id: int) -> None:
         d = Dims(dims.api_keys, dims.proxy_keys, dims.mappings, dims.metadata_keys,
