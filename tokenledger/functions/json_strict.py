@@ -118,22 +118,31 @@ def parse_raw(body: Column, schema: T.StructType) -> Column:
     return F.from_json(body, _parse_type(schema).add(BAD, T.StringType()), OPTIONS)
 
 
-def variant_check_input(raw: Column, schema: T.StructType, body: Column) -> Column | None:
+def suspicious(raw: Column, schema: T.StructType) -> Column:
+    """True where some string field of a ``parse_raw`` result holds text that
+    could stem from a non-string JSON value."""
+    return _suspicious(raw, schema)
+
+
+def variant_check_input(raw: Column, schema: T.StructType, body: Column,
+                        susp: Column | None = None) -> Column | None:
     """The variant parse a strict decode needs, only for rows whose string
     fields hold text of a non-string shape (else null); None when the schema
     has no string fields. Materialise it as a column: it then appears once
     in the plan and subexpression elimination cannot hoist it to every row."""
     if not _has_str(schema):
         return None
-    return F.when(_suspicious(raw, schema), F.from_json(body, _parse_type(schema, variant=True), OPTIONS))
+    susp = _suspicious(raw, schema) if susp is None else susp
+    return F.when(susp, F.from_json(body, _parse_type(schema, variant=True), OPTIONS))
 
 
 def decode_ok_from(raw: Column, schema: T.StructType, single: Column, null_doc: Column,
-                   checked: Column | None) -> Column:
+                   checked: Column | None, susp: Column | None = None) -> Column:
     """``decode_ok`` given the materialised ``variant_check_input`` column."""
     ok = raw.isNotNull() & raw[BAD].isNull() & single
     if checked is not None:
-        ok = ok & (~_suspicious(raw, schema) | _types_ok(checked, schema))
+        susp = _suspicious(raw, schema) if susp is None else susp
+        ok = ok & (~susp | _types_ok(checked, schema))
     return F.coalesce(null_doc | ok, F.lit(False))
 
 

@@ -74,10 +74,10 @@ def lookup_prices(df: DataFrame, prices: DataFrame, aliases: DataFrame, model_co
             pairs += [F.lit(name), F.struct(*[F.lit(v).alias(c) for v, c in zip(vals, PRICE_STRUCT)])]
         m = F.create_map(*pairs) if pairs else F.create_map().cast(
             "map<string,struct<input_price:double,output_price:double,cached_price:double>>")
-        j = df.withColumn("price", F.element_at(m, F.col(model_col)))
-    else:
-        lk = dim_side(price_lookup(prices, aliases).withColumnRenamed("name", "_price_name"), cfg.dim_broadcast_bytes)
-        j = df.join(lk, F.col(model_col) == F.col("_price_name"), "left").drop("_price_name")
+        price = F.element_at(m, F.col(model_col))
+        return df.withColumns({"price": price, "model_alias_found": price.isNotNull()})
+    lk = dim_side(price_lookup(prices, aliases).withColumnRenamed("name", "_price_name"), cfg.dim_broadcast_bytes)
+    j = df.join(lk, F.col(model_col) == F.col("_price_name"), "left").drop("_price_name")
     return j.withColumn("model_alias_found", F.col("price").isNotNull())
 
 

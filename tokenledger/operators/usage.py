@@ -51,12 +51,24 @@ def with_decode_ok(df: DataFrame, raw: str, schema: T.StructType, single: Column
                    body: Column, out: str) -> DataFrame:
     """Add boolean ``out``: the strict decode of ``body`` (parsed into column
     ``raw``) succeeds. The rare variant re-parse is a column of its own."""
-    chk = J.variant_check_input(F.col(raw), schema, body)
-    if chk is None:
-        return df.withColumn(out, J.decode_ok_from(F.col(raw), schema, single, null_doc, None))
-    df = df.withColumn(out + "__chk", chk)
-    df = df.withColumn(out, J.decode_ok_from(F.col(raw), schema, single, null_doc, F.col(out + "__chk")))
-    return df.drop(out + "__chk")
+    return with_decode_oks(df, [(raw, schema, out)], single, null_doc, body)
+
+
+def with_decode_oks(df: DataFrame, specs: list[tuple[str, T.StructType, str]], single: Column,
+                    null_doc: Column, body: Column) -> DataFrame:
+    """``with_decode_ok`` for several (raw column, schema, out) at once: one
+    projection for the rare variant re-parses, one for the flags."""
+    checks, susp = {}, {}
+    for raw, schema, out in specs:
+        if J._has_str(schema):
+            susp[out] = J.suspicious(F.col(raw), schema)   # built once, used twice
+            checks[out + "__chk"] = J.variant_check_input(F.col(raw), schema, body, susp[out])
+    if checks:
+        df = df.withColumns(checks)
+    oks = {out: J.decode_ok_from(F.col(raw), schema, single, null_doc,
+                                 F.col(out + "__chk") if out + "__chk" in checks else None, susp.get(out))
+           for raw, schema, out in specs}
+    return df.withColumns(oks).drop(*checks)
 
 
 def _strict(df: DataFrame, body: str, schema: T.StructType, out: str, guard: Column | None = None) -> DataFrame:
@@ -69,7 +81,7 @@ def _strict(df: DataFrame, body: str, schema: T.StructType, out: str, guard: Col
     if guard is not None:
         raw, one = F.when(guard, raw), F.when(guard, one)
     nd = J.null_document(F.col(body))
-    df = df.withColumn(f"{out}__raw", raw).withColumn(f"{out}__one", one)
+    df = df.withColumns({f"{out}__raw": raw, f"{out}__one": one})
     df = with_decode_ok(df, f"{out}__raw", schema, F.coalesce(F.col(f"{out}__one"), F.lit(False)), nd,
                         F.col(body), f"{out}__ok")
     if guard is not None:
@@ -99,20 +111,19 @@ def usage_metrics(df: DataFrame, provider: str = "provider", status: str = "stat
     prov = F.col(provider)
     translate = (prov == TRANSLATING_PROVIDER) & F.coalesce(F.col(status) < 400, F.lit(False))
     body = F.col(response_body)
-    df = df.withColumn("_one", J.single_object(body)).withColumn("_nd", J.null_document(body))
+    df = df.withColumns({
+        "_one": J.single_object(body), "_nd": J.null_document(body),
+        "_ra": F.when(prov == "anthropic", J.parse_raw(body, P.ANTHROPIC_USAGE)),
+        "_rg": F.when(prov == "gemini", J.parse_raw(body, P.GEMINI_USAGE)),
+        "_rt": F.when(translate, J.parse_raw(body, ANTHROPIC_RESPONSE)),
+    })
     one, nd = F.col("_one"), F.col("_nd")
-    df = (
-        df.withColumn("_ra", F.when(prov == "anthropic", J.parse_raw(body, P.ANTHROPIC_USAGE)))
-        .withColumn("_rg", F.when(prov == "gemini", J.parse_raw(body, P.GEMINI_USAGE)))
-        .withColumn("_rt", F.when(translate, J.parse_raw(body, ANTHROPIC_RESPONSE)))
-    )
     df = with_decode_ok(df, "_rt", ANTHROPIC_RESPONSE, one, nd, body, "_tok")
     df = df.withColumn("_tok", F.coalesce(translate, F.lit(False)) & F.col("_tok"))
     use_openai = ~prov.isin(P.OWN_PARSER) & ~F.col("_tok")
     df = df.withColumn("_ro", F.when(use_openai, J.parse_raw(body, P.OPENAI_USAGE)))
-    df = with_decode_ok(df, "_ra", P.ANTHROPIC_USAGE, one, nd, body, "_oka")
-    df = with_decode_ok(df, "_rg", P.GEMINI_USAGE, one, nd, body, "_okg")
-    df = with_decode_ok(df, "_ro", P.OPENAI_USAGE, one, nd, body, "_oko")
+    df = with_decode_oks(df, [("_ra", P.ANTHROPIC_USAGE, "_oka"), ("_rg", P.GEMINI_USAGE, "_okg"),
+                              ("_ro", P.OPENAI_USAGE, "_oko")], one, nd, body)
     ok = (F.when(prov == "anthropic", F.col("_oka")).when(prov == "gemini", F.col("_okg"))
           .when(F.col("_tok"), F.lit(True)).otherwise(F.col("_oko")))
     df = df.withColumn("_ok", ok).drop("_oka", "_okg", "_oko")

@@ -59,8 +59,30 @@ PRICE_SCHEMA = "model string, input_price double, output_price double, cached_pr
 MAX_PRICE_ROWS = 50_000  # a price list is configuration; refuse anything larger
 
 
-def _snapshot(spark: SparkSession, df: DataFrame, schema: str) -> DataFrame | None:
-    rows = df.limit(MAX_PRICE_ROWS + 1).collect()
+_SNAPSHOTS: dict[tuple, list] = {}
+
+
+def _file_key(spark: SparkSession, path: str, kind: str) -> tuple | None:
+    """(application, kind, path, size, mtime) of a local or Hadoop path."""
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        st = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)
+        return (spark.sparkContext.applicationId, kind, path, st.getLen(), st.getModificationTime())
+    except Exception:
+        return None
+
+
+def _snapshot(spark: SparkSession, df: DataFrame, schema: str, key: tuple | None = None) -> DataFrame | None:
+    """Rows of a small configuration table, held as a local table. Reads of
+    an unchanged file (same size and mtime) within one application reuse
+    the rows instead of scanning the file again."""
+    if key is not None and key in _SNAPSHOTS:
+        rows = _SNAPSHOTS[key]
+        return spark.createDataFrame(rows, schema) if rows else None
+    rows = [tuple(r) for r in df.limit(MAX_PRICE_ROWS + 1).collect()]
+    if key is not None and len(rows) <= MAX_PRICE_ROWS:
+        _SNAPSHOTS[key] = rows
     if not rows:
         return None
     if len(rows) > MAX_PRICE_ROWS:
@@ -77,14 +99,16 @@ def load_prices(spark: SparkSession, remote: str | None = DEFAULT_PRICES,
     """
     if remote:
         try:
-            snap = _snapshot(spark, load_prices_remote(spark, remote), PRICE_SCHEMA)
+            snap = _snapshot(spark, load_prices_remote(spark, remote), PRICE_SCHEMA,
+                             _file_key(spark, remote, "remote"))
             if snap is not None:
                 return snap
         except ValueError:
             raise
         except Exception:  # unreadable or undecodable document
             pass
-    snap = _snapshot(spark, load_prices_fallback(spark, fallback), PRICE_SCHEMA)
+    snap = _snapshot(spark, load_prices_fallback(spark, fallback), PRICE_SCHEMA,
+                     _file_key(spark, fallback, "fallback"))
     return snap if snap is not None else spark.createDataFrame([], PRICE_SCHEMA)
 
 
@@ -98,7 +122,8 @@ def load_aliases(spark: SparkSession, path: str | None = DEFAULT_ALIASES) -> Dat
         return empty
     try:
         doc = _whole_text(spark, path).select(F.from_json("value", "map<string,string>").alias("m"))
-        snap = _snapshot(spark, doc.select(F.explode("m").alias("alias", "target")), "alias string, target string")
+        snap = _snapshot(spark, doc.select(F.explode("m").alias("alias", "target")), "alias string, target string",
+                         _file_key(spark, path, "aliases"))
         return snap if snap is not None else empty
     except ValueError:
         raise
