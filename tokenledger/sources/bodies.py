@@ -3,8 +3,10 @@
 The gateway stores one gzip JSON object per request under
 ``{first16(api key id)}/{yyyy-MM-dd}/{request id}.json.gz``. Here many
 envelopes share a file: the table is gzip JSON Lines partitioned by
-``prefix`` and ``date`` (the same two levels), so reads prune by key prefix
-and day, and no job ever creates one object per request.
+``date`` and a 16-way ``bucket`` of the key prefix (its first hex digit),
+so reads prune by day and key prefix while the directory count stays
+bounded (16 per day) however many keys exist. Each record carries its full
+``key_prefix``, from which the gateway's object key is rebuilt.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 ENVELOPE_SCHEMA = T.StructType([
     T.StructField("request_id", T.StringType()),
+    T.StructField("key_prefix", T.StringType()),
     T.StructField("timestamp", T.TimestampType()),
     T.StructField("request", T.StructType([
         T.StructField("method", T.StringType()),
@@ -74,7 +77,8 @@ def _field(name: str, value: Column, first: bool = False) -> Column:
 
 
 def envelope_text(request_id: Column, ts: Column, method: Column, path: Column, headers: Column,
-                  request_body: Column, status: Column, response_headers: Column, response_body: Column) -> Column:
+                  request_body: Column, status: Column, response_headers: Column, response_body: Column,
+                  key_prefix: Column | None = None) -> Column:
     """One envelope as a JSON line. ``to_json`` would quote the raw bodies,
     so the object is assembled with ``concat`` around ``to_json`` parts."""
     stamp = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -83,7 +87,8 @@ def envelope_text(request_id: Column, ts: Column, method: Column, path: Column,
     resp = F.concat(F.lit("{"), _field("status_code", status.cast("string"), True),
                     _field("headers", F.to_json(response_headers)), _field("body", raw_json(response_body)),
                     F.lit("}"))
-    return F.concat(F.lit("{"), _field("request_id", _json_str(request_id), True),
+    prefix = _field("key_prefix", _json_str(key_prefix)) if key_prefix is not None else F.lit("")
+    return F.concat(F.lit("{"), _field("request_id", _json_str(request_id), True), prefix,
                     _field("timestamp", _json_str(stamp)), F.lit(',"request":'), req,
                     F.lit(',"response":'), resp, F.lit("}"))
 
@@ -91,25 +96,29 @@ def envelope_text(request_id: Column, ts: Column, method: Column, path: Column,
 def write_bodies(envelopes: DataFrame, path: str, mode: str = "append") -> None:
     """``envelopes`` has request_id, api_key_id, requested_at, method,
     path, headers, request_body, status_code, response_headers,
-    response_body. Written as gzip JSON Lines under prefix=/date=."""
+    response_body. Written as gzip JSON Lines under date=/bucket=."""
+    prefix = F.substring("api_key_id", 1, 16)
     out = envelopes.select(
-        F.substring("api_key_id", 1, 16).alias("prefix"),
         F.date_format("requested_at", "yyyy-MM-dd").alias("date"),
+        F.lower(F.substring(prefix, 1, 1)).alias("bucket"),
         envelope_text(F.col("request_id"), F.col("requested_at"), F.col("method"), F.col("path"),
                       F.col("headers"), F.col("request_body"), F.col("status_code"),
-                      F.col("response_headers"), F.col("response_body")).alias("value"),
+                      F.col("response_headers"), F.col("response_body"), prefix).alias("value"),
     )
-    out.write.mode(mode).partitionBy("prefix", "date").option("compression", "gzip").text(path)
+    # cluster by (date, bucket) so a task writes few files; AQE splits a hot
+    # key's day into advisory-size pieces instead of giving it one task
+    out = out.hint("rebalance", "date", "bucket")
+    out.write.mode(mode).partitionBy("date", "bucket").option("compression", "gzip").text(path)
 
 
 def read_exchanges(spark: SparkSession, path: str) -> DataFrame:
     """Envelopes back as typed rows, plus ``object_key`` (the gateway's
-    key for the request) from the partition columns and the id."""
-    schema = T.StructType(ENVELOPE_SCHEMA.fields + [T.StructField("prefix", T.StringType()),
-                                                    T.StructField("date", T.StringType())])
-    df = (spark.read.schema(schema)
-          .option("mode", "PERMISSIVE").json(path))
-    return df.withColumn("object_key", F.concat_ws("/", "prefix", "date", F.concat("request_id", F.lit(".json.gz"))))
+    key for the request) from the key prefix, the day and the id."""
+    schema = T.StructType(ENVELOPE_SCHEMA.fields + [T.StructField("date", T.StringType()),
+                                                    T.StructField("bucket", T.StringType())])
+    df = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+    return df.withColumn("object_key", F.concat_ws("/", "key_prefix", "date",
+                                                   F.concat("request_id", F.lit(".json.gz"))))
 
 
 def stream_exchanges(spark: SparkSession, path: str, max_files: int = 8) -> DataFrame:

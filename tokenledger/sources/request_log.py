@@ -17,9 +17,15 @@ from tokenledger.operators.quality import INT_COLUMNS
 PARTITION = "requested_date"
 
 
-def write_request_log(requests: DataFrame, path: str, mode: str = "append") -> None:
+def write_request_log(requests: DataFrame, path: str, mode: str = "append", rebalance: bool = True) -> None:
     """Append rows (partitioned by date); task retries and the commit
-    protocol make a job that loses executors write each row once."""
+    protocol make a job that loses executors write each row once.
+
+    ``rebalance`` clusters rows by date before the write (an AQE rebalance:
+    partitions of the advisory size, skewed dates split), so each task
+    writes few, well-sized files instead of one small file per date."""
+    if rebalance:
+        requests = requests.hint("rebalance", PARTITION)
     requests.write.mode(mode).partitionBy(PARTITION).parquet(path)
 
 
