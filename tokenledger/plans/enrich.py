@@ -4,11 +4,11 @@ Plan shape (one stage, no shuffle on the fact side when the dimensions fit
 the broadcast bound):
 
     exchanges -> gateway headers, provider, key hashes       (narrow)
-      -> join API-key dim (+ active metadata keys folded in)  (broadcast)
-      -> join proxy-key dim (+ mappings folded in)            (broadcast)
+      -> join API-key dim (+ active metadata keys folded in)  (size-checked broadcast)
+      -> join proxy-key dim (+ mappings folded in)            (size-checked broadcast)
       -> F1 gate, before any JSON is parsed
       -> usage decode (one parse per body), translation path   (narrow)
-      -> join price lookup (exact names + one alias hop)      (broadcast)
+      -> price lookup: literal map of the bounded price list  (narrow, no join)
       -> costs, error text, body pointers, reject reason       (narrow)
 """
 
