@@ -198,8 +198,26 @@ def proxy_keys(spark: SparkSession, sf_dir: str, cfg: LedgerConfig = DEFAULT) ->
 MAPPED_PROVIDERS = ["openai", "anthropic", "anthropic-openai"]
 
 
+_STORED: dict[tuple, str] = {}
+
+
 def mappings(spark: SparkSession, sf_dir: str, secret: str = FIXTURE_SECRET,
              other_secret: str = OTHER_SECRET) -> DataFrame:
+    """Provider mappings as a stored table: encrypted once per application
+    and input (like the gateway's table, whose keys are encrypted when set),
+    then read back by every job instead of being encrypted again."""
+    key = (spark.sparkContext.applicationId, sf_dir, secret, other_secret)
+    path = _STORED.get(key)
+    if path is None:
+        from tokenledger.session import scratch_path
+        path = scratch_path(spark, "mappings")
+        build_mappings(spark, sf_dir, secret, other_secret).write.mode("overwrite").parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(path)
+
+
+def build_mappings(spark: SparkSession, sf_dir: str, secret: str = FIXTURE_SECRET,
+                   other_secret: str = OTHER_SECRET) -> DataFrame:
     """Provider mappings of proxy keys with j % 8 in 0-3 (openai, anthropic,
     anthropic-openai); j % 8 = 3 has its anthropic key under another secret."""
     c = spread(table(spark, sf_dir, "customer"), "c_custkey")  # AES per row: use every core
