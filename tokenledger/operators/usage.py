@@ -47,6 +47,20 @@ TRANSLATED_PATH = "/v1/messages"
 TRANSLATING_PROVIDER = "anthropic-openai"
 
 
+_EXPRS: dict[tuple, Column] = {}
+
+
+def _memo(key: tuple, build) -> Column:
+    """Column expressions depend only on column names and schemas; build each
+    once per application (saves thousands of JVM round trips per plan)."""
+    from pyspark import SparkContext
+    sc = SparkContext._active_spark_context
+    k = (sc.applicationId if sc is not None else None,) + key
+    if k not in _EXPRS:
+        _EXPRS[k] = build()
+    return _EXPRS[k]
+
+
 def with_decode_ok(df: DataFrame, raw: str, schema: T.StructType, single: Column, null_doc: Column,
                    body: Column, out: str) -> DataFrame:
     """Add boolean ``out``: the strict decode of ``body`` (parsed into column
@@ -54,15 +68,18 @@ def with_decode_ok(df: DataFrame, raw: str, schema: T.StructType, single: Column
     return with_decode_oks(df, [(raw, schema, out)], single, null_doc, body)
 
 
+
 def with_decode_oks(df: DataFrame, specs: list[tuple[str, T.StructType, str]], single: Column,
-                    null_doc: Column, body: Column) -> DataFrame:
+                    null_doc: Column, body: Column, body_name: str | None = None) -> DataFrame:
     """``with_decode_ok`` for several (raw column, schema, out) at once: one
     projection for the rare variant re-parses, one for the flags."""
     checks, susp = {}, {}
     for raw, schema, out in specs:
         if J._has_str(schema):
-            susp[out] = J.suspicious(F.col(raw), schema)   # built once, used twice
-            checks[out + "__chk"] = J.variant_check_input(F.col(raw), schema, body, susp[out])
+            sj = schema.json()
+            susp[out] = _memo(("susp", raw, sj), lambda: J.suspicious(F.col(raw), schema))
+            build = lambda: J.variant_check_input(F.col(raw), schema, body, susp[out])
+            checks[out + "__chk"] = (_memo(("chk", raw, sj, body_name), build) if body_name else build())
     if checks:
         df = df.withColumns(checks)
     oks = {out: J.decode_ok_from(F.col(raw), schema, single, null_doc,
@@ -82,8 +99,8 @@ def _strict(df: DataFrame, body: str, schema: T.StructType, out: str, guard: Col
         raw, one = F.when(guard, raw), F.when(guard, one)
     nd = J.null_document(F.col(body))
     df = df.withColumns({f"{out}__raw": raw, f"{out}__one": one})
-    df = with_decode_ok(df, f"{out}__raw", schema, F.coalesce(F.col(f"{out}__one"), F.lit(False)), nd,
-                        F.col(body), f"{out}__ok")
+    df = with_decode_oks(df, [(f"{out}__raw", schema, f"{out}__ok")],
+                         F.coalesce(F.col(f"{out}__one"), F.lit(False)), nd, F.col(body), body)
     if guard is not None:
         df = df.withColumn(f"{out}__ok", F.coalesce(guard, F.lit(False)) & F.col(f"{out}__ok"))
     done = F.struct(F.col(f"{out}__ok").alias("ok"),
@@ -118,12 +135,12 @@ def usage_metrics(df: DataFrame, provider: str = "provider", status: str = "stat
         "_rt": F.when(translate, J.parse_raw(body, ANTHROPIC_RESPONSE)),
     })
     one, nd = F.col("_one"), F.col("_nd")
-    df = with_decode_ok(df, "_rt", ANTHROPIC_RESPONSE, one, nd, body, "_tok")
+    df = with_decode_oks(df, [("_rt", ANTHROPIC_RESPONSE, "_tok")], one, nd, body, response_body)
     df = df.withColumn("_tok", F.coalesce(translate, F.lit(False)) & F.col("_tok"))
     use_openai = ~prov.isin(P.OWN_PARSER) & ~F.col("_tok")
     df = df.withColumn("_ro", F.when(use_openai, J.parse_raw(body, P.OPENAI_USAGE)))
     df = with_decode_oks(df, [("_ra", P.ANTHROPIC_USAGE, "_oka"), ("_rg", P.GEMINI_USAGE, "_okg"),
-                              ("_ro", P.OPENAI_USAGE, "_oko")], one, nd, body)
+                              ("_ro", P.OPENAI_USAGE, "_oko")], one, nd, body, response_body)
     ok = (F.when(prov == "anthropic", F.col("_oka")).when(prov == "gemini", F.col("_okg"))
           .when(F.col("_tok"), F.lit(True)).otherwise(F.col("_oko")))
     df = df.withColumn("_ok", ok).drop("_oka", "_okg", "_oko")
