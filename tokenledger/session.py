@@ -94,7 +94,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def estimated_bytes(df: DataFrame) -> int | None:
     """Optimizer size estimate of a plan, or None when unavailable."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(str(size))  # py4j may hand over a Python int or a JVM BigInt
     except Exception:  # Spark Connect or plan without stats
         return None
 
