@@ -9,13 +9,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenledger.llm import decontaminate, sketch_dedup
+from tokenledger.llm import decontaminate, packing, quality_rules, secret_scan, sketch_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer="word_bpe_49k.json", end_id=1, window=2048)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                         "offset")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer="word_bpe_49k.json", limit=2048)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), window=13)
@@ -24,13 +34,38 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[count(k) for k in secret_scan.BASE],
+        F.sha2(secret_scan.spans_text(F.col("spans"), secret_scan.BASE), 256).alias("base_sha256"),
+        secret_scan.spans_text(F.col("spans")).alias("spans"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality_rules.judged(docs, table(spark, sf_dir, "labels"), drop_text=True)
+    return judged.select(
+        "doc_id", *[F.col(f"stats.{c}").alias(c) for c in quality_rules.COUNTS],
+        F.col("stats_base_failed").alias("base_failed"),
+        (~F.col("stats_base_failed") & (F.col("stats_rule") == 0)).alias("kept"))
+
+
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op3_token_counts": op3_token_counts,
     "op5_decontaminate": op5_decontaminate,
+    "op6_secrets": op6_secrets,
     "op8_near_duplicates": op8_near_duplicates,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
