@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenledger.llm import decontaminate, packing, quality_rules, secret_scan, sketch_dedup, token_counts
+from tokenledger.llm import (
+    decontaminate, packing, quality_classifier, quality_rules, secret_scan, sketch_dedup, token_counts, toxicity)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "offset")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = quality_classifier.learnable(table(spark, sf_dir, "labels"), "quality", 3, 1)
+    scored = quality_classifier.scored(docs, quality_classifier.train(docs, known))
+    return _verdicts(scored, 3, 1)
+
+
+def _verdicts(scored: DataFrame, modulus: int, remainder: int) -> DataFrame:
+    return scored.select("doc_id", quality_classifier.held_out(modulus, remainder).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer="word_bpe_49k.json", limit=2048)
 
@@ -50,6 +63,12 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = quality_classifier.learnable(table(spark, sf_dir, "labels"), "toxic", 5, 0)
+    return _verdicts(toxicity.scored(docs, toxicity.train(docs, known)), 5, 0)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality_rules.judged(docs, table(spark, sf_dir, "labels"), drop_text=True)
@@ -61,10 +80,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_token_counts": op3_token_counts,
     "op5_decontaminate": op5_decontaminate,
     "op6_secrets": op6_secrets,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
 
