@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenledger.llm import (
-    decontaminate, packing, quality_classifier, quality_rules, secret_scan, sketch_dedup, token_counts, toxicity)
+    decontaminate, html_extract, license_scan, packing, quality_classifier, quality_rules, secret_scan, sketch_dedup,
+    token_counts, toxicity)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,19 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer="word_bpe_49k.json", limit=2048)
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.find_licenses(table(spark, sf_dir, "documents"), least=0.8)
+    covered = F.aggregate("matches", F.lit(0).cast("long"), lambda a, m: a + m["end"] - m["start"])
+    return found.select(
+        "doc_id", "n_words", F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: F.split_part(
+            m["license"], F.lit(":"), F.lit(1))))), ",").alias("licenses"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["coverage"])), F.lit(0.0)).alias("best_coverage"),
+        covered.alias("license_words"),
+        F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"].cast("string"),
+                                                                  m["end"].cast("string"))), ",").alias("spans"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), window=13)
@@ -59,6 +73,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_scan.spans_text(F.col("spans")).alias("spans"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -82,8 +101,10 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_token_counts": op3_token_counts,
+    "op4_licenses": op4_licenses,
     "op5_decontaminate": op5_decontaminate,
     "op6_secrets": op6_secrets,
+    "op7_main_text": op7_main_text,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
