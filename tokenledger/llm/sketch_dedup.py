@@ -15,11 +15,12 @@ similarity.
 3. Each bucket links its members to one pivot, another one in every band.
    Links are confirmed on the full shingle sets.
 4. Connected components of the links.  In a bucket that still holds several
-   components, all pairs of members from different components are compared:
-   members are dealt to blocks, so no task holds a whole bucket; pairs whose
-   sketches agree in under ``least_agreement`` of the coordinates are set
-   aside (at the threshold, 6 standard deviations), the rest is confirmed on
-   full sets.  Nothing is capped.
+   components, the pairs of members from different components are compared
+   inside tasks: members are dealt to blocks of bounded size, so no task holds
+   a whole bucket; a pair is looked at in the first bucket that it shares;
+   sketches that agree in too few coordinates (6 standard deviations below the
+   threshold) set it aside, else the full sets decide.  Only links that join
+   components leave a task, so rows stay in proportion.  Nothing is capped.
 
 Cases: words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z.  With fewer words
 than a shingle, the whole sequence is the one shingle; a null or wordless text
@@ -42,7 +43,7 @@ from tokenledger.session import checkpoint_root, scratch_path
 
 COORDS = 128
 BAND = 4
-BLOCK = 1000
+BLOCK_SHINGLES = 2_000_000
 SALTS = 16
 
 
@@ -114,7 +115,7 @@ def band_keys(sk: np.ndarray, band: int = BAND) -> np.ndarray:
     with np.errstate(over="ignore"):
         for k in range(band):
             key = at.mix(key * np.uint64(0x9E3779B97F4A7C15) + sk[:, k:bands * band:band].astype(np.uint64))
-    return key
+    return (key & ~np.uint64(63)) | np.arange(bands, dtype=np.uint64)  # the band number stays readable
 
 
 def _sketch_rows(docs: DataFrame, shingle: int) -> DataFrame:
@@ -219,44 +220,83 @@ def components(edges: DataFrame) -> DataFrame:
             .union(edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct()))
 
 
-def _remaining_pairs(members: DataFrame, sketched: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """Pairs from different components that share a bucket and whose sketches
-    agree in at least ``least`` of the coordinates."""
-    named = (members.join(labels, "id", "left")
-             .select("key", "id", F.coalesce("label", "id").alias("label")))
-    open_ = (named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
-             .where("lo <> hi and n > 2")  # two members are compared by the pivot already
-             .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")))
-    rows = (named.join(open_.select("key", "blocks"), "key")
-            .join(sketched.select("id", "sk"), "id")
-            .withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")))
+def _remaining_links(members: DataFrame, reps: DataFrame, labels: DataFrame, docs: DataFrame, shingle: int,
+                     percent: int) -> DataFrame:
+    """Links between different components that share a bucket: enough of them
+    to connect all components that any such pair connects.
+
+    Every pair is looked at once, in the first bucket that it shares, if its
+    sketches agree well enough; the full sets decide."""
+    rate = percent / 100
+    least = max(0.0, rate - 6 * (rate * (1 - rate) / COORDS) ** 0.5)
+    named = (members.join(labels, "id", "left").join(reps.select("id", "n"), "id")
+             .select("key", "id", "n", F.coalesce("label", "id").alias("label")))
+    open_ = (named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k"),
+                                      F.sum("n").alias("total"))
+             .where("lo <> hi and k > 2")  # two members are compared by the pivot already
+             .select("key", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks")))
+    rows = _stored(named.join(open_, "key").withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")),
+                   "open")
+    sets = _sets(docs.join(rows.select("id").distinct(), "id", "left_semi"), shingle).join(reps.select("id", "sk"), "id")
     # each pair of blocks is one group; a member goes to all pairs of its block
-    dealt = (rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = (rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets, "id")
              .select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
-                     "own", "id", "label", "sk"))
+                     "own", "id", "label", "sk", "s"))
 
     def compare(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
-        label = table.column("label").to_numpy()
-        own = table.column("own").to_numpy()
-        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        sk = np.frombuffer(b"".join(table.column("sk").to_pylist()), np.uint32).reshape(len(ids), COORDS)
-        a_out, b_out = [], []
-        left = np.flatnonzero(own == p)
-        right = np.flatnonzero(own == q)
-        for i in left:
-            others = right[(label[right] != label[i])]
-            if p == q:
-                others = others[others > i]
-            agree = (sk[others] == sk[i]).mean(1)
-            near = others[agree >= least]
-            a_out += [min(ids[i], ids[j]) for j in near]
-            b_out += [max(ids[i], ids[j]) for j in near]
-        return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+        return pa.table(dict(zip("ab", linked_pairs(table, least, percent))), pa.schema(
+            [("a", pa.int64()), ("b", pa.int64())]))
 
     return dealt.groupBy("key", "p", "q").applyInArrow(compare, "a long, b long").distinct()
 
 
+def linked_pairs(table: pa.Table, least: float, percent: int) -> tuple[list[int], list[int]]:
+    ids, label, own = (table.column(c).to_numpy() for c in ("id", "label", "own"))
+    key, p, q = (table.column(c)[0].as_py() for c in ("key", "p", "q"))
+    band = key & 63
+    n = len(ids)
+    sk = np.frombuffer(b"".join(table.column("sk").to_pylist()), np.uint32).reshape(n, COORDS)
+    sets = [np.frombuffer(x, np.uint64) for x in table.column("s").to_pylist()]
+    size = np.array([len(x) for x in sets])
+    begin = np.concatenate(([0], np.cumsum(size)))
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(int(code.max(initial=0)) + 1, np.int64)
+    _, group = np.unique(label, return_inverse=True)
+    parent = np.arange(group.max() + 1)
+    out: tuple[list[int], list[int]] = ([], [])
+    side = np.flatnonzero(own == q)
+    for i in np.flatnonzero(own == p):
+        others = side[side > i] if p == q else side
+        others = others[parent[group[others]] != parent[group[i]]]
+        same = sk[others] == sk[i]
+        near = same.mean(1) >= least
+        if band:
+            near &= ~same[:, :band * BAND].reshape(len(others), band, BAND).all(2).any(1)
+        others = others[near]
+        if not len(others):
+            continue
+        mark[code[begin[i]:begin[i + 1]]] = 1
+        total = np.concatenate(([0], np.cumsum(mark[code[gather(begin[others], size[others])]])))
+        ends = np.cumsum(size[others])
+        common = total[ends] - total[ends - size[others]]
+        mark[code[begin[i]:begin[i + 1]]] = 0
+        for j in others[100 * common >= percent * (size[i] + size[others] - common)]:
+            a, b = parent[group[i]], parent[group[j]]
+            if a != b:
+                out[0].append(int(min(ids[i], ids[j])))
+                out[1].append(int(max(ids[i], ids[j])))
+                parent[parent == b] = a
+    return out
+
+
+def gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions start .. start + size - 1 of every pair, joined (sizes over 0)."""
+    step = np.ones(int(size.sum()), np.int64)
+    step[0] = start[0]
+    step[np.cumsum(size)[:-1]] = start[1:] - start[:-1] - size[:-1] + 1
+    return np.cumsum(step)
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                     shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``.
@@ -273,7 +313,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     known = all_rows.where("n > 0 and id is not null")
     classes = _stored(known.groupBy("w1", "w2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "classes")
     one = _stored(known.join(classes.select(F.col("rep").alias("id"), "w1", "w2", "n"), ["id", "w1", "w2", "n"],
-                             "left_semi").select("id", "sk").distinct(), "reps")
+                             "left_semi").select("id", "n", "sk").distinct(), "reps")
     members = _bands(one)
     buckets = members.groupBy("key").agg(
         F.min_by("id", F.struct(F.xxhash64("key", "id"), F.col("id"))).alias("pivot"),
@@ -284,14 +324,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     texts = rows.where("id is not null")
     links = _stored(_confirmed(pairs, texts, shingle, percent), "links")
     labels = _stored(components(links), "labels")
-    least = max(0.0, percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / COORDS) ** 0.5)
-    more = _stored(_remaining_pairs(shared.select("key", "id").distinct(), one, labels, least)
-                   .join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = _remaining_links(shared.select("key", "id").distinct(), one, labels, texts, shingle, percent)
     # an id with several texts ties their classes together
     several = known.select("id", "w1", "w2", "n").distinct().groupBy("id").agg(F.count("*").alias("k")).where("k > 1")
     ties = (known.join(several, "id").join(classes, ["w1", "w2", "n"]).where("id <> rep")
             .select(F.col("rep").alias("a"), F.col("id").alias("b")))
-    extra = _stored(_confirmed(more, texts, shingle, percent).union(ties), "links")
+    extra = _stored(more.union(ties), "links")
     if not extra.isEmpty():
         labels = _stored(components(links.union(extra)), "labels")
     # copies: hot classes are salted, so one class is not one task
