@@ -84,8 +84,9 @@ def test_price_lookup_and_costs(spark):
     rows = [("a", 1000000, 1000000, 0), ("a-2024", 1000000, 0, 500000), ("flash", 1000000, 0, 0),
             ("chain", 10, 10, 0), ("to-nothing", 10, 10, 0), ("unknown", 10, 10, 0), ("b", 10, 0, 20),
             ("a", 1, 0, 0)]
-    df = spark.createDataFrame(rows, "model string, input_tokens long, output_tokens long, cached_tokens long")
-    r = pricing.request_costs(pricing.lookup_prices(df, prices, aliases)).collect()
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)],
+                               "k int, model string, input_tokens long, output_tokens long, cached_tokens long")
+    r = pricing.request_costs(pricing.lookup_prices(df, prices, aliases)).orderBy("k").collect()
     from decimal import Decimal as D
     assert (r[0]["input_cost"], r[0]["output_cost"], r[0]["total_cost"]) == (D("2.5"), D("10"), D("12.5"))
     assert r[1]["input_cost"] == D("1.875")                         # 0.5M * 2.5 + 0.5M * 1.25

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tokenledger.session import dim_side, estimated_bytes, spread
+from tokenledger.session import dim_side, estimated_bytes
 
 
 def _plan(df):
@@ -20,13 +20,3 @@ def test_dim_side_broadcasts_only_within_bound(spark):
         assert "BroadcastHashJoin" not in large        # beyond the bound: a shuffle join instead
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
-
-
-def test_spread_only_touches_narrow_inputs(spark):
-    want = spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 1000, numPartitions=want * 2)
-    assert spread(wide, "id") is wide                  # enough partitions: no shuffle added
-    narrow = spark.range(0, 1000, numPartitions=1)
-    spread_df = spread(narrow, "id")
-    assert spread_df.rdd.getNumPartitions() == want
-    assert sorted(r[0] for r in spread_df.collect()) == list(range(1000))

@@ -21,8 +21,6 @@ class LedgerConfig:
     body_mode: str = "object"
     store_request_body: bool = True
     store_response_body: bool = True
-    # Lifetime of the key caches whose effect U1/U2 reproduce.
-    key_cache_ttl_seconds: int = 300
     # Dimensions at most this large (optimizer estimate) are broadcast.
     dim_broadcast_bytes: int = 64 * 1024 * 1024
 

@@ -33,14 +33,20 @@ def extract_headers(headers: Column, cfg: LedgerConfig = DEFAULT) -> Column:
 
 
 def custom_metadata(gw_headers: Column, cfg: LedgerConfig = DEFAULT) -> Column:
-    """Drop the reserved key/provider/alias headers and strip ``<prefix>-``."""
+    """Drop the reserved key/provider/alias headers and strip ``<prefix>-``;
+    of two headers that come to share a name the first one stays."""
     reserved = [cfg.key_header, cfg.provider_header, cfg.alias_header]
     kept = F.map_filter(gw_headers, lambda k, v: ~k.isin(reserved))
-    plen = len(cfg.header_prefix) + 1
-    return F.transform_keys(
-        kept,
-        lambda k, v: F.when(k.startswith(cfg.header_prefix + "-"), F.substring(k, plen + 1, 1 << 30)).otherwise(k),
-    )
+    # one pass over few entries; the map is mentioned once, so plans stay small
+    return F.aggregate(
+        F.map_entries(kept), F.create_map().cast("map<string,string>"),
+        lambda acc, e: F.when(F.map_contains_key(acc, _stripped(e["key"], cfg)), acc)
+        .otherwise(F.map_concat(acc, F.create_map(_stripped(e["key"], cfg), e["value"]))))
+
+
+def _stripped(k: Column, cfg: LedgerConfig) -> Column:
+    head = cfg.header_prefix + "-"
+    return F.when(k.startswith(head), F.substring(k, len(head) + 1, 1 << 30)).otherwise(k)
 
 
 def hash_key(c: Column) -> Column:
@@ -83,11 +89,16 @@ def body_key(api_key_id: Column, request_id: Column, ts: Column) -> Column:
     )
 
 
+def _whole_ms(us: Column) -> Column:
+    """Whole milliseconds, in integer arithmetic."""
+    return F.call_function("div", us - F.pmod(us, F.lit(1000).cast("bigint")), F.lit(1000).cast("bigint"))
+
+
 def response_time_ms(upstream_us: Column, requested_at: Column | None = None,
                      responded_at: Column | None = None) -> Column:
     """Upstream time in whole ms (truncated); wall-clock difference if unrecorded."""
-    ms = F.floor(upstream_us / F.lit(1000)).cast("bigint")
+    ms = _whole_ms(upstream_us)
     if requested_at is not None and responded_at is not None:
-        wall = F.floor((F.unix_micros(responded_at) - F.unix_micros(requested_at)) / F.lit(1000)).cast("bigint")
+        wall = _whole_ms(F.unix_micros(responded_at) - F.unix_micros(requested_at))
         ms = F.coalesce(ms, wall)
     return ms

@@ -68,7 +68,6 @@ GEMINI_USAGE = T.StructType([
 
 MODEL_REQUEST = T.StructType([T.StructField("model", Str())])
 
-USAGE_TYPE = "struct<ok:boolean,model:string,input:bigint,output:bigint,cached:bigint,creation:bigint>"
 
 
 def _z(c: Column) -> Column:

@@ -2,7 +2,9 @@
 
 AES-256-GCM with a random 12-byte nonce; the stored text is
 ``base64(nonce || ciphertext || tag)``, which is the layout Spark's
-``aes_encrypt(..., 'GCM')`` produces. Plaintext is never emitted.
+``aes_encrypt(..., 'GCM')`` produces. Plaintext is never emitted. Results are
+named, so the key is in no column name, and ``get_session`` redacts 32-byte
+literals from plan texts and event logs.
 """
 
 from __future__ import annotations
@@ -36,12 +38,19 @@ def _key(key: str) -> Column:
 
 def encrypt_secret(c: Column, key: str) -> Column:
     """base64 of nonce, ciphertext and tag; random nonce per value."""
-    return F.base64(F.aes_encrypt(c, _key(key), F.lit("GCM")))
+    return F.base64(F.aes_encrypt(c, _key(key), F.lit("GCM"))).alias("encrypted")
 
 
 def secret_ok(c: Column, key: str) -> Column:
     """True when the value decrypts (bad base64, short, tampered or wrong key -> false)."""
+    return _decrypted(c, key).isNotNull().alias("decryptable")
+
+
+def secret_set(c: Column, key: str) -> Column:
+    """True when the value decrypts to a text that is not empty."""
+    return F.coalesce(F.octet_length(_decrypted(c, key)) > 0, F.lit(False)).alias("secret_set")
+
+
+def _decrypted(c: Column, key: str) -> Column:
     data = F.try_to_binary(c, F.lit("base64"))
-    long_enough = F.coalesce(F.octet_length(data) >= 28, F.lit(False))
-    dec = F.try_aes_decrypt(data, _key(key), F.lit("GCM"))
-    return long_enough & dec.isNotNull()
+    return F.when(F.octet_length(data) >= 28, F.try_aes_decrypt(data, _key(key), F.lit("GCM")))

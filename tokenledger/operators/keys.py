@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tokenledger.config import DEFAULT, LedgerConfig
 from tokenledger.functions.headers import hash_key, strip_bearer
-from tokenledger.functions.secrets import secret_ok
+from tokenledger.functions.secrets import secret_ok, secret_set
 from tokenledger.session import dim_side
 
 
@@ -27,6 +27,13 @@ def api_key_status(found, is_active, revoked_at, given):
     )
 
 
+def _spread_key(key_hash, df: DataFrame):
+    """The join key; rows without one get values that match nothing, so in a
+    shuffle join they spread over all tasks instead of meeting in one."""
+    ids = [c for c in ("request_id", "event_id") if c in df.columns]
+    return F.coalesce(key_hash, F.concat(F.lit("none-"), F.col(ids[0]).cast("string"))) if ids else key_hash
+
+
 def resolve_api_keys(df: DataFrame, api_keys: DataFrame, key_col: str = "api_key",
                      extra: DataFrame | None = None, cfg: LedgerConfig = DEFAULT) -> DataFrame:
     """Hash the gateway key and look it up.
@@ -43,7 +50,7 @@ def resolve_api_keys(df: DataFrame, api_keys: DataFrame, key_col: str = "api_key
     if extra is not None:
         dim = dim.join(extra.withColumnRenamed("api_key_id", "_ak_id"), "_ak_id", "left")
     df = df.withColumn("_key_hash", hash_key(F.col(key_col)))
-    j = df.join(dim_side(dim, cfg.dim_broadcast_bytes), F.col("_key_hash") == F.col("_ak_hash"), "left")
+    j = df.join(dim_side(dim, cfg.dim_broadcast_bytes), _spread_key(F.col("_key_hash"), df) == F.col("_ak_hash"), "left")
     found = F.col("_ak_hash").isNotNull()
     status = api_key_status(found, F.col("_ak_active"), F.col("_ak_revoked"), F.col("_key_hash").isNotNull())
     ok = status == "ok"
@@ -57,13 +64,17 @@ def resolve_api_keys(df: DataFrame, api_keys: DataFrame, key_col: str = "api_key
 
 
 def proxy_dimension(proxy_keys: DataFrame, mappings: DataFrame, secret: str) -> DataFrame:
-    """Proxy keys with their mappings folded in as ``provider -> decryptable``.
+    """Proxy keys with their mappings folded in as ``provider -> <decryptable,
+    not empty>``.
 
-    Decryption is checked once per stored mapping, not once per request.
-    (proxy_key_id, provider) is unique, so the map has no duplicate keys.
+    Decryption is checked once per stored mapping, not once per request; a
+    (proxy key, provider) pair stored twice counts with its better row.
     """
     per_key = (
-        mappings.select("proxy_key_id", "provider", secret_ok(F.col("encrypted_key"), secret).alias("ok"))
+        mappings.select("proxy_key_id", "provider", F.struct(
+            secret_ok(F.col("encrypted_key"), secret).alias("readable"),
+            secret_set(F.col("encrypted_key"), secret).alias("set")).alias("ok"))
+        .groupBy("proxy_key_id", "provider").agg(F.max("ok").alias("ok"))
         .groupBy("proxy_key_id")
         .agg(F.map_from_entries(F.collect_list(F.struct("provider", "ok"))).alias("mapped"))
     )
@@ -80,13 +91,14 @@ def resolve_proxy_keys(df: DataFrame, proxy_keys: DataFrame, mappings: DataFrame
     """Proxy key checks, in order: passthrough (not a proxy key),
     not_found, revoked, inactive, wrong_owner, no_mapping, decrypt_failed, ok.
 
-    Adds ``proxy_status`` and ``proxy_key_id`` (set when ok).
+    Adds ``proxy_status`` and ``proxy_key_id`` (set when ok and the stored
+    provider key is not empty).
     """
     token = strip_bearer(F.col(auth_col))
     is_proxy = token.startswith(cfg.proxy_key_prefix)
     df = df.withColumn("_pk_token_hash", F.when(is_proxy, F.sha2(token, 256)))
     dim = dim_side(proxy_dimension(proxy_keys, mappings, secret), cfg.dim_broadcast_bytes)
-    j = df.join(dim, F.col("_pk_token_hash") == F.col("_pk_hash"), "left")
+    j = df.join(dim, _spread_key(F.col("_pk_token_hash"), df) == F.col("_pk_hash"), "left")
     mapped = F.element_at(F.col("mapped"), F.col(provider_col))
     has_mapping = F.coalesce(F.map_contains_key(F.col("mapped"), F.col(provider_col)), F.lit(False))
     status = (
@@ -96,12 +108,12 @@ def resolve_proxy_keys(df: DataFrame, proxy_keys: DataFrame, mappings: DataFrame
         .when(~F.col("_pk_active"), F.lit("inactive"))
         .when(~F.coalesce(F.col("_pk_owner") == F.col(api_key_id_col), F.lit(False)), F.lit("wrong_owner"))
         .when(~has_mapping, F.lit("no_mapping"))
-        .when(~F.coalesce(mapped, F.lit(False)), F.lit("decrypt_failed"))
+        .when(~F.coalesce(mapped["readable"], F.lit(False)), F.lit("decrypt_failed"))
         .otherwise(F.lit("ok"))
     )
     return (
         j.withColumn("proxy_status", status)
-        .withColumn("proxy_key_id", F.when(F.col("proxy_status") == "ok", F.col("_pk_id")))
+        .withColumn("proxy_key_id", F.when((F.col("proxy_status") == "ok") & mapped["set"], F.col("_pk_id")))
         .drop("_pk_token_hash", "_pk_hash", "_pk_id", "_pk_owner", "_pk_active", "_pk_revoked", "mapped")
     )
 

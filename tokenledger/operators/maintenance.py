@@ -16,12 +16,17 @@ from pyspark.sql import functions as F
 from tokenledger.session import dim_side
 
 
+# Fixed value: length of the metadata-key name column.
+MAX_KEY_NAME = 255
+
+
 def _last_per_key(changes: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
-    """Later changes to the same key replace earlier ones (by ``seq``).
+    """Later changes to the same key replace earlier ones (by ``seq``; of
+    changes with equal ``seq`` the largest row wins, so a retry agrees).
 
     A max_by aggregation: partial per partition, bounded per key."""
     other = [c for c in changes.columns if c not in keys]
-    agg = changes.groupBy(*keys).agg(F.max_by(F.struct(*other), F.col(seq)).alias("_c"))
+    agg = changes.groupBy(*keys).agg(F.max_by(F.struct(*other), F.struct(seq, F.struct(*other))).alias("_c"))
     return agg.select(*keys, *[F.col(f"_c.{c}").alias(c) for c in other])
 
 
@@ -64,8 +69,9 @@ def upsert_mappings_annotated(mappings: DataFrame, changes: DataFrame, now: Colu
 
 def register_metadata_keys(metadata_keys: DataFrame, observed: DataFrame) -> DataFrame:
     """M2: ON CONFLICT DO NOTHING. ``observed`` (api_key_id, key_name) pairs
-    not yet registered are added, inactive. Adds ``is_new``."""
-    seen = observed.select("api_key_id", "key_name").distinct()
+    not yet registered are added, inactive. Adds ``is_new``. Names longer
+    than the table's column are left to ``refused_metadata_keys``."""
+    seen = observed.where(F.length("key_name") <= MAX_KEY_NAME).select("api_key_id", "key_name").distinct()
     new = seen.join(metadata_keys.select("api_key_id", "key_name"), ["api_key_id", "key_name"], "left_anti")
     defaults = {"is_active": F.lit(False), "key_type": F.lit("string"), "is_required": F.lit(False),
                 "request_count": F.lit(0), "approx_cardinality": F.lit(0)}
@@ -76,6 +82,12 @@ def register_metadata_keys(metadata_keys: DataFrame, observed: DataFrame) -> Dat
     return metadata_keys.withColumn("is_new", F.lit(False)).unionByName(added.withColumn("is_new", F.lit(True)))
 
 
+def refused_metadata_keys(observed: DataFrame) -> DataFrame:
+    """Observed pairs that M2 cannot register, with the reason."""
+    return (observed.where(F.length("key_name") > MAX_KEY_NAME).select("api_key_id", "key_name").distinct()
+            .withColumn("reason", F.lit("key_name_too_long")))
+
+
 def revoke_keys(keys: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     """M3: ``is_active = false, revoked_at = now`` only where still active.
 
@@ -140,19 +152,19 @@ def delete_mappings(mappings: DataFrame, deletes: DataFrame) -> tuple[DataFrame,
 
 def create_keys(keys: DataFrame, new_keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """M6: insert with a UNIQUE key_hash, in ``seq`` order: the first of a
-    hash wins, later ones in the batch and hashes already stored are refused.
+    hash wins (the smaller id among equal ``seq``), later ones in the batch and hashes already stored are refused.
 
     ``new_keys``: id, key_hash, name, description, seq (+ owner columns).
     New rows are active with request_count 0.
     """
     # first seq per hash by aggregation (map-side partial), not a window sort,
     # so a hash repeated many times never lands in one sorted partition
-    firsts = new_keys.groupBy("key_hash").agg(F.min("seq").alias("_first"))
+    firsts = new_keys.groupBy("key_hash").agg(F.min(F.struct("seq", "id")).alias("_first"))
     existing = keys.select("key_hash", F.lit(True).alias("_exists"))
     tagged = new_keys.join(firsts, "key_hash", "inner").join(existing, "key_hash", "left").withColumn(
         "status",
         F.when(F.col("_exists"), F.lit("duplicate_existing"))
-        .when(F.col("seq") != F.col("_first"), F.lit("duplicate_in_batch"))
+        .when(F.struct("seq", "id") != F.col("_first"), F.lit("duplicate_in_batch"))
         .otherwise(F.lit("created")))
     created = tagged.where(F.col("status") == "created")
     cols = keys.columns

@@ -12,72 +12,41 @@ PRICE_STRUCT = ["input_price", "output_price", "cached_price"]
 COST_TYPE = "decimal(12,8)"
 
 
+def one_price(prices: DataFrame, *keys: str) -> DataFrame:
+    """One row per model (and ``keys``): the largest price where a list names
+    a model twice; rows without a model are dropped."""
+    return (prices.where(F.col("model").isNotNull()).groupBy("model", *keys)
+            .agg(F.max(F.struct(*PRICE_STRUCT)).alias("price")))
+
+
+def one_target(aliases: DataFrame) -> DataFrame:
+    """One target per alias (the largest where a list names an alias twice)."""
+    return aliases.where("alias is not null").groupBy("alias").agg(F.max("target").alias("target"))
+
+
 def price_lookup(prices: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Every model name that has a price -> ``price`` struct.
+    """Every model name that has a price -> ``price`` struct, one row a name.
 
     Exact names first; an alias only for names without an exact price, and
     only one hop (an alias pointing at another alias finds nothing).
     """
-    exact = prices.select(F.col("model").alias("name"), F.struct(*PRICE_STRUCT).alias("price"))
-    via = (
-        aliases.join(prices, aliases["target"] == prices["model"], "inner")
-        .select(F.col("alias").alias("name"), F.struct(*PRICE_STRUCT).alias("price"))
-        .join(prices.select(F.col("model").alias("name")), "name", "left_anti")
-    )
+    exact = one_price(prices).select(F.col("model").alias("name"), "price")
+    via = (one_target(aliases).join(exact, F.col("target") == F.col("name"), "inner").select(F.col("alias").alias("name"), "price")
+           .join(exact.select("name"), "name", "left_anti"))
     return exact.unionByName(via)
 
 
-# Price lists are configuration (tens to hundreds of models). Up to this many
-# resolved names the lookup is a literal map evaluated in the projection, with
-# no join at all; beyond it, a (size-checked broadcast) join.
-MAX_LITERAL_PRICES = 50_000
-
-
-def _price_lit(p) -> Column:
-    return F.struct(*[F.lit(float(p[c])).cast("double").alias(c) for c in PRICE_STRUCT])
-
-
-def _bounded_rows(df: DataFrame, limit: int):
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
-
-
-def resolved_prices(prices: DataFrame, aliases: DataFrame, limit: int = MAX_LITERAL_PRICES):
-    """``{name: (input, output, cached)}`` for every priceable name, computed
-    on the driver from the two small configuration tables (None when either
-    is beyond ``limit`` rows). Same rule as ``price_lookup``."""
-    p_rows = _bounded_rows(prices.select("model", *PRICE_STRUCT), limit)
-    a_rows = _bounded_rows(aliases.select("alias", "target"), limit)
-    if p_rows is None or a_rows is None:
-        return None
-    exact = {r["model"]: tuple(float(r[c]) for c in PRICE_STRUCT) for r in p_rows}
-    out = dict(exact)
-    for r in a_rows:
-        if r["alias"] not in exact and r["target"] in exact:
-            out[r["alias"]] = exact[r["target"]]
-    return out
-
-
 def lookup_prices(df: DataFrame, prices: DataFrame, aliases: DataFrame, model_col: str = "model",
                   cfg: LedgerConfig = DEFAULT) -> DataFrame:
     """Adds ``price`` (struct or null) and ``model_alias_found``.
 
-    The price list is configuration: when it is within ``MAX_LITERAL_PRICES``
-    names it is resolved once and applied as a literal map lookup inside the
-    fact projection (no join, no shuffle); a larger list is joined instead
-    (size-checked broadcast, else a shuffle join).
-    """
-    resolved = resolved_prices(prices, aliases)
-    if resolved is not None:
-        pairs = []
-        for name, vals in resolved.items():
-            pairs += [F.lit(name), F.struct(*[F.lit(v).alias(c) for v, c in zip(vals, PRICE_STRUCT)])]
-        m = F.create_map(*pairs) if pairs else F.create_map().cast(
-            "map<string,struct<input_price:double,output_price:double,cached_price:double>>")
-        price = F.element_at(m, F.col(model_col))
-        return df.withColumns({"price": price, "model_alias_found": price.isNotNull()})
+    One join whatever the size of the price list: a broadcast behind a size
+    check, else a shuffle join. A null model finds no price."""
     lk = dim_side(price_lookup(prices, aliases).withColumnRenamed("name", "_price_name"), cfg.dim_broadcast_bytes)
-    j = df.join(lk, F.col(model_col) == F.col("_price_name"), "left").drop("_price_name")
+    # null-safe, though no name is null: for a plain equality the optimizer
+    # would trace the model back through all decode expressions (dynamic
+    # partition pruning), which takes longer than the query
+    j = df.join(lk, F.col(model_col).eqNullSafe(F.col("_price_name")), "left").drop("_price_name")
     return j.withColumn("model_alias_found", F.col("price").isNotNull())
 
 
@@ -114,37 +83,15 @@ def reprice_as_of(df: DataFrame, price_versions: DataFrame, aliases: DataFrame,
     Alias resolution is the same one-hop rule as J3, applied per version.
     """
     w = Window.partitionBy("model").orderBy("effective_from")
-    versions = price_versions.withColumn("valid_to", F.lead("effective_from").over(w))
-    exact = versions.select(F.col("model").alias("name"), "effective_from", "valid_to", *PRICE_STRUCT)
-    exact_names = versions.select(F.col("model").alias("name")).distinct()
-    via = (
-        aliases.join(versions, aliases["target"] == versions["model"], "inner")
-        .select(F.col("alias").alias("name"), "effective_from", "valid_to", *PRICE_STRUCT)
-        .join(exact_names, "name", "left_anti")
-    )
-    lk = exact.unionByName(via)
-    rows = lk.limit(MAX_LITERAL_PRICES + 1).collect()
+    exact = (one_price(price_versions, "effective_from").withColumn("valid_to", F.lead("effective_from").over(w))
+             .withColumnRenamed("model", "name"))
+    via = (one_target(aliases).join(exact, F.col("target") == F.col("name"), "inner")
+           .select(F.col("alias").alias("name"), "effective_from", "price", "valid_to")
+           .join(exact.select("name").distinct(), "name", "left_anti"))
+    lk = exact.unionByName(via).select(F.col("name").alias("_v_name"), F.col("effective_from").alias("_v_from"),
+                                       F.col("valid_to").alias("_v_to"), "price")
     ts = F.col(ts_col)
-    if len(rows) <= MAX_LITERAL_PRICES:
-        by_name: dict[str, list] = {}
-        for r in rows:
-            by_name.setdefault(r["name"], []).append(r)
-        pairs = []
-        for name, vs in by_name.items():
-            pairs += [F.lit(name), F.array(*[F.struct(
-                F.lit(v["effective_from"]).alias("from"), F.lit(v["valid_to"]).cast("timestamp").alias("to"),
-                _price_lit(v).alias("price")) for v in sorted(vs, key=lambda v: v["effective_from"])])]
-        versions_of = F.element_at(F.create_map(*pairs), F.col(model_col)) if pairs else F.lit(None)
-        hit = F.filter(versions_of, lambda v: (ts >= v["from"]) & (v["to"].isNull() | (ts < v["to"])))
-        j = df.withColumn("price", F.try_element_at(hit, F.lit(1))["price"])
-    else:
-        lk = lk.select(
-            F.col("name").alias("_v_name"), F.col("effective_from").alias("_v_from"),
-            F.col("valid_to").alias("_v_to"), F.struct(*PRICE_STRUCT).alias("price"))
-        cond = (
-            (F.col(model_col) == F.col("_v_name"))
-            & (ts >= F.col("_v_from"))
-            & (F.col("_v_to").isNull() | (ts < F.col("_v_to")))
-        )
-        j = df.join(dim_side(lk, cfg.dim_broadcast_bytes), cond, "left").drop("_v_name", "_v_from", "_v_to")
+    cond = (F.col(model_col).eqNullSafe(F.col("_v_name")) & (ts >= F.col("_v_from"))
+            & (F.col("_v_to").isNull() | (ts < F.col("_v_to"))))
+    j = df.join(dim_side(lk, cfg.dim_broadcast_bytes), cond, "left").drop("_v_name", "_v_from", "_v_to")
     return j.withColumn("model_alias_found", F.col("price").isNotNull())

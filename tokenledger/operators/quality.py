@@ -10,16 +10,23 @@ INT_COLUMNS = ["input_tokens", "output_tokens", "cached_tokens", "cache_creation
 TEXT_COLUMNS = ["model", "provider", "request_path", "error_message", "request_body", "response_body",
                 "provider_api_key_alias"]
 # Column length limits of the log table.
+# columns the log table declares NOT NULL
+REQUIRED = ["provider", "model", "request_path", "request_method", "requested_at", "responded_at", "response_time_ms",
+            "input_tokens", "output_tokens", "status_code"]
 MAX_LEN = {"provider": 100, "model": 100, "provider_api_key_alias": 255, "provider_api_key_hash": 64}
 
 
 def loggable(df: DataFrame) -> DataFrame:
-    """valid API key, acceptable proxy key and an upstream response."""
-    return df.where(
-        (F.col("api_key_status") == "ok")
-        & F.col("proxy_status").isin("ok", "passthrough")
-        & F.col("status_code").isNotNull()
-    )
+    """valid API key, acceptable proxy key and an upstream response.
+
+    Input lines that could not be read (``_corrupt_record``) pass, so that Q1
+    reports them instead of losing them."""
+    keep = ((F.col("api_key_status") == "ok") & F.col("proxy_status").isin("ok", "passthrough")
+            & F.col("status_code").isNotNull())
+    return df.where(keep | F.col(CORRUPT).isNotNull() if CORRUPT in df.columns else keep)
+
+
+CORRUPT = "_corrupt_record"
 
 
 def _has_nul(c: Column) -> Column:
@@ -28,7 +35,12 @@ def _has_nul(c: Column) -> Column:
 
 def reject_reason(df: DataFrame) -> Column:
     """First constraint a row breaks, else null."""
-    chain = F.when(F.col("provider").isNull() | F.col("model").isNull(), F.lit("not_null"))
+    missing = F.lit(False)
+    for col in REQUIRED:
+        if col in df.columns:
+            missing = missing | F.col(col).isNull()
+    chain = F.when(F.col(CORRUPT).isNotNull(), F.lit("corrupt_record")).when(missing, F.lit("not_null")) \
+        if CORRUPT in df.columns else F.when(missing, F.lit("not_null"))
     for col, n in MAX_LEN.items():
         chain = chain.when(F.coalesce(F.length(col) > n, F.lit(False)), F.lit(f"{col}_too_long"))
     for col in INT_COLUMNS:
@@ -42,7 +54,11 @@ def reject_reason(df: DataFrame) -> Column:
     if "raw_metadata" in df.columns:
         nul = nul | F.coalesce(F.exists(F.map_values("raw_metadata"), lambda v: _has_nul(v)), F.lit(False)) \
             | F.coalesce(F.exists(F.map_keys("raw_metadata"), lambda v: _has_nul(v)), F.lit(False))
-    return chain.when(nul, F.lit("nul_in_text"))
+    broken = F.lit(False)
+    for col in TEXT_COLUMNS:
+        if col in df.columns:
+            broken = broken | ~F.coalesce(F.is_valid_utf8(F.col(col)), F.lit(True))
+    return chain.when(nul, F.lit("nul_in_text")).when(broken, F.lit("invalid_utf8"))
 
 
 def with_reject_reason(df: DataFrame) -> DataFrame:

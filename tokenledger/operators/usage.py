@@ -61,17 +61,9 @@ def _memo(key: tuple, build) -> Column:
     return _EXPRS[k]
 
 
-def with_decode_ok(df: DataFrame, raw: str, schema: T.StructType, single: Column, null_doc: Column,
-                   body: Column, out: str) -> DataFrame:
-    """Add boolean ``out``: the strict decode of ``body`` (parsed into column
-    ``raw``) succeeds. The rare variant re-parse is a column of its own."""
-    return with_decode_oks(df, [(raw, schema, out)], single, null_doc, body)
-
-
-
 def with_decode_oks(df: DataFrame, specs: list[tuple[str, T.StructType, str]], single: Column,
                     null_doc: Column, body: Column, body_name: str | None = None) -> DataFrame:
-    """``with_decode_ok`` for several (raw column, schema, out) at once: one
+    """Add a boolean per (raw column, schema, out): the strict decode of ``body`` succeeds; one
     projection for the rare variant re-parses, one for the flags."""
     checks, susp = {}, {}
     for raw, schema, out in specs:
@@ -190,24 +182,30 @@ def translate_requests(df: DataFrame, body: str = "request_body", out: str = "tr
     """
     df = _strict(df, body, OPENAI_REQUEST, "_oreq")
     v = F.col("_oreq.v")
-    msgs = F.coalesce(v["messages"], F.array().cast("array<struct<role:string,content:string>>"))
+    # a missing or null role, content or message reads as empty text
+    msgs = F.transform(F.coalesce(v["messages"], F.array().cast("array<struct<role:string,content:string>>")),
+                       lambda m: F.struct(F.coalesce(m["role"], F.lit("")).alias("role"),
+                                          F.coalesce(m["content"], F.lit("")).alias("content")))
     system_msgs = F.filter(msgs, lambda m: m["role"] == "system")
     others = F.filter(msgs, lambda m: m["role"] != "system")
     system = F.try_element_at(system_msgs, F.lit(-1))["content"]
     max_tokens = F.coalesce(v["max_tokens"], F.lit(DEFAULT_MAX_TOKENS).cast("bigint"))
-    anth = F.struct(
+    # model, messages and max_tokens are always written (no messages: null)
+    always = F.to_json(F.struct(
         F.coalesce(v["model"], F.lit("")).alias("model"),
         F.when(F.size(others) > 0, others).alias("messages"),
+        max_tokens.alias("max_tokens")), {"ignoreNullFields": "false"})
+    given = F.to_json(F.struct(
         F.nullif(system, F.lit("")).alias("system"),
-        max_tokens.alias("max_tokens"),
         v["temperature"].alias("temperature"),
         v["top_p"].alias("top_p"),
-        v["stream"].alias("stream"),
-    )
+        v["stream"].alias("stream")))
+    text = F.when(given == "{}", always).otherwise(
+        F.concat(F.substr(always, F.lit(1), F.length(always) - 1), F.lit(","), F.substr(given, F.lit(2))))
     ok = F.col("_oreq.ok")
     res = F.struct(
         ok.alias("ok"),
-        F.when(ok, F.to_json(anth)).alias("body"),
+        F.when(ok, text).alias("body"),
         F.when(ok, F.lit(TRANSLATED_PATH)).alias("path"),
         F.when(ok, F.coalesce(system, F.lit(""))).alias("system"),
         F.when(ok, F.size(others)).alias("n_messages"),

@@ -232,11 +232,16 @@ def _resolved(spark, sf):
     return enrich.resolve(ex, dims, cfg)
 
 
+def _api_keys_resolved(spark, sf):
+    ex, dims, cfg = _inputs(spark, sf)
+    return keys.resolve_api_keys(enrich.prepare(ex, cfg), dims.api_keys, "api_key", cfg=cfg)
+
+
 @register("resolve_api_keys", with_base(
     f"SELECT request_id, api_key_status, CASE WHEN api_key_status <> 'not_found' THEN {uuid_sql(chr(39) + 'ak-' + chr(39) + ' || user_id')} END AS api_key_id FROM res"))
 def q_resolve_api_keys(spark, sf):
     """Status of every exchange's gateway key."""
-    return _resolved(spark, sf).select("request_id", "api_key_status", "api_key_id")
+    return _api_keys_resolved(spark, sf).select("request_id", "api_key_status", "api_key_id")
 
 
 @register("resolve_proxy_keys", with_base(
@@ -373,10 +378,9 @@ def _parser_sql(rs: str, inp: str, cached: str, creation: str) -> str:
         f"FROM lg0 WHERE r IN ({rs})")
 
 
-def _parse_query(spark, sf, rs: list[int], fn):
-    ex, _, _ = _inputs(spark, sf)
-    r = F.col("event_id") % 6
-    d = ex.where(F.col("status_code").isNotNull() & r.isin(rs))
+def _parse_query(spark, sf, providers: list[str], fn):
+    _, d, _ = _prepared(spark, sf)
+    d = d.where(F.col("status_code").isNotNull() & F.col("prov.provider").isin(providers))
     u = fn(F.col("response_body"))
     return d.select("request_id", u["ok"].alias("ok"), u["model"].alias("model"), u["input"].alias("input"),
                     u["output"].alias("output"), u["cached"].alias("cached"), u["creation"].alias("creation"))
@@ -385,19 +389,19 @@ def _parse_query(spark, sf, rs: list[int], fn):
 @register("parse_usage_openai", _parser_sql("0, 1, 5", "tin", "cached", "CAST(0 AS BIGINT)"))
 def q_parse_usage_openai(spark, sf):
     """P5: Chat and Responses usage; Responses fields win when they report tokens."""
-    return _parse_query(spark, sf, [0, 1, 5], P.parse_usage_openai)
+    return _parse_query(spark, sf, ["openai", "azure", "gemini-openai", "bedrock", "unknown"], P.parse_usage_openai)
 
 
 @register("parse_usage_anthropic", _parser_sql("2, 4", "tin + creation", "cached", "creation"))
 def q_parse_usage_anthropic(spark, sf):
     """Input normalised to include cache reads and creation."""
-    return _parse_query(spark, sf, [2, 4], P.parse_usage_anthropic)
+    return _parse_query(spark, sf, ["anthropic", "anthropic-openai"], P.parse_usage_anthropic)
 
 
 @register("parse_usage_gemini", _parser_sql("3", "tin", "cached", "CAST(0 AS BIGINT)"))
 def q_parse_usage_gemini(spark, sf):
     """usageMetadata counts, model from modelVersion."""
-    return _parse_query(spark, sf, [3], P.parse_usage_gemini)
+    return _parse_query(spark, sf, ["gemini"], P.parse_usage_gemini)
 
 
 @register("usage_metrics", with_base(
@@ -418,7 +422,8 @@ def q_usage_metrics(spark, sf):
 SELECT conv_id, TRUE AS ok, '/v1/messages' AS path,
   COALESCE(arg_max(CASE WHEN role = 'system' THEN text END, CASE WHEN role = 'system' THEN turn END), '') AS system,
   CAST(COUNT(*) FILTER (WHERE role <> 'system') AS INTEGER) AS n_messages,
-  CASE WHEN conv_id % 2 = 0 THEN 256 + conv_id ELSE 4096 END AS max_tokens
+  CASE WHEN conv_id % 2 = 0 THEN 256 + conv_id ELSE 4096 END AS max_tokens,
+  md5(COALESCE(string_agg(CASE WHEN role <> 'system' THEN role || ':' || text END, chr(10) ORDER BY turn), '')) AS messages_md5
 FROM conversations GROUP BY conv_id""")
 def q_translate_requests(spark, sf):
     """P9 over chat requests built from every conversation."""
@@ -426,7 +431,11 @@ def q_translate_requests(spark, sf):
     t = usage.translate_requests(chat_requests(spark, sf), "request_body")
     return t.select("conv_id", F.col("translated.ok").alias("ok"), F.col("translated.path").alias("path"),
                     F.col("translated.system").alias("system"), F.col("translated.n_messages").alias("n_messages"),
-                    F.col("translated.max_tokens").alias("max_tokens"))
+                    F.col("translated.max_tokens").alias("max_tokens"),
+                    F.md5(F.array_join(F.transform(
+                        F.coalesce(F.from_json("translated.body", "messages array<struct<role:string,content:string>>")["messages"],
+                                   F.array().cast("array<struct<role:string,content:string>>")),
+                        lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n")).alias("messages_md5"))
 
 
 @register("translate_responses", f"""
@@ -707,40 +716,43 @@ def q_drop_proxy_keys_cascade(spark, sf):
 
 # --- key usage counters ----------------------------------------------------
 
+_USED = "SELECT user_id AS key, COUNT(*) AS n, MAX(requested_at) AS t FROM res WHERE api_key_status = 'ok' GROUP BY user_id"
+
+
 @register("api_key_usage", with_base(
-    "SELECT " + uuid_sql("'ak-' || u.key") + " AS api_key_id, CAST(COUNT(*) AS BIGINT) AS requests, "
-    "MAX(u.t) AS last_used_at, CAST(MAX(c.touches) AS BIGINT) AS touches FROM used u "
-    "JOIN (SELECT key, COUNT(*) AS touches FROM chain GROUP BY key) c USING (key) GROUP BY u.key",
-    """used AS (SELECT user_id AS key, requested_at AS t FROM res WHERE api_key_status = 'ok'),
-chain(key, bump) AS (
-  SELECT key, MIN(t) FROM used GROUP BY key
-  UNION ALL
-  SELECT c.key, MIN(u.t) FROM chain c JOIN used u ON u.key = c.key AND u.t > c.bump + INTERVAL 300 SECOND
-  GROUP BY c.key)""", recursive=True))
+    "SELECT " + uuid_sql("'ak-' || key") + f" AS api_key_id, CAST(n AS BIGINT) AS requests, t AS last_used_at FROM ({_USED})"))
 def q_api_key_usage(spark, sf):
-    """Exact request counts plus the gateway's cache-miss bump count."""
-    from tokenledger.operators import touches
-    return touches.api_key_usage(_resolved(spark, sf)).select("api_key_id", "requests", "last_used_at", "touches")
+    """Requests and last use of every API key."""
+    from tokenledger.operators import key_usage
+    return key_usage.api_key_usage(_api_keys_resolved(spark, sf)).select("api_key_id", "requests", "last_used_at")
 
 
-@register("proxy_key_usage")
+@register("proxy_key_usage", with_base(
+    "SELECT " + uuid_sql("'pk-' || proxy_j") + " AS proxy_key_id, CAST(COUNT(*) AS BIGINT) AS requests, "
+    "MAX(requested_at) AS last_used_at FROM res WHERE proxy_status = 'ok' GROUP BY proxy_j"))
 def q_proxy_key_usage(spark, sf):
-    """As U1 for proxy keys, hits need the (key, provider) pair cached."""
-    from tokenledger.operators import touches
-    return touches.proxy_key_usage(_resolved(spark, sf)).select("proxy_key_id", "requests", "last_used_at", "touches")
+    """As U1 for proxy keys."""
+    from tokenledger.operators import key_usage
+    return key_usage.proxy_key_usage(_resolved(spark, sf)).select("proxy_key_id", "requests", "last_used_at")
+
+
+def _counted_keys(spark, sf):
+    """API keys with their usage folded in."""
+    from tokenledger.operators import key_usage
+    return key_usage.apply_usage(FX.api_keys(spark, sf), key_usage.api_key_usage(_api_keys_resolved(spark, sf)), "api_key_id")
 
 
 # --- listings --------------------------------------------------------------
 
-@register("list_api_keys", f"""
+@register("list_api_keys", with_base(f"""
 SELECT {uuid_sql("'ak-' || c_custkey")} AS id, c_name AS name,
   CASE WHEN c_custkey % 10 NOT IN (7, 8) THEN 'active' ELSE 'revoked' END AS status,
-  {AK_CREATED} AS created_at, CAST(0 AS BIGINT) AS request_count
-FROM customer ORDER BY created_at DESC""")
+  {AK_CREATED} AS created_at, CAST(COALESCE(u.n, 0) AS BIGINT) AS request_count
+FROM customer LEFT JOIN ({_USED}) u ON u.key = c_custkey ORDER BY created_at DESC"""))
 def q_list_api_keys(spark, sf):
-    """L1."""
+    """L1, with the counts of U1 folded in."""
     from tokenledger.operators import listings as L
-    return L.list_api_keys(FX.api_keys(spark, sf))
+    return L.list_api_keys(_counted_keys(spark, sf))
 
 
 @register("list_api_keys_by_user", f"""
@@ -826,7 +838,7 @@ def _stream_source(spark, sf) -> str:
     from tokenledger.sources import bodies
     ex, _, _ = _inputs(spark, sf)
     src = scratch_path(spark, "exchanges")
-    bodies.write_exchanges(ex, src, files=8)
+    bodies.write_exchanges(ex, src)
     return src
 
 

@@ -8,7 +8,7 @@ the broadcast bound):
       -> join proxy-key dim (+ mappings folded in)            (size-checked broadcast)
       -> F1 gate, before any JSON is parsed
       -> usage decode (one parse per body), translation path   (narrow)
-      -> price lookup: literal map of the bounded price list  (narrow, no join)
+      -> price lookup: join of the deduplicated price list    (size-checked broadcast)
       -> costs, error text, body pointers, reject reason       (narrow)
 """
 
@@ -23,20 +23,12 @@ from tokenledger.functions.providers import detect_provider
 from tokenledger.operators import keys, metadata, pricing, quality, usage
 from tokenledger.plans.fixtures import Dims
 
-LOG_COLUMNS = [
-    "id", "user_id", "api_key_id", "proxy_key_id", "provider_api_key_hash", "provider_api_key_alias",
-    "provider", "model", "request_path", "request_method", "requested_at", "responded_at", "response_time_ms",
-    "input_tokens", "output_tokens", "cached_tokens", "cache_creation_tokens",
-    "input_cost", "output_cost", "total_cost", "status_code", "error_message",
-    "raw_metadata", "indexed_metadata", "request_body", "response_body", "created_at", "body_s3_key",
-    "model_alias_found", "requested_date",
-]
-
-
 def prepare(exchanges: DataFrame, cfg: LedgerConfig = DEFAULT) -> DataFrame:
     """Narrow projection of the exchange columns the log needs."""
     gw = H.extract_headers(F.col("headers"), cfg)
+    corrupt = [quality.CORRUPT] if quality.CORRUPT in exchanges.columns else []
     return exchanges.select(
+        *corrupt,
         "request_id", "requested_at", "responded_at", "upstream_us", "method", "path",
         "authorization", "request_body", "status_code", "response_headers", "response_body",
         gw.alias("gw_headers"),
@@ -78,13 +70,17 @@ def body_envelopes(exchanges: DataFrame, dims: Dims, cfg: LedgerConfig = DEFAULT
 
 def enrich_requests(exchanges: DataFrame, dims: Dims, cfg: LedgerConfig = DEFAULT,
                     with_reason: bool = True) -> DataFrame:
-    """The request log, one row per loggable exchange, ``LOG_COLUMNS``
-    (+ ``reject_reason`` for Q1). Counts are bigint until Q1 narrows them."""
+    """The request log, one row per loggable exchange
+    (+ ``reject_reason`` for Q1; unreadable input lines become rejects too). Counts are bigint until Q1 narrows them."""
     df = logged_exchanges(exchanges, dims, cfg)
     df = usage.usage_metrics(df, provider="provider_detected")
     df = pricing.lookup_prices(df.withColumn("model", F.col("usage.model")), dims.prices, dims.aliases, "model", cfg)
     raw_meta = H.custom_metadata(F.col("gw_headers"), cfg)
     store = cfg.body_mode == "table"
+    message = H.error_message(F.col("status_code"), F.col("response_body"), cfg)
+    corrupt = quality.CORRUPT in df.columns
+    if corrupt:
+        message = F.coalesce(message, H.truncate_bytes(F.col(quality.CORRUPT), cfg.error_message_bytes))
     out = df.select(
         F.col("request_id").alias("id"),
         "user_id", "api_key_id", "proxy_key_id",
@@ -101,7 +97,7 @@ def enrich_requests(exchanges: DataFrame, dims: Dims, cfg: LedgerConfig = DEFAUL
         F.col("usage.creation").alias("cache_creation_tokens"),
         *pricing.cost_columns(F.col("usage.input"), F.col("usage.output"), F.col("usage.cached"), F.col("price")),
         "status_code",
-        H.error_message(F.col("status_code"), F.col("response_body"), cfg).alias("error_message"),
+        message.alias("error_message"),
         raw_meta.alias("raw_metadata"),
         metadata.indexed_metadata(raw_meta, F.col("active_keys")).alias("indexed_metadata"),
         (H.truncate_bytes(F.col("request_body"), cfg.max_body_bytes) if store and cfg.store_request_body
@@ -113,8 +109,9 @@ def enrich_requests(exchanges: DataFrame, dims: Dims, cfg: LedgerConfig = DEFAUL
          else F.lit(None).cast("string")).alias("body_s3_key"),
         "model_alias_found",
         F.to_date("requested_at").alias("requested_date"),
+        *([quality.CORRUPT] if corrupt else []),
     )
-    return quality.with_reject_reason(out) if with_reason else out
+    return (quality.with_reject_reason(out) if with_reason else out).drop(quality.CORRUPT)
 
 
 def request_log(exchanges: DataFrame, dims: Dims, cfg: LedgerConfig = DEFAULT) -> DataFrame:

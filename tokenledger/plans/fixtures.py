@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from tokenledger.config import DEFAULT, LedgerConfig
 from tokenledger.functions.secrets import encrypt_secret
-from tokenledger.session import spread
 from tokenledger.sources import prices as price_src
 
 # Encryption keys of the fixture (hex of a SHA-256 of a label): the main one,
@@ -37,6 +36,14 @@ PATHS = ["/v1/chat/completions", "/v1/responses", "/v1/messages",
 STOP_REASONS = ["end_turn", "max_tokens", "stop_sequence", "tool_use", "pause_turn"]
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A test table that is one small file, dealt to the cores; tables in
+    several files are left alone."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want, *keys) if len(df.inputFiles()) == 1 else df
+
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

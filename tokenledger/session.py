@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from tokenledger.config import DEFAULT
 
 
+def _configured(key: str) -> bool:
+    active = SparkSession.getActiveSession()
+    return active is not None and active.conf.get(key, None) is not None
+
+
 def get_session(app: str = "tokenledger", master: str | None = None,
                 shuffle_partitions: int | None = None) -> SparkSession:
     """Session with UTC time, AQE and skew handling on.
@@ -35,10 +40,15 @@ def get_session(app: str = "tokenledger", master: str | None = None,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # keys given as literals stay out of plan texts and event logs
+        .config("spark.sql.redaction.string.regex", "(?i)(0x|x')[0-9a-f]{64}'?")
         # call-site capture on every Column call costs a JVM round trip each;
         # plans here are built from hundreds of expressions
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
+    if master and master.startswith("local") and not _configured("spark.checkpoint.dir"):
+        # one machine: its own folder is shared
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tokenledger-ckpt-"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
@@ -48,17 +58,12 @@ def get_session(app: str = "tokenledger", master: str | None = None,
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    On a cluster this is set by the deployment and points at shared storage;
-    only when it is unset (local tests) a folder of our own is created.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    """The shared folder named by ``spark.checkpoint.dir`` (or set with
+    ``setCheckpointDir``). There is no fallback: a folder of the driver's own
+    machine would be missing on the executors."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="tokenledger-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
@@ -68,29 +73,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (never a local one): survives executor loss."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-spread an input that arrives in fewer partitions than there are
-    cores (e.g. one unsplittable file), so row-wise work runs in parallel.
-
-    Inputs that already have enough partitions (any large table) are left
-    alone: no shuffle is added to the plan.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    try:
-        have = df.rdd.getNumPartitions()
-    except Exception:
-        return df
-    if have >= want:
-        return df
-    return df.repartition(want, *keys) if keys else df.repartition(want)
-
-
 def estimated_bytes(df: DataFrame) -> int | None:
     """Optimizer size estimate of a plan, or None when unavailable."""
     try:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenledger.functions.json_strict import single_value
+from tokenledger.operators.quality import CORRUPT
 
 # Microsecond timestamps in recorded JSON (the JSON default keeps only ms).
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
@@ -113,10 +114,12 @@ def write_bodies(envelopes: DataFrame, path: str, mode: str = "append") -> None:
 
 def read_exchanges(spark: SparkSession, path: str) -> DataFrame:
     """Envelopes back as typed rows, plus ``object_key`` (the gateway's
-    key for the request) from the key prefix, the day and the id."""
+    key for the request) from the key prefix, the day and the id. A line that
+    is no envelope keeps its text in ``_corrupt_record``."""
     schema = T.StructType(ENVELOPE_SCHEMA.fields + [T.StructField("date", T.StringType()),
                                                     T.StructField("bucket", T.StringType())])
-    df = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+    df = (spark.read.schema(schema.add(CORRUPT, T.StringType())).option("mode", "PERMISSIVE")
+          .option("columnNameOfCorruptRecord", CORRUPT).json(path))
     return df.withColumn("object_key", F.concat_ws("/", "key_prefix", "date",
                                                    F.concat("request_id", F.lit(".json.gz"))))
 
@@ -125,9 +128,12 @@ def stream_exchanges(spark: SparkSession, path: str, max_files: int = 8) -> Data
     """Recorded exchanges (JSON Lines, ``EXCHANGE_SCHEMA``) as a stream.
 
     Every file is read exactly once (the source's log is in the query's
-    checkpoint); nothing is dropped under load, backlog just waits."""
-    return (spark.readStream.schema(EXCHANGE_SCHEMA).option("maxFilesPerTrigger", max_files)
-            .option("timestampFormat", TS_FORMAT).json(path))
+    checkpoint); nothing is dropped under load, backlog just waits. A line
+    that is no exchange keeps its text in ``_corrupt_record``; the ETL writes
+    it to the log as a reject."""
+    schema = T.StructType(EXCHANGE_SCHEMA.fields + [T.StructField(CORRUPT, T.StringType())])
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+            .option("columnNameOfCorruptRecord", CORRUPT).option("timestampFormat", TS_FORMAT).json(path))
 
 
 def write_exchanges(exchanges: DataFrame, path: str, files: int | None = None) -> None:

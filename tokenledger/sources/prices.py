@@ -1,7 +1,7 @@
 """Price list and model alias sources.
 
-Price documents are small configuration files; they are read with Spark so
-the result is a DataFrame that joins like any dimension.
+Price documents are configuration files of any length; they are read with
+Spark so the result is a DataFrame that joins like any dimension.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenledger.session import scratch_path
+
 RESOURCES = os.path.join(os.path.dirname(os.path.dirname(__file__)), "resources")
 DEFAULT_PRICES = os.path.join(RESOURCES, "prices.json")
 DEFAULT_FALLBACK = os.path.join(RESOURCES, "prices_fallback.json")
@@ -56,10 +58,9 @@ def load_prices_fallback(spark: SparkSession, path: str = DEFAULT_FALLBACK) -> D
 
 
 PRICE_SCHEMA = "model string, input_price double, output_price double, cached_price double"
-MAX_PRICE_ROWS = 50_000  # a price list is configuration; refuse anything larger
-
+ALIAS_SCHEMA = "alias string, target string"
 
-_SNAPSHOTS: dict[tuple, list] = {}
+_SNAPSHOTS: dict[tuple, str] = {}
 
 
 def _file_key(spark: SparkSession, path: str, kind: str) -> tuple | None:
@@ -74,39 +75,38 @@ def _file_key(spark: SparkSession, path: str, kind: str) -> tuple | None:
 
 
 def _snapshot(spark: SparkSession, df: DataFrame, schema: str, key: tuple | None = None) -> DataFrame | None:
-    """Rows of a small configuration table, held as a local table. Reads of
-    an unchanged file (same size and mtime) within one application reuse
-    the rows instead of scanning the file again."""
-    if key is not None and key in _SNAPSHOTS:
-        rows = _SNAPSHOTS[key]
-        return spark.createDataFrame(rows, schema) if rows else None
-    rows = [tuple(r) for r in df.limit(MAX_PRICE_ROWS + 1).collect()]
-    if key is not None and len(rows) <= MAX_PRICE_ROWS:
-        _SNAPSHOTS[key] = rows
-    if not rows:
+    """A written copy of a price or alias list of any size; None when empty.
+    An unchanged file (same size and mtime) is copied once per application."""
+    path = _SNAPSHOTS.get(key) if key is not None else None
+    if path is None:
+        path = scratch_path(spark, "price-list")
+        df.coalesce(1).write.parquet(path)
+    snap = spark.read.schema(schema).parquet(path)
+    if key not in _SNAPSHOTS and snap.isEmpty():
+        return None
+    if key is not None:
+        _SNAPSHOTS[key] = path
+    return snap
+
+
+def refreshed_prices(spark: SparkSession, remote: str) -> DataFrame | None:
+    """The remote list as it is now; None when it is unreadable or empty."""
+    try:
+        return _snapshot(spark, load_prices_remote(spark, remote), PRICE_SCHEMA, _file_key(spark, remote, "remote"))
+    except Exception:  # unreadable or undecodable document
         return None
-    if len(rows) > MAX_PRICE_ROWS:
-        raise ValueError(f"price list larger than {MAX_PRICE_ROWS} entries")
-    return spark.createDataFrame([tuple(r) for r in rows], schema)
 
 
 def load_prices(spark: SparkSession, remote: str | None = DEFAULT_PRICES,
                 fallback: str = DEFAULT_FALLBACK) -> DataFrame:
     """Price snapshot chosen at start-up: the remote document, else the fallback.
 
-    The (bounded) list is read once and held as a small local table, so the
-    snapshot cannot change under a running job and is not re-read per use.
+    The list is copied once, so the snapshot cannot change under a running
+    job and its file is not parsed again per use.
     """
-    if remote:
-        try:
-            snap = _snapshot(spark, load_prices_remote(spark, remote), PRICE_SCHEMA,
-                             _file_key(spark, remote, "remote"))
-            if snap is not None:
-                return snap
-        except ValueError:
-            raise
-        except Exception:  # unreadable or undecodable document
-            pass
+    snap = refreshed_prices(spark, remote) if remote else None
+    if snap is not None:
+        return snap
     snap = _snapshot(spark, load_prices_fallback(spark, fallback), PRICE_SCHEMA,
                      _file_key(spark, fallback, "fallback"))
     return snap if snap is not None else spark.createDataFrame([], PRICE_SCHEMA)
@@ -117,16 +117,14 @@ def load_aliases(spark: SparkSession, path: str | None = DEFAULT_ALIASES) -> Dat
 
     A ``_comment`` entry is loaded like any alias and is harmless.
     """
-    empty = spark.createDataFrame([], "alias string, target string")
+    empty = spark.createDataFrame([], ALIAS_SCHEMA)
     if not path:
         return empty
     try:
         doc = _whole_text(spark, path).select(F.from_json("value", "map<string,string>").alias("m"))
-        snap = _snapshot(spark, doc.select(F.explode("m").alias("alias", "target")), "alias string, target string",
+        snap = _snapshot(spark, doc.select(F.explode("m").alias("alias", "target")), ALIAS_SCHEMA,
                          _file_key(spark, path, "aliases"))
         return snap if snap is not None else empty
-    except ValueError:
-        raise
     except Exception:
         return empty
 

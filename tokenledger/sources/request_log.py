@@ -23,10 +23,16 @@ def write_request_log(requests: DataFrame, path: str, mode: str = "append", reba
 
     ``rebalance`` clusters rows by date before the write (an AQE rebalance:
     partitions of the advisory size, skewed dates split), so each task
-    writes few, well-sized files instead of one small file per date."""
+    writes few, well-sized files instead of one small file per date. Rows lie
+    by (API key, time) within a file, so a key's row groups are found by
+    their statistics; request id, proxy key and provider key hash have Bloom
+    filters: these stand for the reference table's indexes."""
     if rebalance:
-        requests = requests.hint("rebalance", PARTITION)
-    requests.write.mode(mode).partitionBy(PARTITION).parquet(path)
+        requests = requests.hint("rebalance", PARTITION).sortWithinPartitions(PARTITION, "api_key_id", "requested_at")
+    writer = requests.write.mode(mode).partitionBy(PARTITION)
+    for column in ("id", "proxy_key_id", "provider_api_key_hash"):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    writer.parquet(path)
 
 
 def read_request_log(spark: SparkSession, path: str) -> DataFrame:

@@ -104,32 +104,24 @@ def _exists(spark: SparkSession, path: str) -> bool:
 class PriceSnapshot:
     """The price list in force, re-read when older than ``refresh_seconds``.
 
-    A price list is bounded configuration, so a snapshot is held as rows on
-    the driver and turned into a small DataFrame: it cannot change when the
-    file changes later (a cached file scan could). A failed or empty read
-    keeps the previous snapshot; the first read uses the fallback file when
-    the remote document is unusable."""
-
-    SCHEMA = "model string, input_price double, output_price double, cached_price double"
+    A snapshot is a written copy, so it cannot change when the file changes
+    later. A failed or empty read keeps the previous snapshot; the first read
+    uses the fallback file when the remote document is unusable."""
 
     def __init__(self, spark: SparkSession, remote: str | None, fallback: str, aliases: str | None,
                  refresh_seconds: float = 3600.0, clock=time.monotonic):
         self.spark, self.remote, self.refresh_seconds, self.clock = spark, remote, refresh_seconds, clock
-        self.rows = [tuple(r) for r in price_src.load_prices(spark, remote, fallback).collect()]
-        self.aliases = spark.createDataFrame(
-            [tuple(r) for r in price_src.load_aliases(spark, aliases).collect()], "alias string, target string")
+        self.prices = price_src.load_prices(spark, remote, fallback)
+        self.aliases = price_src.load_aliases(spark, aliases)
         self.loaded_at = clock()
 
     def current(self) -> DataFrame:
         if self.remote and self.clock() - self.loaded_at >= self.refresh_seconds:
-            try:
-                fresh = [tuple(r) for r in price_src.load_prices_remote(self.spark, self.remote).collect()]
-                if fresh:
-                    self.rows = fresh
-            except Exception:  # keep the last good prices
-                pass
+            fresh = price_src.refreshed_prices(self.spark, self.remote)
+            if fresh is not None:  # else keep the last good prices
+                self.prices = fresh
             self.loaded_at = self.clock()
-        return self.spark.createDataFrame(self.rows, self.SCHEMA)
+        return self.prices
 
 
 def stream_price_refresh(spark: SparkSession, source: str, dims: Dims, out: str, checkpoint: str,
