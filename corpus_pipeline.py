@@ -30,17 +30,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group (five-word shingles, similarity 0.8) stays:
     the one with the smallest id.  Rows with a null id are not compared and stay."""
     found = sketch_dedup.near_duplicates(docs, shingle=5, percent=80)
-    gone = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return _once(docs.join(gone, "doc_id", "left_anti").select(*docs.columns))
-
-
-def _once(docs: DataFrame) -> DataFrame:
-    """One row per id; only ids that do repeat are shuffled with their texts."""
+    path = scratch_path(spark, "duplicates")
+    found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct().write.parquet(path)
+    kept = sketch_dedup.without(docs, spark.read.parquet(path))
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
-        return docs
-    return (docs.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-            .union(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)))
+        return kept
+    # only ids that do repeat are shuffled with their texts
+    once = sketch_dedup.without(kept, repeated)
+    return once.union(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,6 +45,7 @@ COORDS = 128
 BAND = 4
 BLOCK_SHINGLES = 2_000_000
 SALTS = 16
+FILTER_BITS = 26
 
 
 def shingle_sets(texts: pa.LargeStringArray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,13 +153,72 @@ def _bands(sketched: DataFrame) -> DataFrame:
     return sketched.select("id", "sk").mapInArrow(run, "key long, id long")
 
 
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of hashed ids, 16 bits an id up to ``FILTER_BITS`` in all, so
+    its size is bounded. It lets through every given id and few others (more
+    of them once the bound is reached; joins remove them)."""
+    bits = 1 << min(FILTER_BITS, max(17, (16 * ids.count()).bit_length()))
+
+    def places(batches):
+        for batch in batches:
+            h = at.mix(batch.column("id").to_numpy(zero_copy_only=False).astype(np.uint64)) & np.uint64(bits - 1)
+            h = np.unique(h.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(h >> 16), pa.array(h & 0xFFFF)], ["part", "bit"])
+
+    def pack(table: pa.Table) -> pa.Table:
+        own = np.zeros(1 << 16, bool)
+        own[table.column("bit").to_numpy()] = True
+        return pa.table({"part": table.column("part")[:1], "b": [np.packbits(own).tobytes()]})
+
+    parts = (ids.select("id").mapInArrow(places, "part long, bit long").distinct()
+             .groupBy("part").applyInArrow(pack, "part long, b binary").collect())
+    out = np.zeros(bits >> 3, np.uint8)
+    for r in parts:
+        out[r.part << 13:(r.part + 1) << 13] = np.frombuffer(r.b, np.uint8)
+    return out
+
+
+def _passes(ids: pa.Array, bitmap: np.ndarray) -> np.ndarray:
+    """Which ids the bitmap lets through; null never."""
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    h = at.mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)) & np.uint64(8 * len(bitmap) - 1)
+    return known & ((bitmap[(h >> np.uint64(3)).astype(np.int64)] >> (7 - (h & np.uint64(7)))) & 1).astype(bool)
+
+
+def without(docs: DataFrame, gone: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is not among the ids ``gone`` (null ids
+    stay).  Rows that the bitmap of ``gone`` does not let through are kept as
+    they are; only the others are joined, so most texts are never shuffled."""
+    gone = gone.select(F.col(doc_id).cast("long").alias("id"))
+    shared = docs.sparkSession.sparkContext.broadcast(_id_filter(gone))
+    kind = docs.schema[doc_id].dataType
+
+    def part(through: bool):
+        def run(batches):
+            for batch in batches:
+                hit = _passes(batch.column(doc_id).cast(pa.int64()), shared.value)
+                yield batch.filter(pa.array(hit if through else ~hit))
+        return docs.mapInArrow(run, docs.schema)
+
+    sure = part(False)
+    # the same kind of join at every size
+    rest = part(True).join(gone.select(F.col("id").cast(kind).alias(doc_id)).distinct().hint("merge"), doc_id, "left_anti")
+    return sure.union(rest.select(*docs.columns))
+
+
+def _sets(docs: DataFrame, shingle: int, wanted: DataFrame) -> DataFrame:
+    """(id, s): the sorted shingle hashes of the wanted documents and a few
+    others. Texts are read, not shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(_id_filter(wanted))
+
     def run(batches):
-        for batch in at.slices(batches, "t"):
-            offsets, sets = shingle_sets(at.texts_of(batch.column("t")), shingle)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([sets[offsets[k]:offsets[k + 1]].tobytes()
-                                               for k in range(len(offsets) - 1)], pa.binary())], ["id", "s"])
+        bitmap = shared.value
+        for batch in batches:
+            for part in at.slices([batch.filter(pa.array(_passes(batch.column("id"), bitmap)))], "t"):
+                offsets, sets = shingle_sets(at.texts_of(part.column("t")), shingle)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), pa.array([sets[offsets[k]:offsets[k + 1]].tobytes()
+                                                  for k in range(len(offsets) - 1)], pa.binary())], ["id", "s"])
     return docs.mapInArrow(run, "id long, s binary")
 
 
@@ -166,7 +226,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     """The pairs (a, b) whose full sets reach the threshold.  Only documents
     that occur in a pair are turned into sets and shuffled."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = _sets(docs.join(wanted, "id", "left_semi"), shingle)
+    sets = _sets(docs, shingle, wanted)
     both = (pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
             .join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a"))
 
@@ -237,7 +297,8 @@ def _remaining_links(members: DataFrame, reps: DataFrame, labels: DataFrame, doc
              .select("key", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks")))
     rows = _stored(named.join(open_, "key").withColumn("own", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")),
                    "open")
-    sets = _sets(docs.join(rows.select("id").distinct(), "id", "left_semi"), shingle).join(reps.select("id", "sk"), "id")
+    wanted = rows.select("id").distinct()
+    sets = _sets(docs, shingle, wanted).join(reps.select("id", "sk"), "id")
     # each pair of blocks is one group; a member goes to all pairs of its block
     dealt = (rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sets, "id")
              .select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
@@ -339,5 +400,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return (all_rows.select("id", "n", "w1", "w2", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
             .join(copies, ["w1", "w2", "n", "salt"], "left").join(labels, "id", "left")
             .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
-                    F.coalesce(F.least("of_class", "label"), F.col("id")).alias("component_id"))
+                    F.when(F.col("id").isNotNull(), F.coalesce(F.least("of_class", "label"), F.col("id")))
+                    .alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False))))
