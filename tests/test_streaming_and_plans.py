@@ -87,3 +87,48 @@ def test_entry_contract(spark):
     assert set(df.columns) == {"model", "requests", "input_tokens", "output_tokens", "total_cost"}
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs) and len(qs) >= 55
+
+
+def test_dimensions_are_refreshed_between_batches(spark):
+    """A key revoked while the stream stands still is refused by its next run."""
+    from tokenledger.operators import maintenance
+    from tokenledger.plans import fixtures as FX
+    from tokenledger.session import scratch_path
+    from tokenledger.sources import bodies
+    from tokenledger.sources import prices as price_src
+    from tokenledger.streaming import jobs
+    state = {"dims": FX.load_dims(spark, SF)}
+    clock = [0.0]
+    dims = jobs.DimsSnapshot(lambda: state["dims"], 300.0, clock=lambda: clock[0])
+    prices = jobs.PriceSnapshot(spark, price_src.DEFAULT_PRICES, price_src.DEFAULT_FALLBACK, price_src.DEFAULT_ALIASES)
+    src, out, ckpt = (scratch_path(spark, n) for n in ("refresh-src", "refresh-out", "refresh-ckpt"))
+    ex = FX.exchanges(spark, SF).where("event_id < 60").coalesce(1)
+
+    def run():
+        bodies.write_exchanges(ex, src)
+        jobs.stream_price_refresh(spark, src, dims, out, ckpt, prices).awaitTermination()
+        return spark.read.parquet(out).count()
+
+    first = run()
+    d = state["dims"]
+    every = d.api_keys.select("id")
+    revoked = maintenance.revoke_keys(d.api_keys, every, F.current_timestamp()).drop("status")
+    state["dims"] = FX.Dims(revoked, d.proxy_keys, d.mappings, d.metadata_keys, d.prices, d.aliases, d.secret)
+    second = run()          # not yet refreshed
+    clock[0] = 301.0
+    third = run()
+    assert first > 0 and second == 2 * first and third == second
+
+
+def test_key_stats_are_written_back(spark):
+    from tokenledger.operators import metadata
+    from tokenledger.plans import fixtures as FX
+    from tokenledger.plans.catalog import log_table
+    stats = metadata.metadata_key_stats(log_table(spark, SF)).cache()
+    keys = FX.metadata_keys(spark, SF)
+    out = metadata.apply_key_stats(keys, stats, F.lit("2024-02-01").cast("timestamp"))
+    assert out.dtypes == keys.dtypes and out.count() == keys.count()
+    want = {(r.api_key_id, r.key_name): r.request_count for r in stats.collect()}
+    for r in out.collect():
+        n = want.get((r.api_key_id, r.key_name))
+        assert (r.request_count, r.hll_updated_at is not None) == ((n, True) if n else (0, False))

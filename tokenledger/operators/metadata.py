@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenledger.session import dim_side
+
 LG_K = 14  # 2^14 registers, ~16 KB per sketch, ~0.8 % standard error
 
 
@@ -31,21 +33,6 @@ def indexed_metadata(raw: Column, active_keys: Column) -> Column:
                         lambda k, v: F.array_contains(keys, k))
 
 
-def split_metadata(df: DataFrame, metadata_keys: DataFrame, raw_col: str = "raw_metadata",
-                   api_key_id_col: str = "api_key_id") -> DataFrame:
-    """J5 as a join: adds ``indexed_metadata``.
-
-    (The full pipeline folds ``active_key_names`` into the API-key dimension
-    instead, so the fact side is joined once.)
-    """
-    from tokenledger.session import dim_side
-
-    act = dim_side(active_key_names(metadata_keys).withColumnRenamed("api_key_id", "_mk_id"))
-    j = df.join(act, F.col(api_key_id_col) == F.col("_mk_id"), "left")
-    return j.withColumn("indexed_metadata", indexed_metadata(F.col(raw_col), F.col("active_keys"))) \
-        .drop("_mk_id", "active_keys")
-
-
 def metadata_key_stats(requests: DataFrame, api_key_id_col: str = "api_key_id",
                        raw_col: str = "raw_metadata", ts_col: str = "responded_at") -> DataFrame:
     """H1: per (api_key_id, key_name): sketch of values, request count, last
@@ -79,3 +66,16 @@ def key_cardinality(state: DataFrame) -> DataFrame:
     """H3: cardinality read-out from stored sketch bytes."""
     return state.select("api_key_id", "key_name",
                         F.hll_sketch_estimate("hll_state").alias("approx_cardinality"))
+
+
+def apply_key_stats(metadata_keys: DataFrame, stats: DataFrame, now: Column) -> DataFrame:
+    """The next snapshot of the metadata-key table: sketch, estimate, count
+    and last use of H1/H2 written back, ``hll_updated_at`` set where they
+    were. Keys without statistics stay as they are."""
+    keys = ["api_key_id", "key_name"]
+    fresh = ["hll_state", "approx_cardinality", "request_count", "last_seen_at"]
+    s = stats.select(*keys, *[F.col(c).alias(f"_{c}") for c in fresh], F.lit(True).alias("_hit"))
+    j = metadata_keys.join(dim_side(s), keys, "left")
+    new = {c: F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)) for c in fresh}
+    new["hll_updated_at"] = F.when(F.col("_hit"), now).otherwise(F.col("hll_updated_at"))
+    return j.select(*[new.get(c, F.col(c)).cast(metadata_keys.schema[c].dataType).alias(c) for c in metadata_keys.columns])

@@ -286,6 +286,10 @@ class Dims:
         return Dims(self.api_keys.persist(), self.proxy_keys.persist(), self.mappings.persist(),
                     self.metadata_keys.persist(), self.prices, self.aliases, self.secret)
 
+    def unpersisted(self) -> None:
+        for df in (self.api_keys, self.proxy_keys, self.mappings, self.metadata_keys):
+            df.unpersist()
+
 
 def load_dims(spark: SparkSession, sf_dir: str, cfg: LedgerConfig = DEFAULT) -> Dims:
     return Dims(

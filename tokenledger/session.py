@@ -12,11 +12,6 @@ from pyspark.sql import functions as F
 from tokenledger.config import DEFAULT
 
 
-def _configured(key: str) -> bool:
-    active = SparkSession.getActiveSession()
-    return active is not None and active.conf.get(key, None) is not None
-
-
 def get_session(app: str = "tokenledger", master: str | None = None,
                 shuffle_partitions: int | None = None) -> SparkSession:
     """Session with UTC time, AQE and skew handling on.
@@ -46,9 +41,6 @@ def get_session(app: str = "tokenledger", master: str | None = None,
         # plans here are built from hundreds of expressions
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
-    if master and master.startswith("local") and not _configured("spark.checkpoint.dir"):
-        # one machine: its own folder is shared
-        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tokenledger-ckpt-"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
@@ -59,12 +51,16 @@ def get_session(app: str = "tokenledger", master: str | None = None,
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir`` (or set with
-    ``setCheckpointDir``). There is no fallback: a folder of the driver's own
-    machine would be missing on the executors."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    ``setCheckpointDir``). Without one a local master, which is one machine,
+    gets a temporary folder; on a cluster such a folder would be missing on
+    the executors, so that is an error."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir(root)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tokenledger-ckpt-")
+    context.setCheckpointDir(root)
     return root.rstrip("/")
 
 

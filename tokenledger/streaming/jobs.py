@@ -52,6 +52,10 @@ def stream_enrich(spark: SparkSession, source: str, dims: Dims, out: str, checkp
     return _trigger(w, trigger).start()
 
 
+#: snapshots of T2 that stay behind the newest one
+KEEP_SNAPSHOTS = 3
+
+
 def _snapshot_path(root: str, batch_id: int) -> str:
     return f"{root}/batch={batch_id:012d}"
 
@@ -90,17 +94,47 @@ def stream_key_stats(spark: SparkSession, log_path: str, log_schema, state_root:
                 break
         merged = delta if prev is None else metadata.merge_key_stats(prev, delta)
         merged.write.mode("overwrite").parquet(_snapshot_path(state_root, batch_id))
+        _drop_older(spark, state_root, batch_id - KEEP_SNAPSHOTS)
 
     w = src.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return _trigger(w, trigger).start()
 
 
+def _drop_older(spark: SparkSession, root: str, batch_id: int) -> None:
+    """Deletes snapshot ``batch_id``: later ones hold all it held."""
+    if batch_id >= 0:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_snapshot_path(root, batch_id))
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+class DimsSnapshot:
+    """The dimensions in force, loaded again when older than
+    ``refresh_seconds``: keys revoked or added meanwhile, and metadata names
+    switched on, count from the next micro-batch on. A failed load keeps the
+    previous ones."""
+
+    def __init__(self, load, refresh_seconds: float = 300.0, clock=time.monotonic):
+        self.load, self.refresh_seconds, self.clock = load, refresh_seconds, clock
+        self.dims, self.loaded_at = load().persisted(), clock()
+
+    def current(self) -> Dims:
+        if self.clock() - self.loaded_at >= self.refresh_seconds:
+            try:
+                fresh, old = self.load().persisted(), self.dims
+                self.dims = fresh
+                old.unpersisted()
+            except Exception:  # keep the last good dimensions
+                pass
+            self.loaded_at = self.clock()
+        return self.dims
+
+
 class PriceSnapshot:
     """The price list in force, re-read when older than ``refresh_seconds``.
 
@@ -124,19 +158,21 @@ class PriceSnapshot:
         return self.prices
 
 
-def stream_price_refresh(spark: SparkSession, source: str, dims: Dims, out: str, checkpoint: str,
+def stream_price_refresh(spark: SparkSession, source: str, dims: Dims | DimsSnapshot, out: str, checkpoint: str,
                          prices: PriceSnapshot, trigger: str | None = "availableNow", max_files: int = 8,
                          cfg: LedgerConfig = DEFAULT) -> StreamingQuery:
-    """J8 per micro-batch with the current price snapshot.
+    """J8 per micro-batch with the current price snapshot and, given a
+    ``DimsSnapshot``, the current dimensions.
 
     The output of batch ``n`` is written under ``batch_id=n`` with overwrite
     of that partition only, so a retried batch replaces its own rows."""
     ex = bodies.stream_exchanges(spark, source, max_files)
-    dims = dims.persisted()
+    fixed = None if isinstance(dims, DimsSnapshot) else dims.persisted()
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        d = Dims(dims.api_keys, dims.proxy_keys, dims.mappings, dims.metadata_keys,
-                 prices.current(), prices.aliases, dims.secret)
+        now = fixed or dims.current()
+        d = Dims(now.api_keys, now.proxy_keys, now.mappings, now.metadata_keys,
+                 prices.current(), prices.aliases, now.secret)
         logged = enrich.enrich_requests(batch, d, cfg).withColumn("batch_id", F.lit(batch_id))
         (logged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id", log_io.PARTITION).parquet(out))
