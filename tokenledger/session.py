@@ -60,7 +60,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tokenledger-ckpt-")
-    context.setCheckpointDir(root)
+    if not context.getCheckpointDir():  # each call would nest one more folder
+        context.setCheckpointDir(root)
     return root.rstrip("/")
 
 
