@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes worked on at once inside a task; one longer text is taken alone.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 SPACE = 0x20
 
@@ -66,6 +66,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str,
             to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
+
+
+def release() -> None:
+    """Gives memory that a finished task no longer needs back to the machine:
+    worker processes are used again by tasks of other stages."""
+    import ctypes
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def words(texts: pa.LargeStringArray, table: np.ndarray) -> tuple[np.ndarray, pa.Array]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenledger.llm import arrow_text as at
-from tokenledger.llm.tokens import Encoded
+from tokenledger.llm.tokens import Encoded, forget_words
 from tokenledger.session import scratch_path
 
 SHARD_TOKENS = 6 << 20
@@ -67,6 +67,7 @@ def _tokenised(docs: DataFrame, text: str, doc_id: str, tokenizer: str, end_id:
                 pa.array([count[own[k]:own[k + 1]].tobytes() for k in range(rows)], pa.binary()),
                 pa.array(np.diff(e.offsets), pa.int64()), pa.nulls(rows, pa.int64()),
                 pa.nulls(rows, pa.list_(pa.int32()))], names)
+        forget_words()
         if n_docs:
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(1, id_arrow), *[pa.nulls(1, pa.binary())] * 3, pa.array([n_words], pa.int64()),
@@ -215,6 +216,8 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer:
         if rows:
             for out, sequence in _emit(Shard(rows, shared.value, n_docs, mean), window, width, sequence):
                 yield out
+        rows = None
+        at.release()
 
     kind = stored.schema["doc_id"].dataType.simpleString()
     from pyspark.sql.pandas.types import to_arrow_type

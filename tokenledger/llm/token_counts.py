@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenledger.llm import arrow_text as at
-from tokenledger.llm.tokens import Encoded
+from tokenledger.llm.tokens import Encoded, forget_words
 
 LONG_BYTES = 4 << 20
 _BLANK = b" \t\n\v\f\r"
@@ -57,6 +57,7 @@ def token_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             yield pa.RecordBatch.from_arrays(
                 [batch.column(doc_id), pc.binary_length(texts).cast(pa.int64()),
                  pa.array(counts_of(texts, tokenizer), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        forget_words()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return (docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")

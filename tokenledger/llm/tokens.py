@@ -14,7 +14,7 @@ counts or ids are put together by array lookups.
   form); each distinct piece is encoded by the library.  Any other word, and
   any word that holds a special token's string, goes to the library whole.
 
-Distinct pieces are remembered per worker process, up to about ``REMEMBER``.
+Distinct pieces are remembered within a task, up to about ``REMEMBER``.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 
 from tokenledger.llm import arrow_text as at
 
-REMEMBER = 700_000
+REMEMBER = 400_000
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 #: fixed values: the splitting rule of the vocabulary file, for plain words
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
@@ -155,6 +155,13 @@ def encoder(name: str) -> WordEncoder:
     return _encoders[name]
 
 
+def forget_words() -> None:
+    """Drops remembered pieces at the end of a task."""
+    for e in _encoders.values():
+        e.forget()
+    at.release()
+
+
 class Encoded:
     """Words of a slice of texts with the ids of each distinct word."""
 
