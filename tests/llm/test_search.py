@@ -112,6 +112,59 @@ def test_licenses(spark):
     assert license_scan.find_licenses(empty(spark)).count() == 0
 
 
+def brute_matches(codes, template, least):
+    """Every span of up to twice the template's length, the best first."""
+    found, m = [], len(template)
+    for s in range(len(codes)):
+        for e in range(s + 1, min(len(codes), s + 2 * m) + 1):
+            pairs = license_scan.align(codes[s:e], template)
+            if pairs and len(pairs) >= least * m - 1e-9:
+                a, b = s + pairs[0][0], s + pairs[-1][0] + 1
+                found.append(((b - a - len(pairs)) / 2 - len(pairs), a, b))
+    out = []
+    for _, a, b in sorted(found):
+        if all(b <= o[0] or a >= o[1] for o in out):
+            out.append((a, b))
+    return sorted(out)
+
+
+def test_repeated_licenses_equal_brute_force():
+    rng = random.Random(4)
+    known = license_scan.Templates({"x": "Licensed under CC BY-NC 4.0.", "y": "p q r s t u v p q w"})
+    for k, t in enumerate(known.all):
+        one = license_scan.Templates({t.name: ["Licensed under CC BY-NC 4.0.", "p q r s t u v p q w"][k]})
+        own = one.all[0].words.tolist()
+        for _ in range(150):
+            text = []
+            for _ in range(rng.randint(1, 4)):
+                copy = list(own)
+                if rng.random() < 0.5:
+                    copy[rng.randrange(len(copy))] = 0
+                if rng.random() < 0.3:
+                    copy.insert(rng.randrange(len(copy)), 0)
+                text += [0] * rng.randint(0, 12) + copy
+            got = [m[:2] for m in license_scan.matches(np.array(text), one, 0.8)]
+            assert got == brute_matches(text, own, 0.8), text
+
+
+def test_copies_with_prose_around_them(spark):
+    t, rng = license_scan.TEMPLATES, random.Random(2)
+    prose = lambda n: " ".join(words(rng, n))
+    docs, want = [], {}
+    for k, name in enumerate(t):
+        for gap in (0, 1, 3, 10, 40, 200):
+            d = len(docs)
+            docs.append((d, f"{prose(gap)} {t[name]} {prose(gap)} {t[name]} {prose(gap)} {t[name]} {prose(gap)}"))
+            want[d] = [name] * 3
+    docs.append((len(docs), "alpha Licensed under CC BY-NC 4.0. beta Licensed under CC BY-NC 4.0. gamma"))
+    want[len(docs) - 1] = ["CC-BY-NC-4.0"] * 2
+    docs.append((len(docs), f" {prose(300)} ".join(" ".join(t.values()).split()[:60])))
+    want[len(docs) - 1] = []
+    got = {r.doc_id: [m.license for m in r.matches] for r in license_scan.find_licenses(
+        spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_patience_alignment_is_increasing_and_equal():
     rng = random.Random(6)
     for _ in range(200):

@@ -1,12 +1,14 @@
 """License scan: patience alignment of license texts with whole documents.
 
-For each template, windows of a document that hold enough of its telling words
-are found by one pass over the word codes; each window is then aligned with
-the template by patience: words unique to both sides anchor the alignment, the
-longest increasing subsequence of the anchors is kept, equal words next to the
-anchors extend them, and the gaps between are aligned recursively.  Coverage is
-the share of the template's words that are aligned; matches of at least
-``least`` coverage are reported, the best first where they overlap.
+For each template, spans of a document that may hold one copy of it are found
+by one pass over the word codes; each span is then aligned with the template by
+patience: words unique to both sides anchor the alignment, the longest
+increasing subsequence of the anchors is kept, equal words next to the anchors
+extend them, and the gaps between are aligned recursively.  Coverage is the
+share of the template's words that are aligned; matches of at least ``least``
+coverage are reported.  Where they overlap the one with the most aligned words,
+less half the other words in its span, comes first, and what it leaves of the
+other spans is aligned again.
 
 Cases: words are runs of letters and digits, A-Z lower-cased; a null, empty or
 wordless text has no matches; every match in a text is reported, repeated
@@ -15,8 +17,9 @@ notices too; repeated rows each get their row; extra columns are not read.
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from dataclasses import dataclass
+import heapq
+from bisect import bisect_left, insort
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -65,12 +68,33 @@ TEMPLATES = {
 COMMON = frozenset("a all an and any are as at be by can for from if in is it not of on one or that the this to under was with you "
                    "your 0 2 3 4".split())
 
+SHORT = 16  # words of a template whose every word tells its place
+
 
 @dataclass
 class Template:
     name: str
     words: np.ndarray       # codes
     telling: frozenset      # codes of its telling words
+    place: np.ndarray = field(init=False)  # by code: its place if it occurs once; -1 if never or repeated
+
+    def __post_init__(self) -> None:
+        size = int(self.words.max(initial=0)) + 1
+        count = np.bincount(self.words, minlength=size)
+        self.place = np.full(size, -1)
+        self.place[self.words] = np.arange(len(self.words))
+        if (count == 1).any():
+            self.place[count > 1] = -1
+
+    def need(self, least: float) -> int:
+        """Kinds of telling words that any match has."""
+        return max(1, len(self.telling) - int((1 - least) * len(self.words) + 1e-9))
+
+    def place_of(self, codes: np.ndarray) -> np.ndarray:
+        return np.where(codes < len(self.place), self.place[np.minimum(codes, len(self.place) - 1)], -1)
+
+    def holds(self, codes: np.ndarray) -> np.ndarray:
+        return np.isin(codes, self.words)
 
 
 class Templates:
@@ -140,62 +164,81 @@ def longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def windows(telling: np.ndarray, need: int, width: int, length: int, margin: int) -> list[tuple[int, int]]:
-    """Merged spans of words where ``need`` telling words lie within ``width``."""
+def spans(codes: np.ndarray, telling: np.ndarray, t: Template, least: float) -> list[tuple[int, int]]:
+    """Spans of words, at most twice the template's length, that may hold one copy.
+
+    Each word of the template tells where the copy around it begins.  A copy's first words tell its first place and,
+    as words put in or left out move the places told, its last words its end; so every pair of told places gives a
+    span.  In templates of over SHORT words only words that occur once tell (with an eighth of the length before and
+    behind), and in those of over 64 words near places are taken as one."""
+    m = len(t.words)
+    need, lacking = t.need(least), int((1 - least) * m + 1e-9)
     if len(telling) < need:
         return []
-    k = np.flatnonzero(telling[need - 1:] - telling[:len(telling) - need + 1] < width)
-    out: list[list[int]] = []
-    for s, e in zip(telling[k].tolist(), telling[k + need - 1].tolist()):
-        s, e = max(0, s - margin), min(length, e + margin + 1)
-        if out and s <= out[-1][1] and e - out[-1][0] <= 4 * width:
-            out[-1][1] = e
+    near = np.flatnonzero(telling[need - 1:] - telling[:len(telling) - need + 1] < 2 * m)
+    if not len(near):
+        return []
+    # the runs of words around them, and the places told there
+    low, high = telling[near] - 2 * m, telling[near + need - 1] + 2 * m
+    grain, out = max(1, m // 64), []
+    cut = np.flatnonzero(low[1:] > np.maximum.accumulate(high)[:-1]) + 1
+    counted = np.concatenate([[0], np.cumsum(t.holds(codes))])
+    for lo, hi in zip(np.split(low, cut), np.split(high, cut)):
+        at_ = np.arange(max(0, int(lo[0])), min(len(codes), int(hi[-1]) + 1))
+        if m <= SHORT:
+            told = np.unique(np.subtract.outer(at_, np.arange(m))[codes[at_][:, None] == t.words])
         else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
+            at_ = at_[t.place_of(codes[at_]) >= 0]
+            told = np.unique(at_ - t.place_of(codes[at_]))
+            told = np.unique(np.concatenate([told - m // 8, told, told + m // 8]))
+        first = told[np.unique(told // grain, return_index=True)[1]]
+        last = told[np.append(np.flatnonzero(np.diff(told // grain)), len(told) - 1)] if len(told) else told
+        for s in first.tolist():
+            ends = last[np.searchsorted(last, s - lacking):np.searchsorted(last, s + m, "right")] + m
+            begin = max(0, s)
+            for e in np.minimum(np.unique(ends), len(codes)).tolist():
+                if counted[e] - counted[begin] >= least * m - 1e-9:
+                    out.append((begin, e))
+    return out
 
 
 def matches(codes: np.ndarray, known: Templates, least: float) -> list[tuple[int, int, str, float]]:
     """(start, end, template, coverage) by word places, not overlapping."""
-    found = []
     inside = np.flatnonzero(codes)
     if not len(inside):
         return []
     present = set(np.unique(codes[inside]).tolist())
+    queue: list[tuple] = []
+
+    def look(t: Template, s: int, e: int) -> None:
+        pairs = align(codes[s:e].tolist(), t.words.tolist())
+        m, n = len(t.words), len(pairs)
+        if n and n >= least * m - 1e-9:
+            a, b = s + pairs[0][0], s + pairs[-1][0] + 1
+            # words of the text that are not the template's count against a span, so that it keeps to one copy
+            heapq.heappush(queue, ((b - a - n) / 2 - n, -n / m, t.name, a, b, s, e, t))
+
     for t in known.all:
         kinds = t.telling & present
-        need = max(1, int(np.ceil(0.7 * len(t.telling))))
-        if len(kinds) < need:
-            continue
-        m = len(t.words)
-        telling = inside[np.isin(codes[inside], list(kinds))]
-        template = t.words.tolist()
-        for s, e in windows(telling, need, 2 * m, len(codes), m):
-            at_ = s
-            while at_ < e:  # several notices may stand in one window
-                pairs = align(codes[at_:e].tolist(), template)
-                pairs = densest(pairs, 2 * m)
-                if len(pairs) < least * m:
-                    break
-                found.append((at_ + pairs[0][0], at_ + pairs[-1][0] + 1, t.name, len(pairs) / m, len(pairs)))
-                at_ += pairs[-1][0] + 1
-    # the longest match wins where several overlap
+        if len(kinds) >= t.need(least):
+            telling = inside[np.isin(codes[inside], list(kinds))]
+            for s, e in spans(codes, telling, t, least):
+                look(t, s, e)
     out: list[tuple] = []
-    for f in sorted(set(found), key=lambda f: (-f[4], -f[3], f[2], f[0])):
-        if all(f[1] <= o[0] or f[0] >= o[1] for o in out):
-            out.append(f)
-    return [(s, e, name, c) for s, e, name, c, _ in sorted(out)]
-
-
-def densest(pairs: list[tuple[int, int]], width: int) -> list[tuple[int, int]]:
-    """The most pairs within ``width`` words of text."""
-    best, lo = (0, 0), 0
-    for hi in range(len(pairs)):
-        while pairs[hi][0] - pairs[lo][0] >= width:
-            lo += 1
-        if hi + 1 - lo > best[1] - best[0]:
-            best = (lo, hi + 1)
-    return pairs[best[0]:best[1]]
+    seen = set()
+    while queue:
+        _, coverage, name, a, b, s, e, t = heapq.heappop(queue)
+        over = [o for o in out if o[0] < b and o[1] > a]
+        if not over:
+            insort(out, (a, b, name, -coverage))
+            continue
+        # what the better matches leave of the span may still hold one
+        for lo, hi in zip([s] + [o[1] for o in over], [o[0] for o in over] + [e]):
+            lo, hi = max(lo, s), min(hi, e)
+            if hi - lo >= least * len(t.words) - 1e-9 and (lo, hi, name) not in seen:
+                seen.add((lo, hi, name))
+                look(t, lo, hi)
+    return out
 
 
 MATCH = "array<struct<start:bigint,end:bigint,license:string,coverage:double>>"
