@@ -165,6 +165,28 @@ def test_copies_with_prose_around_them(spark):
     assert got == want
 
 
+def test_license_siblings_and_whole_texts(spark):
+    t, whole = license_scan.TEMPLATES, license_scan.whole_texts()
+    rng = random.Random(5)
+    prose = lambda n: " ".join(words(rng, n))
+    cases = [(f"{prose(50)} {text} {prose(50)}", [name]) for name, text in {**t, **whole}.items()]
+    cases += [(whole["GPL-3.0:text"].replace("GENERAL PUBLIC", "AFFERO GENERAL PUBLIC").replace("29 June", "19 November"), None),
+              ("Licensed under CC BY-NC 7.0.", []), ("Licensed under the GNU General Public License, version 9.", []),
+              ("Licensed under the MIT License.", ["MIT"]), ("Released under the BSD License.", []),
+              ("Licensed under the Apache License, Version 1.1.", []),
+              ("This work is licensed under the GNU Lesser General Public License, version 2.1.", ["LGPL-2.1"]),
+              (t["BSD-2-Clause:text"].upper(), ["BSD-2-Clause:text"]),
+              (f"{t['MIT:text']} {prose(30)} {t['MIT:text']}", ["MIT:text"] * 2)]
+    docs = [(k, c[0]) for k, c in enumerate(cases)]
+    got = {r.doc_id: [m.license for m in r.matches] for r in license_scan.find_licenses(
+        spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for k, (text, want) in enumerate(cases):
+        if want is None:
+            assert "GPL-3.0:text" not in got[k]
+        else:
+            assert got[k] == want, text[:200]
+
+
 def test_patience_alignment_is_increasing_and_equal():
     rng = random.Random(6)
     for _ in range(200):

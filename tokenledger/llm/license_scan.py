@@ -6,7 +6,8 @@ patience: words unique to both sides anchor the alignment, the longest
 increasing subsequence of the anchors is kept, equal words next to the anchors
 extend them, and the gaps between are aligned recursively.  Coverage is the
 share of the template's words that are aligned; matches of at least ``least``
-coverage are reported.  Where they overlap the one with the most aligned words,
+coverage with the template's name and version words (``NAMES``) in one piece
+are reported.  Where they overlap the one with the most aligned words,
 less half the other words in its span, comes first, and what it leaves of the
 other spans is aligned again.
 
@@ -20,6 +21,7 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_left, insort
 from dataclasses import dataclass, field
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,8 @@ from pyspark.sql import DataFrame
 
 from tokenledger.llm import arrow_text as at
 
-#: fixed values: published notices, by SPDX id (with a variant name)
+#: fixed values: notices of licenses and sentences as authors write them, by SPDX id (with a variant name); the whole
+#: texts are in the folder licenses
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0:notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except '
@@ -41,12 +44,6 @@ TEMPLATES = {
         "this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
         "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials "
         "provided with the distribution.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
-    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
-    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to "
         "this work.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
@@ -64,6 +61,78 @@ TEMPLATES = {
     "MPL-2.0:notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
         "not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
+BSD_CONDITIONS = TEMPLATES["BSD-2-Clause:conditions"]
+BSD_THIRD = ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+             "derived from this software without specific prior written permission.")
+BSD_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT "
+    "NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL "
+    "THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+    "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
+    "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+TEMPLATES |= {
+    "BSD-2-Clause:text": f"{BSD_CONDITIONS} {BSD_DISCLAIMER}",
+    "BSD-3-Clause:conditions": f"{BSD_CONDITIONS} {BSD_THIRD}",
+    "BSD-3-Clause:text": f"{BSD_CONDITIONS} {BSD_THIRD} {BSD_DISCLAIMER}",
+    "ISC:text": TEMPLATES["ISC:permission"] + " THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS "
+        "SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, "
+        "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN "
+        "ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS "
+        "SOFTWARE.",
+    "MIT:text": TEMPLATES["MIT:permission"] + " THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING "
+        "BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+        "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+}
+#: phrases of a template that a match has, word behind word: its name and version, and what its siblings lack
+NAMES = {
+    "Apache-2.0": ["apache license version 2 0"], "Apache-2.0:notice": ["apache license version 2 0"],
+    "BSD-3-Clause:conditions": ["neither the name"], "BSD-3-Clause:text": ["neither the name"],
+    "CC0-1.0": ["waived all copyright"], "ISC:permission": ["provided that the above"], "ISC:text": ["provided that the above"],
+    "MIT": ["mit license"], "MPL-2.0:notice": ["mozilla public license v 2 0"],
+    "Apache-2.0:text": ["apache license version 2 0 january 2004"], "Artistic-1.0:text": ["the artistic license"],
+    "CC0-1.0:text": ["cc0 1 0 universal"], "GPL-1.0:text": ["gnu general public license version 1 february 1989"],
+    "GPL-2.0:text": ["gnu general public license version 2 june 1991"],
+    "GPL-3.0:text": ["gnu general public license version 3 29 june 2007"],
+    "LGPL-2.0:text": ["gnu library general public license version 2 june 1991"],
+    "LGPL-2.1:text": ["gnu lesser general public license version 2 1 february 1999"],
+    "LGPL-3.0:text": ["gnu lesser general public license version 3 29 june 2007"],
+    "MPL-1.1:text": ["mozilla public license version 1 1"], "MPL-2.0:text": ["mozilla public license version 2 0"],
+    "Unlicense:text": ["free and unencumbered software"],
+}
+for _id, _name, _version in [("GPL-1.0", "", "1"), ("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.0", "Library ", "2"),
+                             ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3")]:
+    _phrases = [f"gnu {_name}general public license".lower(), f"version {_version}".replace(".", " ")]
+    TEMPLATES[_id] = f"This work is licensed under the GNU {_name}General Public License, version {_version}."
+    TEMPLATES[f"{_id}:notice"] = (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {_name}General Public "
+        f"License as published by the Free Software Foundation, either version {_version} of the License, or (at your option) any later "
+        "version.")
+    NAMES[_id] = NAMES[f"{_id}:notice"] = _phrases
+for _version in ("1.0", "2.0"):
+    TEMPLATES[f"EPL-{_version}:notice"] = ("This program and the accompanying materials are made available under the terms of the Eclipse "
+                                           f"Public License v{_version}")
+    TEMPLATES[f"EPL-{_version}:notice v."] = TEMPLATES[f"EPL-{_version}:notice"].replace(f"v{_version}", _version)
+    NAMES[f"EPL-{_version}:notice"] = [f"eclipse public license v{_version}".replace(".", " ")]
+    NAMES[f"EPL-{_version}:notice v."] = [f"eclipse public license {_version}".replace(".", " ")]
+for _parts, _title in {"BY": "Attribution", "BY-NC": "Attribution-NonCommercial", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+                       "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-ND": "Attribution-NoDerivatives",
+                       "BY-SA": "Attribution-ShareAlike"}.items():
+    for _version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+        _id = f"CC-{_parts}-{_version}"
+        TEMPLATES[_id] = f"Licensed under CC {_parts} {_version}."
+        TEMPLATES[f"{_id}:name"] = f"licensed under a Creative Commons {_title} {_version} License"
+        for _key, _phrase in ((_id, f"cc {_parts} {_version}"), (f"{_id}:name", f"Creative Commons {_title} {_version}")):
+            NAMES[_key] = [_phrase.lower().replace("-", " ").replace(".", " ")]
+
+
+def whole_texts() -> dict[str, str]:
+    """The whole license texts, by SPDX id."""
+    folder = resources.files("tokenledger.llm") / "licenses"
+    return {f"{f.name[:-4]}:text": f.read_text("utf-8") for f in sorted(folder.iterdir(), key=lambda f: f.name)}
+
+
 #: words too common in prose to find a window by
 COMMON = frozenset("a all an and any are as at be by can for from if in is it not of on one or that the this to under was with you "
                    "your 0 2 3 4".split())
@@ -76,6 +145,7 @@ class Template:
     name: str
     words: np.ndarray       # codes
     telling: frozenset      # codes of its telling words
+    names: list             # phrases that a match has: the places of each in the template
     place: np.ndarray = field(init=False)  # by code: its place if it occurs once; -1 if never or repeated
 
     def __post_init__(self) -> None:
@@ -93,6 +163,19 @@ class Template:
     def place_of(self, codes: np.ndarray) -> np.ndarray:
         return np.where(codes < len(self.place), self.place[np.minimum(codes, len(self.place) - 1)], -1)
 
+    def places_of_phrase(self, codes: np.ndarray, start: int, n: int) -> np.ndarray:
+        """Where the ``n`` words from ``start`` on stand behind one another in the text."""
+        p = np.flatnonzero(codes[:max(0, len(codes) - n + 1)] == self.words[start])
+        for k in range(1, n):
+            p = p[codes[p + k] == self.words[start + k]]
+        return p
+
+    def named(self, pairs: list[tuple[int, int]]) -> bool:
+        """Whether every phrase is aligned, its words behind one another."""
+        at_ = {j: i for i, j in pairs}
+        return all(any(p in at_ and all(at_.get(p + k) == at_[p] + k for k in range(1, n)) for p in starts)
+                   for starts, n in self.names)
+
     def holds(self, codes: np.ndarray) -> np.ndarray:
         return np.isin(codes, self.words)
 
@@ -103,11 +186,27 @@ class Templates:
         coded = values.dictionary_encode()
         self.vocabulary = coded.dictionary
         codes = coded.indices.to_numpy().astype(np.int64) + 1
-        plain = {k + 1 for k, w in enumerate(coded.dictionary.to_pylist()) if w in COMMON}
+        code = {w: k + 1 for k, w in enumerate(coded.dictionary.to_pylist())}
+        plain = {code[w] for w in COMMON if w in code}
         self.all = []
+        self.counts = np.zeros((len(texts), len(code) + 1), np.int32)
         for k, name in enumerate(texts):
             own = codes[offsets[k]:offsets[k + 1]]
-            self.all.append(Template(name, own, frozenset(set(own.tolist()) - plain) or frozenset(own.tolist())))
+            self.counts[k] = np.bincount(own, minlength=len(code) + 1)
+            names = []
+            for phrase in NAMES.get(name, ()):
+                p = [code.get(w, 0) for w in phrase.split()]
+                starts = [s for s in range(len(own) - len(p) + 1) if own[s:s + len(p)].tolist() == p]
+                if not starts:
+                    raise ValueError(f"{name} has no {phrase!r}")
+                names.append((starts, len(p)))
+            self.all.append(Template(name, own, frozenset(set(own.tolist()) - plain) or frozenset(own.tolist()), names))
+        self.lengths = self.counts.sum(axis=1)
+
+    def possible(self, codes: np.ndarray, least: float) -> list[int]:
+        """Templates of which the text has enough words, each as often."""
+        kinds, n = np.unique(codes[codes > 0], return_counts=True)
+        return np.flatnonzero(np.minimum(self.counts[:, kinds], n).sum(axis=1) >= np.maximum(least * self.lengths - 1e-9, 1)).tolist()
 
 
 def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
@@ -173,7 +272,8 @@ def spans(codes: np.ndarray, telling: np.ndarray, t: Template, least: float) ->
     behind), and in those of over 64 words near places are taken as one."""
     m = len(t.words)
     need, lacking = t.need(least), int((1 - least) * m + 1e-9)
-    if len(telling) < need:
+    phrases = [(t.places_of_phrase(codes, starts[0], n), n) for starts, n in t.names]
+    if len(telling) < need or any(not len(p) for p, _ in phrases):
         return []
     near = np.flatnonzero(telling[need - 1:] - telling[:len(telling) - need + 1] < 2 * m)
     if not len(near):
@@ -193,11 +293,17 @@ def spans(codes: np.ndarray, telling: np.ndarray, t: Template, least: float) ->
             told = np.unique(np.concatenate([told - m // 8, told, told + m // 8]))
         first = told[np.unique(told // grain, return_index=True)[1]]
         last = told[np.append(np.flatnonzero(np.diff(told // grain)), len(told) - 1)] if len(told) else told
-        for s in first.tolist():
+        # a span holds each phrase
+        least_end = np.zeros(len(first), np.int64)
+        for p, n in phrases:
+            k = np.searchsorted(p, np.maximum(first, 0))
+            least_end = np.maximum(least_end, np.append(p, len(codes) + 2 * m)[k] + n)
+        on = least_end <= np.minimum(first + 2 * m, len(codes))
+        for s, low_end in zip(first[on].tolist(), least_end[on].tolist()):
             ends = last[np.searchsorted(last, s - lacking):np.searchsorted(last, s + m, "right")] + m
             begin = max(0, s)
-            for e in np.minimum(np.unique(ends), len(codes)).tolist():
-                if counted[e] - counted[begin] >= least * m - 1e-9:
+            for e in np.unique(np.minimum(ends, len(codes))).tolist():
+                if e >= low_end and begin < e and counted[e] - counted[begin] >= least * m - 1e-9:
                     out.append((begin, e))
     return out
 
@@ -207,22 +313,21 @@ def matches(codes: np.ndarray, known: Templates, least: float) -> list[tuple[int
     inside = np.flatnonzero(codes)
     if not len(inside):
         return []
-    present = set(np.unique(codes[inside]).tolist())
     queue: list[tuple] = []
 
     def look(t: Template, s: int, e: int) -> None:
         pairs = align(codes[s:e].tolist(), t.words.tolist())
         m, n = len(t.words), len(pairs)
-        if n and n >= least * m - 1e-9:
+        if n and n >= least * m - 1e-9 and t.named(pairs):
             a, b = s + pairs[0][0], s + pairs[-1][0] + 1
             # words of the text that are not the template's count against a span, so that it keeps to one copy
             heapq.heappush(queue, ((b - a - n) / 2 - n, -n / m, t.name, a, b, s, e, t))
 
-    for t in known.all:
-        kinds = t.telling & present
-        if len(kinds) >= t.need(least):
-            telling = inside[np.isin(codes[inside], list(kinds))]
-            for s, e in spans(codes, telling, t, least):
+    for k in known.possible(codes, least):
+        t, own = known.all[k], known.counts[k]
+        telling = inside[np.isin(codes[inside], list(t.telling))]
+        for s, e in spans(codes, telling, t, least):
+            if len(t.words) <= SHORT or np.minimum(np.bincount(codes[s:e], minlength=len(own)), own)[1:].sum() >= least * len(t.words) - 1e-9:
                 look(t, s, e)
     out: list[tuple] = []
     seen = set()
@@ -245,10 +350,10 @@ MATCH = "array<struct<start:bigint,end:bigint,license:string,coverage:double>>"
 _MATCH = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("license", pa.string()), ("coverage", pa.float64())]))
 
 
-def find_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates: dict[str, str] = TEMPLATES,
+def find_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates: dict[str, str] | None = None,
                   least: float = 0.8) -> DataFrame:
-    """doc_id, n_words and matches (word places, template, coverage)."""
-    shared = docs.sparkSession.sparkContext.broadcast(Templates(templates))
+    """doc_id, n_words and matches (word places, template, coverage); by default of all notices and whole texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(Templates(TEMPLATES | whole_texts() if templates is None else templates))
 
     def run(batches):
         known = shared.value
