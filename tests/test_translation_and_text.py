@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -117,3 +118,17 @@ def test_body_key_and_response_time(spark):
     r = df.select(H.body_key(F.col("k"), F.col("r"), F.col("ts")).alias("key"),
                   H.response_time_ms(F.col("us")).alias("ms")).first()
     assert r["key"] == "a1b2c3d4-e5f6-78/2025-02-04/rid.json.gz" and r["ms"] == 123
+
+
+def test_truncation_covers_every_body(spark):
+    from tests.conftest import SF
+    from tokenledger.plans.catalog import QUERIES
+    from tokenledger.plans import fixtures as FX
+    rows = {r.request_id: r for r in QUERIES["truncate_all_bodies"](spark, SF).collect()}
+    full = FX.exchanges(spark, SF).select("request_id", "request_body", "response_body").collect()
+    assert len(rows) == len(full)
+    cut = lambda b: b if b is None else b.encode()[:120].decode(errors="ignore")
+    for r in full:
+        for kind, body in (("request", cut(r.request_body)), ("response", cut(r.response_body))):
+            assert rows[r.request_id][f"{kind}_md5"] == (hashlib.md5(body.encode()).hexdigest() if body is not None else None)
+            assert rows[r.request_id][f"{kind}_bytes"] == (len(body.encode()) if body is not None else None)

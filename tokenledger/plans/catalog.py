@@ -481,6 +481,50 @@ def q_truncate_bodies(spark, sf):
         "request_id", F.octet_length(t).alias("body_bytes"), F.md5(t).alias("body_md5"))
 
 
+#: the bodies of every exchange by the formulas of FIXTURES.md, for the oracle of P12 over both columns
+_MODEL_SQL = "CASE WHEN k % 5 = 0 THEN '' ELSE concat(',\"{}\":\"', model, '\"') END"
+_REQUEST_SQL = """CASE WHEN event_id % 89 = 0 THEN '{bad' ELSE concat('{"model":"', model,
+  '","messages":[{"role":"system","content":"be brief"},{"role":"user","content":"q', event_id, '"}]',
+  CASE WHEN k % 2 = 0 THEN concat(',"max_tokens":', k * 10) ELSE '' END, '}') END"""
+_RESPONSE_SQL = f"""CASE WHEN status_code IS NULL THEN NULL
+  WHEN status_code = 500 THEN concat('{{"error":{{"message":"xy', repeat('é', 200 + k), '"}}}}')
+  WHEN event_id % 97 = 0 THEN '{{"usage": {{'
+  WHEN r IN (0, 5) THEN concat('{{"id":"chatcmpl-', event_id, '","object":"chat.completion"', {_MODEL_SQL.format("model")},
+    ',"choices":[{{"index":0,"message":{{"role":"assistant","content":"ok"}},"finish_reason":"stop"}}],"usage":{{"prompt_tokens":',
+    tin, ',"completion_tokens":', tout, ',"total_tokens":', tin + tout, ',"prompt_tokens_details":{{"cached_tokens":', cached, '}}}}}}')
+  WHEN r = 1 THEN concat('{{"id":"resp-', event_id, '","object":"response"', {_MODEL_SQL.format("model")},
+    ',"output":[{{"type":"message","content":[{{"type":"output_text","text":"ok"}}]}}],"usage":{{"input_tokens":', tin,
+    ',"output_tokens":', tout, ',"total_tokens":', tin + tout, ',"input_tokens_details":{{"cached_tokens":', cached,
+    '}},"output_tokens_details":{{"reasoning_tokens":', k, '}}}}}}')
+  WHEN r IN (2, 4) THEN concat('{{"id":"msg-', event_id, '","type":"message","role":"assistant"', {_MODEL_SQL.format("model")},
+    ',"content":[{{"type":"text","text":"Hello"}},{{"type":"tool_use","id":"tu-', event_id, '","name":"lookup","input":{{"q":', k,
+    '}}}},{{"type":"text","text":" world"}}],"stop_reason":"', {list(FX.STOP_REASONS)}[event_id % 5 + 1],
+    '","stop_sequence":null,"usage":{{"input_tokens":', tin - cached, ',"output_tokens":', tout, ',"cache_read_input_tokens":', cached,
+    ',"cache_creation_input_tokens":', creation, '}}}}')
+  ELSE concat('{{"candidates":[{{"content":{{"parts":[{{"text":"ok"}}],"role":"model"}},"finishReason":"STOP"}}]',
+    {_MODEL_SQL.format("modelVersion")}, ',"usageMetadata":{{"promptTokenCount":', tin, ',"candidatesTokenCount":', tout,
+    ',"totalTokenCount":', tin + tout, ',"cachedContentTokenCount":', cached, '}}}}')
+  END"""
+
+
+def _cut_sql(b: str, n: int) -> str:
+    return (f"CASE WHEN strlen({b}) <= {n} THEN {b} ELSE left({b}, len(list_filter(range(1, {n} + 1), "
+            f"lambda i: strlen(left({b}, CAST(i AS BIGINT))) <= {n}))) END")
+
+
+@register("truncate_all_bodies", with_base(
+    "SELECT request_id, CAST(strlen(q) AS INTEGER) AS request_bytes, md5(q) AS request_md5, "
+    "CAST(strlen(p) AS INTEGER) AS response_bytes, md5(p) AS response_md5 FROM "
+    f"(SELECT request_id, {_cut_sql('rq', 120)} AS q, {_cut_sql('rp', 120)} AS p FROM "
+    f"(SELECT request_id, {_REQUEST_SQL} AS rq, {_RESPONSE_SQL} AS rp FROM ev2))"))
+def q_truncate_all_bodies(spark, sf):
+    """P12 over the request and response body of every exchange (120 bytes, so both kinds are cut)."""
+    ex, _, _ = _inputs(spark, sf)
+    q, p = (H.truncate_bytes(F.col(c), 120) for c in ("request_body", "response_body"))
+    return ex.select("request_id", F.octet_length(q).alias("request_bytes"), F.md5(q).alias("request_md5"),
+                     F.octet_length(p).alias("response_bytes"), F.md5(p).alias("response_md5"))
+
+
 @register("hash_keys", with_base(
     "SELECT request_id, sha256('gwsk_' || user_id) AS api_key_hash, "
     "CASE WHEN auth_hdr IS NOT NULL THEN sha256(auth_hdr) END AS provider_api_key_hash FROM ev2"))
