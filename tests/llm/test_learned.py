@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.common import SPACED, corpus, empty, odd, odd_rows, words
@@ -162,6 +163,21 @@ def test_main_text_of_held_out_pages(spark):
     assert html_extract.extract(pages.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("page,want", [
+    ('<p><svg class="i"/>Read this.</p><p>More.</p>', ["Read this.", "More."]),
+    ('<p><svg class="i">Read this.</p><p>More.</p>', ["Read this.", "More."]),
+    ('<p><svg><title>Icon</title><style/><path d="M0"/></svg>Read this.</p><p>More.</p><svg></svg>', ["Read this.", "More."]),
+    ("<p>One <noscript>two</noscript> <math><mi>x</mi></math> <object>three</object>.</p>", ["One two x three."]),
+    ("<div><object data=a><p>Inside.</p></div><template><p>Later.</p>", ["Inside.", "Later."]),
+    ("<p title=it's>Hello. I don't know <b>x</b></p>", ["Hello. I don't know x"]),
+    ("""<p title="a > b" class = 'c > d'>Whole.</p><p "'>Stray.</p>""", ["Whole.", "Stray."]),
+    ("<p><svg>One<br/>two<p/>three", ["One two", "three"]),
+    ("<p>Before.<script>var a = '<p>no</p>'", ["Before."]),
+])
+def test_rest_of_the_page_is_kept(page, want):
+    assert [b.text for b in html_extract.blocks_of(page)] == want
+
+
 def test_viterbi_is_the_best_path():
     rng = random.Random(2)
     field = html_extract.Field({f"f{k}": rng.gauss(0, 1) for k in range(6)}, np.array([[0.4, -0.6], [-0.3, 0.7]]))

@@ -4,8 +4,9 @@ blocks of a page.
 ``blocks_of`` walks the markup once and yields its leaf blocks in page order:
 the text between two block-level tags, white space made single, character
 references decoded, with the open tags and their class and id words.  Scripts,
-styles and comments give no blocks; unclosed and truncated markup is taken as
-browsers do.  Features are ancestor tags, class words, lengths, links and
+styles, text fields, frames, comments and descriptions of drawings give no
+blocks, all other text does; unclosed and truncated markup is taken as browsers
+do, and a quote opens a value only straight after its equals sign.  Features are ancestor tags, class words, lengths, links and
 punctuation; the field has the states boilerplate and content, is trained by
 gradient ascent on labelled pages and decoded by Viterbi.
 
@@ -37,13 +38,15 @@ from tokenledger.llm import arrow_text as at
 BLOCK = frozenset("""address article aside blockquote body button canvas caption center dd details dialog dir div dl dt
 fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu
 nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul""".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object".split())
+RAW = frozenset("script style textarea iframe".split())
+#: elements with XML rules inside (a tag may end itself), and what in them describes a drawing and is not shown
+FOREIGN, UNSEEN = frozenset(("svg", "math")), frozenset(("title", "desc", "metadata"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: a begin tag of the key closes an open element of the value
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
           "th": ("td", "th"), "option": ("option",)}
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>"""
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:"[^"]*"|'[^']*')|[^>])*+)>"""
     r"""|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -61,7 +64,7 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple]] = []   # open block-level elements with their hints
     parts: list[str] = []
-    inside_link = link = at_ = 0
+    inside_link = link = at_ = foreign = 0
 
     def flush():
         nonlocal link
@@ -86,6 +89,16 @@ def blocks_of(page: str) -> list[Block]:
         if not name:
             continue
         closing = bool(m[1] or m[4])
+        ended = not closing and (m[3] or m[6] or "").endswith("/")
+        if name in FOREIGN:
+            foreign = max(0, foreign - 1) if closing else foreign + (not ended)
+            continue
+        if name == "br" or name in BLOCK and name not in UNSEEN:
+            foreign = 0  # no such element stands in a drawing or formula
+        if foreign and (ended or name in UNSEEN):
+            end = None if ended or closing else re.compile(rf"</{name}\s*>", re.I).search(page, at_)
+            at_ = end.end() if end else at_
+            continue
         if name in RAW and not closing:
             end = re.compile(rf"</{name}\s*>?", re.I).search(page, at_)
             at_ = end.end() if end else len(page)
