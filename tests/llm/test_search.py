@@ -54,6 +54,19 @@ def test_decontamination_equals_brute_force(spark, block_bytes):
     assert got == sorted(brute_contamination(docs, items, 13))
 
 
+def test_decontamination_tables_are_bounded():
+    rng = np.random.default_rng(2)
+    items = [(k, " ".join(f"w{x}" for x in rng.integers(0, 5000, 3000))) for k in range(100)]
+    items += [(200, items[0][1]), (201, None)]
+    (cls,) = decontaminate.compile_patterns(items, 13).classes
+    assert len(cls.patterns) > 250_000                      # unbounded, the tables had 2 ** 24 entries
+    assert cls.shift.nbytes + cls.bucket_at.nbytes <= (8 << 20) + 4
+    docs = pa.array([items[7][1], " ".join(items[0][1].split()[5:18]), "w1 w2 w3", None], pa.string())
+    offsets, hit, rows, found = decontaminate.scan(at.texts_of(docs), decontaminate.compile_patterns(items, 13))
+    assert hit.tolist() == [True] * 3013 + [False] * 3
+    assert {(r, i) for r, i in zip(rows, found)} == {(0, 7), (1, 0), (1, 100)}
+
+
 def test_decontamination_odd_and_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = odd(spark).select("doc_id", "text", "_words")

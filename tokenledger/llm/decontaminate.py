@@ -35,6 +35,7 @@ from tokenledger.session import scratch_path
 
 LANE = 1024
 MIX = np.int64(0x9E3779B1)
+ENTRIES = 1 << 20   # of a table at most; what shares an entry is told apart by its words
 
 
 @dataclass
@@ -42,13 +43,14 @@ class LengthClass:
     """Tables for all patterns of one length."""
     length: int
     patterns: np.ndarray                  # (patterns, length) word codes
-    items: list                           # per pattern: indexes of items
+    item_at: np.ndarray                   # per pattern: where its items begin in item_of
+    item_of: np.ndarray                   # indexes of items
     shift: np.ndarray = field(init=False)
     mask: int = field(init=False)
 
     def __post_init__(self) -> None:
         n, m = self.patterns.shape
-        size = 1 << max(8, int(np.ceil(np.log2(max(1, n * m) * 4))))
+        size = min(ENTRIES, 1 << max(8, int(np.ceil(np.log2(max(1, n * m) * 4)))))
         self.mask = size - 1
         b = min(2, m)
         self.shift = np.full(size, m - b + 1, np.int32)
@@ -57,10 +59,13 @@ class LengthClass:
         last = self.block(self.patterns, m - 1)
         order = np.argsort(last, kind="stable")
         self.patterns = self.patterns[order]
-        self.items = [self.items[k] for k in order]
+        count = np.diff(self.item_at)[order]
+        begin = self.item_at[:-1][order]
+        self.item_at = np.concatenate([[0], np.cumsum(count)])
+        self.item_of = self.item_of[np.arange(count.sum()) + np.repeat(begin - self.item_at[:-1], count)]
         self.first = self.block(self.patterns, b - 1)
         last = last[order]
-        self.bucket_at = np.searchsorted(last, np.arange(size + 1))
+        self.bucket_at = np.searchsorted(last, np.arange(size + 1)).astype(np.int32)
 
     def block(self, rows: np.ndarray, end: int) -> np.ndarray:
         """Hash of the block that ends at word ``end`` of each row."""
@@ -117,14 +122,17 @@ def compile_patterns(items: list[tuple], window: int) -> Patterns:
     offsets, values = at.words(at.texts_of(pa.array([t for _, t in items], pa.string())), at.LOWER_ALNUM)
     coded = values.dictionary_encode()
     codes = coded.indices.to_numpy().astype(np.int32) + 1 if len(values) else np.zeros(0, np.int32)
-    owners: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
-    for k in range(len(items)):
-        own = codes[offsets[k]:offsets[k + 1]]
-        m = min(window, len(own))
-        for s in range(len(own) - m + 1 if m else 0):
-            owners[m][tuple(own[s:s + m].tolist())].add(k)
-    classes = [LengthClass(m, np.array(list(by), np.int32).reshape(len(by), m), [sorted(v) for v in by.values()])
-               for m, by in sorted(owners.items())]
+    length = np.minimum(np.diff(offsets), window)
+    classes = []
+    for m in np.unique(length[length > 0]).tolist():
+        own = np.flatnonzero(length == m)
+        windows = np.diff(offsets)[own] - m + 1
+        first = np.arange(windows.sum()) + np.repeat(offsets[own] - np.cumsum(windows) + windows, windows)
+        rows = np.lib.stride_tricks.sliding_window_view(codes, m)[first]
+        kinds, kind = np.unique(rows.view(np.dtype((np.void, 4 * m))).ravel(), return_inverse=True)
+        pairs = np.unique(kind * np.int64(len(items)) + np.repeat(own, windows))
+        classes.append(LengthClass(m, kinds.view(np.int32).reshape(-1, m), np.searchsorted(pairs // len(items), np.arange(len(kinds) + 1)),
+                                   (pairs % len(items)).astype(np.int32)))
     return Patterns(coded.dictionary, classes, [i for i, _ in items])
 
 
@@ -151,7 +159,7 @@ def scan(texts: pa.LargeStringArray, patterns: Patterns):
         row = np.searchsorted(starts, end, "right") - 1
         pairs = np.unique(np.stack([row, p], 1), axis=0) if len(end) else np.zeros((0, 2), np.int64)
         for r, q in pairs.tolist():
-            for i in cls.items[q]:
+            for i in cls.item_of[cls.item_at[q]:cls.item_at[q + 1]].tolist():
                 row_found.append(r)
                 item_found.append(i)
     hit = np.cumsum(depth)[where] > 0
