@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenledger.llm import (
-    decontaminate, html_extract, license_scan, packing, quality_classifier, quality_rules, secret_scan, sketch_dedup,
+    byte_pair, cross_align, decontaminate, fill_middle, html_extract, license_scan, packing, quality_classifier, quality_rules, secret_scan, sketch_dedup,
     token_counts, toxicity)
 
 
@@ -97,6 +97,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~F.col("stats_base_failed") & (F.col("stats_rule") == 0)).alias("kept"))
 
 
+def op11_cross_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cross_align.align(table(spark, sf_dir, "documents"), a="byte_bpe_50k.json", b="piece_bpe_32k.model",
+                              digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(table(spark, sf_dir, "documents"), seed=7, plain_percent=0, spm_percent=50)
+    return fill_middle.restore(made).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("text", 256).alias("restored_sha256"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = byte_pair.encode(table(spark, sf_dir, "documents"), tokenizer="byte_bpe_50k.json")
+    return byte_pair.decode(encoded).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                                            F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -108,6 +127,9 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
+    "op11_cross_align": op11_cross_align,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_bpe": op13_bpe,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
