@@ -191,10 +191,17 @@ def test_alignment_of_odd_and_empty(spark):
     assert cross_align.align(empty(spark)).count() == 0
 
 
-def test_links_of_a_slice():
-    groups = cross_align.slices([2, 3, 1], [1, 3, 1, 1])
-    assert groups == [(0, 2, 0, 3), (2, 3, 3, 4)]
-    assert cross_align.links([2, 3, 1], [1, 3, 1, 1], groups[0]) == [(0, 0), (0, 1), (1, 1), (1, 2)]
+def test_links_of_slices():
+    """Against all pairs, over random ends."""
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = (np.append(np.flatnonzero(rng.random(30) < 0.4) + 1, 31) for _ in range(2))
+        common, p, q = cross_align.slices(a, b)
+        assert common.tolist() == sorted(set(a) & set(b)) and (a[p - 1] == common).all() and (b[q - 1] == common).all()
+        _, x, y = cross_align.links(a, b)
+        starts = [np.concatenate(([0], e[:-1])) for e in (a, b)]
+        want = [(i, j) for i in range(len(a)) for j in range(len(b)) if starts[0][i] < b[j] and starts[1][j] < a[i]]
+        assert sorted(zip(x.tolist(), y.tolist())) == want
 
 
 # --- the registered queries -------------------------------------------------

@@ -37,7 +37,7 @@ from tokenledger.llm import arrow_text as at
 from tokenledger.llm.tokens import gather
 
 #: bytes of remembered words in a worker process; beyond them all are dropped
-REMEMBER_BYTES = 128 << 20
+REMEMBER_BYTES = 64 << 20
 #: text bytes worked on at once
 RUN_BYTES = 8 << 20
 #: remembered verdicts on neighbouring tokens
@@ -55,24 +55,41 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-class Vocabulary:
-    """Tokens, their merge trees, and the automaton over all tokens."""
+class Tokens:
+    """The bytes of each id of a vocabulary file."""
 
     def __init__(self, name: str) -> None:
         import json
 
         import public_tokenizers
         with open(public_tokenizers.path(name), encoding="utf-8") as f:
-            spec = json.load(f)
+            self.read(json.load(f))
+        self.lengths = np.array([len(t) for t in self.token], np.int64)
+        self.token_at = np.cumsum(self.lengths) - self.lengths
+        self.token_bytes = np.frombuffer(b"".join(self.token), np.uint8)
+
+    def read(self, spec: dict) -> None:
         letters = byte_letters()
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.size = 1 + max([*vocab.values(), *self.special.values()])
         self.token = [b""] * self.size
-        self.id_of: dict[bytes, int] = {}
         for text, k in vocab.items():
             self.token[k] = bytes(map(letters.__getitem__, text))
-            self.id_of[self.token[k]] = k
+        for content, k in self.special.items():
+            self.token[k] = content.encode()
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of the tokens, joined."""
+        return gather(self.token_at[ids], self.lengths[ids], self.token_bytes)
+
+
+class Vocabulary(Tokens):
+    """Tokens with their merge trees and the automaton over all of them."""
+
+    def read(self, spec: dict) -> None:
+        super().read(spec)
+        vocab = spec["model"]["vocab"]
         self.length = [len(t) for t in self.token]
         # the rank at which two neighbours merge, by left * size + right
         self.rank: dict[int, int] = {}
@@ -80,7 +97,8 @@ class Vocabulary:
         # with the rank of the merge that takes it up
         self.left_edge: list[tuple] = [((k, _NEVER),) for k in range(self.size)]
         self.right_edge: list[tuple] = list(self.left_edge)
-        self.whole = [len(t) == 1 for t in self.token]  # encoded as itself
+        # encoded as itself, if nothing else is known
+        self.whole = [len(t) == 1 for t in self.token]
         for r, merge in enumerate(spec["model"]["merges"]):
             left, right = merge if isinstance(merge, list) else merge.split(" ")
             a, b, t = vocab[left], vocab[right], vocab[left + right]
@@ -90,8 +108,8 @@ class Vocabulary:
             self.left_edge[t] = (*self.left_edge[a][:-1], (a, r), (t, _NEVER))
             self.right_edge[t] = (*self.right_edge[b][:-1], (b, r), (t, _NEVER))
             self.whole[t] = self.whole[a] and self.whole[b] and self.apart(a, b, inside=True)
-        for content, k in self.special.items():
-            self.token[k] = content.encode()
+        for k in self.special.values():
+            self.whole[k] = False
         self._automaton()
 
     def apart(self, a: int, b: int, inside: bool = False) -> bool:
@@ -163,9 +181,6 @@ class TrieEncoder:
                            if self.special else None)
         self.id_type = np.uint16 if v.size <= 1 << 16 else np.uint32
         self.fits: dict[int, bool] = {}
-        self.lengths = np.array([len(t) for t in v.token], np.int64)
-        self.token_at = np.concatenate(([0], np.cumsum(self.lengths)))
-        self.token_bytes = np.frombuffer(b"".join(v.token), np.uint8)
         self.forget()
 
     def forget(self) -> None:
@@ -257,10 +272,6 @@ class TrieEncoder:
         total = np.concatenate(([0], np.cumsum(size)))
         return total[np.concatenate(([0], np.cumsum(count)))], gather(starts[flat], size, ids)
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of the tokens, joined."""
-        return gather(self.token_at[ids], self.lengths[ids], self.token_bytes)
-
 
 _encoders: dict[tuple, TrieEncoder] = {}
 
@@ -273,6 +284,16 @@ def encoder(name: str, specials: bool = True) -> TrieEncoder:
     return _encoders[name, specials]
 
 
+_tokens: dict[str, Tokens] = {}
+
+
+def decoder(name: str) -> Tokens:
+    """The worker process's table of token bytes."""
+    if name not in _tokens:
+        _tokens[name] = Tokens(name)
+    return _tokens[name]
+
+
 def _after_blank(body: np.ndarray, at_: np.ndarray) -> np.ndarray:
     """Whether the character before each (positive) position is white space,
     control characters counted as such."""
@@ -310,7 +331,7 @@ class Units:
         self.code = coded.indices.to_numpy() if len(begin) else np.zeros(0, np.int32)
 
 
-def _rows(values: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
+def byte_rows(values: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
     """Rows of a byte array, by offsets."""
     return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [
         None, pa.py_buffer(np.ascontiguousarray(ends, np.int64)), pa.py_buffer(np.ascontiguousarray(values))])
@@ -329,7 +350,7 @@ def encode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             ids = gather(unit_at[u.code], size, unit_ids).astype("<u4")
             yield pa.RecordBatch.from_arrays(
                 [batch.column(doc_id), pa.array(np.diff(total), pa.int64()),
-                 _rows(ids.view(np.uint8), 4 * total).cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
+                 byte_rows(ids.view(np.uint8), 4 * total).cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
@@ -339,13 +360,13 @@ def decode(encoded: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFram
     """The rows of ``encode`` with ``text``, the text of their ids.  Bytes that
     are no UTF-8 become U+FFFD as in the library; null ids give null."""
     def run(batches):
-        e = encoder(tokenizer)
+        e = decoder(tokenizer)
         for batch in at.slices(batches, "ids"):
             column = batch.column(batch.schema.get_field_index("ids"))
             off, body = at.raw(column.fill_null(b"").cast(pa.large_binary()))
             ids = body.view("<u4") if len(body) else np.zeros(0, "<u4")
             size = np.concatenate(([0], np.cumsum(e.lengths[ids])))
-            rows = _rows(e.decode(ids), size[off // 4])
+            rows = byte_rows(e.decode(ids), size[off // 4])
             try:
                 texts = rows.cast(pa.large_string())
             except pa.ArrowInvalid:

@@ -5,11 +5,11 @@ sentencepiece model that adds the space itself.
 
 1. Texts are cut into units that both tokenizers encode independently (before
    a space behind other than white space; no piece of B crosses such a place).
-   For each distinct unit of a block of rows: the cumulative byte ends of A's
-   and of B's tokens become dictionaries from end to index; the sorted common
-   keys slice both id lists into groups, and each slice is expanded into links,
-   the pairs of tokens whose byte ranges overlap.  A unit's end is a common end,
-   so a text's groups are those of its units in order.
+   The distinct units of a block of rows are laid end to end: the cumulative byte
+   ends of A's and of B's tokens become dictionaries from end to index; the sorted
+   keys that both hold slice the two id lists into groups, and each slice is
+   expanded into links, the pairs of tokens whose byte ranges overlap.  A unit's
+   end is a common end, so a text's groups are those of its units in order.
 2. A block writes its rows (counts, groups, unit numbers) and its distinct
    id pairs with their counts.  Pair counts are summed over the corpus, the
    highest of each B id is found, and both return to the blocks by a join on
@@ -26,128 +26,171 @@ extra columns are not read.
 from __future__ import annotations
 
 import hashlib
-from itertools import accumulate, chain, count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenledger.llm import arrow_text as at
-from tokenledger.llm.byte_pair import Units, encoder
+from tokenledger.llm.byte_pair import Units, byte_rows, encoder
+from tokenledger.llm.tokens import gather
 from tokenledger.session import scratch_path
 
 #: text bytes of a block
 BLOCK_BYTES = 12 << 20
+#: distinct units aligned at once
+CHUNK_UNITS = 50_000
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
 
-class Pieces:
-    """A sentencepiece model and the bytes of its pieces."""
+class Tokens:
+    """Byte lengths of a tokenizer's ids, and their decimal texts before each
+    of the two signs that may follow them."""
+
+    def __init__(self, lengths: list[int], last: str) -> None:
+        self.size = len(lengths)
+        self.length = np.array(lengths, np.int64)
+        texts = [f"{k}{sign}".encode() for sign in (",", last) for k in range(self.size)]
+        self.shown_length = np.array([len(t) for t in texts], np.int64)
+        self.shown_at = np.cumsum(self.shown_length) - self.shown_length
+        self.shown = b"".join(texts)
+
+
+class Trie(Tokens):
+    """A: ids by the trie encoder."""
+
+    def __init__(self, name: str) -> None:
+        self.encoder = encoder(name, specials=False)
+        super().__init__(self.encoder.vocabulary.length, "|")
+
+    def encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        offsets, ids = self.encoder.encode_units(units)
+        return np.diff(offsets), ids
+
+
+class Pieces(Tokens):
+    """B: a sentencepiece model and the bytes of its pieces."""
 
     def __init__(self, name: str) -> None:
         import public_tokenizers
         import sentencepiece
         self.model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
-        self.size = self.model.get_piece_size()
-        pieces = [self.model.id_to_piece(k) for k in range(self.size)]
+        pieces = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece crosses the border of a unit")
-        self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(k) else p.replace("▁", " ").encode()
-                      for k, p in enumerate(pieces)]
-        self.length = [len(b) for b in self.bytes]
+        own = [bytes([int(p[3:5], 16)]) if self.model.is_byte(k) else p.replace("▁", " ").encode()
+               for k, p in enumerate(pieces)]
+        super().__init__([len(b) for b in own], ";")
+        self.at = np.cumsum(self.length) - self.length
+        self.bytes = np.frombuffer(b"".join(own), np.uint8)
         self.space = self.model.piece_to_id("▁")
-        self.shown = [b"%d" % k for k in range(self.size)]
 
-    def encode(self, units: list[bytes]) -> list[list[int]]:
+    def encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units; the model puts back the space each begins with, but
         not before an empty text."""
         found = self.model.encode([u[1:].decode() for u in units], num_threads=1) if units else []
-        return [ids or [self.space] for ids in found]
+        found = [ids or [self.space] for ids in found]
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        return count, np.fromiter(chain.from_iterable(found), np.int64, int(count.sum()))
 
 
+_tries: dict[str, Trie] = {}
 _pieces: dict[str, Pieces] = {}
 
 
+def trie(name: str) -> Trie:
+    """The worker process's A."""
+    if name not in _tries:
+        _tries[name] = Trie(name)
+    return _tries[name]
+
+
 def pieces(name: str) -> Pieces:
-    """The worker process's model."""
+    """The worker process's B."""
     if name not in _pieces:
         _pieces[name] = Pieces(name)
     return _pieces[name]
 
 
-def slices(a_lengths: list[int], b_lengths: list[int]) -> list[tuple[int, int, int, int]]:
-    """Groups (a from, a to, b from, b to) between common cumulative ends."""
-    a_index = dict(zip(accumulate(a_lengths), count(1)))
-    b_index = dict(zip(accumulate(b_lengths), count(1)))
-    out, i, j = [], 0, 0
-    for end in sorted(a_index.keys() & b_index.keys()):
-        p, q = a_index[end], b_index[end]
-        out.append((i, p, j, q))
-        i, j = p, q
-    return out
-
-
-def links(a_lengths: list[int], b_lengths: list[int], group: tuple[int, int, int, int]) -> list[tuple[int, int]]:
-    """Index pairs of a group's tokens whose byte ranges overlap."""
-    i, p, j, q = group
-    if p - i == 1 or q - j == 1:
-        return [(x, y) for x in range(i, p) for y in range(j, q)]
-    out, a_end, b_end = [], a_lengths[i], b_lengths[j]
-    while True:
-        out.append((i, j))
-        if a_end <= b_end:  # ends inside a group are never equal but at its own end
-            i += 1
-            if i == p:
-                return out
-            a_end += a_lengths[i]
-        else:
-            j += 1
-            b_end += b_lengths[j]
+def slices(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Common cumulative ends, and where each slice ends in A's and B's ids."""
+    a_index = dict(zip(a_ends.tolist(), count(1)))
+    b_index = dict(zip(b_ends.tolist(), count(1)))
+    common = sorted(a_index.keys() & b_index.keys())
+    n = len(common)
+    return (np.array(common, np.int64), np.fromiter(map(a_index.__getitem__, common), np.int64, n),
+            np.fromiter(map(b_index.__getitem__, common), np.int64, n))
+
+
+def links(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends of the overlaps, and the tokens of A and B that overlap there.
+    Inside a slice no ends are equal, so between two neighbouring ends of
+    either kind lies the overlap of one pair, and every overlap is such a
+    stretch; slices border on common ends, so none is crossed."""
+    both = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
+    ends = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
+    return ends, np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+
+
+def shown(a: Tokens, a_ids: np.ndarray, a_to: np.ndarray, b: Tokens, b_ids: np.ndarray,
+          b_to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all groups, ``a1,a2|b1;``, and the place of each group's end."""
+    total = len(a_ids) + len(b_ids)
+    where, size = np.zeros(total, np.int64), np.zeros(total, np.int64)
+    a_size, b_size = np.diff(a_to, prepend=0), np.diff(b_to, prepend=0)
+    a_place = np.arange(len(a_ids)) + np.repeat(b_to - b_size, a_size)
+    b_place = np.arange(len(b_ids)) + np.repeat(a_to, b_size)
+    a_key, b_key = a_ids.copy(), b_ids.copy()
+    a_key[a_to - 1] += a.size  # the form before the next sign
+    b_key[b_to - 1] += b.size
+    where[a_place], size[a_place] = a.shown_at[a_key], a.shown_length[a_key]
+    where[b_place], size[b_place] = b.shown_at[b_key] + len(a.shown), b.shown_length[b_key]
+    text = gather(where, size, np.frombuffer(a.shown + b.shown, np.uint8))
+    return text, np.cumsum(size)[a_to + b_to - 1]
 
 
 class Block:
     """The distinct units of a block: counts, group texts and id pairs."""
 
-    def __init__(self, units: list[bytes], a: TrieIds, b: Pieces) -> None:
-        n = len(units)
-        self.count = np.zeros((4, n), np.int64)
-        self.sound = np.ones(n, bool)
+    def __init__(self, units: list[bytes], a: Trie, b: Pieces) -> None:
+        self.sound = np.ones(len(units), bool)
+        self.count = np.zeros((4, len(units)), np.int64)
         self.text: list[bytes] = []
-        a_at, a_ids = a.encoder.encode_units(units)
-        a_at, a_ids, b_ids = a_at.tolist(), a_ids.tolist(), b.encode(units)
-        pairs, ends, rows = [], [], []
-        for k in range(n):
-            own, other = a_ids[a_at[k]:a_at[k + 1]], b_ids[k]
-            if b"".join([b.bytes[x] for x in other]) != units[k]:
-                self.sound[k] = False
-                rows.append((0, 0, 0, 0))
-                self.text.append(b"")
-                ends.append(len(pairs))
-                continue
-            a_lengths, b_lengths = [a.length[x] for x in own], [b.length[x] for x in other]
-            found = slices(a_lengths, b_lengths)
-            shown = []
-            for g in found:
-                pairs += [own[x] * b.size + other[y] for x, y in links(a_lengths, b_lengths, g)]
-                shown.append(b",".join([a.shown[x] for x in own[g[0]:g[1]]]) + b"|"
-                             + b",".join([b.shown[y] for y in other[g[2]:g[3]]]))
-            self.text.append(b";".join(shown))
-            rows.append((len(own), len(other), len(found), len(pairs) - (ends[-1] if ends else 0)))
-            ends.append(len(pairs))
-        if n:
-            self.count = np.array(rows, np.int64).T
-        self.pair_at = np.concatenate(([0], np.array(ends, np.int64)))
-        self.pairs = np.array(pairs, np.int64)
-
-
-class TrieIds:
-    """A's encoder with the length and text of its ids."""
-
-    def __init__(self, name: str) -> None:
-        self.encoder = encoder(name, specials=False)
-        self.length = self.encoder.vocabulary.length
-        self.shown = [b"%d" % k for k in range(self.encoder.vocabulary.size)]
+        pairs = [np.zeros(0, np.int64)]
+        a_count, a_ids = a.encode(units)
+        a_at = np.concatenate(([0], np.cumsum(a_count)))
+        for at_ in range(0, len(units), CHUNK_UNITS):
+            to = min(at_ + CHUNK_UNITS, len(units))
+            pairs.append(self._add(at_, units[at_:to], a_count[at_:to], a_ids[a_at[at_]:a_at[to]].astype(np.int64), a, b))
+        self.pairs = np.concatenate(pairs)
+        self.pair_at = np.concatenate(([0], np.cumsum(self.count[3])))
+
+    def _add(self, at_: int, units: list[bytes], a_count: np.ndarray, a_ids: np.ndarray, a: Trie,
+             b: Pieces) -> np.ndarray:
+        """Adds a run of units; their id pairs in order."""
+        b_count, b_ids = b.encode(units)
+        b_length = b.length[b_ids]
+        ends = np.concatenate(([0], np.cumsum(b_length)))[np.concatenate(([0], np.cumsum(b_count)))]
+        same = pc.equal(byte_rows(gather(b.at[b_ids], b_length, b.bytes), ends), pa.array(units, pa.large_binary()))
+        sound = same.to_numpy(zero_copy_only=False)
+        if not sound.all():
+            a_ids, b_ids = a_ids[np.repeat(sound, a_count)], b_ids[np.repeat(sound, b_count)]
+            a_count, b_count = a_count * sound, b_count * sound
+        a_ends, b_ends = np.cumsum(a.length[a_ids]), np.cumsum(b.length[b_ids])
+        unit_ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)) * sound)
+        common, a_to, b_to = slices(a_ends, b_ends)
+        overlap, x, y = links(a_ends, b_ends)
+        text, text_ends = shown(a, a_ids, a_to, b, b_ids, b_to)
+        groups = np.searchsorted(common, unit_ends, "right")
+        here = slice(at_, at_ + len(units))
+        self.sound[here] = sound
+        self.count[:, here] = (a_count, b_count, np.diff(groups, prepend=0),
+                               np.diff(np.searchsorted(overlap, unit_ends, "right"), prepend=0))
+        self.text += byte_rows(text, np.concatenate(([0], np.concatenate(([0], text_ends))[groups]))).to_pylist()
+        return a_ids[x] * b.size + b_ids[y]
 
 
 def with_space(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +213,7 @@ def _blocks(docs: DataFrame, text: str, doc_id: str, a_name: str, b_name: str, b
 
     def run(batches):
         from pyspark import TaskContext
-        a, b = TrieIds(a_name), pieces(b_name)
+        a, b = trie(a_name), pieces(b_name)
         number = TaskContext.get().partitionId() << 32
         for batch in at.slices(batches, text, block_bytes):
             rows = batch.num_rows
@@ -181,18 +224,18 @@ def _blocks(docs: DataFrame, text: str, doc_id: str, a_name: str, b_name: str, b
             good[row[~block.sound[u.code]]] = False
             total = [np.concatenate(([0], np.cumsum(c[u.code])))[u.offsets] for c in block.count]
             columns = [pa.array(np.where(good, np.diff(t), 0), pa.int64()) for t in total]
-            shown, codes = [], []
+            groups, codes = [], []
             for k in range(rows):
                 own = u.code[u.offsets[k]:u.offsets[k + 1]] if good[k] else u.code[:0]
                 codes.append(own.astype("<u4").tobytes())
-                whole = b";".join(map(block.text.__getitem__, own.tolist()))
-                shown.append(whole.decode() if not digest or not good[k] else hashlib.sha256(whole).hexdigest())
+                whole = b"".join(map(block.text.__getitem__, own.tolist()))[:-1]
+                groups.append(whole.decode() if not digest or not good[k] else hashlib.sha256(whole).hexdigest())
             used = np.bincount(u.code[good[row]], minlength=len(u.units))
             distinct, index = np.unique(block.pairs, return_inverse=True)
             times = np.repeat(used, np.diff(block.pair_at))
             held = np.bincount(index, times, len(distinct)).astype(np.int64) if len(distinct) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(rows, number), pa.int64()), batch.column(doc_id), *columns, pa.array(shown, pa.string()),
+                pa.array(np.full(rows, number), pa.int64()), batch.column(doc_id), *columns, pa.array(groups, pa.string()),
                 pa.array(codes, pa.binary()), *[pa.nulls(rows, pa.binary())] * 2,
                 *[pa.nulls(rows, pa.list_(pa.int64()))] * 2], names)
             yield pa.RecordBatch.from_arrays([
