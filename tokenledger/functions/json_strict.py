@@ -9,14 +9,18 @@ that with built-in expressions only:
 * string fields are parsed as strings; where the text could come from a
   number, boolean, object or array (``from_json`` turns ``123`` into
   ``'123'``), a variant parse checks that the JSON value was a string;
-* a second, content-skipping parse of ``[`` body ``]`` rejects trailing
-  text and anything that is not exactly one JSON object;
+* the body is parsed as the one element of an array inside a small object,
+  ``{"d":[`` body ``],"e":0}``: text behind the body, a bracket too many or a
+  second value breaks that object, so the same parse tells them;
 * a bare ``null`` document decodes to all-zero values, as a typed decoder does.
+
+So each body is parsed once; the variant parse runs only for the rare text that
+needs it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,77 +93,41 @@ def _types_ok(c: Column, dt: T.DataType) -> Column:
     return c.isNull() | F.forall(c, lambda x: _types_ok(x, dt.elementType))
 
 
-def _out_type(dt: T.DataType) -> T.DataType:
-    return _parse_type(dt, variant=False)
-
-
 def single_value(body: Column) -> Column:
     """True when ``body`` holds exactly one JSON value and nothing after it."""
     wrapped = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>", OPTIONS)
     return F.coalesce(F.size(wrapped) == 1, F.lit(False))
 
 
-def single_object(body: Column) -> Column:
-    """True when ``body`` is exactly one JSON object (or ``null``) and nothing
-    after it. Cheaper than ``single_value``: the element schema has no field
-    the document carries, so the parser skips its content instead of copying
-    it into a string."""
-    wrapped = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<struct<__none:boolean>>", OPTIONS)
-    return F.coalesce(F.size(wrapped) == 1, F.lit(False))
-
-
-def null_document(body: Column) -> Column:
-    """A bare ``null`` document: decodes without error to zero values."""
-    return F.coalesce(F.trim(body) == F.lit("null"), F.lit(False))
-
-
-def parse_raw(body: Column, schema: T.StructType) -> Column:
-    """The ``from_json`` of a strict decode (string fields as strings)."""
-    return F.from_json(body, _parse_type(schema).add(BAD, T.StringType()), OPTIONS)
-
+def parse_body(body: Column, schema: T.StructType) -> Column:
+    """The one parse of a body (string fields as strings); materialise it as a
+    column and read it with ``parse_ok`` and ``parse_value``."""
+    whole = T.StructType([T.StructField("d", T.ArrayType(_parse_type(schema))), T.StructField("e", T.IntegerType()),
+                          T.StructField(BAD, T.StringType())])
+    return F.from_json(F.concat(F.lit('{"d":['), body, F.lit('],"e":0}')), whole, OPTIONS)
 
-def suspicious(raw: Column, schema: T.StructType) -> Column:
-    """True where some string field of a ``parse_raw`` result holds text that
-    could stem from a non-string JSON value."""
-    return _suspicious(raw, schema)
 
+def parse_ok(parsed: Column) -> Column:
+    """The body is one object of the schema's types, or ``null``; string
+    fields are yet to be checked where ``suspicious``."""
+    return F.coalesce(parsed[BAD].isNull() & (parsed["e"] == 0) & (F.size(parsed["d"]) == 1), F.lit(False))
 
-def variant_check_input(raw: Column, schema: T.StructType, body: Column,
-                        susp: Column | None = None) -> Column | None:
-    """The variant parse a strict decode needs, only for rows whose string
-    fields hold text of a non-string shape (else null); None when the schema
-    has no string fields. Materialise it as a column: it then appears once
-    in the plan and subexpression elimination cannot hoist it to every row."""
-    if not _has_str(schema):
-        return None
-    susp = _suspicious(raw, schema) if susp is None else susp
-    return F.when(susp, F.from_json(body, _parse_type(schema, variant=True), OPTIONS))
 
+def parse_value(parsed: Column) -> Column:
+    """The body's struct; null for a ``null`` document."""
+    return F.get(parsed["d"], F.lit(0))
 
-def decode_ok_from(raw: Column, schema: T.StructType, single: Column, null_doc: Column,
-                   checked: Column | None, susp: Column | None = None) -> Column:
-    """``decode_ok`` given the materialised ``variant_check_input`` column."""
-    ok = raw.isNotNull() & raw[BAD].isNull() & single
-    if checked is not None:
-        susp = _suspicious(raw, schema) if susp is None else susp
-        ok = ok & (~susp | _types_ok(checked, schema))
-    return F.coalesce(null_doc | ok, F.lit(False))
 
+def suspicious(value: Column, schema: T.StructType) -> Column:
+    """True where some string field of a parsed value holds text that could
+    stem from a non-string JSON value."""
+    return _suspicious(value, schema)
 
-def decode_ok(raw: Column, schema: T.StructType, single: Column, null_doc: Column, body: Column) -> Column:
-    """Whether the strict decode of ``body`` succeeds, given its ``parse_raw``.
 
-    ``single`` is ``single_object(body)``, ``null_doc`` ``null_document(body)``.
-    A second, variant-typed parse of ``body`` runs only for rows where a
-    string field holds text that could stem from a non-string value.
-    Hot paths materialise this boolean as its own column so that it is
-    evaluated once per row, not once per field read from the decode.
-    """
-    ok = raw.isNotNull() & raw[BAD].isNull() & single
-    if _has_str(schema):
-        strict = F.from_json(body, _parse_type(schema, variant=True), OPTIONS)
-        ok = ok & (~_suspicious(raw, schema) | _types_ok(strict, schema))
-    return F.coalesce(null_doc | ok, F.lit(False))
+def variant_check(value: Column, schema: T.StructType, body: Column) -> Column:
+    """The variant parse of bodies whose string fields hold text of a
+    non-string shape, else null."""
+    return F.when(_suspicious(value, schema), F.from_json(body, _parse_type(schema, variant=True), OPTIONS))
 
 
 def lit_true() -> Column:
@@ -167,23 +135,68 @@ def lit_true() -> Column:
     return F.lit(True).alias("ok")
 
 
-def decoded_value(raw: Column, schema: T.StructType, ok: Column, null_doc: Column) -> Column:
-    """The decoded struct (``v``): null unless ``ok``, and for a ``null`` document."""
-    decoded = F.struct(*[raw[f.name].alias(f.name) for f in schema.fields])
-    return F.when(ok & ~null_doc, decoded).otherwise(F.lit(None).cast(_out_type(schema)))
-
-
-def finish(raw: Column, schema: T.StructType, single: Column, null_doc: Column, body: Column) -> Column:
-    """``struct<ok boolean, v struct>`` from a ``parse_raw`` result."""
-    ok = decode_ok(raw, schema, single, null_doc, body)
-    return F.struct(ok.alias("ok"), decoded_value(raw, schema, ok, null_doc).alias("v"))
-
-
 def strict_json(body: Column, schema: T.StructType) -> Column:
     """One-expression strict decode; returns ``struct<ok boolean, v struct>``.
 
-    Convenient for small inputs; hot paths materialise ``parse_raw`` and
-    ``single_object`` as columns first (see ``operators.usage``) so that the
-    parse is not repeated inside conditional branches.
+    Convenient inside other expressions; jobs over tables use ``with_strict``,
+    which keeps the parse and the flag as columns of their own.
     """
-    return finish(parse_raw(body, schema), schema, single_object(body), null_document(body), body)
+    parsed = parse_body(body, schema)
+    value = parse_value(parsed)
+    ok = parse_ok(parsed)
+    if _has_str(schema):
+        strict = F.from_json(body, _parse_type(schema, variant=True), OPTIONS)
+        ok = ok & (~_suspicious(value, schema) | _types_ok(strict, schema))
+    ok = F.coalesce(ok, F.lit(False))
+    return F.struct(ok.alias("ok"), F.when(ok, value).alias("v"))
+
+
+_EXPRS: dict[tuple, Column] = {}
+
+
+def _memo(key: tuple, build) -> Column:
+    """Column expressions depend only on column names and schemas; build each
+    once per application (saves thousands of JVM round trips per plan)."""
+    from pyspark import SparkContext
+    sc = SparkContext._active_spark_context
+    k = (sc.applicationId if sc is not None else None,) + key
+    if k not in _EXPRS:
+        _EXPRS[k] = build()
+    return _EXPRS[k]
+
+
+def with_stricts(df: DataFrame, body: str, decodes: dict[str, tuple[T.StructType, Column | None]]) -> DataFrame:
+    """Add, for each ``out: (schema, guard)``, ``out`` = the decoded struct and
+    ``out__ok``; rows whose guard is not true get neither (null, false).
+
+    Four projections whatever the number of decodes: the parses, their values
+    and flags, the rare variant parses, the verdicts."""
+    b = F.col(body)
+
+    def guarded(guard: Column | None, c: Column) -> Column:
+        return c if guard is None else F.when(guard, c)
+
+    df = df.withColumns({f"{o}__p": guarded(guard, _memo(("parse", body, schema.json()), lambda: parse_body(b, schema)))
+                         for o, (schema, guard) in decodes.items()})
+    df = df.withColumns({k: c for o in decodes for k, c in (
+        (f"{o}__v", _memo(("value", o), lambda: parse_value(F.col(f"{o}__p")))),
+        (f"{o}__a", _memo(("alone", o), lambda: parse_ok(F.col(f"{o}__p")))))})
+    checked = [o for o, (schema, _) in decodes.items() if _has_str(schema)]
+    if checked:
+        df = df.withColumns({f"{o}__c": _memo(("check", o, body, decodes[o][0].json()), lambda: variant_check(
+            F.col(f"{o}__v"), decodes[o][0], b)) for o in checked})
+    oks = {o: F.col(f"{o}__a") for o in decodes}
+    for o in checked:
+        oks[o] = oks[o] & _memo(("types", o, decodes[o][0].json()), lambda: F.col(f"{o}__c").isNull()
+                                | _types_ok(F.col(f"{o}__c"), decodes[o][0]))
+    df = df.withColumns({f"{o}__ok": c for o, c in oks.items()})
+    df = df.withColumns({o: F.when(F.col(f"{o}__ok"), F.col(f"{o}__v")) for o in decodes})
+    return df.drop(*[f"{o}__{k}" for o in decodes for k in "pvac"])
+
+
+def with_strict(df: DataFrame, body: str, schema: T.StructType, out: str, guard: Column | None = None) -> DataFrame:
+    """Add ``out`` = struct<ok, v> strict decode of ``body`` (null where the
+    guard is not true)."""
+    df = with_stricts(df, body, {f"{out}__d": (schema, guard)})
+    done = F.struct(F.col(f"{out}__d__ok").alias("ok"), F.col(f"{out}__d").alias("v"))
+    return df.withColumn(out, done if guard is None else F.when(guard, done)).drop(f"{out}__d", f"{out}__d__ok")

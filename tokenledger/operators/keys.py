@@ -1,5 +1,12 @@
 """Key resolution joins (J1, J2) and ownership chains.
 
+Requests carry whole bodies, so their rows are not shuffled to meet a key
+dimension. One within the broadcast bound is broadcast. A larger one is first
+cut down to the keys in use: the distinct hashes of a narrow scan meet it in a
+shuffle, and what they find is written and, within the bound, broadcast. Should
+even the keys in use exceed it, ``fit`` says so, and the caller reads
+what it needs from the bodies first and shuffles narrow rows (see ``plans.enrich``).
+
 Dimensions are joined once each on their hash, with a size-checked
 broadcast; everything a request needs from a dimension (owner, active
 metadata keys, provider mappings) is folded into that one dimension row
@@ -14,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenledger.config import DEFAULT, LedgerConfig
 from tokenledger.functions.headers import hash_key, strip_bearer
 from tokenledger.functions.secrets import secret_ok, secret_set
-from tokenledger.session import dim_side
+from tokenledger.session import dim_side, estimated_bytes, scratch_path
 
 
 def api_key_status(found, is_active, revoked_at, given):
@@ -34,6 +41,32 @@ def _spread_key(key_hash, df: DataFrame):
     return F.coalesce(key_hash, F.concat(F.lit("none-"), F.col(ids[0]).cast("string"))) if ids else key_hash
 
 
+def fits(dim: DataFrame, cfg: LedgerConfig = DEFAULT) -> bool:
+    size = estimated_bytes(dim)
+    return size is not None and size <= cfg.dim_broadcast_bytes
+
+
+def in_use(dim: DataFrame, hash_col: str, hashes: DataFrame, cfg: LedgerConfig = DEFAULT) -> DataFrame:
+    """Rows of a key dimension that ``hashes`` (one column) name.
+
+    A dimension within the broadcast bound stays as it is. Of a larger one the
+    rows in use are written and read back, so their size is known. Only
+    hashes and dimension rows are shuffled, each hash once per map task."""
+    if fits(dim, cfg):
+        return dim
+    name = hashes.columns[0]
+    wanted = hashes.where(F.col(name).isNotNull()).distinct()
+    path = scratch_path(dim.sparkSession, "keys-in-use")
+    dim.join(wanted, F.col(hash_col) == F.col(name), "left_semi").write.parquet(path)
+    return dim.sparkSession.read.parquet(path)
+
+
+def proxy_token_hash(authorization, cfg: LedgerConfig = DEFAULT):
+    """Hash of the token of an Authorization header if it is a proxy key, else null."""
+    token = strip_bearer(authorization)
+    return F.when(token.startswith(cfg.proxy_key_prefix), F.sha2(token, 256))
+
+
 def resolve_api_keys(df: DataFrame, api_keys: DataFrame, key_col: str = "api_key",
                      extra: DataFrame | None = None, cfg: LedgerConfig = DEFAULT) -> DataFrame:
     """Hash the gateway key and look it up.
@@ -94,9 +127,7 @@ def resolve_proxy_keys(df: DataFrame, proxy_keys: DataFrame, mappings: DataFrame
     Adds ``proxy_status`` and ``proxy_key_id`` (set when ok and the stored
     provider key is not empty).
     """
-    token = strip_bearer(F.col(auth_col))
-    is_proxy = token.startswith(cfg.proxy_key_prefix)
-    df = df.withColumn("_pk_token_hash", F.when(is_proxy, F.sha2(token, 256)))
+    df = df.withColumn("_pk_token_hash", proxy_token_hash(F.col(auth_col), cfg))
     dim = dim_side(proxy_dimension(proxy_keys, mappings, secret), cfg.dim_broadcast_bytes)
     j = df.join(dim, _spread_key(F.col("_pk_token_hash"), df) == F.col("_pk_hash"), "left")
     mapped = F.element_at(F.col("mapped"), F.col(provider_col))

@@ -1,9 +1,9 @@
 """Usage extraction and OpenAI<->Anthropic translation.
 
-Each body is tokenised at most once per purpose: the provider decides which
-schema a response is parsed with (``when`` guards), raw parses are
-materialised as columns before they are read several times, and the request
-body is only parsed for rows that need its model or its translation.
+Each body is parsed once: the provider decides which schema a response is
+parsed with (``when`` guards), parses are columns of their own before they are
+read several times, and the request body is only parsed for rows that need
+its model or its translation.
 """
 
 from __future__ import annotations
@@ -47,61 +47,6 @@ TRANSLATED_PATH = "/v1/messages"
 TRANSLATING_PROVIDER = "anthropic-openai"
 
 
-_EXPRS: dict[tuple, Column] = {}
-
-
-def _memo(key: tuple, build) -> Column:
-    """Column expressions depend only on column names and schemas; build each
-    once per application (saves thousands of JVM round trips per plan)."""
-    from pyspark import SparkContext
-    sc = SparkContext._active_spark_context
-    k = (sc.applicationId if sc is not None else None,) + key
-    if k not in _EXPRS:
-        _EXPRS[k] = build()
-    return _EXPRS[k]
-
-
-def with_decode_oks(df: DataFrame, specs: list[tuple[str, T.StructType, str]], single: Column,
-                    null_doc: Column, body: Column, body_name: str | None = None) -> DataFrame:
-    """Add a boolean per (raw column, schema, out): the strict decode of ``body`` succeeds; one
-    projection for the rare variant re-parses, one for the flags."""
-    checks, susp = {}, {}
-    for raw, schema, out in specs:
-        if J._has_str(schema):
-            sj = schema.json()
-            susp[out] = _memo(("susp", raw, sj), lambda: J.suspicious(F.col(raw), schema))
-            build = lambda: J.variant_check_input(F.col(raw), schema, body, susp[out])
-            checks[out + "__chk"] = (_memo(("chk", raw, sj, body_name), build) if body_name else build())
-    if checks:
-        df = df.withColumns(checks)
-    oks = {out: J.decode_ok_from(F.col(raw), schema, single, null_doc,
-                                 F.col(out + "__chk") if out + "__chk" in checks else None, susp.get(out))
-           for raw, schema, out in specs}
-    return df.withColumns(oks).drop(*checks)
-
-
-def _strict(df: DataFrame, body: str, schema: T.StructType, out: str, guard: Column | None = None) -> DataFrame:
-    """Add ``out`` = struct<ok, v> strict decode of ``body``.
-
-    The parse and the ``ok`` flag are columns of their own, so neither is
-    re-evaluated for every field a consumer reads."""
-    raw = J.parse_raw(F.col(body), schema)
-    one = J.single_object(F.col(body))
-    if guard is not None:
-        raw, one = F.when(guard, raw), F.when(guard, one)
-    nd = J.null_document(F.col(body))
-    df = df.withColumns({f"{out}__raw": raw, f"{out}__one": one})
-    df = with_decode_oks(df, [(f"{out}__raw", schema, f"{out}__ok")],
-                         F.coalesce(F.col(f"{out}__one"), F.lit(False)), nd, F.col(body), body)
-    if guard is not None:
-        df = df.withColumn(f"{out}__ok", F.coalesce(guard, F.lit(False)) & F.col(f"{out}__ok"))
-    done = F.struct(F.col(f"{out}__ok").alias("ok"),
-                    J.decoded_value(F.col(f"{out}__raw"), schema, F.col(f"{out}__ok"), nd).alias("v"))
-    if guard is not None:
-        done = F.when(guard, done)
-    return df.withColumn(out, done).drop(f"{out}__raw", f"{out}__one", f"{out}__ok")
-
-
 def usage_metrics(df: DataFrame, provider: str = "provider", status: str = "status_code",
                   response_body: str = "response_body", request_body: str = "request_body",
                   out: str = "usage") -> DataFrame:
@@ -113,62 +58,66 @@ def usage_metrics(df: DataFrame, provider: str = "provider", status: str = "stat
     * on a failed decode all counts are 0 and the provider is the detected one;
     * an empty or missing model falls back to the request's model (P4).
 
-    Each response body is parsed once with the schema its parser needs (two
-    parses only where a translation fails), plus one content-skipping pass
-    for the single-document check.
+    Each response body is parsed once with the schema its parser needs (twice
+    only where a translation fails).
     """
     prov = F.col(provider)
-    translate = (prov == TRANSLATING_PROVIDER) & F.coalesce(F.col(status) < 400, F.lit(False))
-    body = F.col(response_body)
-    df = df.withColumns({
-        "_one": J.single_object(body), "_nd": J.null_document(body),
-        "_ra": F.when(prov == "anthropic", J.parse_raw(body, P.ANTHROPIC_USAGE)),
-        "_rg": F.when(prov == "gemini", J.parse_raw(body, P.GEMINI_USAGE)),
-        "_rt": F.when(translate, J.parse_raw(body, ANTHROPIC_RESPONSE)),
+    translate = F.coalesce((prov == TRANSLATING_PROVIDER) & (F.col(status) < 400), F.lit(False))
+    df = J.with_stricts(df, response_body, {
+        "_a": (P.ANTHROPIC_USAGE, prov == "anthropic"),
+        "_g": (P.GEMINI_USAGE, prov == "gemini"),
+        "_t": (ANTHROPIC_RESPONSE, translate),
+        "_o": (P.OPENAI_USAGE, ~prov.isin(P.OWN_PARSER) & ~translate),
     })
-    one, nd = F.col("_one"), F.col("_nd")
-    df = with_decode_oks(df, [("_rt", ANTHROPIC_RESPONSE, "_tok")], one, nd, body, response_body)
-    df = df.withColumn("_tok", F.coalesce(translate, F.lit(False)) & F.col("_tok"))
-    use_openai = ~prov.isin(P.OWN_PARSER) & ~F.col("_tok")
-    df = df.withColumn("_ro", F.when(use_openai, J.parse_raw(body, P.OPENAI_USAGE)))
-    df = with_decode_oks(df, [("_ra", P.ANTHROPIC_USAGE, "_oka"), ("_rg", P.GEMINI_USAGE, "_okg"),
-                              ("_ro", P.OPENAI_USAGE, "_oko")], one, nd, body, response_body)
-    ok = (F.when(prov == "anthropic", F.col("_oka")).when(prov == "gemini", F.col("_okg"))
-          .when(F.col("_tok"), F.lit(True)).otherwise(F.col("_oko")))
-    df = df.withColumn("_ok", ok).drop("_oka", "_okg", "_oko")
-    ok = F.col("_ok")
+    # what could not be translated is read as it stands
+    df = J.with_stricts(df, response_body, {"_f": (P.OPENAI_USAGE, translate & ~F.col("_t__ok"))})
 
-    def v(raw: str, schema: T.StructType) -> Column:
-        return F.struct(J.lit_true(), J.decoded_value(F.col(raw), schema, ok, nd).alias("v"))
+    def v(name: str) -> Column:
+        return F.struct(J.lit_true(), F.col(name).alias("v"))
 
-    tu = F.col("_rt.usage")
+    zero = F.lit(0).cast("bigint")
+    tu = F.col("_t.usage")
     translated = F.struct(
-        F.lit(True).alias("ok"), F.coalesce(F.when(~nd, F.col("_rt.model")), F.lit("")).alias("model"),
-        F.coalesce(F.when(~nd, tu["input_tokens"]), F.lit(0).cast("bigint")).alias("input"),
-        F.coalesce(F.when(~nd, tu["output_tokens"]), F.lit(0).cast("bigint")).alias("output"),
-        F.lit(0).cast("bigint").alias("cached"), F.lit(0).cast("bigint").alias("creation"),
-    )
-    parsed = (
-        F.when(prov == "anthropic", P.anthropic_usage(v("_ra", P.ANTHROPIC_USAGE)))
-        .when(prov == "gemini", P.gemini_usage(v("_rg", P.GEMINI_USAGE)))
-        .when(F.col("_tok"), translated)
-        .otherwise(P.openai_usage(v("_ro", P.OPENAI_USAGE)))
+        F.lit(True).alias("ok"), F.coalesce(F.col("_t.model"), F.lit("")).alias("model"),
+        F.coalesce(tu["input_tokens"], zero).alias("input"), F.coalesce(tu["output_tokens"], zero).alias("output"),
+        zero.alias("cached"), zero.alias("creation"),
     )
-    df = df.withColumn("_u", parsed).drop("_ra", "_rg", "_rt", "_ro", "_one", "_nd", "_tok")
+    df = df.withColumns({"_u": (
+        F.when(F.col("_a__ok"), P.anthropic_usage(v("_a")))
+        .when(F.col("_g__ok"), P.gemini_usage(v("_g")))
+        .when(F.col("_t__ok"), translated)
+        .when(F.col("_o__ok"), P.openai_usage(v("_o")))
+        .when(F.col("_f__ok"), P.openai_usage(v("_f")))),
+    }).drop(*[f"_{k}{x}" for k in "agtof" for x in ("", "__ok")])
+    ok = F.col("_u").isNotNull()
     need_model = ~ok | (F.col("_u.model") == "")
-    df = _strict(df, request_body, P.MODEL_REQUEST, "_req", guard=need_model)
+    df = J.with_strict(df, request_body, P.MODEL_REQUEST, "_req", guard=need_model)
     req_model = F.coalesce(F.nullif(F.when(F.col("_req.ok"), F.col("_req.v.model")), F.lit("")), F.lit(P.UNKNOWN))
-    zero = F.lit(0).cast("bigint")
     result = F.struct(
         ok.alias("ok"),
         F.when(ok, P.parser_name(prov)).otherwise(prov).alias("provider"),
         F.when(need_model, req_model).otherwise(F.col("_u.model")).alias("model"),
-        F.when(ok, F.col("_u.input")).otherwise(zero).alias("input"),
-        F.when(ok, F.col("_u.output")).otherwise(zero).alias("output"),
-        F.when(ok, F.col("_u.cached")).otherwise(zero).alias("cached"),
-        F.when(ok, F.col("_u.creation")).otherwise(zero).alias("creation"),
+        *[F.coalesce(F.col(f"_u.{c}"), zero).alias(c) for c in ("input", "output", "cached", "creation")],
     )
-    return df.withColumn(out, result).drop("_u", "_req", "_ok")
+    return df.withColumn(out, result).drop("_u", "_req")
+
+
+USAGE_OF = {"openai": (P.OPENAI_USAGE, P.openai_usage), "anthropic": (P.ANTHROPIC_USAGE, P.anthropic_usage),
+            "gemini": (P.GEMINI_USAGE, P.gemini_usage)}
+
+
+def parse_usage(df: DataFrame, parser: str, body: str = "response_body", out: str = "usage") -> DataFrame:
+    """P5-P7 over a table: add ``usage`` = struct<ok, model, input, output,
+    cached, creation> by one parser, one parse a body."""
+    schema, read = USAGE_OF[parser]
+    df = J.with_strict(df, body, schema, "_parsed")
+    return df.withColumn(out, read(F.col("_parsed"))).drop("_parsed")
+
+
+def request_models(df: DataFrame, body: str = "request_body", out: str = "model") -> DataFrame:
+    """P4 over a table: ``model`` of the request JSON, one parse a body."""
+    df = J.with_strict(df, body, P.MODEL_REQUEST, "_parsed")
+    return df.withColumn(out, F.coalesce(F.nullif(F.col("_parsed.v.model"), F.lit("")), F.lit(P.UNKNOWN))).drop("_parsed")
 
 
 def translate_requests(df: DataFrame, body: str = "request_body", out: str = "translated") -> DataFrame:
@@ -180,7 +129,7 @@ def translate_requests(df: DataFrame, body: str = "request_body", out: str = "tr
     top_p and stream are carried when present. On a decode error the request
     is passed on unchanged (ok=false, body and path null).
     """
-    df = _strict(df, body, OPENAI_REQUEST, "_oreq")
+    df = J.with_strict(df, body, OPENAI_REQUEST, "_oreq")
     v = F.col("_oreq.v")
     # a missing or null role, content or message reads as empty text
     msgs = F.transform(F.coalesce(v["messages"], F.array().cast("array<struct<role:string,content:string>>")),
@@ -228,7 +177,7 @@ def translate_responses(df: DataFrame, body: str = "response_body", out: str = "
     completion_tokens, total_tokens>. Text blocks are concatenated, other
     blocks skipped; cache counts are not carried over.
     """
-    df = _strict(df, body, ANTHROPIC_RESPONSE, "_aresp")
+    df = J.with_strict(df, body, ANTHROPIC_RESPONSE, "_aresp")
     v = F.col("_aresp.v")
     blocks = F.coalesce(v["content"], F.array().cast("array<struct<type:string,text:string>>"))
     content = F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"),

@@ -364,7 +364,7 @@ def q_detect_provider(spark, sf):
 def q_extract_model(spark, sf):
     """Model of the request body ('unknown' when undecodable or empty)."""
     ex, _, _ = _inputs(spark, sf)
-    return ex.select("request_id", P.extract_model(F.col("request_body")).alias("model"))
+    return usage.request_models(ex.select("request_id", "request_body")).select("request_id", "model")
 
 
 def _parser_sql(rs: str, inp: str, cached: str, creation: str) -> str:
@@ -378,10 +378,11 @@ def _parser_sql(rs: str, inp: str, cached: str, creation: str) -> str:
         f"FROM lg0 WHERE r IN ({rs})")
 
 
-def _parse_query(spark, sf, providers: list[str], fn):
+def _parse_query(spark, sf, providers: list[str], parser: str):
     _, d, _ = _prepared(spark, sf)
     d = d.where(F.col("status_code").isNotNull() & F.col("prov.provider").isin(providers))
-    u = fn(F.col("response_body"))
+    d = usage.parse_usage(d, parser, out="_usage")
+    u = F.col("_usage")
     return d.select("request_id", u["ok"].alias("ok"), u["model"].alias("model"), u["input"].alias("input"),
                     u["output"].alias("output"), u["cached"].alias("cached"), u["creation"].alias("creation"))
 
@@ -389,19 +390,19 @@ def _parse_query(spark, sf, providers: list[str], fn):
 @register("parse_usage_openai", _parser_sql("0, 1, 5", "tin", "cached", "CAST(0 AS BIGINT)"))
 def q_parse_usage_openai(spark, sf):
     """P5: Chat and Responses usage; Responses fields win when they report tokens."""
-    return _parse_query(spark, sf, ["openai", "azure", "gemini-openai", "bedrock", "unknown"], P.parse_usage_openai)
+    return _parse_query(spark, sf, ["openai", "azure", "gemini-openai", "bedrock", "unknown"], "openai")
 
 
 @register("parse_usage_anthropic", _parser_sql("2, 4", "tin + creation", "cached", "creation"))
 def q_parse_usage_anthropic(spark, sf):
     """Input normalised to include cache reads and creation."""
-    return _parse_query(spark, sf, ["anthropic", "anthropic-openai"], P.parse_usage_anthropic)
+    return _parse_query(spark, sf, ["anthropic", "anthropic-openai"], "anthropic")
 
 
 @register("parse_usage_gemini", _parser_sql("3", "tin", "cached", "CAST(0 AS BIGINT)"))
 def q_parse_usage_gemini(spark, sf):
     """usageMetadata counts, model from modelVersion."""
-    return _parse_query(spark, sf, ["gemini"], P.parse_usage_gemini)
+    return _parse_query(spark, sf, ["gemini"], "gemini")
 
 
 @register("usage_metrics", with_base(

@@ -1,12 +1,13 @@
 """Recorded exchanges -> typed, priced request log (``llm_requests``).
 
-Plan shape (one stage, no shuffle on the fact side when the dimensions fit
-the broadcast bound):
+Plan shape (one stage, no shuffle on the fact side when the dimensions, or the
+keys in use, fit the broadcast bound; no shuffle ever carries a body):
 
     exchanges -> gateway headers, provider, key hashes       (narrow)
       -> join API-key dim (+ active metadata keys folded in)  (size-checked broadcast)
       -> join proxy-key dim (+ mappings folded in)            (size-checked broadcast)
-      -> F1 gate, before any JSON is parsed
+      -> F1 gate, before any JSON is parsed (keys beyond the bound: after the
+         decode, so that only narrow rows are shuffled)
       -> usage decode (one parse per body), translation path   (narrow)
       -> price lookup: join of the deduplicated price list    (size-checked broadcast)
       -> costs, error text, body pointers, reject reason       (narrow)
@@ -14,11 +15,14 @@ the broadcast bound):
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenledger.config import DEFAULT, LedgerConfig
 from tokenledger.functions import headers as H
+from tokenledger.functions.json_strict import with_strict
 from tokenledger.functions.providers import detect_provider
 from tokenledger.operators import keys, metadata, pricing, quality, usage
 from tokenledger.plans.fixtures import Dims
@@ -36,27 +40,71 @@ def prepare(exchanges: DataFrame, cfg: LedgerConfig = DEFAULT) -> DataFrame:
     ).withColumn("prov", detect_provider(F.col("path"), F.col("gw_headers"), cfg))
 
 
-def resolve(exchanges: DataFrame, dims: Dims, cfg: LedgerConfig = DEFAULT) -> DataFrame:
-    """Exchanges with J1/J2 statuses (all rows, before the F1 gate)."""
-    df = prepare(exchanges, cfg).withColumn("provider_detected", F.col("prov.provider"))
+def _with_provider(exchanges: DataFrame, cfg: LedgerConfig) -> DataFrame:
+    return prepare(exchanges, cfg).withColumn("provider_detected", F.col("prov.provider"))
+
+
+def _key_dims(prepared: DataFrame, dims: Dims, cfg: LedgerConfig) -> tuple[Dims, bool]:
+    """Dimensions with key tables cut to the keys in use where they exceed the
+    broadcast bound, and whether all then fit it."""
+    if prepared.isStreaming:
+        return dims, True
+    api_keys = keys.in_use(dims.api_keys, "key_hash", prepared.select(H.hash_key(F.col("api_key")).alias("h")), cfg)
+    proxy_keys = keys.in_use(dims.proxy_keys, "key_hash",
+                             prepared.select(keys.proxy_token_hash(F.col("authorization"), cfg).alias("h")), cfg)
+    cut, metadata_keys, mappings = (api_keys is not dims.api_keys), dims.metadata_keys, dims.mappings
+    # what is folded into a key's row is cut with it
+    if cut:
+        metadata_keys = metadata_keys.join(api_keys.select(F.col("id").alias("api_key_id")), "api_key_id", "left_semi")
+    if proxy_keys is not dims.proxy_keys:
+        mappings = mappings.join(proxy_keys.select(F.col("id").alias("proxy_key_id")), "proxy_key_id", "left_semi")
+    fit = keys.fits(api_keys, cfg) and keys.fits(proxy_keys, cfg)
+    return replace(dims, api_keys=api_keys, proxy_keys=proxy_keys, mappings=mappings, metadata_keys=metadata_keys), fit
+
+
+def _resolve(df: DataFrame, dims: Dims, cfg: LedgerConfig) -> DataFrame:
     df = keys.resolve_api_keys(df, dims.api_keys, "api_key",
                                extra=metadata.active_key_names(dims.metadata_keys), cfg=cfg)
-    df = keys.resolve_proxy_keys(df, dims.proxy_keys, dims.mappings, dims.secret,
-                                 "authorization", "provider_detected", "api_key_id", cfg)
-    return df
+    return keys.resolve_proxy_keys(df, dims.proxy_keys, dims.mappings, dims.secret,
+                                   "authorization", "provider_detected", "api_key_id", cfg)
 
 
-def logged_exchanges(exchanges: DataFrame, dims: Dims, cfg: LedgerConfig = DEFAULT) -> DataFrame:
-    """F1-gated exchanges with the path the gateway logs: a request of the
-    translating provider that translates is logged under the new path."""
-    df = quality.loggable(resolve(exchanges, dims, cfg))
+def resolve(exchanges: DataFrame, dims: Dims, cfg: LedgerConfig = DEFAULT) -> DataFrame:
+    """Exchanges with J1/J2 statuses (all rows, before the F1 gate)."""
+    df = _with_provider(exchanges, cfg)
+    return _resolve(df, _key_dims(df, dims, cfg)[0], cfg)
+
+
+def _with_request_path(df: DataFrame) -> DataFrame:
+    """The path the gateway logs: a request of the translating provider that
+    translates is logged under the new path."""
     translate = F.col("provider_detected") == usage.TRANSLATING_PROVIDER
-    df = usage._strict(df, "request_body", usage.OPENAI_REQUEST, "_treq", guard=translate)
+    df = with_strict(df, "request_body", usage.OPENAI_REQUEST, "_treq", guard=translate)
     path = F.when(translate & F.coalesce(F.col("_treq.ok"), F.lit(False)), F.lit(usage.TRANSLATED_PATH)) \
         .otherwise(F.col("path"))
     return df.withColumn("request_path", path).drop("_treq")
 
 
+def logged_exchanges(exchanges: DataFrame, dims: Dims, cfg: LedgerConfig = DEFAULT) -> DataFrame:
+    """F1-gated exchanges with the path the gateway logs."""
+    return _with_request_path(quality.loggable(resolve(exchanges, dims, cfg)))
+
+
+def _decoded(df: DataFrame, cfg: LedgerConfig) -> DataFrame:
+    """All that the log keeps of a request's bodies; the bodies themselves go."""
+    df = usage.usage_metrics(_with_request_path(df), provider="provider_detected")
+    store = cfg.body_mode == "table"
+    message = H.error_message(F.col("status_code"), F.col("response_body"), cfg)
+    if quality.CORRUPT in df.columns:
+        message = F.coalesce(message, H.truncate_bytes(F.col(quality.CORRUPT), cfg.error_message_bytes))
+
+    def kept(body: str, wanted: bool):
+        return H.truncate_bytes(F.col(body), cfg.max_body_bytes) if store and wanted else F.lit(None).cast("string")
+
+    return df.withColumns({"error_message": message, "_request": kept("request_body", cfg.store_request_body),
+                           "_response": kept("response_body", cfg.store_response_body)}).drop("request_body", "response_body")
+
+
 def body_envelopes(exchanges: DataFrame, dims: Dims, cfg: LedgerConfig = DEFAULT) -> DataFrame:
     """Input of S6 for every logged exchange. The gateway-key header is
     dropped from the stored headers (it would store the secret in clear)."""
@@ -72,15 +120,15 @@ def enrich_requests(exchanges: DataFrame, dims: Dims, cfg: LedgerConfig = DEFAUL
                     with_reason: bool = True) -> DataFrame:
     """The request log, one row per loggable exchange
     (+ ``reject_reason`` for Q1; unreadable input lines become rejects too). Counts are bigint until Q1 narrows them."""
-    df = logged_exchanges(exchanges, dims, cfg)
-    df = usage.usage_metrics(df, provider="provider_detected")
+    df = _with_provider(exchanges, cfg)
+    dims, fit = _key_dims(df, dims, cfg)
+    if fit:  # the gate comes before any body is parsed
+        df = _decoded(quality.loggable(_resolve(df, dims, cfg)), cfg)
+    else:  # rows are shuffled to the keys, so bodies are read and dropped before
+        df = quality.loggable(_resolve(_decoded(df, cfg), dims, cfg))
     df = pricing.lookup_prices(df.withColumn("model", F.col("usage.model")), dims.prices, dims.aliases, "model", cfg)
     raw_meta = H.custom_metadata(F.col("gw_headers"), cfg)
-    store = cfg.body_mode == "table"
-    message = H.error_message(F.col("status_code"), F.col("response_body"), cfg)
     corrupt = quality.CORRUPT in df.columns
-    if corrupt:
-        message = F.coalesce(message, H.truncate_bytes(F.col(quality.CORRUPT), cfg.error_message_bytes))
     out = df.select(
         F.col("request_id").alias("id"),
         "user_id", "api_key_id", "proxy_key_id",
@@ -97,13 +145,11 @@ def enrich_requests(exchanges: DataFrame, dims: Dims, cfg: LedgerConfig = DEFAUL
         F.col("usage.creation").alias("cache_creation_tokens"),
         *pricing.cost_columns(F.col("usage.input"), F.col("usage.output"), F.col("usage.cached"), F.col("price")),
         "status_code",
-        message.alias("error_message"),
+        "error_message",
         raw_meta.alias("raw_metadata"),
         metadata.indexed_metadata(raw_meta, F.col("active_keys")).alias("indexed_metadata"),
-        (H.truncate_bytes(F.col("request_body"), cfg.max_body_bytes) if store and cfg.store_request_body
-         else F.lit(None).cast("string")).alias("request_body"),
-        (H.truncate_bytes(F.col("response_body"), cfg.max_body_bytes) if store and cfg.store_response_body
-         else F.lit(None).cast("string")).alias("response_body"),
+        F.col("_request").alias("request_body"),
+        F.col("_response").alias("response_body"),
         F.col("responded_at").alias("created_at"),
         (H.body_key(F.col("api_key_id"), F.col("request_id"), F.col("requested_at")) if cfg.body_mode == "object"
          else F.lit(None).cast("string")).alias("body_s3_key"),
