@@ -75,13 +75,40 @@ def test_packed_pieces_hold_every_id_once(spark, library, shard):
 def test_retrieval_brings_neighbours_together():
     """Of two topics dealt in turn, windows hold one topic."""
     topic = {k: np.array([k * 1000 + j for j in range(40)], np.uint32) for k in (1, 2)}
-    rows = [(n, np.ones(50, np.uint16).tobytes(), topic[n % 2 + 1].tobytes(), np.ones(40, np.uint8).tobytes(), 40)
+    rows = [(n, np.ones(50, np.uint16).tobytes(), topic[n % 2 + 1].tobytes(), np.ones(40, np.uint32).tobytes(), 40)
             for n in range(40)]
     shard = packing.Shard(rows, np.full(packing.BUCKETS, 20), 40, 40.0)
     for pieces in list(shard.pack(200, 2))[:-1]:
         assert len({rows[r][0] % 2 for r, _, _ in pieces}) == 1
 
 
+def test_neighbours_follow_in_bm25_order():
+    """Scores of every seed equal plain BM25 over all words, counted by dictionaries."""
+    import math
+    import random
+    rng = random.Random(11)
+    docs = [[rng.randrange(1, 400) for _ in range(rng.randint(1, 300))] + [7] * rng.choice([0, 0, 400]) for _ in range(60)]
+    bags = [{w: d.count(w) for w in set(d)} for d in docs]
+    df = np.zeros(packing.BUCKETS, np.int64)
+    for b in bags:
+        for w in b:
+            df[w] += 1
+    mean = sum(map(len, docs)) / len(docs)
+    rows = [(k, b"", np.array(sorted(b), np.uint32).tobytes(), np.array([b[w] for w in sorted(b)], np.uint32).tobytes(),
+             len(docs[k])) for k, b in enumerate(bags)]
+    shard = packing.Shard(rows, df, len(docs), mean)
+    for seed, own in enumerate(bags):
+        want = np.zeros(len(docs))
+        for k, b in enumerate(bags):
+            for w in own.keys() & b.keys():
+                if df[w] > 1:
+                    idf = math.log1p((len(docs) - df[w] + 0.5) / (df[w] + 0.5))
+                    norm = b[w] + packing.K1 * (1 - packing.B + packing.B * len(docs[k]) / mean)
+                    want[k] += idf * b[w] * (packing.K1 + 1) / norm
+        got = shard.scores(seed)
+        assert np.allclose(got, want, rtol=1e-4)
+
+
 def test_packing_odd_and_empty(spark):
     pieces = packing.pack(odd(spark), window=2048)
     by = {r.doc_id: r.n for r in pieces.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}

@@ -8,8 +8,8 @@
    all documents.
 3. Each task cuts its rows into shards of about ``SHARD_TOKENS`` tokens and
    builds an inverted index with BM25 weights per shard.  A window begins with
-   a seed document; the unused documents that its ``QUERY_TERMS`` weightiest
-   words retrieve follow, best first, until the window is full.  A document
+   a seed document; the unused documents that share words with it follow, those
+   of the highest score over all shared words first, until the window is full.  A document
    that does not fit is cut, and its rest is the next seed; when nothing is
    retrieved, the next unused document follows.  So every window is full but a
    shard's last, which is cut into sequences of powers of two: no padding.
@@ -27,12 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenledger.llm import arrow_text as at
-from tokenledger.llm.tokens import Encoded, forget_words
+from tokenledger.llm.tokens import RUN_BYTES, Encoded, forget_words
 from tokenledger.session import scratch_path
 
-SHARD_TOKENS = 6 << 20
+SHARD_TOKENS = 2 << 20
 BUCKETS = 1 << 16
-QUERY_TERMS = 16
 K1, B = 1.2, 0.75
 
 
@@ -44,7 +43,7 @@ def _tokenised(docs: DataFrame, text: str, doc_id: str, tokenizer: str, end_id:
     def run(batches):
         df = np.zeros(BUCKETS, np.int32)
         n_docs = n_words = 0
-        for batch in at.slices(batches, text):
+        for batch in at.slices(batches, text, RUN_BYTES):
             e = Encoded(at.texts_of(batch.column(text)), tokenizer)
             rows = batch.num_rows
             size = e.counts()
@@ -54,7 +53,7 @@ def _tokenised(docs: DataFrame, text: str, doc_id: str, tokenizer: str, end_id:
             row, term = row[term != 0], term[term != 0]
             pairs, count = np.unique(row.astype(np.uint64) << np.uint64(32) | term, return_counts=True)
             terms, owner = (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32), (pairs >> np.uint64(32)).astype(np.int64)
-            count = np.minimum(count, 255).astype(np.uint8)
+            count = count.astype(np.uint32)
             own = np.searchsorted(owner, np.arange(rows + 1))
             df += np.bincount(terms & (BUCKETS - 1), minlength=BUCKETS).astype(np.int32)
             end = np.array([end_id], ids.dtype).tobytes()
@@ -88,7 +87,7 @@ class Shard:
         n = len(rows)
         terms = [np.frombuffer(r[2], np.uint32) for r in rows]
         term = np.concatenate(terms) if n else np.zeros(0, np.uint32)
-        tf = np.concatenate([np.frombuffer(r[3], np.uint8) for r in rows]).astype(np.float32)
+        tf = np.concatenate([np.frombuffer(r[3], np.uint32) for r in rows]).astype(np.float32)
         own = np.array([len(t) for t in terms])
         self.own = np.concatenate(([0], np.cumsum(own)))
         doc = np.repeat(np.arange(n), own)
@@ -100,7 +99,7 @@ class Shard:
         ordered = term[order]
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(term) else np.zeros(0, int)
         self.post_at = np.append(first, len(term))
-        self.post_doc, self.post_weight = doc[order], weight[order]
+        self.post_doc, self.post_weight = doc[order], weight[order].astype(np.float64)
         number = np.empty(len(term), np.int64)  # posting list of each of a document's words
         number[order] = np.repeat(np.arange(len(first)), np.diff(self.post_at))
         self.number = number
@@ -110,11 +109,12 @@ class Shard:
     def scores(self, seed: int) -> np.ndarray:
         lo, hi = self.own[seed], self.own[seed + 1]
         w = self.weight[lo:hi]
-        top = np.argpartition(w, len(w) - QUERY_TERMS)[-QUERY_TERMS:] if len(w) > QUERY_TERMS else np.arange(len(w))
-        lists = self.number[lo:hi][top[w[top] > 0]]
+        lists = self.number[lo:hi][w > 0]
         if not len(lists):
             return np.zeros(0, np.float32)
-        at_ = np.concatenate([np.arange(a, b) for a, b in zip(self.post_at[lists], self.post_at[lists + 1])])
+        begin = self.post_at[lists]
+        size = self.post_at[lists + 1] - begin
+        at_ = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
         return np.bincount(self.post_doc[at_], self.post_weight[at_], len(self.rows))
 
     def pack(self, window: int, width: int):

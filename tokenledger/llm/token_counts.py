@@ -1,7 +1,7 @@
 """Token counts: lengths only, from Arrow functions.
 
 Each task works through its Arrow batches in runs of rows of equal bytes
-(``SLICE_BYTES``), encodes the distinct words of a run and returns numbers; no
+(``RUN_BYTES``), encodes the distinct words of a run and returns numbers; no
 ids leave the task.  A text longer than ``LONG_BYTES`` is cut behind ASCII white
 space, which is a safe boundary (see ``tokens``), so one long text is counted in
 bounded memory too; a stretch without white space stays whole.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenledger.llm import arrow_text as at
-from tokenledger.llm.tokens import Encoded, forget_words
+from tokenledger.llm.tokens import RUN_BYTES, Encoded, forget_words
 
 LONG_BYTES = 4 << 20
 _BLANK = b" \t\n\v\f\r"
@@ -52,7 +52,7 @@ def token_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                  tokenizer: str = "word_bpe_49k.json", limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit."""
     def run(batches):
-        for batch in at.slices(batches, text):
+        for batch in at.slices(batches, text, RUN_BYTES):
             texts = at.texts_of(batch.column(text))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(doc_id), pc.binary_length(texts).cast(pa.int64()),

@@ -14,7 +14,7 @@ counts or ids are put together by array lookups.
   form); each distinct piece is encoded by the library.  Any other word, and
   any word that holds a special token's string, goes to the library whole.
 
-Distinct pieces are remembered within a task, up to about ``REMEMBER``.
+Distinct pieces are remembered by a worker process, up to about ``REMEMBER``.
 """
 
 from __future__ import annotations
@@ -27,7 +27,10 @@ import pyarrow.compute as pc
 
 from tokenledger.llm import arrow_text as at
 
-REMEMBER = 400_000
+#: pieces remembered by a worker process, also between tasks (about 150 MB)
+REMEMBER = 600_000
+#: text bytes encoded at once
+RUN_BYTES = 8 << 20
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 #: fixed values: the splitting rule of the vocabulary file, for plain words
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
@@ -93,10 +96,13 @@ class WordEncoder:
     def _index(self, pieces: pa.Array) -> np.ndarray:
         coded = pieces.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        new = [p for p in distinct if p not in self.piece]
+        found = list(map(self.piece.get, distinct))
+        new = [p for p, k in zip(distinct, found) if k is None]
         if new:
+            fresh = iter(range(len(self.starts) - 1, len(self.starts) - 1 + len(new)))  # numbered in turn
             self._learn(new)
-        found = np.fromiter(map(self.piece.__getitem__, distinct), np.int64, len(distinct))
+            found = [next(fresh) if k is None else k for k in found]
+        found = np.array(found, np.int64)
         return found[coded.indices.to_numpy()] if len(pieces) else np.zeros(0, np.int64)
 
     def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,9 +162,10 @@ def encoder(name: str) -> WordEncoder:
 
 
 def forget_words() -> None:
-    """Drops remembered pieces at the end of a task."""
+    """At the end of a task: pieces stay for the next one, up to ``REMEMBER``."""
     for e in _encoders.values():
-        e.forget()
+        if len(e.piece) > REMEMBER:
+            e.forget()
     at.release()
 
 
