@@ -24,6 +24,7 @@ from tokenledger.plans import fixtures as FX
 from tokenledger.plans.oracle import LOG_SELECT, uuid_sql, with_base
 from tokenledger.session import scratch_path
 from tokenledger.sources import request_log as log_io
+from tokenledger.sources.log_index import LogIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -69,6 +70,19 @@ def materialized_log(spark: SparkSession, sf: str) -> DataFrame:
     return log_io.read_request_log(spark, path)
 
 
+_INDEXES: dict[tuple[str, str], LogIndex] = {}
+
+
+def log_index(spark: SparkSession, sf: str) -> LogIndex:
+    """The index kept with the materialised log, built once with it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        materialized_log(spark, sf)
+        _INDEXES[key] = LogIndex(spark, _LOGS[key], scratch_path(spark, "log-index"))
+    _INDEXES[key].update()
+    return _INDEXES[key]
+
+
 def log_table(spark: SparkSession, sf: str) -> DataFrame:
     """The rows the log table keeps (Q1 ok side)."""
     return log_io.accepted(materialized_log(spark, sf))
@@ -183,21 +197,23 @@ def q_spend_by_proxy_key(spark, sf):
     f"ORDER BY requested_at DESC, id DESC LIMIT 10"))
 def q_recent_by_proxy_key(spark, sf):
     """10 newest rows of one proxy key."""
-    return A.recent_by_proxy_key(log_table(spark, sf), _pk(PK_FOR_A8), 10)
+    key = _pk(PK_FOR_A8)
+    return A.recent_by_proxy_key(log_index(spark, sf).newest_of_proxy_key(key, 10), key, 10)
 
 
 @register("latest_request", with_base(
     "SELECT model, CAST(input_tokens AS INTEGER) AS input_tokens, CAST(output_tokens AS INTEGER) AS output_tokens, "
     "total_cost FROM req ORDER BY created_at DESC, id DESC LIMIT 1"))
 def q_latest_request(spark, sf):
-    """A9."""
-    return A.latest_request(log_table(spark, sf))
+    """The newest row, from the files that can hold it."""
+    return A.latest_request(log_index(spark, sf).newest(1))
 
 
 @register("body_pointer", with_base(f"SELECT id, body_s3_key FROM req WHERE id = '{_req_id(BODY_EVENT)}'"))
 def q_body_pointer(spark, sf):
-    """A10."""
-    return A.body_pointer(log_table(spark, sf), _req_id(BODY_EVENT))
+    """A10: by the index of request ids."""
+    request_id = _req_id(BODY_EVENT)
+    return A.body_pointer(log_index(spark, sf).request(request_id), request_id)
 
 
 @register("unpriced_models", with_base(
@@ -213,7 +229,8 @@ def q_unpriced_models(spark, sf):
     "SELECT id, model, total_cost FROM req WHERE event_type = 'purchase' AND event_user % 2 = 0"))
 def q_metadata_contains(spark, sf):
     """indexed_metadata @> {feature: purchase}."""
-    return A.metadata_contains(log_table(spark, sf), {"feature": "purchase"}).select("id", "model", "total_cost")
+    wanted = {"feature": "purchase"}
+    return A.metadata_contains(log_index(spark, sf).containing(wanted), wanted).select("id", "model", "total_cost")
 
 
 @register("requests_in_range", with_base(
