@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from tests.conftest import SF
 from tests.llm.common import groups, odd, odd_rows, words
@@ -41,6 +43,34 @@ def test_stages_on_odd_rows(spark):
         assert stage(spark, odd(spark).limit(0), SF).count() == 0, name
 
 
+def test_stages_carry_every_column(spark):
+    """Columns named like the operators' own come through as they were."""
+    names = ["_hits", "_items", "_words", "_hit", "_quality", "_quality_rule", "_quality_base_failed", "_bench_contaminated",
+             "stats", "kept", "column0", "component_id", "a b"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    for k, n in enumerate(names):
+        docs = docs.withColumn(n, F.concat(F.lit(f"{k}-"), F.col("doc_id").cast("string")))
+    before = {r.doc_id: r for r in docs.collect()}
+    docs = spark.createDataFrame(list(before.values()), docs.schema)
+    for stage, run in cp.STAGES[:-1]:
+        out = run(spark, docs, SF)
+        assert out.columns == docs.columns, stage
+        rows = out.collect()
+        assert rows
+        for r in rows:
+            own = before[r.doc_id]
+            changed = {c for c in docs.columns if r[c] != own[c]}
+            assert changed <= ({"text", "n_chars"} if stage == "secret_scan" else set()), (stage, changed)
+
+
+def test_other_texts_of_an_id_stay(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(words(rng, 60)) for _ in range(3))
+    docs = spark.createDataFrame([(1, a), (1, b), (1, b), (2, c), (None, a)], "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or 0, r.text) for r in cp.near_dedup(spark, docs, SF).collect())
+    assert got == sorted([(0, a), (1, a), (1, b), (2, c)])
+
+
 def test_hot_group_leaves_one(spark):
     rng = random.Random(3)
     base = words(rng, 90)
