@@ -98,9 +98,33 @@ def learnable(labels: DataFrame, column: str, modulus: int, remainder: int) -> D
             .agg(F.min(column).alias("y"), F.max(column).alias("y2")).where("y = y2").select("doc_id", "y"))
 
 
+def smallest(rows: DataFrame, most: int, by: str = "h") -> DataFrame:
+    """The rows whose hash ``by`` is at most a bound: all of the ``most``
+    smallest and, unless hashes repeat, fewer than ``most`` others.  Counts per
+    hash prefix give the bound, so no task and no driver sees more rows than
+    it keeps, however large the input."""
+    low, bits, taken = 0, 64, 0
+    while bits > 0:
+        above, bits = bits, bits - min(12, bits)
+        # arithmetic shift: prefixes are in the order of the signed hashes
+        here = rows.select(by) if above == 64 else rows.select(by).where(F.shiftright(by, above) == low)
+        counts = here.groupBy(F.shiftright(by, bits).alias("p")).count().collect()
+        for prefix, count in sorted((r[0], r[1]) for r in counts):
+            if taken + count >= most:
+                break
+            taken += count
+        else:  # only at the first level: fewer rows than ``most``
+            return rows
+        low = prefix
+        if count <= most:
+            break
+    return rows.where(F.shiftright(by, bits) <= low)
+
+
 def sample(labelled: DataFrame, most: int) -> DataFrame:
     """At most ``most`` labelled rows: the smallest id hashes."""
-    return labelled.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(most)
+    hashed = labelled.withColumn("h", F.xxhash64("doc_id"))
+    return smallest(hashed, most).orderBy("h", "doc_id").limit(most)
 
 
 def train(docs: DataFrame, labelled: DataFrame, text: str = "text", doc_id: str = "doc_id",

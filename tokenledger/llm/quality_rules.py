@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenledger.llm import arrow_text as at
+from tokenledger.llm.quality_classifier import smallest
 from tokenledger.session import scratch_path
 
 #: counts of the contract, then the inputs of the learned rules
@@ -228,8 +229,10 @@ def fit(stats: DataFrame, labels: DataFrame, doc_id: str = "doc_id", name: str =
              .groupBy("_i").agg(F.min("_q").alias("_q"), F.max("_q").alias("_r")).where("_q = _r"))
     rows = (stats.select(F.col(doc_id).alias("_i"), name).where(~base_failed(name)).join(known, "_i")
             .select("_q", *[F.col(f"{name}.{c}").cast("double").alias(c) for c in ("n_words", *RATIOS)],
-                    F.xxhash64("_i").alias("_h"))
-            .orderBy("_h").limit(most_rows).toPandas())
+                    F.xxhash64("_i").alias("_h")))
+    path = scratch_path(stats.sparkSession, "labelled")  # numbers only, read once a level of the bound
+    rows.write.parquet(path)
+    rows = smallest(stats.sparkSession.read.parquet(path), most_rows, "_h").orderBy("_h").limit(most_rows).toPandas()
     if not len(rows):
         return []
     x = {c: rows[c].to_numpy(np.float64) for c in ("n_words", *RATIOS)}
