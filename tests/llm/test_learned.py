@@ -98,26 +98,140 @@ def test_ftrl_scores_are_sparse_dot_products():
         assert abs(quality_classifier.margins(texts, w, 0.5)[k] - want) < 1e-4
 
 
-def test_kernel_features_equal_its_definition():
-    """The explicit features give the kernel by its sum over subsequences."""
-    def phi(word):
-        s, out = "\x02" + word + "\x03", {}
+def phi(window):
+    """Features of a window by the kernel's definition: (subsequence, weight)."""
+    out, split = {}, window.split(" ")
+    for word in split:
+        s, own = "\x02" + word + "\x03", {}
         for i in range(len(s)):
             for a, b, c in toxicity._STEPS:
                 if i + c < len(s):
                     u = s[i] + s[i + a] + s[i + b] + s[i + c]
-                    out[u] = out.get(u, 0) + toxicity.DECAY ** (c - 3)
-        return out
-    pairs = [("idiot", "i.d.i.o.t"), ("idiot", "idiots"), ("idiot", "table"), ("aa", "aaaa"), ("moron", "moron")]
+                    own[u] = own.get(u, 0) + toxicity.DECAY ** (c - 3)
+        scale = toxicity.scale(pa.array([word], pa.large_string()))[0]
+        for u, v in own.items():
+            out[u] = out.get(u, 0) + v * scale
+    for k, word in enumerate(split):
+        out[word,] = out.get((word,), 0) + 1
+        for j in range(k + 1, len(split)):
+            pair = word, split[j]
+            out[pair] = out.get(pair, 0) + toxicity.DECAY ** (j - k - 1)
+    return out
+
+
+def test_kernel_features_equal_its_definition():
+    """The explicit features give the kernel by its sum over subsequences."""
+    pairs = [("idiot", "i.d.i.o.t"), ("idiot", "idiots"), ("idiot", "table"), ("aa", "aaaa"), ("moron", "moron"),
+             ("you are trash", "you were trash"), ("a b a", "b a"), ("one  two", "two one"), ("", "x")]
     for a, b in pairs:
-        x, y = phi(a), phi(b)
-        scale = toxicity.scale(pa.array([a, b], pa.large_string()))
-        want = sum(v * y.get(u, 0) for u, v in x.items()) * scale[0] * scale[1]
+        y = phi(b)
+        want = sum(v * y.get(u, 0) for u, v in phi(a).items())
         assert abs(toxicity._kernel([a], [b])[0, 0] - want) < 1e-6
     k = lambda b: toxicity._kernel(["idiot"], [b])[0, 0]
     assert k("idiot") > k("idi-ot") > k("table")
 
 
+def test_machine_is_the_optimum_and_collapses_to_features():
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(300, 7)), np.where(rng.random(300) < 0.2, 1.0, -1.0)
+    x[y > 0, 0] += 1
+    cost = np.where(y > 0, 0.5, 0.1)
+    loss = lambda w: w @ w / 2 + cost @ np.maximum(0, 1 - y * (x @ w)) ** 2
+    w = toxicity.solve(x, y, cost)
+    for step in np.vstack([np.eye(7), -np.eye(7), rng.normal(size=(20, 7))]):
+        assert loss(w) <= loss(w + 1e-3 * step)
+    # plain descent comes to the same weights
+    plain = np.zeros(7)
+    for _ in range(20_000):
+        plain -= 1e-3 * (plain - 2 * x.T @ (cost * y * np.maximum(0, 1 - y * (x @ plain))))
+    assert np.abs(plain - w).max() < 1e-4
+    # margins over features equal margins through the landmarks
+    lines = ["you are rotten", "are you well", "rotten apples fell", "you were here", "well are rotten"]
+    marks = ["rotten", "you are", "apples fell"]
+    m = toxicity.machine(lines[:1] + lines[2:3], lines[1:2] + lines[3:], marks)
+    base, cross = toxicity._kernel(marks, marks), toxicity._kernel(lines, marks)
+    u = toxicity.units(at.texts_of(pa.array(lines)))
+    got = toxicity.window_margins(u, m)[u.starts]
+    by_landmark = np.linalg.lstsq(np.hstack([cross, np.ones((5, 1))]), got, rcond=None)
+    assert np.abs(np.hstack([cross, np.ones((5, 1))]) @ by_landmark[0] - got).max() < 1e-4 and len(base) == 3
+
+
+def test_margins_equal_a_plain_walk_over_windows():
+    rng = random.Random(8)
+    vocabulary = ["rot", "you", "are", "r.o.t", "fine", "and", "***", "Zeug", "été"]
+    texts = [" ".join(rng.choice(vocabulary) + rng.choice(["", "", ".", "!", ",\n"]) for _ in range(rng.randint(0, 14)))
+             for _ in range(80)] + [None, "", " ", "r o t you", "one"]
+    m = toxicity.machine(["you are rot", "are rot and"], ["you are fine", "and you and"], ["rot", "you are", "fine and été"])
+    alone = dict(zip(m.vocabulary.to_pylist(), m.alone))
+    pairs = dict(zip(m.keys.tolist(), m.values))
+
+    def margin(window):
+        f = m.intercept + toxicity.evidence(pa.array(window, pa.large_string()), m.weights).sum()
+        for term, weight in toxicity._terms(window):
+            if len(term) == 1:
+                f += alone.get(term[0], 0)
+            else:
+                key = toxicity.pair_keys(*(at.hash_strings([w]) for w in term))[0]
+                f += weight * pairs.get(int(key), 0)
+        return f
+
+    got = toxicity.strongest(at.texts_of(pa.array(texts)), m)
+    for text, (first, second) in zip(texts, got):
+        sentences, tokens = [[]], (text or "").split()
+        singles = [len(t) == 1 for t in tokens]
+        for k, t in enumerate(tokens):
+            sentences[-1].append(t.lower().strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
+            if singles[k] and not (k + 1 < len(tokens) and singles[k + 1]) and k >= 2 and singles[k - 1] and singles[k - 2]:
+                sentences[-1].append("".join(tokens[k - 2:k + 1]).lower())
+            if t[-1] in ".!?":
+                sentences.append([])
+        windows, place = [], 0
+        for s in sentences:
+            windows += [(place + k, margin(s[k:k + 3])) for k in range(max(1, len(s) - 2)) if s]
+            place += len(s)
+        want = [toxicity.NONE, toxicity.NONE]
+        if windows:
+            best = max(windows, key=lambda v: (round(v[1], 9), -v[0]))
+            apart = [v for v in windows if abs(v[0] - best[0]) >= 3]
+            want = [best[1], max((f for _, f in apart), default=toxicity.NONE)]
+        assert np.abs(np.maximum(want, toxicity.NONE) - [first, second]).max() < 1e-5, text
+
+
+def test_toxicity_learns_insults_of_ordinary_words(spark):
+    """Four phrases whose words stand, apart, in clean texts too."""
+    phrases = ["lomi tensur vapel", "dorni eshun tragol", "bifen ousar quizet", "omka lopel tenni"]
+    rng, rows = random.Random(3), []
+    for i in range(600):
+        w = words(rng, rng.randint(40, 90))
+        if i % 5 == 0:
+            for _ in range(2):
+                w.insert(rng.randrange(len(w)), rng.choice(phrases))
+        else:
+            for word in " ".join(phrases).split():
+                w.insert(rng.randrange(len(w)), word)
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(600)], "doc_id long, toxic int")
+    model = toxicity.train(docs, quality_classifier.learnable(labels, "toxic", 5, 0))
+    held = toxicity.scored(docs, model).where(quality_classifier.held_out(5, 0)).collect()
+    toxic = [r.score >= 0.5 for r in held if r.doc_id % 5 == 0]
+    clean = [r.score >= 0.5 for r in held if r.doc_id % 5]
+    assert len(toxic) > 10 and np.mean(toxic) > 0.8 and np.mean(clean) < 0.05
+
+
+@pytest.mark.parametrize("most", [1, 7, 400, 2999, 5000])
+def test_bounded_samples_are_the_smallest_hashes(spark, most):
+    rows = spark.range(3000).selectExpr("id % 2900 as doc_id", "id").repartition(5)
+    hashed = rows.withColumn("h", F.xxhash64("doc_id"))
+    want = [r.h for r in hashed.orderBy("h").limit(most).collect()]
+    kept = quality_classifier.smallest(hashed, most)
+    assert [r.h for r in quality_classifier.sample(rows, most).collect()] == want
+    assert min(most, 3000) <= kept.count() <= 2 * most + 2
+    # one hash for all rows cannot be cut by prefixes; nothing is lost
+    assert quality_classifier.smallest(rows.withColumn("h", F.lit(-5).cast("long")), most).count() == 3000
+    assert quality_classifier.smallest(hashed.where("false"), most).count() == 0
+
+
 def test_toxicity_finds_held_out_and_disguised_insults(spark):
     insults = ["blorfgut", "snazzwick", "grimplet"]
 
