@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,3 +108,49 @@ def test_price_versions_as_of(spark):
                                "model string, requested_at string").withColumn("requested_at", F.col("requested_at").cast("timestamp"))
     r = pricing.reprice_as_of(df, versions, aliases).collect()
     assert [x["price"]["input_price"] if x["price"] else None for x in r] == [2.0, 4.0, None]
+
+
+@pytest.mark.parametrize("bound", [64 << 20, 0])
+def test_hourly_price_versions_meet_a_row_by_day(spark, bound):
+    """A year of hourly versions: each row meets those of its day only, and
+    finds the one that a walk over all versions finds."""
+    from dataclasses import replace
+    from datetime import datetime, timedelta
+    from tokenledger.config import DEFAULT
+    start = datetime(2024, 1, 1)
+    begins = [datetime(1900, 5, 1)] + [start + timedelta(hours=h) for h in range(8_760)]
+    versions = [("hourly", b, float(k), 1.0, 0.0) for k, b in enumerate(begins)]
+    versions += [("fixed", datetime(1, 1, 1), 7.0, 1.0, 0.0), ("late", datetime(2024, 6, 1, 12, 30), 9.0, 1.0, 0.0),
+                 (None, start, 5.0, 1.0, 0.0), ("null", None, 5.0, 1.0, 0.0)]
+    schema = "model string, effective_from timestamp, input_price double, output_price double, cached_price double"
+    table = spark.createDataFrame(versions, schema)
+    aliases = spark.createDataFrame([("h", "hourly"), ("x", "h")], "alias string, target string")
+    rng = random.Random(2)
+    at = [datetime(1800, 1, 1), datetime(1900, 5, 1), start, start - timedelta(microseconds=1), datetime(2030, 1, 1), None]
+    at += [start + timedelta(seconds=rng.randrange(-10 ** 6, 33 * 10 ** 6)) for _ in range(300)]
+    facts = [(k, m, t) for k, (m, t) in enumerate((m, t) for t in at for m in ("hourly", "h", "x", "fixed", "late", "null", None))]
+    df = spark.createDataFrame(facts, "k int, model string, requested_at timestamp")
+
+    def want(model, t):
+        name = "hourly" if model == "h" else model
+        held = [(v[1], v[2]) for v in versions if v[0] == name and name and v[1] and t and v[1] <= t]
+        return max(held)[1] if held else None
+
+    got = pricing.reprice_as_of(df, table, aliases, cfg=replace(DEFAULT, dim_broadcast_bytes=bound))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert ("strategy=broadcast" in plan) == (bound > 0)
+    found = {r.k: r.price and r.price.input_price for r in got.collect()}
+    assert len(found) == len(facts) and all(found[k] == want(m, t) for k, m, t in facts)
+    intervals = pricing.one_price(table, "effective_from").selectExpr(
+        "model as name", "effective_from as valid_from",
+        "lead(effective_from) over (partition by model order by effective_from) as valid_to", "price")
+    cut, _, most = pricing.version_days(intervals)
+    per_day = cut.groupBy("name", "day").count()
+    assert per_day.agg(F.max("count")).first()[0] <= 26 and cut.count() <= most < 12_000
+
+
+def test_no_price_versions_price_nothing(spark):
+    none = spark.createDataFrame([], "model string, effective_from timestamp, input_price double, output_price double, cached_price double")
+    df = spark.sql("select 'a' as model, timestamp '2024-01-01' as requested_at union all select null, null")
+    aliases = spark.createDataFrame([], "alias string, target string")
+    assert [r.price for r in pricing.reprice_as_of(df, none, aliases).collect()] == [None, None]

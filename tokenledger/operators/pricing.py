@@ -73,13 +73,50 @@ def request_costs(df: DataFrame, input_col: str = "input_tokens", output_col: st
     return df.select("*", *cols)
 
 
+def _day(ts: Column) -> Column:
+    return F.floor(F.unix_seconds(ts) / 86_400)
+
+
+def version_days(versions: DataFrame) -> tuple[DataFrame, Column | None, int]:
+    """Versions (name, valid_from, valid_to, price) cut by day, for an
+    equi-join: ``(rows with a day, bounds, how many rows at most)``.
+
+    Days before the first change of any price and from the last start on are
+    one day each, so a version in force since ever or without end adds no rows
+    there; a name has one row a day between them and one for each of its versions.
+    ``bounds`` (an array of the first and last day) is null without versions.
+    """
+    starts = versions.withColumn("_day", _day(F.col("valid_from")))
+    # the first change of a price is the earliest end of a version
+    b = starts.agg(F.least(F.min(_day(F.col("valid_to"))), F.max("_day")).alias("low"), F.max("_day").alias("high"),
+                   F.count("_day").alias("n"), F.countDistinct("name").alias("names")).first()
+    if b.high is None:
+        return versions.withColumn("day", F.lit(0).cast("long")), None, 0
+    bounds = F.array(F.lit(b.low), F.lit(b.high))
+    last = F.coalesce(_day(F.col("valid_to")), F.lit(b.high))
+    days = F.sequence(clamped(F.col("_day"), bounds), clamped(last, bounds))
+    cut = starts.where("valid_from is not null").withColumn("day", F.explode(days)).drop("_day")
+    return cut, bounds, b.names * (b.high - b.low + 1) + b.n
+
+
+def clamped(day: Column, bounds: Column) -> Column:
+    return F.greatest(F.least(day, bounds[1]), bounds[0])
+
+
+#: bytes of a version's row in a hash table, for the broadcast bound
+_VERSION_BYTES = 160
+
+
 def reprice_as_of(df: DataFrame, price_versions: DataFrame, aliases: DataFrame, model_col: str = "model",
                   ts_col: str = "requested_at", cfg: LedgerConfig = DEFAULT) -> DataFrame:
     """Cost with the price version in force at ``ts_col``.
 
     Versions become half-open validity intervals with ``lead`` over each
-    model (a small window on the price list, not on the facts); the fact
-    side then does an equi-join on the resolved name plus a range condition.
+    model (a small window on the price list, not on the facts) and are cut by
+    day; the fact side joins on (resolved name, day), so a row meets only the
+    versions of its day however long the history, and the range decides among
+    them.  Broadcast only if the counted rows fit the bound, else a shuffle
+    join on both keys, which also spreads a hot model over its days.
     Alias resolution is the same one-hop rule as J3, applied per version.
     """
     w = Window.partitionBy("model").orderBy("effective_from")
@@ -88,10 +125,14 @@ def reprice_as_of(df: DataFrame, price_versions: DataFrame, aliases: DataFrame,
     via = (one_target(aliases).join(exact, F.col("target") == F.col("name"), "inner")
            .select(F.col("alias").alias("name"), "effective_from", "price", "valid_to")
            .join(exact.select("name").distinct(), "name", "left_anti"))
-    lk = exact.unionByName(via).select(F.col("name").alias("_v_name"), F.col("effective_from").alias("_v_from"),
-                                       F.col("valid_to").alias("_v_to"), "price")
+    cut, bounds, rows = version_days(exact.unionByName(via).withColumnRenamed("effective_from", "valid_from"))
+    lk = cut.select(F.col("name").alias("_v_name"), F.col("day").alias("_v_day"), F.col("valid_from").alias("_v_from"),
+                    F.col("valid_to").alias("_v_to"), "price")
+    if rows * _VERSION_BYTES <= cfg.dim_broadcast_bytes:
+        lk = F.broadcast(lk)
     ts = F.col(ts_col)
-    cond = (F.col(model_col).eqNullSafe(F.col("_v_name")) & (ts >= F.col("_v_from"))
+    day = clamped(_day(ts), bounds) if bounds is not None else F.lit(0).cast("long")
+    cond = (F.col(model_col).eqNullSafe(F.col("_v_name")) & (day == F.col("_v_day")) & (ts >= F.col("_v_from"))
             & (F.col("_v_to").isNull() | (ts < F.col("_v_to"))))
-    j = df.join(dim_side(lk, cfg.dim_broadcast_bytes), cond, "left").drop("_v_name", "_v_from", "_v_to")
+    j = df.join(lk, cond, "left").drop("_v_name", "_v_day", "_v_from", "_v_to")
     return j.withColumn("model_alias_found", F.col("price").isNotNull())
