@@ -8,6 +8,7 @@ full size: exchanges come from all of ``events``, dimensions from all of
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -873,11 +874,13 @@ HEADER_COUNT_SQL = ("3 + CASE WHEN event_id % 10 <> 9 THEN 1 ELSE 0 END + CASE W
 @register("bodies_roundtrip", with_base(
     f"SELECT id AS request_id, body_s3_key AS object_key, 'POST' AS method, request_path AS path, status_code, "
     f"CAST({HEADER_COUNT_SQL} AS INTEGER) AS header_count, "
-    f"CASE WHEN event_id % 89 = 0 THEN 'unknown' ELSE model_src END AS request_model "
-    f"FROM req_all JOIN (SELECT request_id AS rid, model AS model_src FROM ev2) m ON m.rid = req_all.id"))
+    f"CASE WHEN event_id % 89 = 0 THEN 'unknown' ELSE model_src END AS request_model, "
+    f"sha256(rq) AS request_sha256, sha256(rp) AS response_sha256 "
+    f"FROM req_all JOIN (SELECT request_id AS rid, model AS model_src, {_REQUEST_SQL} AS rq, {_RESPONSE_SQL} AS rp FROM ev2) m "
+    f"ON m.rid = req_all.id"))
 def q_bodies_roundtrip(spark, sf):
     """S6 then S1: envelopes written (gzip JSON Lines, prefix/date
-    partitions) and read back; bodies survive as raw JSON or strings."""
+    partitions) and read back; both bodies survive byte for byte, as raw JSON or strings."""
     from tokenledger.sources import bodies
     ex, dims, cfg = _inputs(spark, sf)
     path = scratch_path(spark, "bodies")
@@ -886,7 +889,9 @@ def q_bodies_roundtrip(spark, sf):
     return back.select("request_id", "object_key", F.col("request.method").alias("method"),
                        F.col("request.path").alias("path"), F.col("response.status_code").alias("status_code"),
                        F.size("request.headers").alias("header_count"),
-                       P.extract_model(F.col("request.body")).alias("request_model"))
+                       P.extract_model(F.col("request.body")).alias("request_model"),
+                       F.sha2("request.body", 256).alias("request_sha256"),
+                       F.sha2("response.body", 256).alias("response_sha256"))
 
 
 @register("write_request_log", with_base(f"SELECT {LOG_SELECT} FROM req"))
@@ -929,17 +934,49 @@ def q_stream_key_stats(spark, sf):
     return jobs.latest_snapshot(spark, root).select(*STAT_COLS)
 
 
-@register("stream_price_refresh", with_base(f"SELECT {WIDE_LOG}, reject_reason FROM req_all"))
+@register("write_request_log_twice", with_base(f"SELECT {WIDE_LOG}, reject_reason FROM req_all"))
+def q_write_request_log_twice(spark, sf):
+    """S7's primary key: the whole log appended twice, as two batches of
+    different names, holds each request once."""
+    from tokenledger.sources import batch_log
+    log = materialized_log(spark, sf)
+    path = scratch_path(spark, "log-twice")
+    batch_log.append_once(log, path, "first")
+    batch_log.append_once(log, path, "second")
+    return A.comparable_log(log_io.read_request_log(spark, path))
+
+
+#: T3's second run has every price of the list doubled
+_DOUBLED_COSTS = ", ".join(f"CASE WHEN event_id >= {{cut}} THEN TRY_CAST(CAST(2 * {d} AS VARCHAR) AS DECIMAL(12,8)) "
+                           f"ELSE {c} END AS {c}"
+                           for c, d in (("input_cost", "in_d"), ("output_cost", "out_d"), ("total_cost", "tot_d")))
+_CUT_SQL = "(SELECT (MIN(event_id) + MAX(event_id)) // 2 FROM events)"
+
+
+@register("stream_price_refresh", with_base(
+    f"SELECT {WIDE_LOG}, reject_reason FROM (SELECT q.* REPLACE ({_DOUBLED_COSTS.format(cut=_CUT_SQL)}) "
+    "FROM (SELECT req_all.*, in_d, out_d, tot_d FROM req_all JOIN "
+    "(SELECT request_id AS rid, in_d, out_d, tot_d FROM priced) p ON p.rid = req_all.id) q)"))
 def q_stream_price_refresh(spark, sf):
-    """Per-batch enrichment with a refreshing price snapshot (unchanged
-    prices here, so it equals J8; the refresh itself is unit-tested)."""
+    """The exchanges of the first half of ``events`` priced by the list,
+    those of the second half, which arrive after the list was replaced by one of
+    doubled prices, by the new one; one log, one checkpoint."""
+    from tokenledger.sources import bodies
     from tokenledger.sources import prices as price_src
+    from tokenledger.sources.files import Folder
     from tokenledger.streaming import jobs
-    dims = FX.load_dims(spark, sf)
-    src = _stream_source(spark, sf)
-    out, ckpt = scratch_path(spark, "price-stream"), scratch_path(spark, "price-stream-ckpt")
-    snap = jobs.PriceSnapshot(spark, price_src.DEFAULT_PRICES, price_src.DEFAULT_FALLBACK, price_src.DEFAULT_ALIASES,
+    ex, dims, _ = _inputs(spark, sf)
+    src, out, ckpt, config = (scratch_path(spark, n) for n in ("exchanges", "price-stream", "price-stream-ckpt", "prices"))
+    with open(price_src.DEFAULT_PRICES) as f:
+        doc = json.load(f)
+    Folder(spark, config).write_json("prices.json", doc)
+    snap = jobs.PriceSnapshot(spark, f"{config}/prices.json", price_src.DEFAULT_FALLBACK, price_src.DEFAULT_ALIASES,
                               refresh_seconds=0.0)
-    q = jobs.stream_price_refresh(spark, src, dims, out, ckpt, snap, trigger="availableNow", max_files=2)
-    q.awaitTermination()
-    return A.comparable_log(spark.read.parquet(out).drop("batch_id"))
+    ids = FX.table(spark, sf, "events").agg(F.floor((F.min("event_id") + F.max("event_id")) / 2).alias("cut")).first()
+    cut = ids.cut if ids.cut is not None else 0
+    for half in (F.col("event_id") < cut, F.col("event_id") >= cut):
+        bodies.write_exchanges(ex.where(half), src)
+        jobs.stream_price_refresh(spark, src, dims, out, ckpt, snap, trigger="availableNow", max_files=4).awaitTermination()
+        prices = [{k: 2 * v if k in ("input", "output", "input_cached") and v else v for k, v in p.items()} for p in doc["prices"]]
+        Folder(spark, config).write_json("prices.json", {**doc, "prices": prices})
+    return A.comparable_log(spark.read.parquet(out))

@@ -1,14 +1,15 @@
 """Structured Streaming jobs.
 
-* T1 ``stream_enrich``: recorded exchanges arriving as files -> J8 ->
-  date-partitioned Parquet log (file sink: exactly-once via its commit log).
+* T1 ``stream_enrich``: recorded exchanges arriving as files -> J8 -> the
+  request log in its own layout (S7). Each micro-batch is committed once under
+  the batch's number (``sources/batch_log.py``), whatever dies in between.
 * T2 ``stream_key_stats``: the log as a stream -> per micro-batch sketch
-  deltas (H1) merged into the previous snapshot (H2). Snapshot ``n`` is a
-  pure function of snapshot ``n-1`` and batch ``n`` and lives in its own
-  directory, so a retried batch rewrites the same result.
-* T3 ``stream_price_refresh``: J8 inside ``foreachBatch`` with the price
-  list re-read when older than the refresh interval; a failed read keeps
-  the previous snapshot (a static side fixed at plan time would go stale).
+  deltas (H1) merged into the state (H2). The state lies in hash buckets by API
+  key; a batch rewrites the buckets it touches and a manifest names each
+  bucket's newest file.
+* T3 ``stream_price_refresh``: T1 with the price list re-read when older than
+  the refresh interval; a failed read keeps the previous snapshot (a static
+  side fixed at plan time would go stale).
 
 The reference's windows are processing-time tickers; event-time windows,
 watermarks and stream-stream joins do not occur in it.
@@ -16,7 +17,9 @@ watermarks and stream-stream joins do not occur in it.
 
 from __future__ import annotations
 
+import logging
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +29,12 @@ from tokenledger.config import DEFAULT, LedgerConfig
 from tokenledger.operators import metadata
 from tokenledger.plans import enrich
 from tokenledger.plans.fixtures import Dims
-from tokenledger.sources import bodies
+from tokenledger.sources import batch_log, bodies
 from tokenledger.sources import prices as price_src
 from tokenledger.sources import request_log as log_io
+from tokenledger.sources.files import Folder
+
+LOG = logging.getLogger(__name__)
 
 
 def _trigger(writer, trigger: str | None):
@@ -37,100 +43,159 @@ def _trigger(writer, trigger: str | None):
     return writer.trigger(processingTime=trigger)
 
 
-def stream_enrich(spark: SparkSession, source: str, dims: Dims, out: str, checkpoint: str,
-                  trigger: str | None = "availableNow", max_files: int = 8,
-                  cfg: LedgerConfig = DEFAULT) -> StreamingQuery:
-    """Exchanges (files) -> request log (Parquet, partitioned by date).
+def _stream_log(spark: SparkSession, source: str, dims: Callable[[], Dims], out: str, checkpoint: str, name: str,
+                unique: bool, trigger: str | None, max_files: int, cfg: LedgerConfig) -> StreamingQuery:
+    """Exchanges -> J8 -> the log at ``out``, each batch committed once."""
+    append = batch_log.append_once if unique else batch_log.commit_batch
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        commit = f"{name}-{batch_id:012d}"
+        if not batch_log.is_committed(spark, out, commit):
+            append(enrich.enrich_requests(batch, dims(), cfg), out, commit)
 
-    The dimension joins are stream-static joins against the dimension
-    snapshot; rows keep their ``reject_reason`` (Q1) as in the batch ETL.
-    """
     ex = bodies.stream_exchanges(spark, source, max_files)
-    logged = enrich.enrich_requests(ex, dims.persisted(), cfg)
-    w = (logged.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-         .partitionBy(log_io.PARTITION).outputMode("append"))
-    return _trigger(w, trigger).start()
+    return _trigger(ex.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint), trigger).start()
 
 
-#: snapshots of T2 that stay behind the newest one
-KEEP_SNAPSHOTS = 3
+def stream_enrich(spark: SparkSession, source: str, dims: Dims | DimsSnapshot, out: str, checkpoint: str,
+                  trigger: str | None = "availableNow", max_files: int = 8,
+                  cfg: LedgerConfig = DEFAULT, name: str = "enrich", unique: bool = False) -> StreamingQuery:
+    """Exchanges (files) -> request log in S7's layout.
+
+    Given a ``DimsSnapshot``, each micro-batch uses the dimensions as of then.
+    Rows keep their ``reject_reason`` (Q1) as in the batch ETL. Queries that
+    write to one log need different ``name``s; ``unique`` also drops rows whose
+    id the log holds already (a request recorded twice)."""
+    fixed = None if isinstance(dims, DimsSnapshot) else dims.persisted()
+    return _stream_log(spark, source, lambda: fixed or dims.current(), out, checkpoint, name, unique, trigger,
+                       max_files, cfg)
+
 
+#: hash buckets of T2's state
+STATE_BUCKETS = 256
+#: manifests of T2 that stay behind the newest one
+KEEP_SNAPSHOTS = 3
 
-def _snapshot_path(root: str, batch_id: int) -> str:
-    return f"{root}/batch={batch_id:012d}"
+_STATE_SCHEMA = ("api_key_id string, key_name string, hll_state binary, request_count bigint, last_seen_at timestamp, "
+                 "approx_cardinality bigint, batch bigint, bucket int")
+
+
+class KeyStatsState:
+    """T2's state under ``root``: ``files/batch=n/bucket=b`` and ``manifests/n``.
+
+    A manifest says which batch wrote each bucket last, so merging batch ``n``
+    reads and writes only the buckets that batch ``n`` has keys of. It is a
+    function of manifest ``n-1`` and batch ``n``: a batch done again after a
+    failure gives the same state. Files that no kept manifest names are
+    deleted. ``owner`` is the checkpoint whose batches are counted."""
+
+    def __init__(self, spark: SparkSession, root: str, owner: str, buckets: int = STATE_BUCKETS) -> None:
+        self.spark, self.root, self.owner, self.buckets = spark, root.rstrip("/"), owner, buckets
+        self.folder = Folder(spark, root)
+
+    def _manifest(self, batch_id: int) -> dict:
+        found = self.folder.read_json(f"manifests/{batch_id:012d}")
+        if found["owner"] != self.owner or found["buckets"] != self.buckets:
+            raise ValueError(f"{self.root} holds the state of {found['owner']} in {found['buckets']} buckets; "
+                             f"{self.owner} with {self.buckets} buckets needs a folder of its own")
+        return found
+
+    def _read(self, newest: dict[str, int], buckets) -> DataFrame:
+        paths = [f"{self.root}/files/batch={newest[b]}/bucket={b}" for b in buckets]
+        reader = self.spark.read.schema(_STATE_SCHEMA)
+        rows = reader.option("basePath", f"{self.root}/files").parquet(*paths) if paths \
+            else self.spark.createDataFrame([], _STATE_SCHEMA)
+        return rows.drop("batch", "bucket")
+
+    def merge(self, delta: DataFrame, batch_id: int) -> list[str]:
+        """H2 over the buckets of ``delta``; the buckets written."""
+        done = self.folder.names("manifests")
+        for old in done:
+            if int(old) < batch_id - KEEP_SNAPSHOTS:
+                self._forget(int(old))
+        if f"{batch_id:012d}" in done:  # the batch died behind its manifest
+            self._manifest(batch_id)
+            return []
+        if batch_id and f"{batch_id - 1:012d}" not in done:
+            raise FileNotFoundError(f"{self.root}: the manifest of batch {batch_id - 1} is missing, the state is incomplete")
+        if not batch_id and done:
+            raise ValueError(f"{self.root} holds the state of an older checkpoint")
+        newest = self._manifest(batch_id - 1)["newest"] if batch_id else {}
+        # the sketches of the batch are needed twice; without an executor they are computed again
+        delta = delta.withColumn("bucket", F.pmod(F.xxhash64("api_key_id"), F.lit(self.buckets)).cast("int")).persist()
+        touched = sorted(str(r.bucket) for r in delta.select("bucket").distinct().collect())  # at most `buckets` rows
+        if touched:
+            old = self._read(newest, [b for b in touched if b in newest])
+            merged = metadata.merge_key_stats(old, delta.drop("bucket"))
+            (merged.withColumn("bucket", F.pmod(F.xxhash64("api_key_id"), F.lit(self.buckets)).cast("int"))
+             .hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket")
+             .parquet(f"{self.root}/files/batch={batch_id}"))
+        delta.unpersist()
+        self.folder.write_json(f"manifests/{batch_id:012d}", {
+            "owner": self.owner, "buckets": self.buckets, "newest": {**newest, **{b: batch_id for b in touched}}})
+        return touched
+
+    def _forget(self, batch_id: int) -> None:
+        """Deletes manifest ``batch_id`` and the files only it names."""
+        name = f"manifests/{batch_id:012d}"
+        old, kept = self._manifest(batch_id)["newest"], self._manifest(batch_id + 1)["newest"]
+        for bucket, batch in old.items():
+            if kept[bucket] != batch:
+                self.folder.delete(f"files/batch={batch}/bucket={bucket}")
+        self.folder.delete(name)
+
+    def latest(self) -> DataFrame | None:
+        """All key statistics as of the newest manifest (None: no batch yet)."""
+        done = self.folder.names("manifests")
+        if not done:
+            return None
+        newest = self.folder.read_json(f"manifests/{done[-1]}")["newest"]
+        return self._read(newest, sorted(newest))
 
 
 def latest_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
-    """The newest complete key-stats snapshot under ``root`` (or None)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return None
-    done = sorted(s.getPath().getName() for s in fs.listStatus(p)
-                  if s.isDirectory() and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    if not done:
-        return None
-    return spark.read.parquet(f"{root}/{done[-1]}")
+    """The newest key statistics under ``root`` (or None)."""
+    return KeyStatsState(spark, root, "").latest()
 
 
 def stream_key_stats(spark: SparkSession, log_path: str, log_schema, state_root: str, checkpoint: str,
-                     trigger: str | None = "60 seconds", max_files: int = 8) -> StreamingQuery:
-    """H1 deltas per micro-batch merged (H2) into the previous snapshot.
+                     trigger: str | None = "60 seconds", max_files: int = 8,
+                     buckets: int = STATE_BUCKETS) -> StreamingQuery:
+    """H1 deltas per micro-batch merged (H2) into the bucketed state.
 
     Only accepted rows feed the sketches. The reference flushes dirty
-    sketches every 60 s; here each micro-batch writes snapshot ``batch=n``.
-    """
+    sketches every 60 s; here each micro-batch rewrites the dirty buckets.
+    ``metadata.apply_key_stats`` writes ``latest_snapshot`` into the key table."""
     src = (spark.readStream.schema(log_schema).option("maxFilesPerTrigger", max_files).parquet(log_path))
+    state = KeyStatsState(spark, state_root, checkpoint, buckets)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        delta = metadata.metadata_key_stats(log_io.accepted(batch))
-        prev = None
-        for b in range(batch_id - 1, -1, -1):  # the last snapshot written before this batch
-            path = _snapshot_path(state_root, b)
-            if _exists(spark, path + "/_SUCCESS"):
-                prev = spark.read.parquet(path)
-                break
-        merged = delta if prev is None else metadata.merge_key_stats(prev, delta)
-        merged.write.mode("overwrite").parquet(_snapshot_path(state_root, batch_id))
-        _drop_older(spark, state_root, batch_id - KEEP_SNAPSHOTS)
-
-    w = src.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-    return _trigger(w, trigger).start()
-
-
-def _drop_older(spark: SparkSession, root: str, batch_id: int) -> None:
-    """Deletes snapshot ``batch_id``: later ones hold all it held."""
-    if batch_id >= 0:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_snapshot_path(root, batch_id))
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
+        state.merge(metadata.metadata_key_stats(log_io.accepted(batch)), batch_id)
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return _trigger(src.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint), trigger).start()
 
 
 class DimsSnapshot:
     """The dimensions in force, loaded again when older than
     ``refresh_seconds``: keys revoked or added meanwhile, and metadata names
     switched on, count from the next micro-batch on. A failed load keeps the
-    previous ones."""
+    previous ones and is logged. Replaced dimensions stay in memory until the
+    refresh after, for plans that still run on them."""
 
     def __init__(self, load, refresh_seconds: float = 300.0, clock=time.monotonic):
         self.load, self.refresh_seconds, self.clock = load, refresh_seconds, clock
         self.dims, self.loaded_at = load().persisted(), clock()
+        self.replaced: Dims | None = None
 
     def current(self) -> Dims:
         if self.clock() - self.loaded_at >= self.refresh_seconds:
             try:
-                fresh, old = self.load().persisted(), self.dims
-                self.dims = fresh
-                old.unpersisted()
+                fresh = self.load().persisted()
+                if self.replaced is not None:
+                    self.replaced.unpersisted()
+                self.replaced, self.dims = self.dims, fresh
             except Exception:  # keep the last good dimensions
-                pass
+                LOG.exception("dimensions could not be loaded again; the previous ones stay in force")
             self.loaded_at = self.clock()
         return self.dims
 
@@ -160,22 +225,13 @@ class PriceSnapshot:
 
 def stream_price_refresh(spark: SparkSession, source: str, dims: Dims | DimsSnapshot, out: str, checkpoint: str,
                          prices: PriceSnapshot, trigger: str | None = "availableNow", max_files: int = 8,
-                         cfg: LedgerConfig = DEFAULT) -> StreamingQuery:
-    """J8 per micro-batch with the current price snapshot and, given a
-    ``DimsSnapshot``, the current dimensions.
-
-    The output of batch ``n`` is written under ``batch_id=n`` with overwrite
-    of that partition only, so a retried batch replaces its own rows."""
-    ex = bodies.stream_exchanges(spark, source, max_files)
+                         cfg: LedgerConfig = DEFAULT, name: str = "priced", unique: bool = False) -> StreamingQuery:
+    """T1 with the price snapshot of the moment in every micro-batch."""
     fixed = None if isinstance(dims, DimsSnapshot) else dims.persisted()
 
-    def run(batch: DataFrame, batch_id: int) -> None:
+    def current() -> Dims:
         now = fixed or dims.current()
-        d = Dims(now.api_keys, now.proxy_keys, now.mappings, now.metadata_keys,
-                 prices.current(), prices.aliases, now.secret)
-        logged = enrich.enrich_requests(batch, d, cfg).withColumn("batch_id", F.lit(batch_id))
-        (logged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id", log_io.PARTITION).parquet(out))
-
-    w = ex.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    return _trigger(w, trigger).start()
+        return Dims(now.api_keys, now.proxy_keys, now.mappings, now.metadata_keys,
+                    prices.current(), prices.aliases, now.secret)
+
+    return _stream_log(spark, source, current, out, checkpoint, name, unique, trigger, max_files, cfg)
