@@ -777,6 +777,85 @@ def q_drop_proxy_keys_cascade(spark, sf):
         .unionByName(kept_maps.select(F.lit("mapping").alias("kind"), F.col("proxy_key_id").alias("id"), "provider"))
 
 
+# --- the same changes as deltas of bucketed tables ------------------------
+
+def _key_table(spark, rows, key, bucket_by):
+    from tokenledger.sources.key_table import KeyTable
+    table = KeyTable(spark, scratch_path(spark, "key-table"), key, bucket_by)
+    table.create(rows)
+    return table
+
+
+_PAIR = ["proxy_key_id", "provider"]
+
+
+@register("upsert_mappings_by_delta",
+          f"SELECT id, proxy_key_id, provider, created_at, updated_at FROM ({ORACLE['upsert_mappings']})")
+def q_upsert_mappings_by_delta(spark, sf):
+    """M1 on a bucketed table: what it holds after the batch."""
+    from tokenledger.operators import key_tables
+    table = _key_table(spark, FX.mappings(spark, sf), _PAIR, "proxy_key_id")
+    key_tables.upsert_mappings(table, FX.mapping_changes(spark, sf), F.lit(FX.CHANGE_TS).cast("timestamp"))
+    return table.read().drop("encrypted_key")
+
+
+@register("register_metadata_keys_by_delta",
+          f"SELECT api_key_id, key_name, is_active FROM ({ORACLE['register_metadata_keys']})")
+def q_register_metadata_keys_by_delta(spark, sf):
+    """M2 on a bucketed table."""
+    from tokenledger.operators import key_tables
+    table = _key_table(spark, FX.metadata_keys(spark, sf), ["api_key_id", "key_name"], "api_key_id")
+    key_tables.register_metadata_keys(table, log_table(spark, sf).select(
+        "api_key_id", F.explode(F.map_keys("raw_metadata")).alias("key_name")))
+    return table.read().select("api_key_id", "key_name", "is_active")
+
+
+@register("revoke_and_patch_by_delta", f"""
+SELECT r.id, r.is_active, r.revoked_at, p.name, p.description
+FROM ({ORACLE['revoke_keys']}) r JOIN ({ORACLE['patch_api_keys']}) p USING (id)
+WHERE r.is_active IS NOT NULL AND p.status <> 'not_found'""")
+def q_revoke_and_patch_by_delta(spark, sf):
+    """M3, then M4, on one bucketed table, compacted after both."""
+    from tokenledger.operators import key_tables
+    table = _key_table(spark, FX.api_keys(spark, sf), ["id"], "id")
+    key_tables.revoke_keys(table, FX.revoke_ids(spark, sf), F.lit(FX.CHANGE_TS).cast("timestamp"))
+    key_tables.patch_api_keys(table, FX.api_key_patches(spark, sf))
+    table.compact()
+    return table.read().select("id", "is_active", "revoked_at", "name", "description")
+
+
+@register("delete_mappings_by_delta",
+          f"SELECT proxy_key_id, provider FROM ({ORACLE['delete_mappings']}) WHERE status = 'kept'")
+def q_delete_mappings_by_delta(spark, sf):
+    """M5 on a bucketed table."""
+    from tokenledger.operators import key_tables
+    table = _key_table(spark, FX.mappings(spark, sf), _PAIR, "proxy_key_id")
+    key_tables.delete_mappings(table, FX.mapping_deletes(spark, sf))
+    return table.read().select(*_PAIR)
+
+
+@register("create_keys_by_delta", f"""
+SELECT {uuid_sql("'ak-' || c_custkey")} AS id, c_custkey % 10 NOT IN (7, 8) AS is_active FROM customer
+UNION ALL SELECT id, TRUE FROM ({ORACLE['create_keys']}) WHERE status = 'created'""")
+def q_create_keys_by_delta(spark, sf):
+    """M6 on a bucketed table."""
+    from tokenledger.operators import key_tables
+    table = _key_table(spark, FX.api_keys(spark, sf), ["id"], "id")
+    key_tables.create_keys(table, FX.new_api_keys(spark, sf))
+    return table.read().select("id", "is_active")
+
+
+@register("drop_proxy_keys_by_delta", ORACLE["drop_proxy_keys_cascade"])
+def q_drop_proxy_keys_by_delta(spark, sf):
+    """M7 on two bucketed tables."""
+    from tokenledger.operators import key_tables
+    keys_ = _key_table(spark, FX.proxy_keys(spark, sf), ["id"], "id")
+    maps = _key_table(spark, FX.mappings(spark, sf), _PAIR, "proxy_key_id")
+    key_tables.drop_proxy_keys_cascade(keys_, maps, FX.dropped_proxy_keys(spark, sf))
+    return keys_.read().select(F.lit("proxy_key").alias("kind"), "id", F.lit(None).cast("string").alias("provider")) \
+        .unionByName(maps.read().select(F.lit("mapping").alias("kind"), F.col("proxy_key_id").alias("id"), "provider"))
+
+
 # --- key usage counters ----------------------------------------------------
 
 _USED = "SELECT user_id AS key, COUNT(*) AS n, MAX(requested_at) AS t FROM res WHERE api_key_status = 'ok' GROUP BY user_id"

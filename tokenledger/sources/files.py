@@ -28,6 +28,10 @@ class Folder:
         """Sorted names of what lies directly inside; none if it is absent."""
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._of(name))) if self.exists(name) else []
 
+    def size(self, name: str) -> int:
+        """Bytes of all files below; 0 if it is absent."""
+        return self._fs.getContentSummary(self._of(name)).getLength() if self.exists(name) else 0
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._of(name), True)
 
