@@ -154,3 +154,16 @@ def test_no_price_versions_price_nothing(spark):
     df = spark.sql("select 'a' as model, timestamp '2024-01-01' as requested_at union all select null, null")
     aliases = spark.createDataFrame([], "alias string, target string")
     assert [r.price for r in pricing.reprice_as_of(df, none, aliases).collect()] == [None, None]
+
+
+def test_no_key_in_plans_of_a_plain_session(spark):
+    key = "0123456789abcdef" * 4
+    spark.conf.unset("spark.sql.redaction.string.regex")
+    for rule in (None, "topsecret"):
+        if rule:
+            spark.conf.set("spark.sql.redaction.string.regex", rule)
+        df = spark.range(1).selectExpr("'topsecret' as s").select(encrypt_secret(F.col("s"), key), secret_ok(F.col("s"), key))
+        text = df._jdf.queryExecution().toString().lower()
+        assert key not in text and "redacted" in text
+        assert ("topsecret" in text) is (rule is None)
+    spark.conf.unset("spark.sql.redaction.string.regex")

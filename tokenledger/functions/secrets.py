@@ -3,8 +3,8 @@
 AES-256-GCM with a random 12-byte nonce; the stored text is
 ``base64(nonce || ciphertext || tag)``, which is the layout Spark's
 ``aes_encrypt(..., 'GCM')`` produces. Plaintext is never emitted. Results are
-named, so the key is in no column name, and ``get_session`` redacts 32-byte
-literals from plan texts and event logs.
+named, so the key is in no column name, and every expression that holds a key
+has the session redact 32-byte literals from plan texts and event logs.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 import binascii
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,7 +32,24 @@ def parse_key(key: str) -> bytes:
     return raw
 
 
+#: 32-byte literals as plans print them
+KEY_LITERAL = "(?i)(0x|x')[0-9a-f]{64}'?"
+_REDACTION = "spark.sql.redaction.string.regex"
+
+
+def redact_keys(spark: SparkSession) -> None:
+    """Adds key literals to what the session redacts."""
+    rule = spark.conf.get(_REDACTION, None)
+    if not rule:
+        spark.conf.set(_REDACTION, KEY_LITERAL)
+    elif KEY_LITERAL not in rule:
+        spark.conf.set(_REDACTION, f"({rule})|({KEY_LITERAL})")
+
+
 def _key(key: str) -> Column:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        redact_keys(spark)
     return F.lit(bytearray(parse_key(key)))
 
 

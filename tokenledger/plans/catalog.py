@@ -20,7 +20,7 @@ from tokenledger.functions import providers as P
 from tokenledger.functions import secrets as S
 from tokenledger.operators import analytics as A
 from tokenledger.operators import keys, pricing, quality, usage
-from tokenledger.plans import enrich
+from tokenledger.plans import enrich, views
 from tokenledger.plans import fixtures as FX
 from tokenledger.plans.oracle import LOG_SELECT, uuid_sql, with_base
 from tokenledger.session import scratch_path
@@ -243,6 +243,40 @@ def q_requests_in_range(spark, sf):
         .select("id", "requested_at", "total_cost")
 
 
+@register("requests_of_user", with_base(
+    "SELECT id, requested_at, total_cost FROM req WHERE user_id = 'u1' "
+    "AND requested_at >= TIMESTAMP '2024-01-05' AND requested_at < TIMESTAMP '2024-01-20'"))
+def q_requests_of_user(spark, sf):
+    """F3 by user."""
+    return A.requests_in_range(log_table(spark, sf), "user_id", "u1", "2024-01-05", "2024-01-20") \
+        .select("id", "requested_at", "total_cost")
+
+
+@register("requests_of_provider_key", with_base(
+    "SELECT id, requested_at, total_cost FROM req WHERE provider_api_key_hash = sha256('Bearer sk-1') "
+    "AND requested_at >= TIMESTAMP '2024-01-05' AND requested_at < TIMESTAMP '2024-01-20'"))
+def q_requests_of_provider_key(spark, sf):
+    """F3 by provider key hash."""
+    import hashlib
+    wanted = hashlib.sha256(b"Bearer sk-1").hexdigest()
+    return A.requests_in_range(log_table(spark, sf), "provider_api_key_hash", wanted, "2024-01-05", "2024-01-20") \
+        .select("id", "requested_at", "total_cost")
+
+
+# --- the documented reports as SQL text over the views ---------------------
+
+def _register_sql(name: str, text: str, args: dict[str, str]) -> None:
+    @register(f"sql_{name}", ORACLE[name])
+    def statement(spark, sf):
+        views.register_views(spark, log_table(spark, sf), FX.load_dims(spark, sf), FX.users(spark, sf))
+        return spark.sql(text, args)
+
+
+for _name, _text in {**views.REPORTS, **views.LOOKUPS}.items():
+    _register_sql(_name, _text, {"recent_by_proxy_key": {"proxy_key_id": _pk(PK_FOR_A8)},
+                                 "body_pointer": {"request_id": _req_id(BODY_EVENT)}}.get(_name, {}))
+
+
 # --- joins -----------------------------------------------------------------
 
 def _resolved(spark, sf):
@@ -777,6 +811,34 @@ def q_drop_proxy_keys_cascade(spark, sf):
         .unionByName(kept_maps.select(F.lit("mapping").alias("kind"), F.col("proxy_key_id").alias("id"), "provider"))
 
 
+@register("revoke_proxy_keys", f"""
+SELECT {uuid_sql("'pk-' || c_custkey")} AS id, c_custkey % 8 NOT IN (4, 5) AND c_custkey % 10 <> 0 AS is_active,
+  CASE WHEN c_custkey % 10 = 0 AND c_custkey % 8 NOT IN (4, 5) THEN {NOW_SQL} WHEN c_custkey % 8 = 4
+       THEN TIMESTAMP '1970-01-01 00:00:00' + to_seconds(CAST(1685577600 + c_custkey AS BIGINT)) + INTERVAL 10 DAY END AS revoked_at,
+  CASE WHEN c_custkey % 10 <> 0 THEN 'untouched' WHEN c_custkey % 8 IN (4, 5) THEN 'not_found' ELSE 'revoked' END AS status
+FROM customer""")
+def q_revoke_proxy_keys(spark, sf):
+    """M3 for proxy keys."""
+    from tokenledger.operators import maintenance as M
+    now = F.lit(FX.CHANGE_TS).cast("timestamp")
+    return M.revoke_keys(FX.proxy_keys(spark, sf), FX.dropped_proxy_keys(spark, sf), now) \
+        .select("id", "is_active", "revoked_at", "status")
+
+
+@register("create_proxy_keys", """
+WITH n AS (SELECT c_custkey AS seq, CASE WHEN c_custkey % 8 = 7 THEN c_custkey // 16 ELSE c_custkey END AS secret,
+                  c_custkey % 8 IN (4, 5) AS clashes FROM customer),
+h AS (SELECT seq, sha256(CASE WHEN clashes THEN 'gwpk_' || secret ELSE 'gwpk_new_' || secret END) AS key_hash, clashes FROM n),
+f AS (SELECT key_hash, MIN(seq) AS first FROM h GROUP BY key_hash)
+SELECT """ + uuid_sql("'new-pk-' || h.seq") + """ AS id, h.key_hash, h.seq,
+  CASE WHEN clashes THEN 'duplicate_existing' WHEN h.seq <> f.first THEN 'duplicate_in_batch' ELSE 'created' END AS status
+FROM h JOIN f USING (key_hash)""")
+def q_create_proxy_keys(spark, sf):
+    """M6 for proxy keys: some secrets are stored already, some come twice."""
+    from tokenledger.operators import maintenance as M
+    return M.create_keys(FX.proxy_keys(spark, sf), FX.new_proxy_keys(spark, sf))[1]
+
+
 # --- the same changes as deltas of bucketed tables ------------------------
 
 def _key_table(spark, rows, key, bucket_by):
@@ -1032,6 +1094,26 @@ _DOUBLED_COSTS = ", ".join(f"CASE WHEN event_id >= {{cut}} THEN TRY_CAST(CAST(2
 _CUT_SQL = "(SELECT (MIN(event_id) + MAX(event_id)) // 2 FROM events)"
 
 
+@register("key_stats_write_back", with_base(
+    f"SELECT {uuid_sql("'ak-' || c.i")} AS api_key_id, t.key_name, CAST(COALESCE(s.n, 0) AS BIGINT) AS request_count, "
+    "s.last_seen AS last_seen_at, CAST(COALESCE(s.card, 0) AS INTEGER) AS approx_cardinality "
+    "FROM cust c CROSS JOIN (SELECT unnest(['feature', 'user-id', 'step']) AS key_name) t "
+    "LEFT JOIN (SELECT api_key_id, key_name, COUNT(*) AS n, MAX(responded_at) AS last_seen, COUNT(DISTINCT value) AS card "
+    "FROM meta_rows GROUP BY api_key_id, key_name) s "
+    f"ON s.api_key_id = {uuid_sql("'ak-' || c.i")} AND s.key_name = t.key_name", META_ROWS_SQL))
+def q_key_stats_write_back(spark, sf):
+    """T2's sketches and counts written into the metadata-key table."""
+    from tokenledger.operators import metadata
+    from tokenledger.streaming import jobs
+    log = materialized_log(spark, sf)
+    root, ckpt = scratch_path(spark, "key-stats"), scratch_path(spark, "key-stats-ckpt")
+    jobs.stream_key_stats(spark, _LOGS[(spark.sparkContext.applicationId, sf)], log.schema, root, ckpt,
+                          trigger="availableNow", max_files=64).awaitTermination()
+    now = F.lit(FX.CHANGE_TS).cast("timestamp")
+    keys_ = metadata.apply_key_stats(FX.metadata_keys(spark, sf), jobs.latest_snapshot(spark, root), now)
+    return keys_.select("api_key_id", "key_name", "request_count", "last_seen_at", "approx_cardinality")
+
+
 @register("stream_price_refresh", with_base(
     f"SELECT {WIDE_LOG}, reject_reason FROM (SELECT q.* REPLACE ({_DOUBLED_COSTS.format(cut=_CUT_SQL)}) "
     "FROM (SELECT req_all.*, in_d, out_d, tot_d FROM req_all JOIN "

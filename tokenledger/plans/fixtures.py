@@ -372,3 +372,17 @@ def dropped_proxy_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M7 batch: proxy keys of every tenth customer."""
     c = table(spark, sf_dir, "customer")
     return c.where("c_custkey % 10 = 0").selectExpr(PK_ID + " as id")
+
+
+def new_proxy_keys(spark: SparkSession, sf_dir: str, cfg: LedgerConfig = DEFAULT) -> DataFrame:
+    """M6 batch for proxy keys: one per customer; those with i % 8 = 4 or 5 reuse the
+    customer's stored secret, those with i % 8 = 7 share one with a neighbour."""
+    c = table(spark, sf_dir, "customer")
+    return c.selectExpr(
+        uuid_of("concat('new-pk-', c_custkey)") + " as id",
+        f"""sha2(case when c_custkey % 8 in (4, 5) then concat('{cfg.proxy_key_prefix}', c_custkey)
+                 when c_custkey % 8 = 7 then concat('{cfg.proxy_key_prefix}new_', c_custkey div 16)
+                 else concat('{cfg.proxy_key_prefix}new_', c_custkey) end, 256) as key_hash""",
+        "concat('new-', c_name) as name", "cast(null as string) as description", AK_ID + " as api_key_id",
+        "timestamp '2024-02-01 00:00:00' as created_at", "c_custkey as seq",
+    )
