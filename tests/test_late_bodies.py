@@ -105,3 +105,22 @@ def test_text_behind_a_body_is_seen(spark):
     alone = d.select("k", J.strict_json(F.col("request_body"), MODEL_REQUEST).alias("x")).orderBy("k").collect()
     assert [r.x.ok for r in table] == [r.x.ok for r in alone] == GOOD
     assert [r.x.v and r.x.v.model for r in table] == [r.x.v and r.x.v.model for r in alone]
+
+
+def test_cut_keys_are_folded_and_small(spark, no_broadcast):
+    """Key tables whose counted rows exceed the bound are cut to the keys in use
+    in one scan, whatever their files' size; the log is the same."""
+    ex, dims = FX.exchanges(spark, SF), FX.load_dims(spark, SF)
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/exchanges-cut"
+    ex.write.mode("overwrite").parquet(path)
+    ex = spark.read.parquet(path)
+    one = ex.where("event_id < 5")
+    rows_of = dims.api_keys.count()
+    cfg = LedgerConfig(dim_broadcast_bytes=rows_of * 100)  # a row takes more
+    assert not keys.fits(dims.api_keys, cfg)
+    cut, fit = enrich._key_dims(enrich._with_provider(one, cfg), dims, cfg)
+    assert fit and cut.folded and 0 < cut.api_keys.count() <= 5 and "active_keys" in cut.api_keys.columns
+    assert rows(enrich.enrich_requests(ex, dims, cfg)) == rows(enrich.enrich_requests(ex, dims))
+    folded = enrich.fold(dims)
+    assert enrich.fold(folded) is folded
+    assert rows(enrich.enrich_requests(ex, folded)) == rows(enrich.enrich_requests(ex, dims))

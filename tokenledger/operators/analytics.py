@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenledger.session import dim_side
+
 MONEY = "decimal(38,8)"
 
 
@@ -44,7 +46,7 @@ def spend_by_api_key(requests: DataFrame, api_keys: DataFrame) -> DataFrame:
     join the (small) aggregate to the dimension."""
     agg = requests.groupBy("api_key_id").agg(F.count(F.lit(1)).alias("requests"), _money_sum().alias("total_cost"))
     ak = api_keys.select(F.col("id").alias("api_key_id"), F.col("name").alias("key_name"))
-    return agg.join(ak, "api_key_id", "inner").select("key_name", "requests", "total_cost") \
+    return agg.join(dim_side(ak), "api_key_id", "inner").select("key_name", "requests", "total_cost") \
         .orderBy(F.desc("total_cost"), "key_name")
 
 
@@ -89,7 +91,7 @@ def spend_by_proxy_key(requests: DataFrame, proxy_keys: DataFrame) -> DataFrame:
     agg = requests.where(F.col("proxy_key_id").isNotNull()).groupBy("proxy_key_id") \
         .agg(F.count(F.lit(1)).alias("requests"), _money_sum().alias("total_cost"))
     pk = proxy_keys.select(F.col("id").alias("proxy_key_id"), F.col("name").alias("proxy_key_name"))
-    return agg.join(pk, "proxy_key_id", "inner").select("proxy_key_name", "requests", "total_cost") \
+    return agg.join(dim_side(pk), "proxy_key_id", "inner").select("proxy_key_name", "requests", "total_cost") \
         .orderBy(F.desc("total_cost"), "proxy_key_name")
 
 

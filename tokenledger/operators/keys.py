@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenledger.config import DEFAULT, LedgerConfig
 from tokenledger.functions.headers import hash_key, strip_bearer
 from tokenledger.functions.secrets import secret_ok, secret_set
-from tokenledger.session import dim_side, estimated_bytes, scratch_path
+from tokenledger.session import dim_side, scratch_path, within
 
 
 def api_key_status(found, is_active, revoked_at, given):
@@ -42,8 +42,14 @@ def _spread_key(key_hash, df: DataFrame):
 
 
 def fits(dim: DataFrame, cfg: LedgerConfig = DEFAULT) -> bool:
-    size = estimated_bytes(dim)
-    return size is not None and size <= cfg.dim_broadcast_bytes
+    return within(dim, cfg.dim_broadcast_bytes)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A written copy: what it was made from does not run again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def in_use(dim: DataFrame, hash_col: str, hashes: DataFrame, cfg: LedgerConfig = DEFAULT) -> DataFrame:
@@ -56,9 +62,8 @@ def in_use(dim: DataFrame, hash_col: str, hashes: DataFrame, cfg: LedgerConfig =
         return dim
     name = hashes.columns[0]
     wanted = hashes.where(F.col(name).isNotNull()).distinct()
-    path = scratch_path(dim.sparkSession, "keys-in-use")
-    dim.join(wanted, F.col(hash_col) == F.col(name), "left_semi").write.parquet(path)
-    return dim.sparkSession.read.parquet(path)
+    wanted = dim_side(wanted, cfg.dim_broadcast_bytes)
+    return written(dim.join(wanted, F.col(hash_col) == F.col(name), "left_semi"), "keys-in-use")
 
 
 def proxy_token_hash(authorization, cfg: LedgerConfig = DEFAULT):
@@ -67,23 +72,31 @@ def proxy_token_hash(authorization, cfg: LedgerConfig = DEFAULT):
     return F.when(token.startswith(cfg.proxy_key_prefix), F.sha2(token, 256))
 
 
+def api_dimension(api_keys: DataFrame, extra: DataFrame | None = None, cfg: LedgerConfig = DEFAULT) -> DataFrame:
+    """API keys with ``extra`` (keyed by ``api_key_id``) folded in."""
+    dim = api_keys.select(
+        F.col("key_hash").alias("_ak_hash"), F.col("id").alias("_ak_id"),
+        F.col("user_id").alias("_ak_user"), F.col("name").alias("_ak_name"),
+        F.col("is_active").alias("_ak_active"), F.col("revoked_at").alias("_ak_revoked"),
+    )
+    if extra is None:
+        return dim
+    extra = extra.withColumnRenamed("api_key_id", "_ak_id")
+    return dim.join(extra if fits(api_keys, cfg) else extra.hint("merge"), "_ak_id", "left")
+
+
 def resolve_api_keys(df: DataFrame, api_keys: DataFrame, key_col: str = "api_key",
-                     extra: DataFrame | None = None, cfg: LedgerConfig = DEFAULT) -> DataFrame:
+                     extra: DataFrame | None = None, cfg: LedgerConfig = DEFAULT, folded: bool = False) -> DataFrame:
     """Hash the gateway key and look it up.
 
     Adds ``api_key_status`` (ok / missing / not_found / revoked / inactive),
     ``api_key_id``, ``user_id``, ``api_key_name``. ``extra`` (keyed by
-    ``api_key_id``) is folded into the dimension before the fact join.
+    ``api_key_id``) is folded into the dimension before the fact join;
+    ``folded``: ``api_keys`` is an ``api_dimension`` already.
     """
-    dim = api_keys.select(
-        F.col("key_hash").alias("_ak_hash"), F.col("id").alias("_ak_id"),
-        F.col("user_id").alias("_ak_user"), F.col("name").alias("_ak_name"),
-        F.col("is_active").alias("_ak_active"), F.col("revoked_at").alias("_ak_revoked"),
-    )
-    if extra is not None:
-        dim = dim.join(extra.withColumnRenamed("api_key_id", "_ak_id"), "_ak_id", "left")
+    dim = dim_side(api_keys if folded else api_dimension(api_keys, extra, cfg), cfg.dim_broadcast_bytes, api_keys)
     df = df.withColumn("_key_hash", hash_key(F.col(key_col)))
-    j = df.join(dim_side(dim, cfg.dim_broadcast_bytes), _spread_key(F.col("_key_hash"), df) == F.col("_ak_hash"), "left")
+    j = df.join(dim, _spread_key(F.col("_key_hash"), df) == F.col("_ak_hash"), "left")
     found = F.col("_ak_hash").isNotNull()
     status = api_key_status(found, F.col("_ak_active"), F.col("_ak_revoked"), F.col("_key_hash").isNotNull())
     ok = status == "ok"
@@ -96,7 +109,7 @@ def resolve_api_keys(df: DataFrame, api_keys: DataFrame, key_col: str = "api_key
     )
 
 
-def proxy_dimension(proxy_keys: DataFrame, mappings: DataFrame, secret: str) -> DataFrame:
+def proxy_dimension(proxy_keys: DataFrame, mappings: DataFrame, secret: str, cfg: LedgerConfig = DEFAULT) -> DataFrame:
     """Proxy keys with their mappings folded in as ``provider -> <decryptable,
     not empty>``.
 
@@ -111,24 +124,27 @@ def proxy_dimension(proxy_keys: DataFrame, mappings: DataFrame, secret: str) ->
         .groupBy("proxy_key_id")
         .agg(F.map_from_entries(F.collect_list(F.struct("provider", "ok"))).alias("mapped"))
     )
+    per_key = per_key.withColumnRenamed("proxy_key_id", "_pk_id")
     return proxy_keys.select(
         F.col("key_hash").alias("_pk_hash"), F.col("id").alias("_pk_id"),
         F.col("api_key_id").alias("_pk_owner"), F.col("is_active").alias("_pk_active"),
         F.col("revoked_at").alias("_pk_revoked"),
-    ).join(per_key.withColumnRenamed("proxy_key_id", "_pk_id"), "_pk_id", "left")
+    ).join(per_key if fits(proxy_keys, cfg) else per_key.hint("merge"), "_pk_id", "left")
 
 
 def resolve_proxy_keys(df: DataFrame, proxy_keys: DataFrame, mappings: DataFrame, secret: str,
                        auth_col: str = "authorization", provider_col: str = "provider",
-                       api_key_id_col: str = "api_key_id", cfg: LedgerConfig = DEFAULT) -> DataFrame:
+                       api_key_id_col: str = "api_key_id", cfg: LedgerConfig = DEFAULT, folded: bool = False) -> DataFrame:
     """Proxy key checks, in order: passthrough (not a proxy key),
     not_found, revoked, inactive, wrong_owner, no_mapping, decrypt_failed, ok.
 
     Adds ``proxy_status`` and ``proxy_key_id`` (set when ok and the stored
-    provider key is not empty).
+    provider key is not empty). ``folded``: ``proxy_keys`` is a
+    ``proxy_dimension`` already.
     """
     df = df.withColumn("_pk_token_hash", proxy_token_hash(F.col(auth_col), cfg))
-    dim = dim_side(proxy_dimension(proxy_keys, mappings, secret), cfg.dim_broadcast_bytes)
+    dim = dim_side(proxy_keys if folded else proxy_dimension(proxy_keys, mappings, secret, cfg),
+                   cfg.dim_broadcast_bytes, proxy_keys)
     j = df.join(dim, _spread_key(F.col("_pk_token_hash"), df) == F.col("_pk_hash"), "left")
     mapped = F.element_at(F.col("mapped"), F.col(provider_col))
     has_mapping = F.coalesce(F.map_contains_key(F.col("mapped"), F.col(provider_col)), F.lit(False))

@@ -26,6 +26,7 @@ from tokenledger.functions.json_strict import with_strict
 from tokenledger.functions.providers import detect_provider
 from tokenledger.operators import keys, metadata, pricing, quality, usage
 from tokenledger.plans.fixtures import Dims
+from tokenledger.session import dim_side
 
 def prepare(exchanges: DataFrame, cfg: LedgerConfig = DEFAULT) -> DataFrame:
     """Narrow projection of the exchange columns the log needs."""
@@ -44,29 +45,44 @@ def _with_provider(exchanges: DataFrame, cfg: LedgerConfig) -> DataFrame:
     return prepare(exchanges, cfg).withColumn("provider_detected", F.col("prov.provider"))
 
 
+def fold(dims: Dims, cfg: LedgerConfig = DEFAULT) -> Dims:
+    """Dimensions with all that a request needs of a key in one written row per
+    key: mappings are decrypted and metadata keys gathered once, not once per use."""
+    if dims.folded:
+        return dims
+    api = keys.api_dimension(dims.api_keys, metadata.active_key_names(dims.metadata_keys), cfg)
+    proxy = keys.proxy_dimension(dims.proxy_keys, dims.mappings, dims.secret, cfg)
+    return replace(dims, api_keys=keys.written(api, "api-keys"), proxy_keys=keys.written(proxy, "proxy-keys"), folded=True)
+
+
 def _key_dims(prepared: DataFrame, dims: Dims, cfg: LedgerConfig) -> tuple[Dims, bool]:
     """Dimensions with key tables cut to the keys in use where they exceed the
     broadcast bound, and whether all then fit it."""
-    if prepared.isStreaming:
+    if prepared.isStreaming or (keys.fits(dims.api_keys, cfg) and keys.fits(dims.proxy_keys, cfg)):
         return dims, True
-    api_keys = keys.in_use(dims.api_keys, "key_hash", prepared.select(H.hash_key(F.col("api_key")).alias("h")), cfg)
-    proxy_keys = keys.in_use(dims.proxy_keys, "key_hash",
-                             prepared.select(keys.proxy_token_hash(F.col("authorization"), cfg).alias("h")), cfg)
-    cut, metadata_keys, mappings = (api_keys is not dims.api_keys), dims.metadata_keys, dims.mappings
-    # what is folded into a key's row is cut with it
-    if cut:
-        metadata_keys = metadata_keys.join(api_keys.select(F.col("id").alias("api_key_id")), "api_key_id", "left_semi")
-    if proxy_keys is not dims.proxy_keys:
-        mappings = mappings.join(proxy_keys.select(F.col("id").alias("proxy_key_id")), "proxy_key_id", "left_semi")
-    fit = keys.fits(api_keys, cfg) and keys.fits(proxy_keys, cfg)
-    return replace(dims, api_keys=api_keys, proxy_keys=proxy_keys, mappings=mappings, metadata_keys=metadata_keys), fit
+    # one scan for the hashes of both kinds of keys
+    hashes = prepared.select(F.explode(F.array(
+        F.struct(F.lit("api").alias("kind"), H.hash_key(F.col("api_key")).alias("h")),
+        F.struct(F.lit("proxy").alias("kind"), keys.proxy_token_hash(F.col("authorization"), cfg).alias("h")))).alias("u"))
+    seen = keys.written(hashes.select("u.*").where("h IS NOT NULL").distinct(), "hashes-in-use")
+    api_hash, proxy_hash = ("_ak_hash", "_pk_hash") if dims.folded else ("key_hash", "key_hash")
+    api_keys = keys.in_use(dims.api_keys, api_hash, seen.where("kind = 'api'").select("h"), cfg)
+    proxy_keys = keys.in_use(dims.proxy_keys, proxy_hash, seen.where("kind = 'proxy'").select("h"), cfg)
+    metadata_keys, mappings = dims.metadata_keys, dims.mappings
+    if not dims.folded:  # what is folded into a key's row is cut with it
+        ids = api_keys.select(F.col("id").alias("api_key_id"))
+        metadata_keys = metadata_keys.join(dim_side(ids, cfg.dim_broadcast_bytes), "api_key_id", "left_semi")
+        ids = proxy_keys.select(F.col("id").alias("proxy_key_id"))
+        mappings = mappings.join(dim_side(ids, cfg.dim_broadcast_bytes), "proxy_key_id", "left_semi")
+    cut = fold(replace(dims, api_keys=api_keys, proxy_keys=proxy_keys, mappings=mappings, metadata_keys=metadata_keys), cfg)
+    return cut, keys.fits(cut.api_keys, cfg) and keys.fits(cut.proxy_keys, cfg)
 
 
 def _resolve(df: DataFrame, dims: Dims, cfg: LedgerConfig) -> DataFrame:
-    df = keys.resolve_api_keys(df, dims.api_keys, "api_key",
-                               extra=metadata.active_key_names(dims.metadata_keys), cfg=cfg)
+    extra = None if dims.folded else metadata.active_key_names(dims.metadata_keys)
+    df = keys.resolve_api_keys(df, dims.api_keys, "api_key", extra, cfg, dims.folded)
     return keys.resolve_proxy_keys(df, dims.proxy_keys, dims.mappings, dims.secret,
-                                   "authorization", "provider_detected", "api_key_id", cfg)
+                                   "authorization", "provider_detected", "api_key_id", cfg, dims.folded)
 
 
 def resolve(exchanges: DataFrame, dims: Dims, cfg: LedgerConfig = DEFAULT) -> DataFrame:

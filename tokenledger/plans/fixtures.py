@@ -278,6 +278,8 @@ class Dims:
     prices: DataFrame
     aliases: DataFrame
     secret: str = FIXTURE_SECRET
+    #: key tables hold what is folded into them (``enrich.fold``)
+    folded: bool = False
 
     def persisted(self) -> "Dims":
         """The same snapshot, kept in executor memory (recomputed from its

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenledger.config import DEFAULT
 
@@ -79,14 +80,45 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def dim_side(df: DataFrame, max_bytes: int = DEFAULT.dim_broadcast_bytes) -> DataFrame:
-    """Broadcast a dimension only when its estimated size is within bound.
+#: an estimate this many times below the bound is not counted: Parquet holds
+#: no table so much smaller than its rows in memory
+COMPRESSED = 256
 
-    Beyond the bound the join stays a shuffle join; AQE may still turn it
-    into a broadcast at run time from real shuffle sizes, and splits skewed
-    partitions of the fact side.
-    """
+
+def _width(kind: T.DataType) -> int:
+    """Bytes of a value in a hash table; a text counts as long as a key hash."""
+    if isinstance(kind, T.StructType):
+        return 8 + sum(_width(f.dataType) for f in kind.fields)
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return 8 + 64
+    return 8 + (96 if isinstance(kind, (T.ArrayType, T.MapType)) else 0)
+
+
+def within(df: DataFrame, max_bytes: int = DEFAULT.dim_broadcast_bytes, rows_of: DataFrame | None = None) -> bool:
+    """Whether ``df`` fits ``max_bytes`` in memory.
+
+    The optimizer goes by the bytes of compressed files: 5 a customer, whose
+    key row takes 300. So the rows are counted where its estimate lets a table
+    pass (a narrow scan, for Parquet its footers). ``rows_of``: a plainer table
+    with as many rows."""
     size = estimated_bytes(df)
-    if size is not None and size <= max_bytes:
+    if size is None or size > max_bytes:
+        return False
+    if size * COMPRESSED <= max_bytes:
+        return True
+    rows = (df if rows_of is None else rows_of).count()
+    return rows * (16 + sum(_width(f.dataType) for f in df.schema.fields)) <= max_bytes
+
+
+def dim_side(df: DataFrame, max_bytes: int = DEFAULT.dim_broadcast_bytes, rows_of: DataFrame | None = None) -> DataFrame:
+    """Broadcast a dimension only when it is ``within`` the bound.
+
+    Beyond the bound the join is a shuffle join; where the estimate says so
+    too, AQE may still turn it into a broadcast at run time from real shuffle
+    sizes. AQE splits skewed partitions of the fact side.
+    """
+    if within(df, max_bytes, rows_of):
         return F.broadcast(df)
-    return df
+    size = estimated_bytes(df)
+    # the estimate is too low, so Spark itself must not broadcast by it
+    return df.hint("merge") if size is not None and size <= max_bytes else df
