@@ -124,3 +124,19 @@ def test_cut_keys_are_folded_and_small(spark, no_broadcast):
     folded = enrich.fold(dims)
     assert enrich.fold(folded) is folded
     assert rows(enrich.enrich_requests(ex, folded)) == rows(enrich.enrich_requests(ex, dims))
+
+
+def test_a_stream_folds_its_dimensions_once(spark, monkeypatch):
+    """Mappings are decrypted once a snapshot of the dimensions, not once a micro-batch."""
+    from tokenledger.session import scratch_path
+    from tokenledger.sources import bodies
+    from tokenledger.streaming import jobs
+    src, out = scratch_path(spark, "src"), scratch_path(spark, "log")
+    ex, dims = FX.exchanges(spark, SF).where("event_id < 300"), FX.load_dims(spark, SF)
+    bodies.write_exchanges(ex, src, files=3)
+    made, plain = [], keys.proxy_dimension
+    monkeypatch.setattr(keys, "proxy_dimension", lambda *a: made.append(1) or plain(*a))
+    jobs.stream_enrich(spark, src, dims, out, scratch_path(spark, "ckpt"), max_files=1).awaitTermination()
+    assert len(made) == 1
+    names = ["id", "user_id", "api_key_id", "proxy_key_id", "total_cost", "reject_reason"]
+    assert rows(spark.read.parquet(out).select(names)) == rows(enrich.enrich_requests(ex, dims).select(names))

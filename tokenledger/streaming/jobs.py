@@ -20,6 +20,7 @@ from __future__ import annotations
 import logging
 import time
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,19 @@ def _trigger(writer, trigger: str | None):
     return writer.trigger(processingTime=trigger)
 
 
+def _folded(dims: Dims | DimsSnapshot, cfg: LedgerConfig) -> Callable[[], Dims]:
+    """The dimensions in force, folded once for all micro-batches that use them."""
+    last: list[Dims] = []
+
+    def current() -> Dims:
+        now = dims.current() if isinstance(dims, DimsSnapshot) else dims
+        if not last or last[0] is not now:
+            last[:] = [now, enrich.fold(now, cfg)]
+        return last[1]
+
+    return current
+
+
 def _stream_log(spark: SparkSession, source: str, dims: Callable[[], Dims], out: str, checkpoint: str, name: str,
                 unique: bool, trigger: str | None, max_files: int, cfg: LedgerConfig) -> StreamingQuery:
     """Exchanges -> J8 -> the log at ``out``, each batch committed once."""
@@ -66,9 +80,7 @@ def stream_enrich(spark: SparkSession, source: str, dims: Dims | DimsSnapshot, o
     Rows keep their ``reject_reason`` (Q1) as in the batch ETL. Queries that
     write to one log need different ``name``s; ``unique`` also drops rows whose
     id the log holds already (a request recorded twice)."""
-    fixed = None if isinstance(dims, DimsSnapshot) else dims.persisted()
-    return _stream_log(spark, source, lambda: fixed or dims.current(), out, checkpoint, name, unique, trigger,
-                       max_files, cfg)
+    return _stream_log(spark, source, _folded(dims, cfg), out, checkpoint, name, unique, trigger, max_files, cfg)
 
 
 #: hash buckets of T2's state
@@ -227,11 +239,9 @@ def stream_price_refresh(spark: SparkSession, source: str, dims: Dims | DimsSnap
                          prices: PriceSnapshot, trigger: str | None = "availableNow", max_files: int = 8,
                          cfg: LedgerConfig = DEFAULT, name: str = "priced", unique: bool = False) -> StreamingQuery:
     """T1 with the price snapshot of the moment in every micro-batch."""
-    fixed = None if isinstance(dims, DimsSnapshot) else dims.persisted()
+    folded = _folded(dims, cfg)
 
     def current() -> Dims:
-        now = fixed or dims.current()
-        return Dims(now.api_keys, now.proxy_keys, now.mappings, now.metadata_keys,
-                    prices.current(), prices.aliases, now.secret)
+        return replace(folded(), prices=prices.current(), aliases=prices.aliases)
 
     return _stream_log(spark, source, current, out, checkpoint, name, unique, trigger, max_files, cfg)
