@@ -95,8 +95,9 @@ class Shard:
         idf = np.log1p((np.maximum(n_docs - seen, 0) + 0.5) / (seen + 0.5)).astype(np.float32)
         length = np.array([r[4] for r in rows], np.float32)[doc] / max(mean_words, 1e-9)
         weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length))
-        order = np.argsort(term, kind="stable")
-        ordered = term[order]
+        # by word, then place: a sort of numbers, several times faster than an argsort
+        placed = np.sort(term.astype(np.uint64) << np.uint64(32) | np.arange(len(term), dtype=np.uint64))
+        order, ordered = (placed & np.uint64(0xFFFFFFFF)).astype(np.int64), placed >> np.uint64(32)
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(term) else np.zeros(0, int)
         self.post_at = np.append(first, len(term))
         self.post_doc, self.post_weight = doc[order], weight[order].astype(np.float64)
