@@ -180,6 +180,23 @@ def test_files_no_manifest_names_are_deleted(spark):
     assert set(bucket.values()) <= set(live) and 1 not in live
 
 
+def test_a_batch_leaves_most_older_rows_alone(spark):
+    """Batches of new keys: each wrote all rows of its buckets, so 1, 2, ... 8."""
+    root = scratch_path(spark, "state")
+    state = jobs.KeyStatsState(spark, root, "ck", buckets=1)
+    written = []
+    for n in range(8):
+        state.merge(deltas(spark, [(f"key{n}", str(v)) for v in range(n + 1)]), n)
+        written.append(spark.read.parquet(f"{root}/files/batch={n}").count())
+        if n == 3:  # a manifest of older code names one run for a bucket
+            found = state.folder.read_json("manifests/000000000003")
+            state.folder.write_json("manifests/000000000003", {k: v for k, v in found.items() if k != "runs"})
+    assert written == [1, 1, 1, 4, 1, 1, 1, 4]
+    assert stats(state) == {f"key{n}": (n + 1, n + 1) for n in range(8)}
+    state.merge(deltas(spark, [("key0", "new"), ("key7", "0")]), 8)
+    assert stats(state) == {f"key{n}": (n + 1, n + 1) for n in range(1, 7)} | {"key0": (2, 2), "key7": (9, 8)}
+
+
 def test_a_request_recorded_twice_is_logged_once(spark):
     """T1 with ``unique``, a new file of old requests, in S7's layout."""
     from tests.conftest import SF

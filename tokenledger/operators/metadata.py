@@ -53,8 +53,12 @@ def merge_key_stats(state: DataFrame, delta: DataFrame) -> DataFrame:
     last seen advanced. Keys missing from ``state`` are inserted (the
     reference silently loses those counts)."""
     cols = ["api_key_id", "key_name", "hll_state", "request_count", "last_seen_at"]
-    both = state.select(*cols).unionByName(delta.select(*cols))
-    g = both.groupBy("api_key_id", "key_name").agg(
+    return fold_key_stats(state.select(*cols).unionByName(delta.select(*cols)))
+
+
+def fold_key_stats(stats: DataFrame) -> DataFrame:
+    """H2 within one table: one row per key, of all its sketches and counts."""
+    g = stats.groupBy("api_key_id", "key_name").agg(
         F.hll_union_agg("hll_state", True).alias("hll_state"),
         F.sum("request_count").cast("bigint").alias("request_count"),
         F.max("last_seen_at").alias("last_seen_at"),

@@ -5,8 +5,8 @@
   the batch's number (``sources/batch_log.py``), whatever dies in between.
 * T2 ``stream_key_stats``: the log as a stream -> per micro-batch sketch
   deltas (H1) merged into the state (H2). The state lies in hash buckets by API
-  key; a batch rewrites the buckets it touches and a manifest names each
-  bucket's newest file.
+  key, each in a few runs; a batch adds a run to the buckets it touches, now and
+  then merged with older ones, and a manifest names each bucket's runs.
 * T3 ``stream_price_refresh``: T1 with the price list re-read when older than
   the refresh interval; a failed read keeps the previous snapshot (a static
   side fixed at plan time would go stale).
@@ -87,6 +87,8 @@ def stream_enrich(spark: SparkSession, source: str, dims: Dims | DimsSnapshot, o
 STATE_BUCKETS = 256
 #: manifests of T2 that stay behind the newest one
 KEEP_SNAPSHOTS = 3
+#: runs of a bucket of T2's state that are merged into one
+FAN = 4
 
 _STATE_SCHEMA = ("api_key_id string, key_name string, hll_state binary, request_count bigint, last_seen_at timestamp, "
                  "approx_cardinality bigint, batch bigint, bucket int")
@@ -95,11 +97,16 @@ _STATE_SCHEMA = ("api_key_id string, key_name string, hll_state binary, request_
 class KeyStatsState:
     """T2's state under ``root``: ``files/batch=n/bucket=b`` and ``manifests/n``.
 
-    A manifest says which batch wrote each bucket last, so merging batch ``n``
-    reads and writes only the buckets that batch ``n`` has keys of. It is a
-    function of manifest ``n-1`` and batch ``n``: a batch done again after a
-    failure gives the same state. Files that no kept manifest names are
-    deleted. ``owner`` is the checkpoint whose batches are counted."""
+    A bucket's state is the H2 merge of its runs. Batch ``n`` writes a run for
+    each bucket it has keys of. Once a bucket has ``FAN - 1`` runs of as many
+    batches as the new one, the new one takes them up. So a row is written
+    again with the logarithm of the number of batches, not in each of them, and
+    a bucket has as few runs. ``newest`` in a manifest says which batch wrote
+    each bucket last, ``runs`` lists the runs with their numbers of batches.
+
+    A manifest is a function of manifest ``n-1`` and batch ``n``: a batch done
+    again after a failure gives the same state. Files that no kept manifest
+    names are deleted. ``owner`` is the checkpoint whose batches are counted."""
 
     def __init__(self, spark: SparkSession, root: str, owner: str, buckets: int = STATE_BUCKETS) -> None:
         self.spark, self.root, self.owner, self.buckets = spark, root.rstrip("/"), owner, buckets
@@ -112,15 +119,16 @@ class KeyStatsState:
                              f"{self.owner} with {self.buckets} buckets needs a folder of its own")
         return found
 
-    def _read(self, newest: dict[str, int], buckets) -> DataFrame:
-        paths = [f"{self.root}/files/batch={newest[b]}/bucket={b}" for b in buckets]
+    def _read(self, files: list[tuple[str, int]]) -> DataFrame:
+        """Rows of some runs, given as (bucket, batch)."""
+        paths = [f"{self.root}/files/batch={n}/bucket={b}" for b, n in files]
         reader = self.spark.read.schema(_STATE_SCHEMA)
         rows = reader.option("basePath", f"{self.root}/files").parquet(*paths) if paths \
             else self.spark.createDataFrame([], _STATE_SCHEMA)
         return rows.drop("batch", "bucket")
 
     def merge(self, delta: DataFrame, batch_id: int) -> list[str]:
-        """H2 over the buckets of ``delta``; the buckets written."""
+        """Adds the buckets of ``delta`` to the state (H2); the buckets written."""
         done = self.folder.names("manifests")
         for old in done:
             if int(old) < batch_id - KEEP_SNAPSHOTS:
@@ -132,28 +140,34 @@ class KeyStatsState:
             raise FileNotFoundError(f"{self.root}: the manifest of batch {batch_id - 1} is missing, the state is incomplete")
         if not batch_id and done:
             raise ValueError(f"{self.root} holds the state of an older checkpoint")
-        newest = self._manifest(batch_id - 1)["newest"] if batch_id else {}
+        before = self._manifest(batch_id - 1) if batch_id else {"newest": {}, "runs": {}}
+        runs = _runs(before)
         # the sketches of the batch are needed twice; without an executor they are computed again
         delta = delta.withColumn("bucket", F.pmod(F.xxhash64("api_key_id"), F.lit(self.buckets)).cast("int")).persist()
         touched = sorted(str(r.bucket) for r in delta.select("bucket").distinct().collect())  # at most `buckets` rows
+        taken: list[tuple[str, int]] = []
+        for b in touched:
+            kept, weight = _stacked(own := runs.get(b, []))
+            taken += [(b, n) for n, _ in own[len(kept):]]
+            runs[b] = [*kept, [batch_id, weight]]
         if touched:
-            old = self._read(newest, [b for b in touched if b in newest])
-            merged = metadata.merge_key_stats(old, delta.drop("bucket"))
-            (merged.withColumn("bucket", F.pmod(F.xxhash64("api_key_id"), F.lit(self.buckets)).cast("int"))
-             .hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket")
+            rows = delta
+            if taken:
+                merged = metadata.merge_key_stats(self._read(taken), delta.drop("bucket"))
+                rows = merged.withColumn("bucket", F.pmod(F.xxhash64("api_key_id"), F.lit(self.buckets)).cast("int"))
+            (rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket")
              .parquet(f"{self.root}/files/batch={batch_id}"))
         delta.unpersist()
         self.folder.write_json(f"manifests/{batch_id:012d}", {
-            "owner": self.owner, "buckets": self.buckets, "newest": {**newest, **{b: batch_id for b in touched}}})
+            "owner": self.owner, "buckets": self.buckets, "runs": runs,
+            "newest": {**before["newest"], **{b: batch_id for b in touched}}})
         return touched
 
     def _forget(self, batch_id: int) -> None:
         """Deletes manifest ``batch_id`` and the files only it names."""
         name = f"manifests/{batch_id:012d}"
-        old, kept = self._manifest(batch_id)["newest"], self._manifest(batch_id + 1)["newest"]
-        for bucket, batch in old.items():
-            if kept[bucket] != batch:
-                self.folder.delete(f"files/batch={batch}/bucket={bucket}")
+        for bucket, batch in sorted(_files(self._manifest(batch_id)) - _files(self._manifest(batch_id + 1))):
+            self.folder.delete(f"files/batch={batch}/bucket={bucket}")
         self.folder.delete(name)
 
     def latest(self) -> DataFrame | None:
@@ -161,8 +175,26 @@ class KeyStatsState:
         done = self.folder.names("manifests")
         if not done:
             return None
-        newest = self.folder.read_json(f"manifests/{done[-1]}")["newest"]
-        return self._read(newest, sorted(newest))
+        found = self.folder.read_json(f"manifests/{done[-1]}")
+        return metadata.fold_key_stats(self._read(sorted(_files(found))))
+
+
+def _runs(manifest: dict) -> dict[str, list]:
+    """A manifest's runs by bucket, oldest first, as [batch, number of batches];
+    those written before there were runs hold all batches."""
+    return manifest["runs"] if "runs" in manifest else {b: [[n, n + 1]] for b, n in manifest["newest"].items()}
+
+
+def _files(manifest: dict) -> set[tuple[str, int]]:
+    return {(b, n) for b, own in _runs(manifest).items() for n, _ in own}
+
+
+def _stacked(runs: list) -> tuple[list, int]:
+    """The runs that stay beside a new one, and the number of batches in that."""
+    kept, weight = runs, 1
+    while len(kept) >= FAN - 1 and kept[1 - FAN][1] <= weight:
+        kept, weight = kept[:1 - FAN], weight * FAN
+    return kept, weight
 
 
 def latest_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
@@ -176,7 +208,7 @@ def stream_key_stats(spark: SparkSession, log_path: str, log_schema, state_root:
     """H1 deltas per micro-batch merged (H2) into the bucketed state.
 
     Only accepted rows feed the sketches. The reference flushes dirty
-    sketches every 60 s; here each micro-batch rewrites the dirty buckets.
+    sketches every 60 s; here each micro-batch adds a run to the dirty buckets.
     ``metadata.apply_key_stats`` writes ``latest_snapshot`` into the key table."""
     src = (spark.readStream.schema(log_schema).option("maxFilesPerTrigger", max_files).parquet(log_path))
     state = KeyStatsState(spark, state_root, checkpoint, buckets)
