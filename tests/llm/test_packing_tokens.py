@@ -114,3 +114,28 @@ def test_packing_odd_and_empty(spark):
     by = {r.doc_id: r.n for r in pieces.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
     assert by[1] == by[2] == by[3] == 1 and set(by) == {r[0] for r in odd_rows()}
     assert packing.pack(empty(spark)).count() == 0
+
+
+def test_library_gets_bounded_runs_of_pieces():
+    """A slice of many new words is not encoded by one call, whose memory would grow with it."""
+    from tokenledger.llm import tokens
+    e = tokens.WordEncoder("word_bpe_49k.json")
+    texts = [f"ab{k}cd Q{'xyz'[k % 3] * (k % 7)}{'abcdefghij'[k % 10]}{k:x}" for k in range(12_000)]
+    whole = [e.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    own, given = e.pieces, []
+
+    class Counting:
+        def encode(self, text, **options):
+            given.append(len(text.split()))
+            return own.encode(text, **options)
+
+    e.pieces = Counting()
+    distinct = pa.array([f"{a}{b}{c}{d}" for a in "bcdfgh" for b in "aeiouy" for c in "klmnpq" for d in
+                         (f"{x}{y}" for x in "rstvwxz" for y in "aeiouybcdfghjklm")], pa.large_string())
+    offsets, ids, _ = e.encode_words(distinct)
+    assert len(distinct) > 2 * tokens.LEARN and max(given) <= tokens.LEARN and sum(given) >= len(distinct)
+    for k in (0, 9_999, 10_000, 19_999, 20_000, len(distinct) - 1):
+        assert list(ids[offsets[k]:offsets[k + 1]]) == e.whole.encode(distinct[k].as_py(), add_special_tokens=False).ids
+    words = pa.array([w for t in texts for w in t.split()], pa.large_string())
+    offsets, ids, _ = e.encode_words(words)
+    assert [list(ids[offsets[2 * k]:offsets[2 * k + 2]]) for k in range(len(texts))] == whole

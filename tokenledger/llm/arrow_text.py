@@ -112,6 +112,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def strings(values: pa.Array) -> list[str]:
+    """The strings of an array without nulls, several times faster than by ``to_pylist``."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def hash_strings(values) -> np.ndarray:
     """64-bit hash of each string of a list or Arrow array."""
     import xxhash

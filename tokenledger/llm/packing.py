@@ -27,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenledger.llm import arrow_text as at
-from tokenledger.llm.tokens import RUN_BYTES, Encoded, forget_words
+from tokenledger.llm.tokens import Encoded, forget_words
 from tokenledger.session import scratch_path
 
 SHARD_TOKENS = 2 << 20
+#: text bytes tokenised at once; words, ids and their places take many times as much
+RUN_BYTES = 4 << 20
 BUCKETS = 1 << 16
 K1, B = 1.2, 0.75
 
@@ -44,6 +46,7 @@ def _tokenised(docs: DataFrame, text: str, doc_id: str, tokenizer: str, end_id:
         df = np.zeros(BUCKETS, np.int32)
         n_docs = n_words = 0
         for batch in at.slices(batches, text, RUN_BYTES):
+            at.release()
             e = Encoded(at.texts_of(batch.column(text)), tokenizer)
             rows = batch.num_rows
             size = e.counts()

@@ -31,6 +31,8 @@ from tokenledger.llm import arrow_text as at
 REMEMBER = 600_000
 #: text bytes encoded at once
 RUN_BYTES = 8 << 20
+#: pieces given to the library at once; it takes a kilobyte for each
+LEARN = 10_000
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 #: fixed values: the splitting rule of the vocabulary file, for plain words
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
@@ -73,7 +75,9 @@ class WordEncoder:
         self.starts = np.zeros(2, np.int64)  # piece k is ids[starts[k]:starts[k + 1]]
 
     def _learn(self, new: list[str]) -> None:
-        ids = np.array(self.pieces.encode(" ".join(new), add_special_tokens=False).ids, self.id_type)
+        ids = np.concatenate([
+            np.array(self.pieces.encode(" ".join(new[k:k + LEARN]), add_special_tokens=False).ids, self.id_type)
+            for k in range(0, len(new), LEARN)])
         ends = np.flatnonzero(self.closes[ids]) + 1
         if len(ends) != len(new):
             raise ValueError("pieces and tokens do not match")
@@ -95,7 +99,7 @@ class WordEncoder:
 
     def _index(self, pieces: pa.Array) -> np.ndarray:
         coded = pieces.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = at.strings(coded.dictionary)
         found = list(map(self.piece.get, distinct))
         new = [p for p, k in zip(distinct, found) if k is None]
         if new:
@@ -115,7 +119,7 @@ class WordEncoder:
         # most words: a run of letters (or none), then a run of symbols (or none)
         first = self._index(pc.utf8_lower(pc.struct_field(parts, "a").filter(pa.array(simple))))
         second = self._index(pc.struct_field(parts, "b").filter(pa.array(simple)))
-        rest = [self._cut(w) for w in words.filter(pa.array(~simple)).to_pylist()]
+        rest = [self._cut(w) for w in at.strings(words.filter(pa.array(~simple)))]
         count = np.full(n, 2, np.int64)
         count[~simple] = [len(r) for r in rest]
         begin = np.cumsum(count) - count
@@ -141,14 +145,15 @@ class WordEncoder:
 def gather(start: np.ndarray, size: np.ndarray, values: np.ndarray) -> np.ndarray:
     """values[start:start + size] of every pair, joined."""
     total = int(size.sum())
-    at_ = np.ones(total, np.int64)
     if not total:
         return values[:0]
+    # half the memory where places fit 32 bits
+    at_ = np.ones(total, np.int32 if len(values) < 1 << 31 else np.int64)
     on = size > 0
     start, size = start[on], size[on]
     at_[0] = start[0]
     at_[np.cumsum(size)[:-1]] = start[1:] - start[:-1] - size[:-1] + 1
-    return values[np.cumsum(at_)]
+    return values[np.cumsum(at_, dtype=at_.dtype, out=at_)]
 
 
 _encoders: dict[str, WordEncoder] = {}
